@@ -87,3 +87,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     t = F.col(text)
     sized = staged(docs.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), words_in(t).alias("size"), place(F.col(doc_id), t).alias("place")))
     return mixed(sized, mix_plan(sized.select("source", "size", "place"), weights, share, repeat))
+
+
+def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, repeat: float = 2.0) -> DataFrame:
+    """docs, each row as often as the mix takes it; all columns as they were. Cases as in ``mix``."""
+    keep = docs.columns
+    t, where = F.col(text), place(F.col(doc_id), F.col(text))
+    plan = mix_plan(staged(docs.select(F.col(source).alias("source"), words_in(t).alias("size"), where.alias("place"))), weights, share, repeat)
+    extra = F.col("__plan.copies") + (where < F.col("__plan.cut")).cast("long")
+    rows = docs.join(plan.select(F.struct("*").alias("__plan")), F.col(source).eqNullSafe(F.col("__plan.source")))
+    return rows.select(*keep, F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(extra, F.lit(1)))).alias("__k"), (extra > 0).alias("__in")).where("__in").select(*keep)

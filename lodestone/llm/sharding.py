@@ -29,7 +29,7 @@ def feistel(x: Column, a: int, seed: int, rounds: tuple[int, ...] = ROUNDS) -> C
     """A permutation of [0, a * a)."""
 
     def round_(x: Column, key: Column) -> Column:
-        left, right = F.floor(x / F.lit(a)) if a < 1 << 26 else (x - x % a) / a, x % F.lit(a)
+        left, right = F.round((x - x % F.lit(a)) / F.lit(a)), x % F.lit(a)
         return right * F.lit(a) + (left.cast("long") + F.pmod(F.xxhash64(right, key, F.lit(seed)), F.lit(a))) % F.lit(a)
 
     return F.aggregate(F.array(*(F.lit(k).cast("long") for k in rounds)), x, round_)

@@ -207,7 +207,7 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 2, shingle: int = 3, extra: tuple[str, ...] = ()) -> DataFrame:
-    """id, fp, component (the smallest id that is reachable over links, its own included) and extra's columns of each row.
+    """id, fp, root (the smallest fingerprint of its class), component (the smallest id that is reachable over links, its own included) and extra's columns of each row.
 
     Null and blank texts have fingerprint 0 and link as any other. Null ids count as larger than all others; a class of null ids only has
     a null component. Repeated rows stay. No row: no row.
@@ -216,5 +216,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = staged(prints.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(classes.select("fp"), distance))
     joined = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    several = joined.join(joined.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
-    return prints.join(several, "fp").select("id", "fp", "component", *extra)
+    several = joined.join(joined.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "root", "component")
+    return prints.join(several, "fp").select("id", "fp", "root", "component", *extra)
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 2) -> DataFrame:
+    """docs with one row of each class of near duplicates, that with the smallest id (null ids last; of several the one with the smallest hash
+    of all its columns; of equal rows one). All columns as they were."""
+    keep = docs.columns
+    rows = docs.withColumn("__row", F.xxhash64(*keep))
+    marked = near_duplicates(rows, doc_id, text, distance, extra=("__row",))
+    first = marked.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("__row").alias("row"))).alias("first")).select(F.col("first.id").alias("__id"), F.col("first.row").alias("__first"))
+    distinct = rows.dropDuplicates(["__row", doc_id])
+    return distinct.join(first, (F.col("__row") == F.col("__first")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi").select(*keep)
