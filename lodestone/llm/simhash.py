@@ -128,6 +128,10 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
     return best.get(total, (math.inf, []))
 
 
+def signed(x: int) -> int:
+    return x - (1 << BITS) if x >> (BITS - 1) else x
+
+
 def bits_of(fp, bits: list[int]):
     """The bits' values, packed into a long. Neighbouring bits move together."""
     out, at = F.lit(0).cast("long"), 0
@@ -148,7 +152,7 @@ def plan(fps: DataFrame, distance: int, most_parts: int = 4) -> list[tuple[list[
     filed = fps.select(F.posexplode(F.array(*(bits_of(F.col("fp"), bits) for bits in named.values())) if named else F.array().cast("array<bigint>")))
     same = {list(named)[r["pos"]]: float(r["pairs"]) for r in filed.groupBy("pos", "col").count().groupBy("pos").agg(F.sum(F.expr("cast(count as double) * (count - 1) / 2")).alias("pairs")).collect()}
     best = (math.inf, [], [])
-    for m, groups in choices.items():
+    for m, groups in sorted(choices.items(), reverse=True):  # of equal costs the more partitions, which need fewer probes
         costs = [expected(n, same.get(f"p{m}_{i}", 0.0), 2 * p[bits] * (1 - p[bits]), distance) for i, bits in enumerate(groups)]
         cost, thresholds = allocate(costs, distance - m + 1)
         if cost < best[0]:
@@ -169,7 +173,7 @@ def links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
         value = bits_of(fp, bits)
         filed.append(F.struct(F.lit(i).alias("part"), value.alias("value"), F.lit(True).alias("own")))
         for k in range(1, t + 1):
-            filed += [F.struct(F.lit(i).alias("part"), value.bitwiseXOR(F.lit(sum(1 << x for x in flip))).alias("value"), F.lit(False).alias("own")) for flip in itertools.combinations(range(len(bits)), k)]
+            filed += [F.struct(F.lit(i).alias("part"), value.bitwiseXOR(F.lit(signed(sum(1 << x for x in flip)))).alias("value"), F.lit(False).alias("own")) for flip in itertools.combinations(range(len(bits)), k)]
     rows = fps.select("fp", F.explode(F.array(*filed) if filed else empty).alias("at")).select("fp", "at.*")
     sizes = rows.groupBy("part", "value").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("any_own and n > 1")
     sizes = staged(sizes)
@@ -177,7 +181,7 @@ def links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
     x, y = cold.select("part", "value", F.col("fp").alias("a"), F.col("own").alias("own_a")), cold.select("part", "value", F.col("fp").alias("b"), F.col("own").alias("own_b"))
     pairs = x.join(y, (x["part"] == y["part"]) & (x["value"] == y["value"]) & (F.col("a") < F.col("b")) & (F.col("own_a") | F.col("own_b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b")
     hot = rows.join(sizes.where(F.col("n") > bucket), ["part", "value"], "left_semi").select("fp").distinct()
-    points = F.array(fp, *(fp.bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(BITS)))
+    points = F.array(fp, *(fp.bitwiseXOR(F.lit(signed(1 << k))) for k in range(BITS)))
     meet = hot.select("fp", F.explode(points).alias("point")).groupBy("point").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     stars = meet.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b")
     if distance < 2:  # points in common may be two bits apart
