@@ -1,11 +1,37 @@
-"""Queries by name, each with the SQL that gives the same rows."""
+"""Queries by name, each with the SQL that gives the same rows (or none, where SQL can't express it)."""
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+MODULES = ("relational", "intervals", "flows")
 
-def oracle_sql() -> dict:
-    return {}
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"lodestone.plans.{name}")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_SQL)
