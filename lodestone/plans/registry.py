@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("relational", "intervals", "flows", "sets", "information")
+MODULES = ("relational", "intervals", "flows", "sets", "information", "search", "text")
 
 
 def query(sql: str | None = None):
