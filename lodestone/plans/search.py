@@ -29,13 +29,13 @@ def search_scoped(spark, d):
 
 
 @query("""
-SELECT p_partkey, greatest(CASE WHEN lower(p_type) = 'x' THEN 100 WHEN starts_with(lower(p_name), 'part 1') THEN 80 WHEN contains(lower(p_name), 'part 1') THEN 60 ELSE 0 END, CASE WHEN contains(lower(p_brand), 'part 1') THEN 40 ELSE 0 END, 0)::INTEGER AS score
-FROM part WHERE contains(lower(p_name), 'part 1') OR contains(lower(p_brand), 'part 1') ORDER BY score DESC, p_partkey LIMIT 8
+SELECT p_partkey, greatest(CASE WHEN lower(p_type) = 'x' THEN 100 WHEN starts_with(lower(p_name), 'red w') THEN 80 WHEN contains(lower(p_name), 'red w') THEN 60 ELSE 0 END, CASE WHEN contains(lower(p_brand), 'red w') THEN 40 ELSE 0 END, 0)::INTEGER AS score
+FROM part WHERE contains(lower(p_name), 'red w') OR contains(lower(p_brand), 'red w') ORDER BY score DESC, p_partkey LIMIT 8
 """)
 def search_lookup(spark, d):
     """[Q5, R3] The eight best."""
     p = table(spark, d, "part")
-    score = search.lookup_score("part 1", F.col("p_name"), F.lit(""), {40: F.col("p_brand")})
+    score = search.lookup_score("red w", F.col("p_name"), F.lit(""), {40: F.col("p_brand")})
     return p.select("p_partkey", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "p_partkey").limit(8)
 
 
@@ -70,16 +70,16 @@ def search_topics(spark, d):
 
 
 @query(_AREAS + """
-, h AS (SELECT DISTINCT l_suppkey, area FROM a WHERE share >= 0.06) SELECT l.l_suppkey, p_brand AS area, year(l_shipdate)::BIGINT AS year, count(*) AS n FROM lineitem l JOIN part ON l_partkey = p_partkey JOIN h ON h.l_suppkey = l.l_suppkey AND h.area = p_brand GROUP BY 1, 2, 3
+, h AS (SELECT DISTINCT l_suppkey, area FROM a WHERE share >= 0.03) SELECT l.l_suppkey, p_brand AS area, year(l_shipdate)::BIGINT AS year, count(*) AS n FROM lineitem l JOIN part ON l_partkey = p_partkey JOIN h ON h.l_suppkey = l.l_suppkey AND h.area = p_brand GROUP BY 1, 2, 3
 """)
 def search_series(spark, d):
     """[Q9]"""
     works = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", F.year("l_shipdate").cast("long").alias("year")).join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("area")), "l_partkey")
-    return search.series(areas(spark, d).where("share >= 0.06"), works, ["l_suppkey", "area"], "year")
+    return search.series(areas(spark, d).where("share >= 0.03"), works, ["l_suppkey", "area"], "year")
 
 
 @query(_AREAS + """
-, m AS (SELECT s_suppkey AS l_suppkey FROM supplier WHERE s_suppkey % 3 = 0), h AS (SELECT DISTINCT l_suppkey, area FROM a WHERE share >= 0.06),
+, m AS (SELECT s_suppkey AS l_suppkey FROM supplier WHERE s_suppkey % 3 = 0), h AS (SELECT DISTINCT l_suppkey, area FROM a WHERE share >= 0.03),
 t AS (SELECT l_suppkey, area, count(*) AS n FROM lineitem JOIN (SELECT p_partkey, p_brand AS area FROM part) ON l_partkey = p_partkey GROUP BY 1, 2)
 SELECT l_suppkey, area AS topic FROM h WHERE l_suppkey IN (SELECT * FROM m)
 UNION ALL SELECT l_suppkey, area FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, area DESC) AS r FROM t WHERE area <> 'Other') WHERE r = 1 AND l_suppkey IN (SELECT * FROM m) AND l_suppkey NOT IN (SELECT l_suppkey FROM h)
@@ -87,6 +87,6 @@ UNION ALL SELECT l_suppkey, area FROM (SELECT *, row_number() OVER (PARTITION BY
 def search_curated(spark, d):
     """[Q8, Q10]"""
     members = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("l_suppkey"))
-    hits = areas(spark, d).where("share >= 0.06").select("l_suppkey", F.col("area").alias("topic")).distinct()
+    hits = areas(spark, d).where("share >= 0.03").select("l_suppkey", F.col("area").alias("topic")).distinct()
     topics = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("topic")), "l_partkey").groupBy("l_suppkey", "topic").agg(F.count("*").alias("n"))
     return search.within_group(hits, members, topics, "l_suppkey")
