@@ -11,12 +11,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Words that names of institutions share.
 STOP = ("the", "of", "at", "university", "univ", "college", "institute", "school")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """[X4] NFKC, case folded."""
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
@@ -30,7 +31,7 @@ def normalised(c: Column) -> Column:
 def keyed_id(c: Column, salt: str, prefix: str = "P-") -> Column:
     """[X3] HMAC-SHA256, base32, ten characters."""
 
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def of(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if v is None else prefix + base64.b32encode(hmac.new(salt.encode(), v.encode(), hashlib.sha256).digest()).decode()[:10])
 
