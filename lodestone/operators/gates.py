@@ -117,3 +117,51 @@ def namesakes(works: DataFrame, person: str, work: str, coauthors: str, field: s
     free = F.col("__home") | F.col("__anchor") | (F.coalesce("__n", F.lit(0)) < least) | (F.size(coauthors) <= 0) | (F.col("__shared") >= 2)
     reason = F.when(free, None).when((F.col("__shared") == 1) & ~F.array_contains("__fields", F.col(field)), "field").when((F.col("__shared") == 0) & ~F.array_contains("__subfields", F.col(subfield)), "subfield")
     return judged.select(person, work, reason.alias("reason"))
+
+
+def corroborated(works: DataFrame, person: str, work: str, coauthors: str, institution: str, year: str, spells: DataFrame, subject: Column) -> DataFrame:
+    """person, work: works with support from the others of the person. Identity: an institution of a spell that holds the year, give or take one, or a coauthor
+    of another work of the person; and the subject must be right. spells: person, institution, start, end."""
+    names = works.select(person, work, F.explode(coauthors).alias("__c")).distinct()
+    often = names.groupBy(person, "__c").agg(F.count("*").alias("__n")).where("__n >= 2")  # leaves one's own work out
+    by_name = names.join(often, [person, "__c"], "left_semi").select(person, work)
+    s = spells.select(person, F.col(institution), F.col("start").alias("__s"), F.col("end").alias("__e"))
+    by_place = works.join(s, [person, institution]).where((F.col(year) >= F.col("__s") - 1) & (F.col("__e").isNull() | (F.col(year) <= F.col("__e") + 1))).select(person, work)
+    return works.where(subject).select(person, work).join(by_name.unionByName(by_place).distinct(), [person, work], "left_semi")
+
+
+def career_conflicts(works: DataFrame, spells: DataFrame, person: str, work: str, institutions: str, kinds: str, year: str, shared: Column, subfield_known: Column) -> DataFrame:
+    """person, work: works that contradict a career. In a year at a spell's bound (its first two, its last, and the one before for faculty) all institutions
+    of the work, educational or clinical ones only, differ from the person's, and no coauthors are shared (or one, with a subfield that is not the person's)."""
+    bound = F.array_distinct(F.array_compact(F.array(F.col("start"), F.col("start") + 1, F.col("end"), F.when(F.col("stage") == "faculty", F.col("end") - 1))))
+    at = spells.select(person, "institution", F.explode(bound).alias(year)).distinct().groupBy(person, year).agg(F.collect_set("institution").alias("__own"))
+    clash = (F.size(institutions) > 0) & ~F.arrays_overlap(institutions, "__own") & F.forall(kinds, lambda k: k.isin("education", "healthcare"))
+    alone = (shared == 0) | ((shared == 1) & ~subfield_known)
+    return works.join(at, [person, year]).where(clash & alone).select(person, work)
+
+
+def matched_eras(texts: DataFrame, eras: list[dict], text: str, year: str, place: str) -> Column:
+    """The first era that fits: by place id, else by pattern (include and not exclude) of the text, else by year alone. eras: name, place, include, exclude, start, end."""
+    del texts
+    inside = lambda e: (F.col(year) >= e["start"]) & (F.col(year) <= e["end"])
+    chain = F.when(F.lit(False), F.lit(""))
+    for e in eras:
+        chain = chain.when(inside(e) & (F.col(place) == e["place"]), e["name"])
+    for e in eras:
+        chain = chain.when(inside(e) & F.col(text).rlike(e["include"]) & ~(F.col(text).rlike(e["exclude"]) if e.get("exclude") else F.lit(False)), e["name"])
+    for e in eras:
+        chain = chain.when(inside(e), e["name"])
+    return chain
+
+
+def accepted(unique_name: Column, kind_ok: Column, field_ok: Column, placed: Column, shared: Column, medical: Column) -> Column:
+    """The reason against a work of a person with few works, or null."""
+    return first_reason([("kind", ~kind_ok), ("medical", medical), ("field", ~field_ok), ("name", ~unique_name), ("unsupported", ~placed & (shared < 2))])
+
+
+def visible_edges(edges: DataFrame, node: str, selected, mode: str = "smallest") -> DataFrame:
+    """All edges, those of the selected node, or its smallest one that isn't temporal. edges: edge, kind, size, incidence by node."""
+    own = edges if mode == "all" else edges.where(F.col(node) == F.lit(selected))
+    if mode != "smallest":
+        return own.select("edge", "kind", "size").distinct()
+    return own.where("kind <> 'temporal'").select("edge", "kind", "size").distinct().orderBy("size", "edge").limit(1)

@@ -78,3 +78,34 @@ def stage_of_year(years: DataFrame, spells: DataFrame, on: list[str], year: str,
 def bins(year: Column, first: Column, width: int) -> Column:
     """[W11]"""
     return F.floor((year - first) / width).cast("long")
+
+
+def relative_rank(df: DataFrame, group: list[str], order: str, name: str = "place") -> DataFrame:
+    """[W16] 0 for the first of a group, 1 for the last."""
+    return df.withColumn(name, F.percent_rank().over(Window.partitionBy(*group).orderBy(order)))
+
+
+def bands(spells: DataFrame, group: str, ident: str, start: str, end: str) -> DataFrame:
+    """[W18] The first row, from 0, of a group in which a spell doesn't touch an earlier one. First fit is sequential, so a group is one task's."""
+    import heapq
+
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values([start, end, ident])
+        free: list[int] = []
+        busy: list[tuple[int, int]] = []
+        out, used = [], 0
+        for s, e in zip(rows[start], rows[end], strict=True):
+            while busy and busy[0][0] < s:
+                heapq.heappush(free, heapq.heappop(busy)[1])
+            if free:
+                band = heapq.heappop(free)
+            else:
+                band, used = used, used + 1
+            heapq.heappush(busy, (e, band))
+            out.append(band)
+        return pd.DataFrame({group: rows[group], ident: rows[ident], "band": out})
+
+    kinds = {c: spells.schema[c].dataType.simpleString() for c in (group, ident)}
+    return spells.select(group, ident, start, end).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {ident} {kinds[ident]}, band long")

@@ -74,3 +74,27 @@ def relabelled(df: DataFrame, label: str, new: str = "label_no") -> DataFrame:
     """[R9] Labels numbered by size, descending, then label. One row for each label is ranked."""
     sizes = df.groupBy(label).agg(F.count("*").alias("size"))
     return sizes.withColumn(new, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), label)) - 1).cast("long"))
+
+
+def summed_years(docs: DataFrame, who: str, years: str, group: list[str]) -> DataFrame:
+    """[A7] Nested yearly rows (year, n) of many people, summed; means of different people aren't averaged."""
+    rows = docs.select(*group, F.explode(years).alias("y")).select(*group, "y.*")
+    return rows.groupBy(*group, "year").agg(F.sum("n").alias("n"), F.lit(None).cast("double").alias("mean"))
+
+
+def tag_cloud(df: DataFrame, tags: str, k: int) -> DataFrame:
+    """[A36, R3] The k most frequent tags, ties by name."""
+    return df.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(k)
+
+
+def cells(df: DataFrame, row: str, column: str, cited: str) -> DataFrame:
+    """[A37] Works and citations by row and column; those without a column are "unplaced"."""
+    return df.groupBy(row, F.coalesce(F.col(column).cast("string"), F.lit("unplaced")).alias(column)).agg(F.count("*").alias("n"), F.sum(cited).alias("cited"))
+
+
+def community_summary(df: DataFrame, community: str, who: str, year: str, label: str, k: int) -> DataFrame:
+    """[A24] Size, people, median and range of years, and the first k labels with their shares."""
+    base = df.groupBy(community).agg(F.count("*").alias("size"), F.countDistinct(who).alias("people"), F.percentile(year, F.lit(0.5)).alias("median_year"), F.min(year).alias("first_year"), F.max(year).alias("last_year"))
+    top = top_in_group(df.groupBy(community, label).agg(F.count("*").alias("n")), [community], [F.desc("n"), F.col(label)], k)
+    named = top.join(base.select(community, "size"), community).groupBy(community).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.col(label), F.lit(" "), F.round(100 * F.col("n") / F.col("size")).cast("long").cast("string"), F.lit("%")).alias("t")))), lambda x: x["t"]), ", ").alias("labels"))
+    return base.join(named, community)
