@@ -86,4 +86,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_backoff_lm, op2_simhash, op3_section_tokens, op4_mixing, op5_url_rules, op6_top_k, op7_sharding, op8_decontamination, op9_chat_format, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op6_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score,
+ row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.q, b.q) DESC, b.vec_id) AS rank FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 20
+""",
+    "op9_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+o AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+ sum(length(replace(replace(text, '\', '\\'), '<|', '<\|')) + CASE WHEN before IS DISTINCT FROM role THEN 35 + length(replace(replace(role, '\', '\\'), '<|', '<\|')) ELSE 11 END)::BIGINT AS formatted_chars
+FROM o GROUP BY 1
+""",
+}

@@ -36,37 +36,37 @@ def feistel(x: Column, a: int, seed: int, rounds: tuple[int, ...] = ROUNDS) -> C
 
 
 def permuted(df: DataFrame, number: str, n: int, seed: int = 0) -> DataFrame:
-    """df with ``permuted``: number, from [0, n), under a permutation of [0, n)."""
+    """df with ``__permuted``: number, from [0, n), under a permutation of [0, n)."""
     a = max(1, math.isqrt(max(n - 1, 0)) + 1)
     once = df.withColumn("__once", feistel(F.col(number), a, seed))
     again = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, a * a - n))), F.col("__once"), lambda x, _: F.when(x < n, x).otherwise(feistel(x, a, seed)))
-    return once.withColumn("permuted", F.when(F.col("__once") < n, F.col("__once")).otherwise(again)).drop("__once")
+    return once.withColumn("__permuted", F.when(F.col("__once") < n, F.col("__once")).otherwise(again)).drop("__once")
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """rows, numbered from 0 in ``number`` by their contents alone. Equal rows get neighbouring numbers."""
+    """rows, numbered from 0 in ``__number`` by their contents alone. Equal rows get neighbouring numbers."""
     columns = rows.columns
     buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
     distinct = rows.groupBy(*columns).agg(F.count("*").alias("__times")).withColumn("__hash", F.xxhash64(*columns)).withColumn("__bucket", F.pmod("__hash", F.lit(buckets)).cast("int"))
     distinct = staged(distinct)
     offsets = with_offsets(distinct.groupBy("__bucket").agg(F.sum("__times").alias("n")), "__bucket", "n")
     order = Window.partitionBy("__bucket").orderBy("__hash", *columns).rowsBetween(Window.unboundedPreceding, -1)
-    started = distinct.withColumn("__start", F.coalesce(F.sum("__times").over(order), F.lit(0))).join(offsets, "__bucket").withColumn("number", F.col("__start") + F.col("offset"))
-    one = started.where("__times = 1").select(*columns, "number")
-    few = started.where(f"__times between 2 and {RUN}").select(*columns, "number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1)).alias("__k"))
-    runs = started.where(f"__times > {RUN}").select(*columns, "number", "__times", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1, F.lit(RUN).cast("long"))).alias("__from"))
-    many = runs.repartition(F.col("__from"), F.col("number")).select(*columns, "number", F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + RUN, F.col("__times")) - 1)).alias("__k"))
-    return one.unionByName(few.unionByName(many).select(*columns, (F.col("number") + F.col("__k")).alias("number")))
+    started = distinct.withColumn("__start", F.coalesce(F.sum("__times").over(order), F.lit(0))).join(offsets, "__bucket").withColumn("__number", F.col("__start") + F.col("offset"))
+    one = started.where("__times = 1").select(*columns, "__number")
+    few = started.where(f"__times between 2 and {RUN}").select(*columns, "__number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1)).alias("__k"))
+    runs = started.where(f"__times > {RUN}").select(*columns, "__number", "__times", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1, F.lit(RUN).cast("long"))).alias("__from"))
+    many = runs.repartition(F.col("__from"), F.col("__number")).select(*columns, "__number", F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + RUN, F.col("__times")) - 1)).alias("__k"))
+    return one.unionByName(few.unionByName(many).select(*columns, (F.col("__number") + F.col("__k")).alias("__number")))
 
 
 def shards(rows: DataFrame, n_shards: int, seed: int = 0) -> DataFrame:
     """rows with ``shard`` (int, from 0) and ``slot`` (long, without gaps from 0).
 
-    All columns must be of kinds that can be grouped by. Nulls are values like any other; rows that repeat each get their own slot. Rows may
-    have no column named number, permuted, shard or slot. No row: no row.
+    All columns must be of kinds that can be grouped by. Nulls are values like any other; rows that repeat each get their own slot. Columns
+    named shard or slot are replaced. No row: no row.
     """
-    rows = rows.select(*rows.columns)
+    rows = rows.drop("shard", "slot")
     numbers = numbered(rows)
     n = rows.count()
-    out = permuted(numbers, "number", n, seed)
-    return out.withColumn("shard", (F.col("permuted") % n_shards).cast("int")).withColumn("slot", F.expr(f"permuted div {n_shards}")).drop("number", "permuted")
+    out = permuted(numbers, "__number", n, seed)
+    return out.withColumn("shard", (F.col("__permuted") % n_shards).cast("int")).withColumn("slot", F.expr(f"__permuted div {n_shards}")).drop("__number", "__permuted")

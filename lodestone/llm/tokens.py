@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,6 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 RULES = ("most", "start", "end")
 
 
-@lru_cache(maxsize=2)
 def encoding(path: str):
     """The tokenizer of a file of ranks, and how many bytes each token has."""
     import tiktoken
