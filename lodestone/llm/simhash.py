@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import modest_batches, staged
@@ -224,12 +224,118 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(several, "fp").select("id", "fp", "root", "component", *extra)
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 2) -> DataFrame:
-    """docs with one row of each class of near duplicates, that with the smallest id (null ids last; of several the one with the smallest hash
-    of all its columns; of equal rows one). All columns as they were."""
+# ---- near duplicates by similarity -------------------------------------------------------------------------------------------
+
+#: Shingles' words and the Jaccard similarity from which texts are near duplicates.
+WORDS, SIMILARITY = 5, 0.8
+#: Fingerprints of such texts mostly differ in 3 to 11 bits: too many for partitions that must be all but equal. They are sampled instead: so many tables
+#: file each fingerprint under some of its bits, and those next to each other in a bucket are candidates if they differ in ``NEAR`` bits or fewer.
+TABLES, NEAR, NEIGHBOURS = 48, 14, 2
+#: Bits of the map of texts that are candidates; its size doesn't depend on the input.
+MAP_BITS = 26
+
+
+def sequence_hash(text: str | None) -> int:
+    """Of the lower-cased (A-Z) words in a row: texts that differ in white space and such case alone are one text."""
+    return int(np.uint64(xxhash.xxh64_intdigest(b" ".join((text or "").encode().lower().split()), 7)).view(np.int64))
+
+
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted 32-bit hashes of a text's different shingles; of all its words, if they are fewer."""
+    w = (text or "").encode().lower().split()
+    found = {xxhash.xxh32_intdigest(b" ".join(w[k : k + words])) for k in range(max(1, len(w) - words + 1))}
+    return np.sort(np.fromiter(found, np.uint32, len(found))).view(np.int32)
+
+
+def texts_of(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """keep's columns, ``th`` (hash of the words) and ``fp``."""
+    some = rows.select(*keep, F.col(text).alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [x.as_py() for x in b.column(len(keep))]
+            fps = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([sequence_hash(t) for t in texts], pa.int64()), pa.array(fps)], names=[*keep, "th", "fp"])
+
+    return some.mapInArrow(run, some.drop("__text").withColumns({"th": F.lit(0).cast("long"), "fp": F.lit(0).cast("long")}).schema)
+
+
+def sampled_candidates(nodes: DataFrame, n: int, tables: int = TABLES, near: int = NEAR, seed: int = 11) -> DataFrame:
+    """(a, b), a < b: texts (th, fp) of which a table has the fingerprints next to each other and not too far apart. Buckets are read by windows, so one of
+    any size gives a number of rows in proportion. The bits of a table grow with the logarithm of n."""
+    bits = min(40, math.ceil(math.log2(max(n, 2))) + 1)
+    chosen = [sorted(np.random.default_rng(seed + t).permutation(BITS)[:bits].tolist()) for t in range(tables)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column("fp").to_numpy().view(np.uint64)
+            for t, places in enumerate(chosen):
+                key = np.full(len(fp), t, np.uint64)
+                for p in places:
+                    key = (key << np.uint64(1)) | ((fp >> np.uint64(p)) & np.uint64(1))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("fp"), b.column("th")], names=["key", "fp", "th"])
+
+    w = Window.partitionBy("key").orderBy("fp", "th")
+    filed = nodes.select("fp", "th").mapInArrow(run, "key long, fp long, th long")
+    beside = filed.select("fp", "th", *(F.lead(F.struct("fp", "th"), k).over(w).alias(f"next{k}") for k in range(1, NEIGHBOURS + 1)))
+    pairs = None
+    for k in range(1, NEIGHBOURS + 1):
+        o = F.col(f"next{k}")
+        some = beside.where(o.isNotNull() & (F.bit_count(F.col("fp").bitwiseXOR(o["fp"])) <= near)).select(F.least("th", o["th"]).alias("a"), F.greatest("th", o["th"]).alias("b"))
+        pairs = some if pairs is None else pairs.unionByName(some)
+    return pairs.distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, text: str, similarity: float) -> DataFrame:
+    """The pairs of texts whose shingles' Jaccard similarity is at least that. A bit map of a fixed size tells a pass over the documents which texts
+    may be among the pairs, so only their shingles are shuffled."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct().select((F.col("th").bitwiseAND(F.lit((1 << MAP_BITS) - 1)) + 1).alias("p"))  # the functions count from 1
+    rows = ids.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
+    parts = {r["k"]: bytes(r["m"]) for r in rows}  # at most 2 ** MAP_BITS bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict[int, np.ndarray] = {}
+            for t in b.column(0):
+                t = t.as_py()
+                th = sequence_hash(t)
+                p = th & ((1 << MAP_BITS) - 1)
+                m, at = parts.get(p // 32768 + 1), p % 32768
+                if m is not None and m[at // 8] >> at % 8 & 1 and th not in out:
+                    out[th] = shingle_set(t)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.list_(pa.int32()))], names=["th", "s"])
+
+    sets = docs.select(F.col(text).alias("t")).mapInArrow(run, "th long, s array<int>")
+    sets = staged(sets.groupBy("th").agg(F.first("s").alias("s")))
+    n = sets.select("th", F.size("s").alias("n"))
+    a, b = (n.withColumnsRenamed({"th": x, "n": f"n{x}"}) for x in "ab")
+    fit = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b")
+    both = fit.join(sets.withColumnsRenamed({"th": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"th": "b", "s": "sb"}), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 2, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each class of near duplicates, that with the smallest id (null ids last; of several the one with the smallest hash of all its
+    columns; of equal rows one). All columns as they were. No row: no row.
+
+    Texts are linked if their fingerprints differ in ``distance`` bits or fewer, which loses no link, or if ``similarity`` or more of their shingles of five
+    words are the same, for which sampling finds the candidates (nearly all, see the README) and the shingles themselves decide. Null and blank texts are one text.
+    """
     keep = docs.columns
-    rows = docs.withColumn("__row", F.xxhash64(*keep))
-    marked = near_duplicates(rows, doc_id, text, distance, extra=("__row",))
-    first = marked.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("__row").alias("row"))).alias("first")).select(F.col("first.id").alias("__id"), F.col("first.row").alias("__first"))
-    distinct = rows.dropDuplicates(["__row", doc_id])
-    return distinct.join(first, (F.col("__row") == F.col("__first")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi").select(*keep)
+    modest_batches(docs.sparkSession)
+    rows = docs.withColumns({"__row": F.xxhash64(*keep), "__row2": F.xxhash64(F.lit(1), *keep)})
+    seen = staged(texts_of(rows.select("__row", "__row2", F.col(doc_id).alias("__id"), F.col(text).alias("__t")), ["__row", "__row2", "__id"], "__t"))
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"), F.col("__row2").alias("row2"))).alias("first")
+    nodes = staged(seen.groupBy("th", "fp").agg(first))
+    n = nodes.count()
+    roots = components(links(staged(nodes.select("fp").distinct()), distance))
+    led = nodes.select("th", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("th", F.coalesce("root", "fp").alias("root"))
+    near = led.join(led.groupBy("root").agg(F.min("th").alias("a")), "root").where("a <> th").select("a", F.col("th").alias("b"))
+    pairs = staged(sampled_candidates(nodes, n))
+    similar = verified(pairs, docs, text, similarity)
+    classes = components(near.unionByName(similar))
+    least = F.min("first").alias("first")
+    chosen = nodes.select("th", "first").join(classes, F.col("th") == F.col("node"), "left").groupBy(F.coalesce("root", "th").alias("class")).agg(least).select(F.col("first.row").alias("__row"), F.col("first.row2").alias("__row2"))
+    return rows.dropDuplicates(["__row", "__row2"]).join(chosen, ["__row", "__row2"], "left_semi").select(*keep)

@@ -171,11 +171,51 @@ class TestSimHash:
 
     def test_one_of_each_stays(self, docs, none):
         rows, kept = docs.collect(), simhash.deduplicated(docs).collect()
-        root = brute_components({brute_fingerprint(r["text"]) for r in rows}, 2)
-        assert Counter(root[brute_fingerprint(r["text"])] for r in kept) == Counter(set(root.values()))
+        root = self.classes([r["text"] for r in rows])
+        key = lambda r: root[" ".join(words(r["text"]))]
+        assert Counter(map(key, kept)) == Counter(set(root.values()))
+        least = {}
+        for r in rows:
+            if r["doc_id"] is not None:
+                least[key(r)] = min(r["doc_id"], least.get(key(r), 1 << 60))
+        assert {key(r): r["doc_id"] for r in kept} == {k: least.get(k) for k in set(root.values())}
         assert kept[0].asDict().keys() == rows[0].asDict().keys()
         assert simhash.deduplicated(none).collect() == [] == simhash.near_duplicates(none).collect()
 
+    def classes(self, texts):
+        """Class of each word sequence: fingerprints two bits or fewer apart, or four fifths of the five-word shingles in common."""
+        seqs = sorted({" ".join(words(t)) for t in texts})
+        fps = [brute_fingerprint(s) for s in seqs]
+        sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(words, seqs)]
+        root = list(range(len(seqs)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i in range(len(seqs)):
+            for j in range(i):
+                if (fps[i] ^ fps[j]).bit_count() <= 2 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    a, b = sorted((find(i), find(j)))
+                    root[b] = a
+        return {s: find(k) for k, s in enumerate(seqs)}
+
+    def test_near_copies_of_long_texts(self, spark):
+        rng = random.Random(9)
+        rows = []
+        for g in range(12):
+            base = [f"g{g}w{rng.randint(0, 5000)}" for _ in range(150)]
+            for c in range(6):
+                own = list(base)
+                for _ in range(rng.randint(0, 3)):
+                    own[rng.randrange(150)] = f"x{rng.random()}"
+                rows.append((len(rows), " ".join(own)))
+        rows += [(1000 + k, " ".join(f"u{rng.randint(0, 10**6)}" for _ in range(60))) for k in range(40)]
+        kept = [r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+        root = self.classes([t for _, t in rows])
+        assert len(kept) == len(set(root.values())) and set(kept) >= {1000 + k for k in range(40)}
+
 
 class TestTokens:
     @pytest.mark.parametrize("rule", tokens.RULES)
