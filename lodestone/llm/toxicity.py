@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import modest_batches
+from lodestone.llm.common import modest_batches, staged
 
 #: Labelled documents to learn from, at most.
 LEARN = 20_000
@@ -94,15 +94,15 @@ def measures(text: str | None, matcher) -> tuple[float, float]:
 
 
 def measured(texts: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """texts (keep's columns, then the text) to keep's columns, ``density`` and ``logsum``."""
+    """texts (keep's columns, then the text) to keep's columns, the two measures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = model.matcher()
         for b in batches:
             found = np.array([measures(x.as_py(), matcher) for x in b.column(len(keep))], dtype=np.float64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(found[:, 0]), pa.array(found[:, 1])], names=[*keep, "density", "logsum"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(found[:, 0]), pa.array(found[:, 1])], names=[*keep, "__density", "__logsum"])
 
-    schema = texts.select(*keep, F.lit(0.0).cast("double").alias("density"), F.lit(0.0).cast("double").alias("logsum")).schema
+    schema = texts.select(*keep, F.lit(0.0).cast("double").alias("__density"), F.lit(0.0).cast("double").alias("__logsum")).schema
     return texts.mapInArrow(run, schema)
 
 
@@ -172,9 +172,10 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc
     spark = docs.sparkSession
     modest_batches(spark)
     chosen = labels.where(usable & F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg((F.max(label) > 0).cast("int").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(most)
-    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id").select("label", "text")
+    # the texts to learn from are few; written down, they are looked for in one pass over all texts
+    rows = staged(docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id").select("label", "text"))
     known = {f" {w} ": v for w, v in KNOWN.items()}
-    counts = counted(rows)
+    counts = staged(counted(rows))
     whole = counts.where("term = ''").collect()
     toxic, clean = (int(whole[0]["toxic"]), int(whole[0]["clean"])) if whole else (0, 0)
     if not toxic or not clean:
@@ -187,13 +188,13 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc
     entries |= {k: v for k, v in known.items() if k not in entries and not any(k.startswith(x) for x in entries)}
     model = Model(entries)
     got = measured(rows, model, ["label"]).toPandas()
-    model.coefficients = fitted(got[["density", "logsum"]].to_numpy(), got["label"].to_numpy(float))
+    model.coefficients = fitted(got[["__density", "__logsum"]].to_numpy(), got["label"].to_numpy(float))
     return model
 
 
 def score_column(model: Model) -> Column:
     bias, dense, logged = model.coefficients
-    return 1 / (1 + F.exp(-(F.lit(bias) + F.lit(dense) * F.col("density") + F.lit(logged) * F.col("logsum"))))
+    return 1 / (1 + F.exp(-(F.lit(bias) + F.lit(dense) * F.col("__density") + F.lit(logged) * F.col("__logsum"))))
 
 
 def scores(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
