@@ -4,7 +4,8 @@ Words are reduced to letters and digits. Numbers, units and names become typed p
 template window. An item's windows, plain ones and template ones, are hashed; a document's windows are looked up among them.
 A template window with fewer than three plain words says too little and isn't used. Where a document's window fits an item's
 by its template, each slot's value in the item must stand for one value in the document, wherever it occurs: a question with other
-numbers or names is still that question, a chance fit isn't. A document holds an item if it has four fifths of the item's windows.
+numbers or names is still that question, a chance fit isn't. A document holds an item if it has three fifths of the item's windows, or of those of its windows that
+are of use as templates, if these are a quarter of all. A capitalised word within a sentence is a name, wherever its text has it capitalised.
 
 Documents are read once and not shuffled. The index goes to all tasks; it is built for so many items at a time that their texts
 have at most ``INDEX_BYTES`` bytes, and a larger benchmark takes as many passes.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import encoded, modest_batches, split_words
 
 WINDOW = 5
-SHARE = 0.8
+SHARE = 0.6
 PLAIN = 3
 #: Of slots whose values must agree.
 AGREE = 0.9
@@ -80,7 +81,11 @@ class Windows:
         after_end = np.ones(len(codes), bool)
         if len(codes):
             after_end[1:] = ends[codes[:-1]] | (text_of[1:] != text_of[:-1])
-            template = np.where(kind[codes] == NUMBER_, NUM, np.where(kind[codes] == UNIT_, UNIT, np.where(cap[codes] & ~after_end, NAME, plain)))
+            big = np.flatnonzero(cap[codes])
+            which = text_of[big] * len(self.names) + codes[big]
+            named = np.zeros(len(codes), bool)
+            named[big[np.isin(which, which[~after_end[big]])]] = True
+            template = np.where(kind[codes] == NUMBER_, NUM, np.where(kind[codes] == UNIT_, UNIT, np.where(named, NAME, plain)))
         else:
             template = plain
         full = plain != 0
@@ -111,6 +116,7 @@ class Index:
         w = Windows(pa.array(texts, pa.string()))
         self.words = [w.names[c] for c in w.codes.tolist()]
         self.total = np.bincount(w.text_of[w.at], minlength=len(ids))
+        self.usable = np.bincount(w.text_of[w.at[w.slots <= w.width - PLAIN]], minlength=len(ids))
         starts = np.searchsorted(w.text_of, np.arange(len(ids)))
         self.where: dict[int, list[tuple[int, int, int, bool]]] = defaultdict(list)  # hash: (item, window, word, by template)
         for at, a, b, slots in zip(w.at.tolist(), w.by_plain.tolist(), w.by_template.tolist(), w.slots.tolist(), strict=True):
@@ -145,13 +151,14 @@ class Index:
         out = []
         for (text, item), pair in sorted(found.items()):
             both = pair["plain"] | pair["template"]
-            if len(both) < SHARE * self.total[item]:
+            least = SHARE * (self.usable[item] if 4 * self.usable[item] >= self.total[item] else self.total[item])
+            if len(both) < max(1, least):
                 continue
             values: dict[str, Counter] = defaultdict(Counter)
             for (there, here), n in pair["slots"].items():
                 values[there][here] += n
             agree, all_ = sum(max(c.values()) for c in values.values()), sum(pair["slots"].values())
-            if len(pair["plain"]) >= SHARE * self.total[item] or agree >= AGREE * all_:
+            if len(pair["plain"]) >= least or agree >= AGREE * all_:
                 changed = sum(c.most_common(1)[0][0] != there for there, c in values.items())
                 out.append((text, item, len(both), len(pair["plain"]), int(self.total[item]), changed))
         return out

@@ -379,11 +379,17 @@ class TestDecontamination:
             (16, "kept words THAT stand in a row here and nowhere else at all"),
             (16, "kept words THAT stand in a row here and nowhere else at all"),
             (17, "Kept words that stand in a row"),
+            (18, other.replace("Maria", "Ewa").replace("so Ewa", "Ewa", 1)),
         ]
         got = self.held(spark, docs, items)
-        assert set(got) == {(10, 1), (11, 1), (12, 1), (16, 4)}
+        assert set(got) == {(10, 1), (11, 1), (12, 1), (16, 4), (18, 1)}
         assert got[12, 1]["kind"] == "template" and got[12, 1]["n_changed"] > 0 and got[10, 1]["kind"] == "verbatim"
 
+    def test_an_item_full_of_numbers(self, spark):
+        item = "please add the numbers 12 15 18 22 and 31 then divide the whole sum by 7 to get it"
+        other = item.replace("12 15 18 22", "3 1 4 9").replace("31", "6").replace("by 7", "by 2")
+        assert set(self.held(spark, [(1, other), (2, "please add the numbers and nothing else of it at all")], [(1, item)])) == {(1, 1)}
+
     def test_inconsistent_slots_are_no_hit(self, spark):
         item = "if x costs 5 then two of x cost 5 and the rest of it at 5 is what you pay for 5 in all"
         fits = item.replace("5", "8")
