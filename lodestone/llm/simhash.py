@@ -167,14 +167,19 @@ def links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
         raise ValueError("distances over 2 would need points of a larger radius")
     fp = F.col("fp")
     used = plan(fps, distance)
-    empty = F.array().cast("array<struct<part:int,value:bigint,own:boolean>>")
-    filed = []
-    for i, (bits, t) in enumerate(used):
-        value = bits_of(fp, bits)
-        filed.append(F.struct(F.lit(i).alias("part"), value.alias("value"), F.lit(True).alias("own")))
-        for k in range(1, t + 1):
-            filed += [F.struct(F.lit(i).alias("part"), value.bitwiseXOR(F.lit(signed(sum(1 << x for x in flip)))).alias("value"), F.lit(False).alias("own")) for flip in itertools.combinations(range(len(bits)), k)]
-    rows = fps.select("fp", F.explode(F.array(*filed) if filed else empty).alias("at")).select("fp", "at.*")
+    flips = [[sum(1 << x for x in places) for k in range(t + 1) for places in itertools.combinations(range(len(bits)), k)] for bits, t in used]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column("fp").to_numpy().view(np.uint64)
+            for part, (bits, _) in enumerate(used):
+                value = np.zeros(len(own), np.uint64)
+                for at, bit in enumerate(bits):
+                    value |= ((own >> np.uint64(bit)) & np.uint64(1)) << np.uint64(at)
+                for flip in flips[part]:
+                    yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(np.full(len(own), part, np.int32)), pa.array((value ^ np.uint64(flip)).view(np.int64)), pa.array(np.full(len(own), flip == 0))], names=["fp", "part", "value", "own"])
+
+    rows = fps.select("fp").mapInArrow(run, "fp long, part int, value long, own boolean")
     sizes = rows.groupBy("part", "value").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("any_own and n > 1")
     sizes = staged(sizes)
     cold = rows.join(sizes.where(F.col("n") <= bucket), ["part", "value"], "left_semi")

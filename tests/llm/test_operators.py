@@ -160,6 +160,16 @@ class TestSimHash:
             want[r].add(f)
         assert sorted(map(sorted, classes.values())) == sorted(map(sorted, want.values()))
 
+    @pytest.mark.parametrize("used", [[(list(range(32)), 1), (list(range(32, 64)), 0)], [(list(range(0, 64, 2)), 0), (list(range(1, 64, 2)), 1)], [(list(range(64)), 2)]])
+    def test_unequal_thresholds_lose_none(self, spark, monkeypatch, used):
+        rng = random.Random(4)
+        fps = {rng.getrandbits(64) for _ in range(20)}
+        fps |= {f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3))) for f in list(fps) for _ in range(3)}
+        signed = {simhash.signed(f): f for f in fps}
+        monkeypatch.setattr(simhash, "plan", lambda *_: used)
+        got = {(signed[r["a"]], signed[r["b"]]) for r in simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), 2, 100_000).collect()}
+        assert {frozenset(p) for p in got} == {frozenset((a, b)) for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 2}
+
     def test_a_long_chain(self, spark):
         pairs = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long")
         assert {(r["node"], r["root"]) for r in simhash.components(pairs).collect()} >= {(k, 0) for k in range(1, 301)}
