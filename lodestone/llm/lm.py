@@ -11,8 +11,8 @@ The model is an n-gram model with hierarchical Dirichlet smoothing, read as an a
 A text is one pass from left to right: each token adds the log of its arc's weight and of those of the failure arcs before it.
 
 The model never has to fit one machine. Texts are cut into blocks of a bounded number of tokens. A block sends the hash of
-each of its n-grams, once, to one of many buckets; a bucket adds up the counts of all blocks and answers each block with the
-totals of just the n-grams that it asked for. So a block gets the part of the automaton that its own texts can reach, compiles
+each of its n-grams, once, to one of many buckets; a bucket adds up the counts of all blocks and answers each block with
+what the others have seen of just the n-grams that it asked for. So a block gets the part of the automaton that its own texts can reach, compiles
 it into arrays and walks all its texts through it. Two shuffles, both dealt evenly by hash: a frequent n-gram costs one entry
 for each block. The lineage is linear and each step a function of its input, so that a lost executor repeats only its own tasks.
 """
@@ -31,34 +31,38 @@ from lodestone.llm.common import encoded, mixed, modest_batches, parallelism, sp
 
 ORDER = 3
 #: Strength of the shorter context's vote, by the length of the n-gram.
-MU = {2: 400.0, 3: 6.0}
+MU = {2: 2000.0, 3: 3.0}
 #: Tokens of a block; a block's arrays take some 100 bytes a token while it is worked on.
 BLOCK_TOKENS = 2_000_000
+#: Words of a block that get the smallest codes, by frequency, which compress; the others go by hash, as the buckets' answers give them.
+FREQUENT = 4096
+
+#: Bits of an n-gram's hash, but for single words, which have 64. Of n different n-grams, one in 2 ** 56 / n shares its hash with another.
+HASH_BITS = 56
 
 #: The end of a text, which is no word as it holds a blank. It also stands before the first word.
 END = np.uint64(xxhash.xxh64_intdigest(b" end "))
 
 ROWS = pa.schema([("to", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("body", pa.binary())])
-_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as bytes: those of one weight side by side, then compressed."""
-    out = []
+    out, zstd = [], pa.Codec("zstd", compression_level=1)
     for a in arrays:
         a = np.ascontiguousarray(a)
         planes = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
-        body = _ZSTD.compress(planes, asbytes=True) if planes else b""
+        body = zstd.compress(planes, asbytes=True) if planes else b""
         out += [np.array([len(a), len(body)], np.int64).tobytes(), a.dtype.str.encode().ljust(8), body]
     return b"".join(out)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
+    out, at, zstd = [], 0, pa.Codec("zstd")
     while at < len(data):
         n, size = np.frombuffer(data, np.int64, 2, at)
         kind = np.dtype(data[at + 16 : at + 24].decode().strip())
-        raw = _ZSTD.decompress(data[at + 24 : at + 24 + size], int(n) * kind.itemsize, asbytes=True) if n else b""
+        raw = zstd.decompress(data[at + 24 : at + 24 + size], int(n) * kind.itemsize, asbytes=True) if n else b""
         out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T).reshape(-1).view(kind))
         at += 24 + int(size)
     return out
@@ -69,9 +73,14 @@ def packed_hashes(h: np.ndarray) -> np.ndarray:
     return np.diff(h, prepend=np.uint64(0))
 
 
-def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+def bucket_of(h: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     """Ascends with the hash."""
-    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return ((h >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+def seen_in(grams: "Grams", learned: np.ndarray) -> list[np.ndarray]:
+    """How often each n-gram of a block occurs in its training texts."""
+    return [np.bincount(at[(at >= 0) & learned], minlength=len(h)).astype(np.uint32) for h, at in zip(grams.hashes, grams.at, strict=True)]
 
 
 class Grams:
@@ -92,29 +101,39 @@ class Grams:
                 before[first] = end if n == 2 else -1
                 there = before >= 0
                 keys, back = np.unique(before[there] * size + codes[there], return_inverse=True)
-                own = mixed(own[keys // size], words[keys % size])
+                own = mixed(own[keys // size], words[keys % size]) >> np.uint64(64 - HASH_BITS)
                 ids = np.full(len(codes), -1, np.int64)
                 ids[there] = back
+                del keys, back, before, there
             by = np.argsort(own, kind="stable")
-            place = np.empty(len(by), np.int64)
-            place[by] = np.arange(len(by))
+            place = np.empty(len(by) + 1, np.int32)
+            place[by] = np.arange(len(by), dtype=np.int32)
+            place[-1] = -1  # no n-gram ends there
             self.hashes.append(own[by])
-            self.at.append(np.where(ids >= 0, place[ids] if len(place) else -1, -1))
+            self.at.append(place[ids])
         self.since = since
 
 
+def coded(n: int, top: np.ndarray) -> np.ndarray:
+    """Which of n words each code stands for: first the top ones, then the rest in their order."""
+    rest = np.ones(n, bool)
+    rest[top] = False
+    return np.concatenate([top.astype(np.int64), np.flatnonzero(rest)])
+
+
 def blocks_of(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple]:
-    """(ids, null ids, training, words of each text, hash of each code, codes) of up to so many tokens, or of one longer text."""
+    """(ids, null ids, training, words of each text, ascending hashes of the different words, the most frequent of them, codes) of up to so many tokens, or of one longer text."""
     held: list[tuple] = []
     n = 0
 
     def done() -> tuple:
         ids, null, train, counts, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
         words, codes, times = np.unique(hashes, return_inverse=True, return_counts=True)
-        by = np.argsort(-times, kind="stable")  # frequent words get small codes, which compress
+        top = np.argsort(-times, kind="stable")[:FREQUENT]
+        by = coded(len(words), top)
         place = np.empty(len(by), np.int64)
         place[by] = np.arange(len(by))
-        return ids, null, train, counts, words[by], place[codes]
+        return ids, null, train, counts, words, top.astype(np.uint32), place[codes]
 
     for batch in batches:
         words, counts = split_words(batch.column("text"))
@@ -163,14 +182,15 @@ def ask(buckets: int, order: int, tokens: int):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for k, (ids, null, train, counts, words, codes) in enumerate(blocks_of(batches, tokens)):
+        for k, (ids, null, train, counts, words, top, codes) in enumerate(blocks_of(batches, tokens)):
             block = (part << 24) + k
-            grams = Grams(words, codes, text_starts(counts), order)
+            grams = Grams(words[coded(len(words), top)], codes, text_starts(counts), order)
             learned = np.repeat(train, counts)
-            seen = [np.bincount(at[(at >= 0) & learned], minlength=len(h)).astype(np.uint32) for h, at in zip(grams.hashes, grams.at, strict=True)]
-            cuts = [np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1)) for h in grams.hashes]
+            seen = seen_in(grams, learned)
+            cuts = [np.searchsorted(bucket_of(h, buckets, HASH_BITS if n else 64), np.arange(buckets + 1)) for n, h in enumerate(grams.hashes)]
+            grams.at.clear()
             codes_kind = np.uint32 if len(words) > 1 << 16 else np.uint16
-            rows = [(block % buckets, block, -1, pack(ids, null, train, counts.astype(np.uint32), words, codes.astype(codes_kind)))]
+            rows = [(block % buckets, block, -1, pack(ids, null, train, counts.astype(np.uint32), top, codes.astype(codes_kind)))]
             rows += [(b, block, b, pack(*(x for h, c, cut in zip(grams.hashes, seen, cuts, strict=True) for x in (packed_hashes(h[cut[b] : cut[b + 1]]), c[cut[b] : cut[b + 1]])))) for b in range(buckets)]
             del grams, seen
             yield from batched(rows)
@@ -179,7 +199,7 @@ def ask(buckets: int, order: int, tokens: int):
 
 
 def answer(buckets: int, order: int):
-    """Rows of a bucket to the totals that each block asked for, with the bucket's share of N, V, n1 and n2. Texts pass."""
+    """Rows of a bucket to how often the other blocks saw what each block asked for, after the hashes of its words and the bucket's share of N, V, n1 and n2. Texts pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: dict[int, list[tuple[int, bytes]]] = {}
@@ -200,14 +220,15 @@ def answer(buckets: int, order: int):
                     keys = [np.cumsum(p[2 * n], dtype=np.uint64) for p in parts]
                 _, back = np.unique(np.concatenate(keys), return_inverse=True)
                 total = np.bincount(back, weights=np.concatenate([p[2 * n + 1] for p in parts])).astype(np.uint64) if len(back) else np.zeros(0, np.uint64)
-                kind = np.uint32 if not len(total) or total.max() < 1 << 32 else np.uint64
                 if n == 0:
+                    words = [p[0] for p in parts]
                     share = np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()], np.int64)
                 at = 0
-                for reply, k in zip(replies, keys, strict=True):
-                    reply.append(total[back[at : at + len(k)]].astype(kind))
+                for reply, k, p in zip(replies, keys, parts, strict=True):  # what the others have seen, which is mostly nothing
+                    others = total[back[at : at + len(k)]] - p[2 * n + 1]
+                    reply.append(others.astype(np.uint32 if not len(others) or others.max() < 1 << 32 else np.uint64))
                     at += len(k)
-            yield from batched([(block % buckets, block, bucket, pack(share, *reply)) for (block, _), reply in zip(rows, replies, strict=True)])
+            yield from batched([(block % buckets, block, bucket, pack(share, own, *reply)) for (block, _), own, reply in zip(rows, words, replies, strict=True)])
 
     return run
 
@@ -263,12 +284,15 @@ def score(order: int, mu: dict[int, float]):
                 else:
                     answers.setdefault(block, []).append((bucket, body))
         for block in sorted(texts):
-            ids, null, train, counts, words, codes = unpack(texts.pop(block))
+            ids, null, train, counts, top, codes = unpack(texts.pop(block))
             counts, codes = counts.astype(np.int64), codes.astype(np.int64)
             replies = [unpack(body) for _, body in sorted(answers.pop(block))]
             share = np.sum([r[0] for r in replies], axis=0)
-            totals = [np.concatenate([r[1 + n] for r in replies]) for n in range(order)]
-            grams = Grams(words, codes, text_starts(counts), order)
+            words = np.concatenate([np.cumsum(r[1], dtype=np.uint64) for r in replies])
+            grams = Grams(words[coded(len(words), top)], codes, text_starts(counts), order)
+            own = seen_in(grams, np.repeat(train.astype(bool), counts))
+            totals = [np.concatenate([r[2 + n] for r in replies]) + own[n] for n in range(order)]
+            del replies, own
             model = Automaton(grams, totals, share, mu)
             known = model.seen(1)
             starts = np.cumsum(counts) - counts
