@@ -92,10 +92,13 @@ def orcid(c: Column) -> Column:
 
 
 def canonical_url(c: Column, hosts: tuple[str, ...], keep: str) -> Column:
-    """[X15] The parameter ``keep`` of an https URL of an allowed host, else null."""
+    """[X15] The parameter ``keep`` of an https URL of an allowed host (".name" allows all hosts below it), else null."""
     host = F.lower(F.regexp_extract(c, r"^https://([^/?#:]+)(?::443)?(?:[/?#]|$)", 1))
     value = F.regexp_extract(c, rf"[?&]{keep}=([^&#]+)", 1)
-    return F.when(host.isin(*hosts) & (value != ""), value)
+    allowed = F.lit(False)
+    for h in hosts:
+        allowed = allowed | (host.endswith(h) if h.startswith(".") else host == h)
+    return F.when(allowed & (value != ""), value)
 
 
 def inverted_to_text(index: Column) -> Column:

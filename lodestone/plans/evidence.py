@@ -219,3 +219,65 @@ def career_unit_reasons(spark, d):
     k = F.col("c_custkey")
     rules = [("no_institution", F.col("c_acctbal") < 0), ("country_conflict", F.col("c_nationkey") == 3), ("subject", F.col("c_mktsegment") == "MACHINERY"), ("department", k % 9 == 0), ("inferred", k % 8 == 0)]
     return gates.reason_counts(gates.cascade(table(spark, d, "customer"), rules))
+
+
+@query("""
+WITH w AS (SELECT o_custkey AS person, o_orderkey AS work, ['c' || (o_orderkey % 7)::VARCHAR, 'd' || (o_orderkey % 5)::VARCHAR] AS co, (o_orderkey // 10) % 3 AS field, (o_orderkey // 10) % 9 AS subfield, o_orderstatus = 'F' AS anchor, o_orderkey % 11 = 0 AS home FROM orders),
+n AS (SELECT person, count(*) AS n, list(DISTINCT field) AS fs, list(DISTINCT subfield) AS ss FROM w WHERE anchor GROUP BY 1), a AS (SELECT DISTINCT person, unnest(co) AS c FROM w WHERE anchor),
+s AS (SELECT person, work, count(*) AS shared FROM (SELECT DISTINCT person, work, unnest(co) AS c FROM w WHERE NOT anchor) JOIN a USING (person, c) GROUP BY 1, 2)
+SELECT coalesce(CASE WHEN home OR anchor OR coalesce(n, 0) < 3 OR coalesce(shared, 0) >= 2 THEN NULL WHEN shared = 1 AND NOT list_contains(fs, field) THEN 'field' WHEN coalesce(shared, 0) = 0 AND NOT list_contains(ss, subfield) THEN 'subfield' END, 'kept') AS reason, count(*) AS n
+FROM w LEFT JOIN n USING (person) LEFT JOIN s USING (person, work) GROUP BY 1
+""")
+def gate_namesakes(spark, d):
+    """[F16]"""
+    k = F.col("o_orderkey")
+    co = F.array(F.concat(F.lit("c"), (k % 7).cast("string")), F.concat(F.lit("d"), (k % 5).cast("string")))
+    tens = F.expr("o_orderkey div 10")
+    w = table(spark, d, "orders").select(F.col("o_custkey").alias("person"), k.alias("work"), co.alias("coauthors"), (tens % 3).alias("field"), (tens % 9).alias("subfield"), (F.col("o_orderstatus") == "F").alias("anchor"), (k % 11 == 0).alias("home"))
+    return gates.reason_counts(gates.namesakes(w, "person", "work", "coauthors", "field", "subfield", F.col("home"), F.col("anchor")))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '^https://[^/?#:]*[.]example[.]com[/?#]') AND regexp_extract(url, '[?&]utm_source=([^&#]+)', 1) <> '' THEN regexp_extract(url, '[?&]utm_source=([^&#]+)', 1) END AS record FROM pages")
+def text_canonical_url(spark, d):
+    """[X15] The record that an https URL of an allowed host names."""
+    from lodestone.functions import text
+
+    p = table(spark, d, "pages")
+    return p.select("page_id", text.canonical_url(F.col("url"), (".example.com",), "utm_source").alias("record"))
+
+
+@query("SELECT term, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS term FROM part) WHERE NOT contains(term, 'wid') AND term NOT IN (SELECT lower(p_brand) FROM part UNION SELECT 'ring') GROUP BY 1")
+def text_suppressed(spark, d):
+    """[X20] Terms without names and boilerplate."""
+    terms = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("term"))
+    names = table(spark, d, "part").select(F.lower("p_brand").alias("n")).union(spark.createDataFrame([("ring",)], "n string"))
+    return titles.suppressed(terms, "term", names, ("wid",)).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT n_nationkey::BIGINT AS nation, CASE n_name WHEN 'FRANCE' THEN 'FR' WHEN 'GERMANY' THEN 'DE' ELSE 'other' END AS code, lower(n_name || ' ' || CASE n_name WHEN 'FRANCE' THEN 'FR' WHEN 'GERMANY' THEN 'DE' ELSE n_name END) AS search FROM nation
+""")
+def text_mapped(spark, d):
+    """[X7-X9] Names by a fixed map, and the text that search looks in."""
+    from lodestone.functions import text
+
+    codes = {"FRANCE": "FR", "GERMANY": "DE"}
+    n = F.col("n_name")
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("nation"), text.mapped(n, codes, F.lit("other")).alias("code"), F.lower(F.concat_ws(" ", n, text.mapped(n, codes))).alias("search"))
+
+
+@query("SELECT DISTINCT w, substr(CASE WHEN regexp_matches(w, 'ies$') AND length(w) > 4 THEN regexp_replace(w, 'ies$', 'y') WHEN regexp_matches(w, '(ss|sh|ch|x)es$') THEN regexp_replace(w, 'es$', '') WHEN regexp_matches(w, '[^s]s$') AND length(w) > 3 THEN regexp_replace(w, 's$', '') ELSE w END, 1, 7) AS stem FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM documents WHERE lang = 'en') WHERE regexp_matches(w, '^[a-z]+$')")
+def text_stems(spark, d):
+    """[X21, X29]"""
+    from lodestone.functions import text
+
+    w = table(spark, d, "documents").where("lang = 'en'").select(F.explode(F.split(F.lower("text"), " ")).alias("w")).where(F.col("w").rlike("^[a-z]+$")).distinct()
+    return w.select("w", text.stem(F.col("w")).alias("stem"))
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer, (SELECT o_custkey, o_orderkey FROM orders WHERE o_totalprice > 400000) WHERE c_custkey = o_custkey")
+def source_attached(spark, d):
+    """[S2, J3] A second catalogue's view joined by its key."""
+    table(spark, d, "orders").where("o_totalprice > 400000").createOrReplaceTempView("decisions_of_another_store")
+    table(spark, d, "customer").createOrReplaceTempView("people_of_this_store")
+    return spark.sql("SELECT c_custkey, o_orderkey FROM people_of_this_store JOIN decisions_of_another_store ON c_custkey = o_custkey")

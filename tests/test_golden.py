@@ -332,3 +332,19 @@ def test_stream_equals_batch(spark, tmp_path):
     last = spark.read.parquet(out)
     last = last.where(F.col("batch") == last.agg(F.max("batch")).first()[0]).select("start", "n", "total")
     assert {tuple(r) for r in last.collect()} == {tuple(r) for r in events.windowed(rows, "ts", "1 day", "30 days", []).select("start", "n", "total").collect()}
+
+
+def test_titles_and_names(spark):
+    from lodestone.operators import titles
+
+    works = spark.createDataFrame([("p", 1, "A study of spin waves", 2001), ("p", 2, "Study of spin waves: a review", 2003), ("p", 3, "Other things", 2000), ("p", 4, None, 2004), ("q", 5, "a study of spin waves", 1990)], "person string, work long, title string, year int")
+    assert {r["work"]: r["head"] for r in titles.merged_versions(works, "person", "work", "title", "year").collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    assert {"Mi-na Lee", "Lee Mina", "Yi, Mi na"} <= set(titles.name_variants("Lee", ["Mi", "na"], {"Lee": ["Lee", "Yi"]}))
+
+
+def test_commit_leaves_nothing_behind_on_a_violation(spark, tmp_path):
+    df = spark.createDataFrame([(1,), (2,)], "n long")
+    tables.committed(df, f"{tmp_path}/t", {"positive": F.col("n") > 0})
+    with pytest.raises(ValueError):
+        tables.committed(df, f"{tmp_path}/t", {"small": F.col("n") < 2})
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
