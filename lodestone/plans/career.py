@@ -101,5 +101,5 @@ def career_intervals(spark, d):
 def career_reconciled(spark, d):
     """[C5, W3, W4]"""
     s = orders(spark, d).withColumn("institution", F.concat(F.lit("U"), F.col("unit").cast("string"))).withColumn("kind", F.when(F.col("stage") == "postdoc", "publication").otherwise("inferred")).withColumn("confidence", F.lit("medium"))
-    seen = table(spark, d, "orders").where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("person"), (F.col("o_orderkey") % 5).alias("unit"), F.concat(F.lit("U"), (F.col("o_orderkey") % 5).cast("string")).alias("institution"), half_of(F.col("o_orderdate")).alias("at")).distinct()
+    seen = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("person"), (F.col("o_orderkey") % 5).alias("unit"), F.concat(F.lit("U"), (F.col("o_orderkey") % 5).cast("string")).alias("institution"), half_of(F.col("o_orderdate")).alias("at")).distinct()
     return career.reconciled(s.distinct(), seen)

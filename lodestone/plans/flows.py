@@ -81,12 +81,12 @@ def flow_grouped_abroad(spark, d):
 
 
 @query("""
-WITH r AS (SELECT DISTINCT l_suppkey, CASE WHEN p_size % 9 = 0 THEN NULL ELSE p_brand END AS unit, year(l_shipdate)::BIGINT AS year FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 48 AND year(l_shipdate) <> 1999),
-st AS (SELECT l_suppkey, year, count(*) AS k, bool_or(unit IS NULL) AS open FROM r GROUP BY 1, 2),
+WITH r AS (SELECT DISTINCT o_custkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS unit, year(o_orderdate)::BIGINT AS year FROM orders),
+st AS (SELECT o_custkey, year, count(*) AS k, bool_or(unit IS NULL) AS open FROM r GROUP BY 1, 2),
 ys AS (SELECT a.year, b.year IS NOT NULL AS comparable FROM (SELECT DISTINCT year FROM r) a LEFT JOIN (SELECT DISTINCT year FROM r) b ON b.year = a.year - 1),
 kn AS (SELECT * FROM r WHERE unit IS NOT NULL),
-pr AS (SELECT l_suppkey, unit, year, bool_or(now) AS now, bool_or(NOT now) AS was FROM (SELECT *, true AS now FROM kn UNION ALL SELECT l_suppkey, unit, year + 1, false FROM kn) GROUP BY 1, 2, 3),
-f AS (SELECT pr.*, h.k AS k1, h.open AS o1, t.k AS k0, t.open AS o0, comparable AS c FROM pr JOIN ys USING (year) LEFT JOIN st h ON h.l_suppkey = pr.l_suppkey AND h.year = pr.year LEFT JOIN st t ON t.l_suppkey = pr.l_suppkey AND t.year + 1 = pr.year),
+pr AS (SELECT o_custkey, unit, year, bool_or(now) AS now, bool_or(NOT now) AS was FROM (SELECT *, true AS now FROM kn UNION ALL SELECT o_custkey, unit, year + 1, false FROM kn) GROUP BY 1, 2, 3),
+f AS (SELECT pr.*, h.k AS k1, h.open AS o1, t.k AS k0, t.open AS o0, comparable AS c FROM pr JOIN ys USING (year) LEFT JOIN st h ON h.o_custkey = pr.o_custkey AND h.year = pr.year LEFT JOIN st t ON t.o_custkey = pr.o_custkey AND t.year + 1 = pr.year),
 v AS (SELECT *, coalesce(k1 <> 1 OR k0 <> 1 OR o1 OR o0, false) AS vague FROM f)
 SELECT unit, year, sum(now::INT)::BIGINT AS n, bool_or(c) AS comparable, sum(CASE WHEN c THEN was::INT END)::BIGINT AS previous, sum(CASE WHEN c THEN (now AND was)::INT END)::BIGINT AS retained,
  sum(CASE WHEN c THEN (now AND NOT was)::INT END)::BIGINT AS added, sum(CASE WHEN c THEN (was AND NOT now)::INT END)::BIGINT AS removed,
@@ -96,10 +96,9 @@ SELECT unit, year, sum(now::INT)::BIGINT AS n, bool_or(c) AS comparable, sum(CAS
 FROM v GROUP BY 1, 2
 """)
 def flow_movements(spark, d):
-    """[W5, J21, U3, C14, C16, C20] Year-over-year movements of suppliers between brands."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_size") % 9 != 0, F.col("p_brand")).alias("unit"))
-    r = table(spark, d, "lineitem").where("l_quantity >= 48 and year(l_shipdate) <> 1999").select("l_suppkey", "l_partkey", F.year("l_shipdate").cast("long").alias("year")).join(p, "l_partkey")
-    return flows.movements(r, "l_suppkey", "unit", "year")
+    """[W5, J21, U3, C14, C16, C20] Year-over-year movements of customers between priorities."""
+    r = table(spark, d, "orders").select("o_custkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("unit"), F.year("o_orderdate").cast("long").alias("year"))
+    return flows.movements(r, "o_custkey", "unit", "year")
 
 
 @query("SELECT DISTINCT o_custkey AS professor_id FROM orders WHERE o_totalprice > 300000")

@@ -36,10 +36,10 @@ def check_rules(spark, d):
     return integrity.unlike(table(spark, d, "lineitem"), {"discount": F.col("l_discount") <= 0.09, "flag": F.col("l_returnflag").isin("A", "N"), "quantity": F.col("l_quantity") <= 49})
 
 
-@query("SELECT coalesce(a, b) AS id, CASE WHEN b IS NULL THEN 'left' ELSE 'right' END AS side FROM (SELECT c_custkey AS a FROM customer WHERE c_custkey % 7 <> 0) FULL JOIN (SELECT DISTINCT o_custkey AS b FROM orders WHERE o_totalprice > 200000) ON a = b WHERE a IS NULL OR b IS NULL")
+@query("SELECT coalesce(a, b) AS id, CASE WHEN b IS NULL THEN 'left' ELSE 'right' END AS side FROM (SELECT c_custkey AS a FROM customer WHERE c_acctbal >= 0) FULL JOIN (SELECT DISTINCT o_custkey AS b FROM orders WHERE o_totalprice > 200000) ON a = b WHERE a IS NULL OR b IS NULL")
 def check_same_ids(spark, d):
     """[U4, J20]"""
-    return integrity.same_ids(table(spark, d, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("id")), table(spark, d, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("id")), "id")
+    return integrity.same_ids(table(spark, d, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("id")), table(spark, d, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("id")), "id")
 
 
 @query("""
@@ -55,10 +55,10 @@ def mutate_upsert(spark, d):
     return integrity.upserted(base, new.withColumn("status", F.when(F.col("id") % 2 == 0, F.col("status"))), ["id"], {"low": "min", "high": "max", "status": "new"})
 
 
-@query("SELECT l_partkey, count(DISTINCT l_suppkey) AS owners, count(*) AS n FROM lineitem WHERE l_quantity = 50 GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")
+@query("SELECT l_partkey, count(DISTINCT l_suppkey) AS owners, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")
 def check_conflicts(spark, d):
     """[V6, J19, A42]"""
-    return integrity.conflicts(table(spark, d, "lineitem").where("l_quantity = 50"), "l_partkey", "l_suppkey")
+    return integrity.conflicts(table(spark, d, "lineitem"), "l_partkey", "l_suppkey")
 
 
 @query("SELECT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")

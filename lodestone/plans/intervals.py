@@ -56,37 +56,37 @@ def interval_subtract(spark, d):
 
 
 @query(f"""
-WITH p AS ({_SPELLS}), l AS (SELECT o_custkey, o_orderkey, s, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE e END AS e FROM p WHERE o_orderkey % 4 = 0)
+WITH p AS ({_SPELLS}), l AS (SELECT o_custkey, o_orderkey, s, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE e END AS e FROM p WHERE o_orderstatus = 'F')
 SELECT p.o_orderkey, l.o_orderkey AS holder FROM p JOIN l ON p.o_custkey = l.o_custkey AND p.s >= l.s AND (l.e IS NULL OR p.s <= l.e)
 """)
 def interval_covering(spark, d):
     """[J7, F10] Points in spells of the same key, open ends included."""
     p = spells(spark, d)
-    holders = p.where("o_orderkey % 4 = 0").select("o_custkey", F.col("o_orderkey").alias("holder"), F.col("s").alias("a"), F.when(F.col("o_orderkey") % 5 != 0, F.col("e")).alias("b"))
+    holders = p.where("o_orderstatus = 'F'").select("o_custkey", F.col("o_orderkey").alias("holder"), F.col("s").alias("a"), F.when(F.col("o_orderkey") % 5 != 0, F.col("e")).alias("b"))
     return intervals.covering(p.select("o_custkey", "o_orderkey", "s"), holders, ["o_custkey"], "s", "a", "b").select("o_orderkey", "holder")
 
 
 @query("""
-WITH p AS (SELECT DISTINCT l_suppkey, l_partkey % 40 AS unit, (year(l_shipdate) * 2 + CASE WHEN month(l_shipdate) > 6 THEN 1 ELSE 0 END)::BIGINT AS s FROM lineitem WHERE l_quantity > 45),
+WITH p AS (SELECT DISTINCT l_suppkey, l_partkey AS unit, (year(l_shipdate) * 2 + CASE WHEN month(l_shipdate) > 6 THEN 1 ELSE 0 END)::BIGINT AS s FROM lineitem),
 r AS (SELECT *, s + l_suppkey % 3 AS e FROM p)
 SELECT a.unit, a.l_suppkey AS l_suppkey_a, b.l_suppkey AS l_suppkey_b, greatest(a.s, b.s) AS s, least(a.e, b.e) AS e FROM r a JOIN r b ON a.unit = b.unit AND a.l_suppkey < b.l_suppkey AND greatest(a.s, b.s) <= least(a.e, b.e)
 """)
 def interval_overlaps(spark, d):
     """[J8, J9, C13] Overlapping spells at a unit."""
-    rows = table(spark, d, "lineitem").where("l_quantity > 45").select("l_suppkey", (F.col("l_partkey") % 40).alias("unit"), half_of(F.col("l_shipdate")).alias("s")).distinct()
+    rows = table(spark, d, "lineitem").select("l_suppkey", F.col("l_partkey").alias("unit"), half_of(F.col("l_shipdate")).alias("s")).distinct()
     return intervals.overlaps(rows.withColumn("e", F.col("s") + F.col("l_suppkey") % 3), ["unit"], "l_suppkey", "s", "e")
 
 
 @query("""
-WITH s AS (SELECT o_custkey, o_orderkey, year(o_orderdate)::BIGINT AS a, year(o_orderdate)::BIGINT + o_orderkey % 2 AS b FROM orders WHERE o_orderkey % 6 = 0),
+WITH s AS (SELECT o_custkey, o_orderkey, year(o_orderdate)::BIGINT AS a, year(o_orderdate)::BIGINT + o_orderkey % 2 AS b FROM orders WHERE o_orderpriority = '1-URGENT'),
 p AS (SELECT DISTINCT o_custkey, year(o_orderdate)::BIGINT AS y FROM orders),
 j AS (SELECT p.o_custkey, p.y, s.o_orderkey, CASE WHEN a <= y AND b >= y THEN 2 WHEN a <= y THEN 1 ELSE 0 END AS r, CASE WHEN a <= y THEN a ELSE -a END AS k FROM p JOIN s USING (o_custkey))
 SELECT o_custkey, y, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, y ORDER BY r DESC, k DESC, o_orderkey DESC) AS rn FROM j) WHERE rn = 1
 """)
 def interval_as_of(spark, d):
     """[R6]"""
-    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.year("o_orderdate").cast("long").alias("y"))
-    s = o.where("o_orderkey % 6 = 0").select("o_custkey", "o_orderkey", F.col("y").alias("a"), (F.col("y") + F.col("o_orderkey") % 2).alias("b"))
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", F.year("o_orderdate").cast("long").alias("y"))
+    s = o.where("o_orderpriority = '1-URGENT'").select("o_custkey", "o_orderkey", F.col("y").alias("a"), (F.col("y") + F.col("o_orderkey") % 2).alias("b"))
     return intervals.as_of(o.select("o_custkey", "y").distinct(), s, ["o_custkey"], "y", "a", "b", "o_orderkey")
 
 
@@ -101,14 +101,14 @@ def interval_split(spark, d):
 
 
 @query("""
-WITH s AS (SELECT o_custkey, CASE WHEN o_orderstatus = 'F' THEN 'faculty' WHEN o_orderstatus = 'O' THEN 'postdoc' ELSE 'doctoral' END AS stage, CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 2 ELSE 1 END AS p, year(o_orderdate) AS a FROM orders WHERE o_orderkey % 3 = 0),
+WITH s AS (SELECT o_custkey, CASE WHEN o_orderstatus = 'F' THEN 'faculty' WHEN o_orderstatus = 'O' THEN 'postdoc' ELSE 'doctoral' END AS stage, CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 2 ELSE 1 END AS p, year(o_orderdate) AS a FROM orders),
 y AS (SELECT c_custkey, unnest([1996, 1998, 2000])::BIGINT AS y FROM customer)
 SELECT c_custkey AS o_custkey, y.y, coalesce(arg_max(stage, p) FILTER (WHERE a <= y AND a + 1 >= y), 'none') AS stage FROM y LEFT JOIN s ON s.o_custkey = c_custkey GROUP BY 1, 2
 """)
 def interval_stage_of_year(spark, d):
     """[W9]"""
     stage = F.when(F.col("o_orderstatus") == "F", "faculty").when(F.col("o_orderstatus") == "O", "postdoc").otherwise("doctoral")
-    s = table(spark, d, "orders").where("o_orderkey % 3 = 0").select("o_custkey", stage.alias("stage"), F.year("o_orderdate").cast("long").alias("a")).withColumn("b", F.col("a") + 1)
+    s = table(spark, d, "orders").select("o_custkey", stage.alias("stage"), F.year("o_orderdate").cast("long").alias("a")).withColumn("b", F.col("a") + 1)
     years = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.explode(F.array(*(F.lit(x).cast("long") for x in (1996, 1998, 2000)))).alias("y"))
     priority = F.when(F.col("stage") == "faculty", 3).when(F.col("stage") == "postdoc", 2).otherwise(1)
     return intervals.stage_of_year(years, s, ["o_custkey"], "y", "a", "b", priority, F.lit("none"))

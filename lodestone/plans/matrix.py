@@ -39,12 +39,12 @@ def matrix_idf(spark, d):
     return matrix.inverse_frequencies(f, "l_orderkey", "l_partkey", rows, 2).withColumn("idf", F.round("idf", 6))
 
 
-_E = "WITH e AS (SELECT DISTINCT l_partkey % 400 AS src, (l_suppkey * 7 + l_linenumber * 13) % 400 AS dst FROM lineitem WHERE l_quantity = 50 AND l_linenumber < 3), "
+_E = "WITH e AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 7) % 1000 AS dst FROM orders), "
 
 
-@query(_E + """r0 AS (SELECT DISTINCT src AS row FROM e WHERE src % 80 = 0), h1 AS (SELECT row, dst AS node, count(*) AS n FROM r0 JOIN e ON src = row WHERE dst <> row GROUP BY 1, 2),
+@query(_E + """r0 AS (SELECT DISTINCT src AS row FROM e), h1 AS (SELECT row, dst AS node, count(*) AS n FROM r0 JOIN e ON src = row WHERE dst <> row GROUP BY 1, 2),
 h2 AS (SELECT row, e.dst AS node, sum(n) AS n FROM h1 JOIN e ON e.src = h1.node WHERE e.dst <> row AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.row = h1.row AND x.node = e.dst) GROUP BY 1, 2),
-l AS (SELECT row, node, 1 AS hop, n FROM h1 UNION ALL SELECT row, node, 2, n FROM h2), i AS (SELECT node, ln((1 + 5) / (1 + count(DISTINCT row))) AS idf FROM l GROUP BY 1),
+l AS (SELECT row, node, 1 AS hop, n FROM h1 UNION ALL SELECT row, node, 2, n FROM h2), i AS (SELECT node, ln((1 + (SELECT count(*) FROM r0)) / (1 + count(DISTINCT row))) AS idf FROM l GROUP BY 1),
 v AS (SELECT row, node, hop, n * idf AS v FROM l JOIN i USING (node) WHERE n * idf > 0), w AS (SELECT row, node, v / sqrt(sum(v * v) OVER (PARTITION BY row, hop)) * 0.5 ** (hop - 1) AS v FROM v)
 SELECT row, node, round(v / sqrt(sum(v * v) OVER (PARTITION BY row)), 6) AS value FROM w""")
 def matrix_hop_balanced(spark, d):
@@ -52,8 +52,9 @@ def matrix_hop_balanced(spark, d):
     from lodestone.plans.graph import edges
 
     e = edges(spark, d)
-    l = graph.layers(e, e.where("src % 80 = 0").select(F.col("src").alias("row"), F.col("src").alias("node")).distinct(), 2)
-    idf = matrix.inverse_frequencies(l, "row", "node", 5).select("node", "idf")
+    rows = e.select(F.col("src").alias("row"), F.col("src").alias("node")).distinct()
+    l = graph.layers(e, rows, 2)
+    idf = matrix.inverse_frequencies(l, "row", "node", rows.count()).select("node", "idf")
     return matrix.hop_balanced(l, idf, 0.5).withColumn("value", F.round("value", 6))
 
 

@@ -37,17 +37,18 @@ def filter_optional(spark, d):
 
 
 _GATE = """
-WITH base AS (SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)),
+WITH base AS (SELECT d.doc_id, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)),
 r AS (SELECT doc_id, source, CASE WHEN quality IS NULL THEN 'missing' WHEN quality = 0 AND toxic = 1 THEN 'namesake' WHEN quality = 0 THEN 'unresolved'
- WHEN doc_id % 7 = 0 THEN 'no_kept_source' WHEN toxic = 1 THEN 'inconsistent' END AS reason FROM base)
+ WHEN n_chars < 500 THEN 'no_kept_source' WHEN toxic = 1 THEN 'inconsistent' END AS reason FROM base)
 """
 
 
 def _gate(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source")
+    kept = table(spark, d, "documents").where("n_chars >= 500").select("doc_id")
     labels = table(spark, d, "labels")
     decisions = labels.select("doc_id", F.when((F.col("quality") == 0) & (F.col("toxic") == 1), "namesake_paper").when(F.col("quality") == 0, "unclear").otherwise("true_paper").alias("decision"))
-    return docs, decisions, docs.where("doc_id % 7 <> 0").select("doc_id"), labels.where("toxic = 1").select("doc_id")
+    return docs, decisions, kept, labels.where("toxic = 1").select("doc_id")
 
 
 @query(_GATE + "SELECT doc_id, source FROM r WHERE reason IS NULL")
@@ -73,14 +74,14 @@ def cascade_counts(spark, d):
 
 
 @query("""
-WITH f AS (SELECT o_custkey, min(year(o_orderdate)) + 3 AS start FROM orders GROUP BY 1)
-SELECT o.o_orderkey, o.o_custkey FROM orders o LEFT JOIN f ON o.o_custkey = f.o_custkey AND f.o_custkey % 3 <> 0
+WITH f AS (SELECT o_custkey, min(year(o_orderdate)) + 3 AS start FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
+SELECT o.o_orderkey, o.o_custkey FROM orders o LEFT JOIN f ON o.o_custkey = f.o_custkey
 WHERE (f.start IS NULL OR year(o.o_orderdate) >= f.start - 1) AND year(o.o_orderdate) <= 2000
 """)
 def gate_temporal(spark, d):
     """No start passes."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", year("o_orderdate").alias("y"))
-    start = o.groupBy("o_custkey").agg((F.min("y") + 3).alias("start")).where("o_custkey % 3 <> 0")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", year("o_orderdate").alias("y"))
+    start = o.where("o_orderstatus = 'P'").groupBy("o_custkey").agg((F.min("y") + 3).alias("start"))
     return o.join(start, "o_custkey", "left").where(gates.in_time(F.col("y"), F.col("start"), 2000, 1)).select("o_orderkey", "o_custkey")
 
 

@@ -79,14 +79,14 @@ def search_series(spark, d):
 
 
 @query(_AREAS + """
-, m AS (SELECT s_suppkey AS l_suppkey FROM supplier WHERE s_suppkey % 3 = 0), h AS (SELECT DISTINCT l_suppkey, area FROM a WHERE share >= 0.03),
+, m AS (SELECT s_suppkey AS l_suppkey FROM supplier WHERE s_acctbal > 5000), h AS (SELECT DISTINCT l_suppkey, area FROM a WHERE share >= 0.03),
 t AS (SELECT l_suppkey, area, count(*) AS n FROM lineitem JOIN (SELECT p_partkey, p_brand AS area FROM part) ON l_partkey = p_partkey GROUP BY 1, 2)
 SELECT l_suppkey, area AS topic FROM h WHERE l_suppkey IN (SELECT * FROM m)
 UNION ALL SELECT l_suppkey, area FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, area DESC) AS r FROM t WHERE area <> 'Other') WHERE r = 1 AND l_suppkey IN (SELECT * FROM m) AND l_suppkey NOT IN (SELECT l_suppkey FROM h)
 """)
 def search_curated(spark, d):
     """[Q8, Q10]"""
-    members = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    members = table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("l_suppkey"))
     hits = areas(spark, d).where("share >= 0.03").select("l_suppkey", F.col("area").alias("topic")).distinct()
     topics = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("topic")), "l_partkey").groupBy("l_suppkey", "topic").agg(F.count("*").alias("n"))
     return search.within_group(hits, members, topics, "l_suppkey")

@@ -9,10 +9,10 @@ from lodestone.plans.registry import query
 from lodestone.sources.tables import content_hash, table
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +')), lambda x: x <> '')), ' ') AS tokens FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +')), lambda x: x <> '')), ' ') AS tokens FROM documents")
 def text_token_sets(spark, d):
     """[X18]"""
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.array_join(text.token_set(F.col("text")), " ").alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(text.token_set(F.col("text")), " ").alias("tokens"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_valid(props) AS valid, upper(trim(event_type)) || ':' || greatest(event_id % 7, 3)::VARCHAR AS tag FROM events")
