@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import modest_batches, staged
+from lodestone.llm.common import mixed, modest_batches, staged
 
 BITS = 64
 #: Fingerprints in a bucket that are compared pair by pair.
@@ -233,9 +233,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 #: Shingles' words and the Jaccard similarity from which texts are near duplicates.
 WORDS, SIMILARITY = 5, 0.8
-#: Fingerprints of such texts mostly differ in 3 to 11 bits: too many for partitions that must be all but equal. They are sampled instead: so many tables
-#: file each fingerprint under some of its bits, and those next to each other in a bucket are candidates if they differ in ``NEAR`` bits or fewer.
-TABLES, NEAR, NEIGHBOURS = 48, 14, 2
+#: Texts of which the shingles' frequencies are learned, how often one must be met there to count as frequent, and how many of those are told apart.
+SAMPLE, MET, FREQUENT = 8192, 3, 1 << 17
 #: Bits of the map of texts that are candidates; its size doesn't depend on the input.
 MAP_BITS = 26
 
@@ -265,30 +264,79 @@ def texts_of(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
     return some.mapInArrow(run, some.drop("__text").withColumns({"th": F.lit(0).cast("long"), "fp": F.lit(0).cast("long")}).schema)
 
 
-def sampled_candidates(nodes: DataFrame, n: int, tables: int = TABLES, near: int = NEAR, seed: int = 11) -> DataFrame:
-    """(a, b), a < b: texts (th, fp) of which a table has the fingerprints next to each other and not too far apart. Buckets are read by windows, so one of
-    any size gives a number of rows in proportion. The bits of a table grow with the logarithm of n."""
-    bits = min(40, math.ceil(math.log2(max(n, 2))) + 1)
-    chosen = [sorted(np.random.default_rng(seed + t).permutation(BITS)[:bits].tolist()) for t in range(tables)]
+def shingle_keys(words: list[bytes], size: int = WORDS) -> np.ndarray:
+    """Sorted 64-bit hashes of the different shingles, as ``shingle_set`` takes them."""
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    k = max(1, len(each) - size + 1)
+    key = np.full(k, min(len(each), size), np.uint64)
+    for at in range(min(len(each), size)):
+        key = mixed(key, each[at : at + k])
+    return np.unique(key)
+
+
+def shingle_rows(docs: DataFrame, text: str, rate: int = 1, rare: tuple[np.ndarray, np.ndarray] | None = None, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, th, n) of the different texts' shingles; n is how many a text has. rate: of one text in so many. rare: frequent keys, sorted, and their ranks;
+    if given, only the prefix of each text in the order of rank (0 for keys that aren't frequent) and key. A task gives a text once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            fp = b.column("fp").to_numpy().view(np.uint64)
-            for t, places in enumerate(chosen):
-                key = np.full(len(fp), t, np.uint64)
-                for p in places:
-                    key = (key << np.uint64(1)) | ((fp >> np.uint64(p)) & np.uint64(1))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("fp"), b.column("th")], names=["key", "fp", "th"])
-
-    w = Window.partitionBy("key").orderBy("fp", "th")
-    filed = nodes.select("fp", "th").mapInArrow(run, "key long, fp long, th long")
-    beside = filed.select("fp", "th", *(F.lead(F.struct("fp", "th"), k).over(w).alias(f"next{k}") for k in range(1, NEIGHBOURS + 1)))
-    pairs = None
-    for k in range(1, NEIGHBOURS + 1):
-        o = F.col(f"next{k}")
-        some = beside.where(o.isNotNull() & (F.bit_count(F.col("fp").bitwiseXOR(o["fp"])) <= near)).select(F.least("th", o["th"]).alias("a"), F.greatest("th", o["th"]).alias("b"))
-        pairs = some if pairs is None else pairs.unionByName(some)
-    return pairs.distinct()
+            keys, ths, ns = [], [], []
+            for t in b.column(0):
+                t = t.as_py()
+                th = sequence_hash(t)
+                if th in seen or th % rate:
+                    continue
+                seen.add(th)
+                own = shingle_keys((t or "").encode().lower().split())
+                n = len(own)
+                if rare is not None:
+                    rank = np.zeros(n, np.int64)
+                    if len(rare[0]):
+                        at = np.minimum(np.searchsorted(rare[0], own), len(rare[0]) - 1)
+                        rank = np.where(rare[0][at] == own, rare[1][at], 0)
+                    own = own[np.argsort(rank, kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]]
+                keys.append(own)
+                ths.append(np.full(len(own), th))
+                ns.append(np.full(len(own), n, np.int32))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ths)), pa.array(np.concatenate(ns))], names=["key", "th", "n"])
+
+    return docs.select(F.col(text).alias("t")).mapInArrow(run, "key long, th long, n int")
+
+
+def alike(docs: DataFrame, text: str, linked: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts whose shingles' Jaccard similarity is at least that: with linked's pairs they have the components that all such pairs have.
+    n: how many texts there are, about.
+
+    Two sets that similar have a shingle in common among the first n - ceil(similarity * n) + 1 of each, in any one order of all shingles. The order is
+    by frequency, learned from a sample, so that what many texts share comes last; it bears on the work, not on the result. Each text is compared with
+    the next smaller and the first one of its buckets, then with all texts of its buckets that aren't in its component by then, so groups of copies
+    aren't squared.
+    """
+    common = shingle_rows(docs, text, max(1, n // SAMPLE)).select("key", "th").distinct().groupBy("key").count().where(F.col("count") >= MET)
+    top = [r["key"] for r in common.orderBy(F.desc("count"), "key").limit(FREQUENT).collect()]
+    keys = np.array(top, np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    rare = keys[order], (len(top) - np.arange(len(top)))[order]
+    bucket = Window.partitionBy("key")
+    filed = shingle_rows(docs, text, 1, rare, similarity).withColumns({"low": F.min("th").over(bucket), "high": F.max("th").over(bucket)}).where("low <> high")
+    filed = staged(filed.select("key", "th", "n").distinct())
+    fit = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
+    some = filed
+    for name, w in (("before", bucket.orderBy("n", "th")), ("first", bucket.orderBy("th"))):
+        some = some.withColumn(name, (F.lag if name == "before" else F.first)(F.struct("th", "n")).over(w))
+    some = some.select("th", "n", F.explode(F.array("before", "first")).alias("o")).select("th", "n", F.col("o.th").alias("other"), F.col("o.n").alias("m"))
+    tried = staged(some.where((F.col("th") != F.col("other")) & fit).select(F.least("th", "other").alias("a"), F.greatest("th", "other").alias("b")).distinct())
+    found = staged(verified(tried, docs, text, similarity))
+    classes = components(linked.unionByName(found))
+    apart = filed.join(classes, F.col("th") == F.col("node"), "left").select("key", "th", "n", F.coalesce("root", "th").alias("root"))
+    apart = apart.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).where("low <> high").select("key", "th", "n", "root")
+    apart = staged(apart)
+    x, y = apart.select("key", F.col("th").alias("a"), "n", F.col("root").alias("ra")), apart.select("key", F.col("th").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
+    rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fit).select("a", "b").distinct()
+    rest = staged(rest.join(tried, ["a", "b"], "left_anti"))
+    return found.unionByName(verified(rest, docs, text, similarity))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str, similarity: float) -> DataFrame:
@@ -326,7 +374,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", di
     columns; of equal rows one). All columns as they were. No row: no row.
 
     Texts are linked if their fingerprints differ in ``distance`` bits or fewer, which loses no link, or if ``similarity`` or more of their shingles of five
-    words are the same, for which sampling finds the candidates (nearly all, see the README) and the shingles themselves decide. Null and blank texts are one text.
+    words are the same, which loses none either (see ``alike``). Null and blank texts are one text.
     """
     keep = docs.columns
     modest_batches(docs.sparkSession)
@@ -338,8 +386,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", di
     roots = components(links(staged(nodes.select("fp").distinct()), distance))
     led = nodes.select("th", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("th", F.coalesce("root", "fp").alias("root"))
     near = led.join(led.groupBy("root").agg(F.min("th").alias("a")), "root").where("a <> th").select("a", F.col("th").alias("b"))
-    pairs = staged(sampled_candidates(nodes, n))
-    similar = verified(pairs, docs, text, similarity)
+    near = staged(near)
+    similar = alike(docs, text, near, n, similarity)
     classes = components(near.unionByName(similar))
     least = F.min("first").alias("first")
     chosen = nodes.select("th", "first").join(classes, F.col("th") == F.col("node"), "left").groupBy(F.coalesce("root", "th").alias("class")).agg(least).select(F.col("first.row").alias("__row"), F.col("first.row2").alias("__row2"))

@@ -226,6 +226,22 @@ class TestSimHash:
         root = self.classes([t for _, t in rows])
         assert len(kept) == len(set(root.values())) and set(kept) >= {1000 + k for k in range(40)}
 
+    def kept(self, spark, texts):
+        return sorted(r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+
+    def test_similar_texts_with_far_fingerprints(self, spark):
+        """Pairs of at least the similarity whose fingerprints are 12 to 14 bits apart, among many others."""
+        rng, texts = random.Random(21), []
+        while len(texts) < 80:
+            base = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+            line = [f"w{rng.randint(0, 10**6)}" for _ in range(4)]
+            pair = [" ".join(base), " ".join(base + line * rng.randint(2, 6))]
+            a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, pair))
+            if 12 <= (brute_fingerprint(pair[0]) ^ brute_fingerprint(pair[1])).bit_count() <= 14 and len(a & b) >= 0.8 * len(a | b):
+                texts += pair
+        texts += [" ".join(f"u{rng.randint(0, 10**6)}" for _ in range(8)) for _ in range(3000)]
+        assert self.kept(spark, texts) == [*range(0, 80, 2), *range(80, len(texts))]
+
 
 class TestTokens:
     @pytest.mark.parametrize("rule", tokens.RULES)
