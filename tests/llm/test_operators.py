@@ -242,6 +242,22 @@ class TestSimHash:
         texts += [" ".join(f"u{rng.randint(0, 10**6)}" for _ in range(8)) for _ in range(3000)]
         assert self.kept(spark, texts) == [*range(0, 80, 2), *range(80, len(texts))]
 
+    def test_similar_texts_in_a_crowd(self, spark):
+        """Texts that share two thirds of their words, so their fingerprints crowd together, and near copies of some of them."""
+        rng, texts = random.Random(22), []
+        common = [f"c{k}" for k in range(60)]
+        while len(texts) < 120:
+            base = common + [f"w{rng.randint(0, 10**6)}" for _ in range(36)]
+            other = [*base[:-5], *(f"v{rng.randint(0, 10**6)}" for _ in range(5))]
+            pair = [" ".join(base), " ".join(other)]
+            if 7 <= (brute_fingerprint(pair[0]) ^ brute_fingerprint(pair[1])).bit_count() <= 11:
+                texts += pair
+        texts += [" ".join(common + [f"u{rng.randint(0, 10**6)}" for _ in range(36)]) for _ in range(400)]
+        root, least = self.classes(texts), {}
+        for k, t in enumerate(texts):
+            least.setdefault(root[t], k)
+        assert self.kept(spark, texts) == sorted(least.values())
+
 
 class TestTokens:
     @pytest.mark.parametrize("rule", tokens.RULES)
