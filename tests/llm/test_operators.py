@@ -258,6 +258,16 @@ class TestSimHash:
             least.setdefault(root[t], k)
         assert self.kept(spark, texts) == sorted(least.values())
 
+    def test_a_repeated_line_hides_no_copy(self, spark):
+        """The line's shingles count once for the similarity, but each time for the fingerprint."""
+        rng, texts = random.Random(23), []
+        for _ in range(20):
+            base, line = ([f"w{rng.randint(0, 10**6)}" for _ in range(n)] for n in (200, 10))
+            texts += [" ".join(base), " ".join(base + line * 60)]
+        far = [(brute_fingerprint(a) ^ brute_fingerprint(b)).bit_count() for a, b in zip(texts[::2], texts[1::2], strict=True)]
+        assert min(far) > 14
+        assert self.kept(spark, texts) == [*range(0, 40, 2)]
+
 
 class TestTokens:
     @pytest.mark.parametrize("rule", tokens.RULES)
