@@ -1,13 +1,14 @@
 """URL filtering by association rules.
 
-A URL is a basket of tokens: its host, the host's ends and labels, its path's segments, words of these, its query's keys. Spark's
-FP-growth mines the baskets of labelled pages, each with the token of its label, for token combinations that go with bad pages. Rules
+A URL is a basket of tokens: its host, the host's ends and labels, its path's segments, words of these, its query's keys. The
+baskets of labelled pages are mined level by level for token combinations that go with bad pages, from all tokens of a page. Rules
 are pruned by support and confidence, and a rule goes if a part of it does as well. They match by an inverted index from token to rules: a rule holds
 if as many of its tokens were met as it has. Before that, fixed rules of host and path decide; of those that fit the longest.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -18,13 +19,10 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import ascii_lower, modest_batches, staged
 
-BAD = "label:bad"
 #: A combination's least share of labelled pages, and a rule's least share of bad ones among those that it matches.
 SUPPORT, CONFIDENCE = 0.002, 0.6
 #: Tokens of a rule, at most. With SUPPORT, that bounds the number of rules: a page has a bounded number of combinations of so many frequent tokens.
 LENGTH = 3
-#: Tokens that a page brings to mining: those of the most frequent ones, so a URL of endless segments makes no endless combinations.
-BASKET = 24
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -74,28 +72,38 @@ def baskets(pages: DataFrame, keep: list[str]) -> DataFrame:
 
 def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, length: int = LENGTH) -> list[tuple[tuple[str, ...], float, float]]:
     """(tokens, confidence, support) of each rule. labelled: tokens, bad (boolean)."""
-    from pyspark.ml.fpm import FPGrowth
-
     labelled = staged(labelled.where(F.col("bad").isNotNull() & (F.size("tokens") > 0)))
     n = labelled.count()
     if not n:
         return []
     least = max(3.0, support * n)
-    # each frequent token is in a share of pages of at least support, so they are few, however many pages there are
-    frequent = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= least)
-    place = {r["token"]: k for k, r in enumerate(frequent.orderBy(F.desc("count"), "token").collect())}
-    if not place:
-        return []
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            items = [sorted((t for t in tokens if t in place), key=place.get)[:BASKET] + [BAD] * bad for tokens, bad in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.list_(pa.string()))], names=["items"])
-
-    items = labelled.select("tokens", "bad").mapInArrow(kept, "items array<string>")
-    model = FPGrowth(itemsCol="items", minSupport=least / n, minConfidence=confidence).fit(items)
-    wanted = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= length))
-    rules = sorted(((tuple(sorted(r["antecedent"])), float(r["confidence"]), float(r["support"])) for r in wanted.collect()), key=lambda r: (len(r[0]), r[0]))
+    # a combination that goes with bad pages often enough has only parts that do, so each round extends what the one before it found;
+    # each is in a share of pages of at least support, so they are few, however many pages there are
+    found: dict[tuple[str, ...], tuple[int, int]] = {}
+    parts: set[tuple[str, ...]] = {()}
+    for size in range(1, length + 1):
+        used = {t for part in parts for t in part}
+
+        def counted(batches: Iterator[pa.RecordBatch], size=size, parts=parts, used=used) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                n, bad_n = Counter(), Counter()
+                for tokens, bad in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    own = sorted({t for t in tokens if size == 1 or t in used})
+                    heads = [()] if size == 1 else [c for c in itertools.combinations(own, size - 1) if c in parts]
+                    sets = [(*c, t) for c in heads for t in own if not c or t > c[-1]]
+                    sets = [c for c in sets if size < 3 or all(c[:k] + c[k + 1 :] in parts for k in range(size))]
+                    n.update(sets)
+                    if bad:
+                        bad_n.update(sets)
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(list, n)), pa.list_(pa.string())), pa.array(list(n.values()), pa.int64()), pa.array([bad_n[c] for c in n], pa.int64())], names=["items", "n", "bad"])
+
+        sums = labelled.select("tokens", "bad").mapInArrow(counted, "items array<string>, n long, bad long").groupBy("items").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+        level = {tuple(r["items"]): (r["n"], r["bad"]) for r in sums.where(F.col("bad") >= least - 1e-9).collect()}
+        found |= level
+        parts = set(level)
+        if not parts:
+            break
+    rules = sorted(((c, bad / k, bad / n) for c, (k, bad) in found.items() if bad >= confidence * k), key=lambda r: (len(r[0]), r[0]))
     chosen: dict[tuple[str, ...], tuple[float, float]] = {}
     for tokens, conf, supp in rules:
         if not any(set(other) < set(tokens) and c >= conf for other, (c, _) in chosen.items()):

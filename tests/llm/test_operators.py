@@ -353,6 +353,11 @@ class TestUrls:
                     want[t] = sum(hit) / len(hit)
         assert {t: round(c, 9) for t, c, _ in got} == {t: round(c, 9) for t, c in want.items()} and want
 
+    def test_rare_tokens_of_long_urls_are_mined(self, spark):
+        common = [f"t{k:02}" for k in range(30)]
+        rows = [(common + (["rare"] if k % 10 == 0 else []), k % 10 == 0) for k in range(60)]
+        assert [(t, c) for t, c, _ in urls.mined(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.02, 0.6)] == [(("rare",), 1.0)]
+
     def test_matching_finds_what_was_mined(self, spark):
         pages = spark.createDataFrame([(k, f"http://{'spam' if k % 3 == 0 else 'good'}.net/p/{k}") for k in range(60)], "page_id long, url string")
         out = urls.judged(pages, pages.select("url", (F.col("page_id") % 3 == 0).alias("bad")), []).collect()
