@@ -262,6 +262,11 @@ class TestGraph:
         got = {r["node"]: (r["root"], r["depth"]) for r in graph.tree_order(links, spark.createDataFrame([(k,) for k in (1, 2, 3, 5, 6)], "node long")).collect()}
         assert got == {1: (1, 0), 2: (1, 1), 3: (1, 2), 5: (5, 0), 6: (6, 0)}
 
+    def test_deep_chains_reach_their_root(self, spark):
+        links = spark.createDataFrame([(k, k - 1) for k in range(1, 67)], "node long, parent long").coalesce(1)
+        got = graph.tree_order(links, spark.createDataFrame([(66,)], "node long").coalesce(1)).collect()
+        assert [tuple(r) for r in got] == [(66, 0, 66, list(range(67)))]
+
 
 class TestMatrix:
     def test_agreement(self, spark):
