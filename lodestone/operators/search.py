@@ -4,18 +4,27 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.numbering import numbered
+
 # The query language's fields and their short names.
 PREFIXES = {
-    "inst": "current", "current": "current", "bs": "bachelor", "ba": "bachelor", "bachelor": "bachelor", "phd": "phd",
-    "field": "subject", "subject": "subject", "area": "area", "topic": "area", "name": "name", "id": "id",
+    "재직": "current", "현직": "current", "소속": "current", "기관": "current", "inst": "current", "current": "current",
+    "학부": "bachelor", "학사": "bachelor", "bs": "bachelor", "ba": "bachelor", "bachelor": "bachelor",
+    "박사": "phd", "phd": "phd",
+    "계열": "subject", "분야": "subject", "field": "subject", "subject": "subject",
+    "연구": "area", "연구분야": "area", "주제": "area", "토픽": "area", "area": "area", "topic": "area", "openalex": "area", "oa": "area",
+    "이름": "name", "name": "name", "id": "id",
 }
-_TOKEN = re.compile(r'[^\s:：="]+[:：=]"[^"]*"?|"[^"]*"?|[^\s"]+')
+#: After NFKC, which makes full-width colons plain.
+SEPARATORS = ":="
 
 
 @dataclass
@@ -24,45 +33,78 @@ class Query:
     scoped: list[tuple[str, list[str]]] = field(default_factory=list)
 
 
+def pieces(text: str) -> Iterator[tuple[str, str]]:
+    """(head, value) of each piece of a query; the head is what stands up to the piece's first separator, which is its last character; "" if it has none.
+
+    Blanks end a piece, but not within quotes. Quotes open a piece of their own, unless a head and its separator stand right before
+    them; then they hold its value. Quotes that aren't closed run to the end.
+    """
+    at, head, value = 0, None, ""
+
+    def taken() -> tuple[str, str]:
+        nonlocal head, value
+        piece, head, value = (head or "", value), None, ""
+        return piece
+
+    while at < len(text):
+        c = text[at]
+        if c == '"':
+            if value:
+                yield taken()
+            close = text.find(c, at + 1)
+            close = len(text) if close < 0 else close
+            value = text[at + 1 : close]
+            yield taken()
+            at = close
+        elif c.isspace():
+            if value or head:
+                yield taken()
+        elif c in SEPARATORS and head is None and value:
+            head, value = value + c, ""
+        else:
+            value += c
+        at += 1
+    if value or head:
+        yield taken()
+
+
 def parsed(text: str, prefixes: dict[str, str] | None = None) -> Query:
-    """[X22, X23] Free words and scoped values. ``phd:mit``, ``phd:"two words"``, ``phd: mit``."""
-    names = PREFIXES if prefixes is None else prefixes
-    out, waiting = Query(), None
-    for token in _TOKEN.findall(unicodedata.normalize("NFKC", text).lower()):
-        head, sep, tail = re.match(r"([^:：=]*)([:：=]?)(.*)", token, re.S).groups()
-        scope = names.get(head) if sep else None
-        terms = (tail if scope else token).replace('"', " ").split()
-        if scope and not terms:
-            waiting = scope
-            continue
-        scope, waiting = scope or waiting, None
-        if terms and scope:
-            out.scoped.append((scope, terms))
-        elif terms:
-            out.free += terms
+    """[X22, X23] Free words and scoped values. ``phd:mit``, ``phd:"two words"``, ``phd: mit``: a field without a value takes the next piece,
+    unless that names a field itself. A head that is no field is part of a free word."""
+    known = PREFIXES if prefixes is None else prefixes
+    read: list[tuple[str | None, list[str]]] = []
+    for head, value in pieces(unicodedata.normalize("NFKC", text).lower()):
+        field_ = known.get(head[:-1])
+        read.append((field_, (value if field_ else head + value).split()))
+    out = Query()
+    for k, (own, terms) in enumerate(read):
+        lent = read[k - 1][0] if k and not read[k - 1][1] else None
+        if terms and (own or lent):
+            out.scoped.append((own or lent, terms))
+        else:
+            out.free.extend(terms)
     return out
 
 
 def holds(text: Column, term: str) -> Column:
     """[X24] Terms of up to three letters or digits must begin a word."""
-    if re.fullmatch(r"[a-z0-9]{1,3}", term):
+    if len(term) <= 3 and term.isascii() and term.isalnum():
         return text.rlike(rf"(^|[^a-z0-9]){term}")
     return text.contains(term)
 
 
 def matches(query: Query, fields: dict[str, Column]) -> tuple[Column, Column]:
-    """[Q2] Whether a row matches, and the sorted fields that do: each scoped value in its field, each free word in any."""
-    ok, hit = F.lit(True), {f: F.lit(False) for f in fields}
-    for scope, terms in query.scoped:
-        if scope not in fields:
-            return F.lit(False), F.array().cast("array<string>")
-        ok &= reduce(lambda a, b: a & b, (holds(fields[scope], t) for t in terms))
-        hit[scope] = F.lit(True)
-    for term in query.free:
-        found = {f: (c != "") & holds(c, term) for f, c in fields.items()}
-        ok &= reduce(lambda a, b: a | b, found.values())
-        hit = {f: hit[f] | found[f] for f in fields}
-    return ok, F.array_sort(F.array_compact(F.array(*(F.when(h, F.lit(f)) for f, h in hit.items()))))
+    """[Q2] Whether a row matches, and the sorted fields that do: each scoped value in its field, each free word in any that isn't empty.
+
+    Each term is one condition over the fields that it may be met in; a row matches if all are met, and a field is named if a term was met there.
+    """
+    asked = [((scope,), t) for scope, terms in query.scoped for t in terms] + [(tuple(fields), t) for t in query.free]
+    met = [{f: (fields[f] != "") & holds(fields[f], t) for f in where if f in fields} for where, t in asked]
+    if not all(met):  # a scope that these rows don't have
+        return F.lit(False), F.array().cast("array<string>")
+    ok = reduce(and_, (reduce(or_, m.values()) for m in met), F.lit(True))
+    named = {f: reduce(or_, (m[f] for m in met if f in m), F.lit(False)) for f in fields}
+    return ok, F.array_sort(F.array_compact(F.array(*(F.when(c, F.lit(f)) for f, c in named.items()))))
 
 
 def lookup_score(query: str, label: Column, key: Column, others: dict[int, Column]) -> Column:
@@ -81,9 +123,65 @@ def best_area(areas: DataFrame, who: str, terms: list[str]) -> DataFrame:
 
 
 def ranked_hits(hits: DataFrame, order: str) -> DataFrame:
-    """[Q3] Hits by other fields first, in their order, then those by area alone, by share. Adds ``position``, through sort keys, not through a global window."""
+    """[Q3] Hits with ``position``, from 0: those by other fields first, then those by area alone; within each by share, then by order."""
     alone = F.col("fields") == F.array(F.lit("area"))
-    return hits.orderBy(alone, F.desc(F.coalesce("share", F.lit(0.0))), order)
+    return numbered(hits, [(alone, True), (F.coalesce("share", F.lit(0.0)), False), (F.col(order), True)], "position")
+
+
+def directory(hits: DataFrame, subject: str | None = None, institution: str | None = None, connected: bool | None = None) -> DataFrame:
+    """[Q10] Hits of a subject, an institution, and with or without a group (``groups``, null where no summary is known); None: all."""
+    kept = reduce(and_, (F.col(c) == v for c, v in (("subject", subject), ("institution", institution)) if v is not None), F.lit(True))
+    return hits.where(kept if connected is None else kept & ((F.col("groups") > 0) == connected))
+
+
+def words_of_query(text: str) -> list[str]:
+    """[X22] A topic query's words of two characters or more, without signs around them, in the singular."""
+    parts = re.split(r"[\s,·/;|]+", unicodedata.normalize("NFKC", text).lower())
+    bare = (re.sub(r"^[\W_]+|(?:(?!-)[\W_])+$", "", p) for p in parts)
+    return [" ".join(map(singular_word, w.split())) for w in bare if len(w) >= 2]
+
+
+# Endings of plurals, what they end in in the singular, and the letters that such a word has at least. The first that fits holds.
+PLURALS = (("[^aeiou]ies", 3, "y", 5), ("ss|us|is", 0, "", 0), ("sses|ches|shes|xes", 2, "", 4), ("s", 1, "", 4))
+
+
+def singular_word(word: str) -> str:
+    """[X21] Of a query's word, which is on the driver."""
+    for ending, cut, put, letters in PLURALS:
+        if len(word) >= letters and re.search(f"(?:{ending})$", word):
+            return word[: len(word) - cut] + put
+    return word
+
+
+def expanded(terms: list[str], glossary: DataFrame) -> DataFrame:
+    """[X22] ``term``, distinct: the terms and, for those in Hangul, what the glossary (word, means: array) says: of the equal word or, without one,
+    of all words that hold the term or are held by it. Phrases also give their words."""
+    korean = [t for t in terms if re.search("[가-힣]", t)]
+    plain = glossary.sparkSession.createDataFrame([(t,) for t in terms if t not in korean], "term string")
+    near = glossary.withColumn("t", F.explode(F.array(*map(F.lit, korean)).cast("array<string>")))
+    near = near.where(F.col("word").contains(F.col("t")) | F.col("t").contains(F.col("word"))).withColumn("equal", F.col("word") == F.col("t"))
+    best = near.groupBy("t").agg(F.bool_or("equal").alias("any_equal"))
+    meant = near.join(best, "t").where(~F.col("any_equal") | F.col("equal")).select(F.explode("means").alias("term"))
+    every = plain.unionByName(meant)
+    return every.select(F.explode(F.array_union(F.array("term"), F.split("term", r"\s+"))).alias("term")).distinct()
+
+
+def query_vector(vocabulary: DataFrame, terms: list[str], most: int = 3) -> DataFrame:
+    """[Q7] One row: ``found`` and ``vector``, of unit length (null if nothing is found): the sum over terms of the vector of vocabulary's (term, vector) word that is
+    the term, else its singular, else the plurals of that; else, for terms of four letters or more, of up to ``most`` words that begin with the term, by code point."""
+    spark = vocabulary.sparkSession
+    ones = {t: singular_word(t) for t in terms}
+    forms = [(t, rank, form) for t, one in ones.items() for rank, form in enumerate(dict.fromkeys((t, one, f"{one}s", re.sub("y$", "ies", one))))]
+    exact = vocabulary.join(spark.createDataFrame(forms, "asked string, rank int, term string"), "term").groupBy("asked").agg(F.min_by("vector", "rank").alias("vector"))
+    long_ = F.array(*(F.lit(t) for t in ones if len(t) >= 4)).cast("array<string>")
+    starts = vocabulary.withColumn("asked", F.explode(F.filter(long_, lambda t: F.col("term").startswith(t))))
+    w = Window.partitionBy("asked").orderBy("term")
+    begun = starts.join(exact.select("asked"), "asked", "left_anti").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("asked", "vector")
+    parts = exact.unionByName(begun).select(F.posexplode("vector").alias("i", "v"))
+    sums = parts.groupBy("i").agg(F.sum(F.col("v").cast("double")).alias("v"), F.count("*").alias("n"))
+    whole = sums.agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("s"), F.max("n").alias("found"))
+    norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["v"] * x["v"]))
+    return whole.select(F.coalesce("found", F.lit(0)).alias("found"), F.when(norm > 0, F.transform("s", lambda x: x["v"] / norm)).alias("vector"))
 
 
 def cosine(a: Column, b: Column) -> Column:

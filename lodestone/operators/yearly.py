@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.numbering import numbered
+
 
 def band(v: Column, low: float = 2.0, high: float = 5.0) -> Column:
     """[X12]"""
@@ -71,9 +73,8 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
 
 
 def relabelled(df: DataFrame, label: str, new: str = "label_no") -> DataFrame:
-    """[R9] Labels numbered by size, descending, then label. One row for each label is ranked."""
-    sizes = df.groupBy(label).agg(F.count("*").alias("size"))
-    return sizes.withColumn(new, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), label)) - 1).cast("long"))
+    """[R9] Labels numbered by size, descending, then label."""
+    return numbered(df.groupBy(label).agg(F.count("*").alias("size")), [(F.col("size"), False), (F.col(label), True)], new)
 
 
 def summed_years(docs: DataFrame, who: str, years: str, group: list[str]) -> DataFrame:
