@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.staging import deleted, scratch, shared_folder, staged, written
+
+__all__ = ["deleted", "scratch", "shared_folder", "staged", "written"]
+
 #: One word of a text. Java's regex and DuckDB's agree on it.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,33 +23,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def modest_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Rows hold whole texts of any length, so Python gets fewer of them at a time than by default."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+def modest(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, and about so many bytes, at most: rows hold whole texts of any length."""
+    for b in batches:
+        step = max(1, min(rows, b.num_rows * size // max(b.nbytes, 1)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
 
 
-def parallelism(df: DataFrame) -> int:
-    """Shuffle partitions that grow with the input: the configured number, or the scan's splits if they are more."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+def packed(df: DataFrame, name: str = "row") -> F.Column:
+    """All of a row's columns in one, so that none clashes with an operator's own; ``unpacked`` undoes it."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(name)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: what the cluster's spark.checkpoint.dir names; one of our own only where that is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='lodestone-')}")
-    return sc.getCheckpointDir()
+def unpacked(columns: list[str], name: str = "row") -> list[F.Column]:
+    return [F.col(name)[c].alias(c) for c in columns]
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written to the shared folder as Parquet and read back. Cuts the lineage, so that a lost executor costs no more
-    than the tasks after it, and what follows sees one and the same set of rows however often it reads them."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def parallelism(df: DataFrame) -> int:
+    """Shuffle partitions that grow with the input: the configured number, or the scan's splits if they are more."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
 def ascii_lower(c) -> F.Column:

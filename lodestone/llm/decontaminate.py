@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import encoded, modest_batches, split_words
+from lodestone.llm.common import encoded, modest, split_words
 
 WINDOW = 5
 SHARE = 0.6
@@ -181,14 +181,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     Items and documents of fewer than five words hold nothing. Null texts are empty. Null ids are carried. Rows that repeat give rows that repeat.
     """
-    modest_batches(docs.sparkSession)
+
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     kind = "doc_id long, item_id long, n_windows long, n_matched long, n_plain long, n_changed long, kind string"
     out = None
     for index in indexes(benchmark, item_id, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in modest(batches):
                 if held := index.held(b.column(1)):
                     ids = b.column(0).to_pylist()
                     cells = [(ids[t], index.ids[i], total, n, plain, changed, "verbatim" if plain >= SHARE * total else "template") for t, i, n, plain, total, changed in held]
@@ -202,13 +202,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows that hold an item; all columns as they were."""
-    modest_batches(docs.sparkSession)
+
     keep = docs.columns
     at = keep.index(text)
     for index in indexes(benchmark, item_id, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in modest(batches):
                 clean = np.ones(b.num_rows, bool)
                 clean[[t for t, *_ in index.held(b.column(at))]] = False
                 yield b.filter(pa.array(clean))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import encoded, mixed, modest_batches, parallelism, split_words
+from lodestone.llm.common import encoded, mixed, modest, parallelism, split_words
 
 ORDER = 3
 #: Strength of the shorter context's vote, by the length of the n-gram.
@@ -135,7 +135,7 @@ def blocks_of(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple]
         place[by] = np.arange(len(by))
         return ids, null, train, counts, words, top.astype(np.uint32), place[codes]
 
-    for batch in batches:
+    for batch in modest(batches):
         words, counts = split_words(batch.column("text"))
         codes, names = encoded(words)
         own = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names))
@@ -203,7 +203,7 @@ def answer(buckets: int, order: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: dict[int, list[tuple[int, bytes]]] = {}
-        for batch in batches:
+        for batch in modest(batches):
             rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
             for _, block, bucket, body in rows:
                 if bucket < 0:
@@ -277,7 +277,7 @@ def score(order: int, mu: dict[int, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[int, bytes] = {}
         answers: dict[int, list[tuple[int, bytes]]] = {}
-        for batch in batches:
+        for batch in modest(batches):
             for _, block, bucket, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket < 0:
                     texts[block] = body
@@ -313,7 +313,7 @@ def backoff_scores(docs: DataFrame, doc_id: str, text: str, training: F.Column,
     rows all probabilities are 1. Other columns are not read. No row: no row.
     """
     spark = docs.sparkSession
-    modest_batches(spark)
+
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(training, F.lit(False)).alias("training"), F.col(text).alias("text"))
     buckets = parallelism(rows)
     kind = "to int, block long, bucket int, body binary"

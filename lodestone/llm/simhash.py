@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import mixed, modest_batches, staged
+from lodestone.llm.common import mixed, modest, staged
 
 BITS = 64
 #: Fingerprints in a bucket that are compared pair by pair.
@@ -54,11 +54,11 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, text: str, keep: list[str], shingle: int = 3) -> DataFrame:
     """keep's columns and ``fp``, the fingerprint as a long. A null or blank text has fingerprint 0."""
-    modest_batches(docs.sparkSession)
+
     rows = docs.select(*keep, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in modest(batches):
             fps = np.fromiter((fingerprint(x.as_py(), shingle) for x in b.column("__text")), np.uint64, b.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps)], names=[*keep, "fp"])
 
@@ -71,7 +71,7 @@ def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.zeros((BITS, BITS))
         n = 0
-        for b in batches:
+        for b in modest(batches):
             bits = np.unpackbits(b.column("fp").to_numpy().astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)[:, ::-1].astype(np.float32)
             both += (bits.T @ bits).astype(np.float64)
             n += b.num_rows
@@ -170,7 +170,7 @@ def links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
     flips = [[sum(1 << x for x in places) for k in range(t + 1) for places in itertools.combinations(range(len(bits)), k)] for bits, t in used]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in modest(batches):
             own = b.column("fp").to_numpy().view(np.uint64)
             for part, (bits, _) in enumerate(used):
                 value = np.zeros(len(own), np.uint64)
@@ -256,7 +256,7 @@ def texts_of(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
     some = rows.select(*keep, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in modest(batches):
             texts = [x.as_py() for x in b.column(len(keep))]
             fps = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts)).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([sequence_hash(t) for t in texts], pa.int64()), pa.array(fps)], names=[*keep, "th", "fp"])
@@ -280,7 +280,7 @@ def shingle_rows(docs: DataFrame, text: str, rate: int = 1, rare: tuple[np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in modest(batches):
             keys, ths, ns = [], [], []
             for t in b.column(0):
                 t = t.as_py()
@@ -347,7 +347,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, similarity: float) ->
     parts = {r["k"]: bytes(r["m"]) for r in rows}  # at most 2 ** MAP_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in modest(batches):
             out: dict[int, np.ndarray] = {}
             for t in b.column(0):
                 t = t.as_py()
@@ -377,7 +377,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", di
     words are the same, which loses none either (see ``alike``). Null and blank texts are one text.
     """
     keep = docs.columns
-    modest_batches(docs.sparkSession)
+
     rows = docs.withColumns({"__row": F.xxhash64(*keep), "__row2": F.xxhash64(F.lit(1), *keep)})
     seen = staged(texts_of(rows.select("__row", "__row2", F.col(doc_id).alias("__id"), F.col(text).alias("__t")), ["__row", "__row2", "__id"], "__t"))
     first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"), F.col("__row2").alias("row2"))).alias("first")

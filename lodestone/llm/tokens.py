@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import modest_batches
+from lodestone.llm.common import modest
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits texts before this vocabulary's merges.
@@ -65,12 +65,11 @@ def section_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     if rule not in RULES:
         raise ValueError(f"rule: one of {', '.join(RULES)}")
-    modest_batches(docs.sparkSession, 256)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, sizes = encoding(path)
-        for b in batches:
+        for b in modest(batches, 256):
             parts: list[tuple] = []
             for value in b.column(1):
                 whole = value.as_py() or ""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import modest_batches, staged
+from lodestone.llm.common import modest, staged
 
 GROUPS = 4
 CHUNK = 4096
@@ -54,7 +54,7 @@ def local_scores(queries: np.ndarray, rows: np.ndarray, groups: int) -> np.ndarr
 
 def blocks(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, groups: int):
     """(queries' slice, rows' ids, local scores with a query's own row out of all lists)."""
-    for b in batches:
+    for b in modest(batches, 2048):
         row_ids = b.column(0).to_numpy()
         rows = matrix(b.column(1), queries.shape[1])
         for at in range(0, len(ids), AT_ONCE):
@@ -127,7 +127,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
     that id is its candidate. Scores must be below 2 ** 53. Fewer than k candidates: all.
     """
     spark = vectors.sparkSession
-    modest_batches(spark, 2048)
     v = F.col(vector)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"), is_query.alias("is_query")).where(F.col("vec_id").isNotNull() & usable(F.col("v"))).select("vec_id", whole(F.col("v")).cast("array<double>").alias("v"), "is_query")
     dims, most = rows.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()

@@ -5,12 +5,14 @@ to those letters, all else to blanks. A lexicon entry is a whole word or a word'
 documents' labels. A phrase on the list of exceptions takes back what it covers. A document's weights are summed, once over the root
 of its number of words and once as a logarithm; a logistic model of both, fitted on the same documents, gives the score.
 
-The lexicon and the model are learned from at most ``LEARN`` labelled documents, chosen by a hash of their ids; those counts and
-columns are all that learning moves. Scoring is one pass over all texts without a shuffle, with a lexicon of at most ``ENTRIES`` entries.
+No word is known beforehand. Entries, exceptions and the model are learned from at most ``LEARN`` labelled documents, chosen by a hash of their ids, one row
+for each id; their counts and measures are all that learning moves, and the bound holds for what reaches the driver. Each term with enough
+evidence is an entry. Scoring is one pass over all texts without a shuffle.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import unicodedata
 from collections import Counter
@@ -22,20 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import modest_batches, staged
+from lodestone.llm.common import modest, staged
 
 #: Labelled documents to learn from, at most.
 LEARN = 20_000
-#: Entries of the lexicon, at most.
-ENTRIES = 2_000
 #: Beginnings of words that can be entries, in letters.
 BEGINNINGS = (4, 5, 6)
-#: Twice the log likelihood ratio that an entry needs.
+#: Twice the log likelihood ratio that an entry or an exception needs.
 EVIDENCE = 20.0
 
-# Words known beforehand, exceptions, characters that stand for others.
-KNOWN = {"idiot": 3.0, "moron": 3.0, "stupid": 2.0, "scum": 3.0, "loser": 2.0, "worthless": 2.0, "pathetic": 2.0, "disgusting": 2.0, "trash": 1.5, "clown": 1.5}
-EXCEPTIONS = ("clown fish", "circus clown", "trash can", "trash bin", "trash bag", "pond scum", "idiot proof", "stupid question")
+# Characters that stand for others.
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": " ", "|": " "}
 LOOKALIKES = {
     "а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x",
@@ -66,9 +64,18 @@ class Model:
     """Entries: " word " or " beginning", with weights."""
 
     entries: dict[str, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     coefficients: tuple[float, float, float] = field(default=(-3.0, 1.0, 2.0))
 
+    def cached(self):
+        """The matcher, made once in each task."""
+        if "made" not in self.__dict__:
+            self.__dict__["made"] = self.matcher()
+        return self.__dict__["made"]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "made"}
+
     def matcher(self):
         import ahocorasick
 
@@ -82,28 +89,37 @@ class Model:
         return found
 
 
+def uncovered(hits: list[tuple]) -> list[tuple]:
+    """The hits (start, end, value, spare) that aren't spare and lie in none that is."""
+    spared = sorted((a, b) for a, b, _, spare in hits if spare)
+    starts, furthest, far = [a for a, _ in spared], [], -1
+    for _, b in spared:
+        furthest.append(far := max(far, b))
+    out = []
+    for hit in hits:
+        k = bisect.bisect_right(starts, hit[0]) if not hit[3] else 0
+        if not hit[3] and (not k or furthest[k - 1] < hit[1]):
+            out.append(hit)
+    return out
+
+
 def measures(text: str | None, matcher) -> tuple[float, float]:
     """The sum of a text's weights over the root of its number of words, and the logarithm of one more than the sum."""
     t = folded(text)
     hits = [(end - size + 1, end, weight, spare) for end, (size, weight, spare) in matcher.iter(t)] if len(matcher) else []
     if not hits:
         return 0.0, 0.0
-    spared = [(a, b) for a, b, _, spare in hits if spare]
-    total = sum(w for a, b, w, spare in hits if not spare and not any(x <= a and b <= y for x, y in spared))
+    total = sum(w for _, _, w, _ in uncovered(hits))
     return total / math.sqrt(1 + len(t.split())), math.log1p(total)
 
 
-def measured(texts: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """texts (keep's columns, then the text) to keep's columns, the two measures."""
+def score_of(found: np.ndarray, model: Model) -> np.ndarray:
+    bias, dense, logged = model.coefficients
+    return 1 / (1 + np.exp(-(bias + dense * found[:, 0] + logged * found[:, 1])))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = model.matcher()
-        for b in batches:
-            found = np.array([measures(x.as_py(), matcher) for x in b.column(len(keep))], dtype=np.float64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(found[:, 0]), pa.array(found[:, 1])], names=[*keep, "__density", "__logsum"])
 
-    schema = texts.select(*keep, F.lit(0.0).cast("double").alias("__density"), F.lit(0.0).cast("double").alias("__logsum")).schema
-    return texts.mapInArrow(run, schema)
+def measured(texts: pa.Array, matcher) -> np.ndarray:
+    return np.array([measures(x.as_py(), matcher) for x in texts], dtype=np.float64).reshape(-1, 2)
 
 
 def terms_of(text: str | None) -> set[str]:
@@ -111,45 +127,61 @@ def terms_of(text: str | None) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in BEGINNINGS if len(w) >= n}
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    """(term, toxic, clean): documents of each label that hold the term; the term "" holds for all."""
+def phrases_of(text: str | None, matcher) -> set[tuple[str, str]]:
+    """(entry, phrase): each entry that the text holds, with the word before or after it, and alone (an empty phrase)."""
+    t = folded(text)
+    out = set()
+    for end, (size, entry, _) in matcher.iter(t) if len(matcher) else ():
+        a = end - size + 1
+        stop = t.find(" ", a + 1)
+        before, word, after = t[max(0, a - 200) : a].split()[-1:], t[a + 1 : stop], t[stop : stop + 200].split()[:1]
+        out |= {(entry, ""), *((entry, f"{w} {word}") for w in before), *((entry, f"{word} {w}") for w in after)}
+    return out
+
+
+def counted(rows: DataFrame, of) -> DataFrame:
+    """(a, b, toxic, clean): documents of each label that hold the pair of texts, as ``of`` gives a text's pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
-        for b in batches:
+        for b in modest(batches):
             for label, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                into = toxic if label else clean
-                into.update(terms_of(text.as_py()))
-                into[""] += 1
-        # a term of clean documents alone can't be an entry, but another task may hold toxic ones
+                (toxic if label else clean).update(of(text.as_py()))
+        # what clean documents alone hold can't be an entry, but another task may hold toxic ones
         names = list(toxic.keys() | clean.keys())
         for at in range(0, len(names), 50_000):
             some = names[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([toxic[w] for w in some], pa.int64()), pa.array([clean[w] for w in some], pa.int64())], names=["term", "toxic", "clean"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.string()), pa.array([y for _, y in some], pa.string()), *(pa.array([n[w] for w in some], pa.int64()) for n in (toxic, clean))], names=["a", "b", "toxic", "clean"])
 
-    return rows.mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return rows.mapInArrow(run, "a string, b string, toxic long, clean long").groupBy("a", "b").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, entries: int = ENTRIES) -> dict[str, float]:
+def evidence(a: int, b: int, share: float) -> float:
+    """Twice the log likelihood ratio of a toxic and b clean documents against that share of toxic ones."""
+    e = (a + b) * share
+    return 2 * ((a * math.log(a / e) if a else 0.0) + (b * math.log(b / (a + b - e)) if b else 0.0)) if 0 < share < 1 else 0.0
+
+
+def lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
     """Entries by evidence, largest first; one that starts another, or is started by one, that is in already stays out."""
-    ranked = []
-    for term, a, b in counts:
-        e = (a + b) * toxic / (toxic + clean)
-        if a <= e:
-            continue
-        evidence = 2 * (a * math.log(a / e) + (b * math.log(b / (a + b - e)) if b else 0.0))
-        if evidence >= EVIDENCE:
-            ranked.append((-evidence, -len(term), term, math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))))
+    share = toxic / (toxic + clean)
+    ranked = sorted((-evidence(a, b, share), -len(term), term, math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))) for term, a, b in counts if a > (a + b) * share)
     chosen: dict[str, float] = {}
     starts: set[str] = set()
-    for _, _, term, weight in sorted(ranked):
+    for less, _, term, weight in ranked:
         stem = term.rstrip()
-        if weight > 0 and len(chosen) < entries and stem not in starts and not any(stem[:n] in chosen or f"{stem[:n]} " in chosen for n in range(2, len(stem) + 1)):
+        if -less >= EVIDENCE and weight > 0 and stem not in starts and not any(stem[:n] in chosen or f"{stem[:n]} " in chosen for n in range(2, len(stem) + 1)):
             chosen[term] = weight
             starts.update(stem[:n] for n in range(2, len(stem) + 1))
     return chosen
 
 
+def exceptions_of(counts: list[tuple[str, str, int, int]]) -> tuple[str, ...]:
+    """Phrases that are mostly in clean documents, with evidence that they are so more often than the entry within them."""
+    alone = {entry: a / (a + b) for entry, phrase, a, b in counts if not phrase}
+    return tuple(sorted({phrase for entry, phrase, a, b in counts if phrase and a < b and a < (a + b) * alone[entry] and evidence(a, b, alone[entry]) >= EVIDENCE}))
+
+
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, turns: int = 50) -> tuple[float, ...]:
     """Logistic regression by Newton's method."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -164,47 +196,55 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, turns: int = 50) -
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = LEARN) -> Model:
-    """A model from the labelled documents for which ``usable`` (of the id, in labels) is true, ``most`` of them at most.
+    """A model from the labelled documents for which ``usable`` (of the id, in labels) is true, ``most`` of them at most, those whose ids have the smallest hashes.
 
-    Null labels and ids aren't used; of several labels of a document the largest holds. Without both labels among them: the words known
-    beforehand, with standing coefficients.
+    Null labels and ids aren't used; of several labels of a document the largest holds, of several texts the smallest. Without both labels among them: no
+    entries, and for all texts a score by the labels' shares, which is 0.05 without labels.
     """
-    spark = docs.sparkSession
-    modest_batches(spark)
-    chosen = labels.where(usable & F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg((F.max(label) > 0).cast("int").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(most)
+    chosen = labels.where(usable & F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg((F.max(label) > 0).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
     # the texts to learn from are few; written down, they are looked for in one pass over all texts
-    rows = staged(docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id").select("label", "text"))
-    known = {f" {w} ": v for w, v in KNOWN.items()}
-    counts = staged(counted(rows))
-    whole = counts.where("term = ''").collect()
-    toxic, clean = (int(whole[0]["toxic"]), int(whole[0]["clean"])) if whole else (0, 0)
+    found = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    rows = staged(found.groupBy("id").agg(F.max("label").alias("label"), F.min("text").alias("text")).select("label", "text"))
+    toxic, clean = rows.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
+    toxic, clean = toxic or 0, clean or 0
     if not toxic or not clean:
-        return Model(known)
-    # terms that could reach the evidence at all, the best of them; the number is a bound on what reaches the driver
-    a, e = F.col("toxic"), (F.col("toxic") + F.col("clean")) * F.lit(toxic / (toxic + clean))
-    strong = counts.where((F.col("term") != "") & (a >= 2) & (a > e)).withColumn("evidence", 2 * (a * F.log(a / e) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (a + F.col("clean") - e))).otherwise(0.0)))
-    best = strong.where(F.col("evidence") >= EVIDENCE).orderBy(F.desc("evidence"), "term").limit(20 * ENTRIES).select("term", "toxic", "clean").collect()
-    entries = lexicon([tuple(r) for r in best], toxic, clean)
-    entries |= {k: v for k, v in known.items() if k not in entries and not any(k.startswith(x) for x in entries)}
-    model = Model(entries)
-    got = measured(rows, model, ["label"]).toPandas()
-    model.coefficients = fitted(got[["__density", "__logsum"]].to_numpy(), got["label"].to_numpy(float))
-    return model
+        rate = (toxic + 0.5) / (toxic + clean + 10)
+        return Model({}, (), (math.log(rate / (1 - rate)), 0.0, 0.0))
+    counts = counted(rows, lambda t: {(term, "") for term in terms_of(t)})
+    strong = counts.where((F.col("toxic") >= 2) & (F.col("toxic") * clean > F.col("clean") * toxic)).select("a", "toxic", "clean")
+    entries = lexicon([tuple(r) for r in strong.collect()], toxic, clean)
+    near = counted(rows, lambda t, found=Model({e: e for e in entries}): phrases_of(t, found.cached()))
+    model = Model(entries, exceptions_of([tuple(r) for r in near.where((F.col("b") == "") | (F.col("clean") >= 2)).collect()]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in modest(batches):
+            found = measured(b.column(1), model.cached())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["label", "density", "logsum"])
 
-def score_column(model: Model) -> Column:
-    bias, dense, logged = model.coefficients
-    return 1 / (1 + F.exp(-(F.lit(bias) + F.lit(dense) * F.col("__density") + F.lit(logged) * F.col("__logsum"))))
+    got = rows.select("label", "text").mapInArrow(run, "label int, density double, logsum double").orderBy("label", "density", "logsum").toPandas()
+    model.coefficients = fitted(got[["density", "logsum"]].to_numpy(), got["label"].to_numpy(float))
+    return model
 
 
 def scores(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """keep's columns and ``score`` of each row. Null, blank and unmatched texts score the model's constant. Rows that repeat are scored each."""
-    modest_batches(docs.sparkSession)
-    return measured(docs.select(*keep, F.col(text).alias("__text")), model, keep).select(*keep, score_column(model).alias("score"))
+    """keep's columns and ``score`` of each row. Null, blank and unmatched texts score the model's constant. Rows that repeat are scored each. A column of keep
+    named score is replaced."""
+    keep = [c for c in keep if c != "score"]
+    rows = docs.select(*keep, F.col(text).alias("score"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in modest(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score_of(measured(b.column(len(keep)), model.cached()), model))], names=[*keep, "score"])
+
+    return rows.mapInArrow(run, docs.select(*keep, F.lit(0.0).alias("score")).schema)
 
 
 def rejected(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs without the rows that score ``threshold`` or more; all columns as they were."""
-    keep = docs.columns
-    modest_batches(docs.sparkSession)
-    return measured(docs.select(*keep, F.col(text).alias("__text")), model, keep).where(score_column(model) < threshold).select(*keep)
+    """docs without the rows that score ``threshold`` or more; all columns as they were, whatever their names."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in modest(batches):
+            yield b.filter(pa.array(score_of(measured(b.column(at), model.cached()), model) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ascii_lower, modest_batches, staged
+from lodestone.llm.common import ascii_lower, modest, staged
 
 #: A combination's least share of labelled pages, and a rule's least share of bad ones among those that it matches.
 SUPPORT, CONFIDENCE = 0.002, 0.6
@@ -61,7 +61,7 @@ def baskets(pages: DataFrame, keep: list[str]) -> DataFrame:
     """keep's columns and ``tokens``. pages has host, path and url."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in modest(batches, 4096):
             host, path, url = (b.column(len(keep) + k).to_pylist() for k in range(3))
             found = [tokens_of(h, p, u or "") if h or p else [] for h, p, u in zip(host, path, url, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(found, pa.list_(pa.string()))], names=[*keep, "tokens"])
@@ -85,7 +85,7 @@ def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CON
         used = {t for part in parts for t in part}
 
         def counted(batches: Iterator[pa.RecordBatch], size=size, parts=parts, used=used) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in modest(batches, 4096):
                 n, bad_n = Counter(), Counter()
                 for tokens, bad in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     own = sorted({t for t in tokens if size == 1 or t in used})
@@ -123,7 +123,7 @@ def matched(pages: DataFrame, rules: list[tuple[tuple[str, ...], float, float]],
         return max((rules[k][1] for k, n in met.items() if n == len(rules[k][0])), default=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in modest(batches, 4096):
             host, path, url = (b.column(len(keep) + k).to_pylist() for k in range(3))
             found = [best(tokens_of(h, p, u or "")) if h or p else None for h, p, u in zip(host, path, url, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(found, pa.float64())], names=[*keep, "confidence"])
@@ -138,7 +138,6 @@ def judged(pages: DataFrame, labelled: DataFrame, fixed: list[tuple[str, str, st
     A null url, or one without "://", has an empty host and path; no mined rule holds for it, so it is allowed. Null labels aren't used. Null
     ids are carried; rows that repeat are judged each. Without labelled pages the method allows all.
     """
-    modest_batches(pages.sparkSession, 4096)
     split = lambda df: df.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     rules = mined(baskets(split(labelled.select("url", "bad")), ["bad"]), support, confidence)
     rows = split(pages.select(F.col(page_id).alias("id"), F.col(url).alias("url")))

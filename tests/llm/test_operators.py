@@ -533,11 +533,57 @@ class TestToxicity:
         assert again.entries == model.entries and np.allclose(again.coefficients, model.coefficients)
 
     def test_folding_exceptions_and_nothing(self, spark):
-        model = toxicity.Model({" clown ": 2.0, " idio": 3.0})
+        model = toxicity.Model({" clown ": 2.0, " idio": 3.0}, ("clown fish", "circus clown"))
         m = model.matcher()
         assert toxicity.measures("a clown fish", m) == (0.0, 0.0) == toxicity.measures(None, m)
         assert toxicity.measures("a CL0WN", m)[0] > 0 and toxicity.measures("ídіotic", m)[0] > 0 and toxicity.measures("preidiot", m) == (0.0, 0.0)
         assert toxicity.measures("clown", m)[0] > toxicity.measures("clown " + "x " * 50, m)[0]
         empty = spark.createDataFrame([], "doc_id long, text string")
         plain = toxicity.learn(empty, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
-        assert " idiot " in plain.entries and toxicity.scores(empty, plain, ["doc_id"]).collect() == []
+        assert plain.entries == {} and toxicity.scores(empty, plain, ["doc_id"]).collect() == []
+        one = toxicity.scores(spark.createDataFrame([(1, "idiot"), (2, None)], "doc_id long, text string"), plain, ["doc_id"]).collect()
+        assert {round(r["score"], 6) for r in one} == {0.05}
+
+    def test_no_vocabulary_is_built_in(self):
+        names = {k: v for k, v in vars(toxicity).items() if isinstance(v, (dict, tuple, list, frozenset, set)) and not k.startswith("__")}
+        assert set(names) == {"SIGNS", "LOOKALIKES", "FOLD", "BEGINNINGS"} and all(len(k) == 1 for k in (*toxicity.SIGNS, *toxicity.LOOKALIKES))
+        assert toxicity.Model({}).exceptions == ()
+
+    def test_learns_exceptions(self, spark):
+        rng = random.Random(11)
+        rows = []
+        for k in range(900):
+            text = [f"w{rng.randint(0, 300)}" for _ in range(rng.randint(8, 30))]
+            said = ["grubble"] if k % 3 == 0 else ["grubble", "fish"] if k % 3 == 1 and k % 2 else []
+            at = rng.randrange(len(text))
+            rows.append((k, " ".join(text[:at] + said + text[at:]), int(k % 3 == 0)))
+        d, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+        model = toxicity.learn(d, labels, F.lit(True))
+        assert "grubble fish" in model.exceptions
+        got = {r["doc_id"]: r["score"] for r in toxicity.scores(d, model, ["doc_id"]).collect()}
+        assert all((got[i] >= 0.5) == bool(y) for i, _, y in rows)
+
+    def test_matches_brute_force(self, spark):
+        rng = random.Random(12)
+        letters = "abcаβ01@ !"
+        entries = {" ab ": 1.0, " abc": 2.0, " bca ": 0.5, " oa": 0.25}
+        model = toxicity.Model(entries, ("ab ca", "bca abc", "c abca"), (-1.0, 2.0, 0.5))
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(400)] + [None, "", " ", "ab " * 4000, "ab ca " * 3000]
+        expect = {}
+        for i, text in enumerate(texts):
+            plain = "".join({"а": "a", "β": "b", "0": "o", "1": "i", "@": "a", "!": " "}.get(c, c) for c in text or "")
+            t = f" {plain} "
+            covered = [(k, k + len(p) + 1) for p in model.exceptions for k in range(len(t)) if t.startswith(f" {p} ", k)] if len(t) < 1000 else None
+            if covered is None:
+                total = 0.0 if "ca" in t else 4000 * 1.0
+            else:
+                total = sum(w for e, w in entries.items() for k in range(len(t)) if t.startswith(e, k) and not any(a <= k and k + len(e) - 1 <= b for a, b in covered))
+            expect[i] = 1 / (1 + math.exp(-(-1.0 + 2.0 * total / math.sqrt(1 + len(t.split())) + 0.5 * math.log1p(total))))
+        got = {r["i"]: r["score"] for r in toxicity.scores(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model, ["i"]).collect()}
+        assert got.keys() == expect.keys() and all(math.isclose(got[i], expect[i], rel_tol=1e-9) for i in expect)
+
+    def test_rejects_among_clashing_names(self, spark):
+        d = spark.createDataFrame([(1, "idiot", 1.0, "x"), (2, "fine", 2.0, "y")], "doc_id long, text string, __density double, score string")
+        kept = toxicity.rejected(d, toxicity.Model({" idiot ": 5.0}))
+        assert [tuple(r) for r in kept.collect()] == [(2, "fine", 2.0, "y")] and kept.columns == d.columns
+        assert toxicity.scores(d, toxicity.Model({}), ["__density", "score"]).columns == ["__density", "score"]
