@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, staged
+from lodestone.llm.common import WORD, packed, staged, unpacked
 from lodestone.llm.numbering import ranked
 
 PLACE_BITS, STEP = 60, 12
@@ -91,9 +91,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, repeat: float = 2.0) -> DataFrame:
     """docs, each row as often as the mix takes it; all columns as they were. Cases as in ``mix``."""
-    keep = docs.columns
-    t, where = F.col(text), place(F.col(doc_id), F.col(text))
-    plan = mix_plan(staged(docs.select(F.col(source).alias("source"), words_in(t).alias("size"), where.alias("place"))), weights, share, repeat)
-    extra = F.col("__plan.copies") + (where < F.col("__plan.cut")).cast("long")
-    rows = docs.join(plan.select(F.struct("*").alias("__plan")), F.col(source).eqNullSafe(F.col("__plan.source")))
-    return rows.select(*keep, F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(extra, F.lit(1)))).alias("__k"), (extra > 0).alias("__in")).where("__in").select(*keep)
+    t, where = F.col(f"`{text}`"), place(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
+    rows = docs.select(packed(docs), F.col(f"`{source}`").alias("from"), words_in(t).alias("size"), where.alias("place"))
+    plan = mix_plan(staged(rows.select(F.col("from").alias("source"), "size", "place")), weights, share, repeat)
+    taken = rows.join(plan, F.col("from").eqNullSafe(F.col("source"))).withColumn("times", F.col("copies") + (F.col("place") < F.col("cut")).cast("long"))
+    return taken.where("times > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("k")).select(*unpacked(docs.columns))

@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lodestone.llm.common import mixed, modest, staged
+from lodestone.llm.common import deleted, mixed, modest, packed, staged, unpacked, written
 
 BITS = 64
 #: Fingerprints in a bucket that are compared pair by pair.
@@ -194,25 +195,40 @@ def links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+#: A value is a hub if it has more than this share of all rows, and more than so many; so there are fewer than 1,000 hubs.
+HUB_SHARE, HUB_ROWS = 1000, 256
+
+
+def with_least(rows: DataFrame, key: str, value: str, total: int) -> tuple[DataFrame, str]:
+    """rows with ``low``, the least value of the row's key, and the path of a table that may be deleted when the result is written. total: how many rows there are.
+
+    Counts and minima are pre-aggregated. The minima of hubs are sent out, a thousand at most; their rows stay where they are. The others meet theirs in a join.
+    """
+    lows, path = written(rows.groupBy(key).agg(F.min(value).alias("low"), F.count("*").alias("times")))
+    hub = F.col("times") > max(HUB_ROWS, total // HUB_SHARE)
+    hubs = F.broadcast(lows.where(hub).select(key, "low"))
+    return rows.join(hubs, key).unionByName(rows.join(hubs, key, "left_anti").join(lows.where(~hub).select(key, "low"), key)), path
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the pairs reaches. Alternates large stars (each node's larger neighbours join
     its smallest one) and small stars (its smaller ones do), which takes a number of rounds that grows as the logarithm of a chain's
-    length; each round's pairs are written to the shared folder, and only a count and a sum reach the driver."""
-    pairs = staged(pairs.select("a", "b"))
+    length; each round's pairs are written to the shared folder, the round's before are deleted, and only counts and sums reach the driver."""
+    spark = pairs.sparkSession
+    now, path = written(pairs.select("a", "b"))
     before = None
     while True:
-        both = pairs.union(pairs.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b"), "low").where("b <> low").select(F.col("low").alias("a"), "b").distinct()
-        large = staged(large)
-        down = large.select(F.col("b").alias("node"), F.col("a").alias("smaller"))
-        least = down.groupBy("node").agg(F.min("smaller").alias("low"))
-        small = down.join(least, "node").select("low", F.col("smaller").alias("x")).where("low <> x").unionByName(least.select("low", F.col("node").alias("x"))).select(F.col("low").alias("a"), F.col("x").alias("b")).distinct()
-        pairs = staged(small)
-        now = tuple(pairs.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
-        if now == before:
-            return pairs.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
-        before = now
+        said = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))).first()
+        if tuple(said) == before:
+            return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+        before = tuple(said)
+        both = now.union(now.select("b", "a"))
+        near, lows = with_least(both, "a", "b", 2 * said[0])
+        large, stars = written(near.where("b > a").select(F.least("low", "a").alias("low"), "b").select(F.col("low").alias("a"), "b").distinct())
+        deleted(spark, path, lows)
+        down, lows = with_least(large.select(F.col("b").alias("node"), F.col("a").alias("smaller")), "node", "smaller", said[0])
+        now, path = written(down.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("smaller").alias("b")), F.struct(F.col("low").alias("a"), F.col("node").alias("b")))).alias("p")).select("p.*").where("a <> b").distinct())
+        deleted(spark, stars, lows)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 2, shingle: int = 3, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -235,37 +251,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 WORDS, SIMILARITY = 5, 0.8
 #: Texts of which the shingles' frequencies are learned, how often one must be met there to count as frequent, and how many of those are told apart.
 SAMPLE, MET, FREQUENT = 8192, 3, 1 << 17
+#: Texts with one shingle in their prefixes that are compared pair by pair at once.
+FEW = 16
 #: Bits of the map of texts that are candidates; its size doesn't depend on the input.
 MAP_BITS = 26
+_ODDS = 1e-9
 
 
-def sequence_hash(text: str | None) -> int:
+def sequence_hash(words: list[bytes]) -> int:
     """Of the lower-cased (A-Z) words in a row: texts that differ in white space and such case alone are one text."""
-    return int(np.uint64(xxhash.xxh64_intdigest(b" ".join((text or "").encode().lower().split()), 7)).view(np.int64))
-
+    return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), 7)).view(np.int64))
 
-def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted 32-bit hashes of a text's different shingles; of all its words, if they are fewer."""
-    w = (text or "").encode().lower().split()
-    found = {xxhash.xxh32_intdigest(b" ".join(w[k : k + words])) for k in range(max(1, len(w) - words + 1))}
-    return np.sort(np.fromiter(found, np.uint32, len(found))).view(np.int32)
 
-
-def texts_of(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """keep's columns, ``th`` (hash of the words) and ``fp``."""
-    some = rows.select(*keep, F.col(text).alias("__text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in modest(batches):
-            texts = [x.as_py() for x in b.column(len(keep))]
-            fps = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([sequence_hash(t) for t in texts], pa.int64()), pa.array(fps)], names=[*keep, "th", "fp"])
-
-    return some.mapInArrow(run, some.drop("__text").withColumns({"th": F.lit(0).cast("long"), "fp": F.lit(0).cast("long")}).schema)
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
 
 
 def shingle_keys(words: list[bytes], size: int = WORDS) -> np.ndarray:
-    """Sorted 64-bit hashes of the different shingles, as ``shingle_set`` takes them."""
+    """Sorted 64-bit hashes of a text's different shingles; of all its words, if they are fewer."""
     each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     k = max(1, len(each) - size + 1)
     key = np.full(k, min(len(each), size), np.uint64)
@@ -274,121 +277,186 @@ def shingle_keys(words: list[bytes], size: int = WORDS) -> np.ndarray:
     return np.unique(key)
 
 
-def shingle_rows(docs: DataFrame, text: str, rate: int = 1, rare: tuple[np.ndarray, np.ndarray] | None = None, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, th, n) of the different texts' shingles; n is how many a text has. rate: of one text in so many. rare: frequent keys, sorted, and their ranks;
-    if given, only the prefix of each text in the order of rank (0 for keys that aren't frequent) and key. A task gives a text once."""
+def prefix_length(n: int, share: float) -> int:
+    """Of sets of n, how many of their first items must hold one that they share if share * n or more are shared."""
+    return n - math.ceil(share * n - _ODDS) + 1
+
+
+def sketch(keys: np.ndarray) -> np.ndarray:
+    """One bit for each residue of the keys: whether an odd number has it; about as many bits as keys, a power of two. An item that only one of two sets has
+    changes one bit, so sketches differ in no more bits than sets in items. Of a sketch twice as long, the halves' exclusive or is the shorter one."""
+    bits = 1 << max(6, min(16, (len(keys) - 1).bit_length()))
+    odd = np.bincount((keys & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def frequent_keys(docs: DataFrame, text: str, rate: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of one text in so many, sorted, and their ranks, the rarest first. At most ``FREQUENT`` reach the driver."""
+    t = F.coalesce(F.col(text), F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in modest(batches):
-            keys, ths, ns = [], [], []
-            for t in b.column(0):
-                t = t.as_py()
-                th = sequence_hash(t)
-                if th in seen or th % rate:
-                    continue
-                seen.add(th)
-                own = shingle_keys((t or "").encode().lower().split())
-                n = len(own)
-                if rare is not None:
-                    rank = np.zeros(n, np.int64)
-                    if len(rare[0]):
-                        at = np.minimum(np.searchsorted(rare[0], own), len(rare[0]) - 1)
-                        rank = np.where(rare[0][at] == own, rare[1][at], 0)
-                    own = own[np.argsort(rank, kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]]
-                keys.append(own)
-                ths.append(np.full(len(own), th))
-                ns.append(np.full(len(own), n, np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ths)), pa.array(np.concatenate(ns))], names=["key", "th", "n"])
-
-    return docs.select(F.col(text).alias("t")).mapInArrow(run, "key long, th long, n int")
-
-
-def alike(docs: DataFrame, text: str, linked: DataFrame, n: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of texts whose shingles' Jaccard similarity is at least that: with linked's pairs they have the components that all such pairs have.
-    n: how many texts there are, about.
-
-    Two sets that similar have a shingle in common among the first n - ceil(similarity * n) + 1 of each, in any one order of all shingles. The order is
-    by frequency, learned from a sample, so that what many texts share comes last; it bears on the work, not on the result. Each text is compared with
-    the next smaller and the first one of its buckets, then with all texts of its buckets that aren't in its component by then, so groups of copies
-    aren't squared.
-    """
-    common = shingle_rows(docs, text, max(1, n // SAMPLE)).select("key", "th").distinct().groupBy("key").count().where(F.col("count") >= MET)
+            found = []
+            for x in b.column(0):
+                words = words_of(x.as_py())
+                if (th := sequence_hash(words)) not in seen:
+                    seen.add(th)
+                    own = shingle_keys(words)
+                    found.append((np.full(len(own), th), own))
+            if found:
+                th, own = map(np.concatenate, zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(th)], names=["key", "th"])
+
+    some = docs.select(t.alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(rate)) == 0)
+    common = some.mapInArrow(run, "key long, th long").distinct().groupBy("key").count().where(F.col("count") >= MET)
     top = [r["key"] for r in common.orderBy(F.desc("count"), "key").limit(FREQUENT).collect()]
     keys = np.array(top, np.int64).view(np.uint64)
     order = np.argsort(keys)
-    rare = keys[order], (len(top) - np.arange(len(top)))[order]
-    bucket = Window.partitionBy("key")
-    filed = shingle_rows(docs, text, 1, rare, similarity).withColumns({"low": F.min("th").over(bucket), "high": F.max("th").over(bucket)}).where("low <> high")
-    filed = staged(filed.select("key", "th", "n").distinct())
-    fit = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
-    some = filed
-    for name, w in (("before", bucket.orderBy("n", "th")), ("first", bucket.orderBy("th"))):
-        some = some.withColumn(name, (F.lag if name == "before" else F.first)(F.struct("th", "n")).over(w))
-    some = some.select("th", "n", F.explode(F.array("before", "first")).alias("o")).select("th", "n", F.col("o.th").alias("other"), F.col("o.n").alias("m"))
-    tried = staged(some.where((F.col("th") != F.col("other")) & fit).select(F.least("th", "other").alias("a"), F.greatest("th", "other").alias("b")).distinct())
-    found = staged(verified(tried, docs, text, similarity))
-    classes = components(linked.unionByName(found))
-    apart = filed.join(classes, F.col("th") == F.col("node"), "left").select("key", "th", "n", F.coalesce("root", "th").alias("root"))
-    apart = apart.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).where("low <> high").select("key", "th", "n", "root")
-    apart = staged(apart)
-    x, y = apart.select("key", F.col("th").alias("a"), "n", F.col("root").alias("ra")), apart.select("key", F.col("th").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
-    rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fit).select("a", "b").distinct()
-    rest = staged(rest.join(tried, ["a", "b"], "left_anti"))
-    return found.unionByName(verified(rest, docs, text, similarity))
+    return keys[order], (len(top) - np.arange(len(top)))[order]
+
+
+def texts_of(rows: DataFrame, text: str, rare: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """rows without the text, and of it: ``th``, ``fp``, ``n`` (different shingles), ``sketch``, ``keys`` (its prefix in the order of rank and key) and ``short`` (how many
+    of these suffice for partners that aren't smaller). A task gives a text's keys and sketch once, for later copies null."""
+    names = [c for c in rows.columns if c != text]
+    at = rows.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in modest(batches):
+            cells = []
+            for x in b.column(at):
+                t = x.as_py()
+                words = words_of(t)
+                th, fp = sequence_hash(words), signed(fingerprint(t))
+                if th in seen:
+                    cells.append((th, fp, None, None, None, None))
+                    continue
+                seen.add(th)
+                own = shingle_keys(words)
+                n = len(own)
+                rank = np.zeros(n, np.int64)
+                if len(rare[0]):
+                    place = np.minimum(np.searchsorted(rare[0], own), len(rare[0]) - 1)
+                    rank = np.where(rare[0][place] == own, rare[1][place], 0)
+                first = own[np.argsort(rank, kind="stable")[: prefix_length(n, similarity)]]
+                cells.append((th, fp, n, sketch(own), first.view(np.int64), prefix_length(n, 2 * similarity / (1 + similarity))))
+            if cells:
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32())
+                arrays = [pa.array(c, t) for c, t in zip(zip(*cells, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + arrays, names=[*names, "th", "fp", "n", "sketch", "keys", "short"])
+
+    added = "th long, fp long, n int, sketch array<long>, keys array<long>, short int"
+    return rows.mapInArrow(run, StructType([*rows.select(*names).schema.fields, *StructType.fromDDL(added).fields]))
+
+
+def fit(n: str, m: str, similarity: float) -> F.Column:
+    return F.least(n, m) >= similarity * F.greatest(n, m) - _ODDS
+
+
+def close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sketches differ in no more bits than sets of such similarity can differ in items, and ``bits``."""
+    of = lambda x: nodes.select(F.col("th").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+
+    def cut(x: F.Column, size: F.Column) -> F.Column:
+        halves = F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) == size, x).otherwise(halves)
+
+    size = F.least(F.size("sa"), F.size("sb"))
+    bits = F.aggregate(F.zip_with(cut(F.col("sa"), size), cut(F.col("sb"), size), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, y: x + y)
+    return both.where(fit("na", "nb", similarity)).withColumn("bits", bits).where(F.col("bits") <= (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + _ODDS).select("a", "b", "bits")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str, similarity: float) -> DataFrame:
     """The pairs of texts whose shingles' Jaccard similarity is at least that. A bit map of a fixed size tells a pass over the documents which texts
-    may be among the pairs, so only their shingles are shuffled."""
+    may be among the pairs, so that, while these are fewer than its bits, only their shingles are shuffled; at worst all texts' are, once for each side."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct().select((F.col("th").bitwiseAND(F.lit((1 << MAP_BITS) - 1)) + 1).alias("p"))  # the functions count from 1
     rows = ids.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
     parts = {r["k"]: bytes(r["m"]) for r in rows}  # at most 2 ** MAP_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in modest(batches):
             out: dict[int, np.ndarray] = {}
             for t in b.column(0):
-                t = t.as_py()
-                th = sequence_hash(t)
+                words = words_of(t.as_py())
+                th = sequence_hash(words)
                 p = th & ((1 << MAP_BITS) - 1)
                 m, at = parts.get(p // 32768 + 1), p % 32768
-                if m is not None and m[at // 8] >> at % 8 & 1 and th not in out:
-                    out[th] = shingle_set(t)
+                if m is not None and m[at // 8] >> at % 8 & 1 and th not in seen:
+                    seen.add(th)
+                    out[th] = shingle_keys(words).view(np.int64)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.list_(pa.int32()))], names=["th", "s"])
-
-    sets = docs.select(F.col(text).alias("t")).mapInArrow(run, "th long, s array<int>")
-    sets = staged(sets.groupBy("th").agg(F.first("s").alias("s")))
-    n = sets.select("th", F.size("s").alias("n"))
-    a, b = (n.withColumnsRenamed({"th": x, "n": f"n{x}"}) for x in "ab")
-    fit = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b")
-    both = fit.join(sets.withColumnsRenamed({"th": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"th": "b", "s": "sb"}), "b")
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.list_(pa.int64()))], names=["th", "s"])
+
+    sets = docs.select(F.col(text).alias("t")).mapInArrow(run, "th long, s array<long>").groupBy("th").agg(F.first("s").alias("s"))
+    both = pairs.select("a", "b").join(sets.select(F.col("th").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("th").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared) - _ODDS).select("a", "b")
+
+
+def alike(prints: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, linked: DataFrame, similarity: float) -> DataFrame:
+    """(node, root): the components of texts under linked's pairs and "the Jaccard similarity of the shingles is at least that". prints: as of ``texts_of``;
+    nodes: one row for each different text; both staged.
+
+    Two sets that similar have a shingle in common among the first n - ceil(similarity * n) + 1 of each, in any one order of all shingles, and among fewer
+    of the smaller one. The order is by frequency, learned from a sample, so that what many texts share comes last; it bears on the work, not on the result.
+    Texts that share such a shingle are filed together. Few are compared pair by pair; of more, each is compared with the next smaller and with the first at
+    once, and with the others only if they aren't in one component by then, so groups of copies aren't squared. Comparing is by sketches, whose bits bound
+    the difference from below; what passes is verified by the shingles themselves: for each text the closest first, then what would still join components.
+    """
+    filed = prints.where("keys is not null").select("th", "n", "short", F.posexplode("keys").alias("at", "key")).select("key", "th", "n", (F.col("at") < F.col("short")).alias("near"))
+    bucket = Window.partitionBy("key")
+    filed = filed.withColumns({"low": F.min("th").over(bucket), "high": F.max("th").over(bucket)}).where("low <> high").select("key", "th", "n", "near").distinct()
+    filed = staged(filed.withColumn("times", F.count("*").over(bucket)))
+    few, many = filed.where(F.col("times") <= FEW), filed.where(F.col("times") > FEW)
+
+    def crossed(x: DataFrame, y: DataFrame, extra: F.Column) -> DataFrame:
+        smaller = F.when(F.col("n") < F.col("m"), F.col("near")).when(F.col("n") > F.col("m"), F.col("near_b")).otherwise(F.col("near") & F.col("near_b"))
+        return x.withColumnRenamed("th", "a").join(y.withColumnsRenamed({"th": "b", "n": "m", "near": "near_b", "root": "root_b"}), "key").where((F.col("a") < F.col("b")) & fit("n", "m", similarity) & smaller & extra).select("a", "b").distinct()
+
+    one = crossed(few.select("key", "th", "n", "near"), few.select("key", "th", "n", "near"), F.lit(True))
+    some = many.select("key", "th", "n")
+    for name, w in (("before", bucket.orderBy("n", "th")), ("first", bucket.orderBy("th"))):
+        some = some.withColumn(name, (F.lag if name == "before" else F.first)(F.struct("th", "n")).over(w))
+    some = some.select("th", "n", F.explode(F.array("before", "first")).alias("o")).select("th", "n", F.col("o.th").alias("other"), F.col("o.n").alias("m"))
+    some = some.where((F.col("th") != F.col("other")) & fit("n", "m", similarity)).select(F.least("th", "other").alias("a"), F.greatest("th", "other").alias("b")).distinct()
+    tried = staged(close(one.unionByName(some).distinct(), nodes, similarity))
+    best = staged(tried.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b"))
+    found = staged(verified(best, docs, text, similarity))
+    classes = staged(components(linked.unionByName(found)))
+    roots = lambda x: classes.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    left = tried.select("a", "b").join(best, ["a", "b"], "left_anti").join(roots("a"), "a", "left").join(roots("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    apart = many.join(classes, F.col("th") == F.col("node"), "left").select("key", "th", "n", "near", F.coalesce("root", "th").alias("root"))
+    apart = staged(apart.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).where("low <> high").select("key", "th", "n", "near", "root"))
+    rest = close(crossed(apart, apart, F.col("root") != F.col("root_b")), nodes, similarity).select("a", "b")
+    rest = staged(left.unionByName(rest).distinct().join(best, ["a", "b"], "left_anti"))
+    if rest.isEmpty():
+        return classes
+    more = staged(verified(rest, docs, text, similarity))
+    return components(linked.unionByName(found).unionByName(more)) if not more.isEmpty() else classes
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 2, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each class of near duplicates, that with the smallest id (null ids last; of several the one with the smallest hash of all its
-    columns; of equal rows one). All columns as they were. No row: no row.
+    columns; of equal rows one). All columns as they were, whatever their names. No row: no row. Map-typed columns aren't supported.
 
     Texts are linked if their fingerprints differ in ``distance`` bits or fewer, which loses no link, or if ``similarity`` or more of their shingles of five
     words are the same, which loses none either (see ``alike``). Null and blank texts are one text.
     """
-    keep = docs.columns
-
-    rows = docs.withColumns({"__row": F.xxhash64(*keep), "__row2": F.xxhash64(F.lit(1), *keep)})
-    seen = staged(texts_of(rows.select("__row", "__row2", F.col(doc_id).alias("__id"), F.col(text).alias("__t")), ["__row", "__row2", "__id"], "__t"))
-    first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"), F.col("__row2").alias("row2"))).alias("first")
-    nodes = staged(seen.groupBy("th", "fp").agg(first))
-    n = nodes.count()
-    roots = components(links(staged(nodes.select("fp").distinct()), distance))
-    led = nodes.select("th", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("th", F.coalesce("root", "fp").alias("root"))
-    near = led.join(led.groupBy("root").agg(F.min("th").alias("a")), "root").where("a <> th").select("a", F.col("th").alias("b"))
-    near = staged(near)
-    similar = alike(docs, text, near, n, similarity)
-    classes = components(near.unionByName(similar))
-    least = F.min("first").alias("first")
-    chosen = nodes.select("th", "first").join(classes, F.col("th") == F.col("node"), "left").groupBy(F.coalesce("root", "th").alias("class")).agg(least).select(F.col("first.row").alias("__row"), F.col("first.row2").alias("__row2"))
-    return rows.dropDuplicates(["__row", "__row2"]).join(chosen, ["__row", "__row2"], "left_semi").select(*keep)
+    rows = docs.select(packed(docs), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).withColumns({"h": F.xxhash64("row"), "h2": F.xxhash64(F.lit(1), "row")})
+    rare = frequent_keys(docs, text, max(1, docs.count() // SAMPLE))
+    prints = staged(texts_of(rows.select("h", "h2", "id", "text"), "text", rare, similarity))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "h2")).alias("first")
+    nodes = staged(prints.groupBy("th").agg(F.first("fp").alias("fp"), first, F.max("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")))
+    heads = staged(nodes.groupBy("fp").agg(F.min("th").alias("head")))
+    copies = nodes.select("fp", "th").join(heads, "fp").where("head <> th").select(F.col("head").alias("a"), F.col("th").alias("b"))
+    joined = links(heads.select("fp"), distance)
+    for x in ("a", "b"):
+        joined = joined.join(heads.select(F.col("fp").alias(x), F.col("head").alias(f"head_{x}")), x)
+    near = staged(copies.unionByName(joined.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b"))))
+    classes = alike(prints, nodes, docs, text, near, similarity)
+    chosen = nodes.select("th", "first").join(classes, F.col("th") == F.col("node"), "left").groupBy(F.coalesce("root", "th").alias("class")).agg(F.min("first").alias("first")).select("first.h", "first.h2")
+    return rows.select("h", "h2", "row").dropDuplicates(["h", "h2"]).join(chosen, ["h", "h2"], "left_semi").select(*unpacked(docs.columns))

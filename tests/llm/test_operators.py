@@ -393,14 +393,19 @@ class TestTopK:
 class TestSharding:
     def test_feistel_is_a_permutation(self, spark):
         for n in (1, 2, 3, 10, 97, 100, 1000):
-            got = sorted(r[0] for r in sharding.permuted(spark.range(n).withColumnRenamed("id", "x"), "x", n, 3).select("__permuted").collect())
+            got = sorted(r[0] for r in spark.range(n).select(sharding.permuted(F.col("id"), n, 3)).collect())
             assert got == list(range(n))
 
     def test_large_numbers(self, spark):
         n = 3_000_000_000_000
-        got = [r[0] for r in sharding.permuted(spark.range(n - 500, n).withColumnRenamed("id", "x"), "x", n).select("__permuted").collect()]
+        got = [r[0] for r in spark.range(n - 500, n).select(sharding.permuted(F.col("id"), n)).collect()]
         assert len(set(got)) == 500 and all(0 <= x < n for x in got)
 
+    def test_long_walks_end(self, spark, monkeypatch):
+        monkeypatch.setattr(sharding, "STEPS", 1)
+        for n in (2, 3, 5, 10, 91):
+            assert sorted(r[0] for r in spark.range(n).select(sharding.permuted(F.col("id"), n, 1)).collect()) == list(range(n))
+
     def test_shards_and_slots(self, docs, none, monkeypatch):
         monkeypatch.setattr(sharding, "RUN", 8)
         rows = docs.select("doc_id", "number", "__extra", F.lit("old").alias("slot")).unionByName(docs.select(F.lit(9).cast("long").alias("doc_id"), "number", "__extra", F.lit("old").alias("slot")))
@@ -587,3 +592,27 @@ class TestToxicity:
         kept = toxicity.rejected(d, toxicity.Model({" idiot ": 5.0}))
         assert [tuple(r) for r in kept.collect()] == [(2, "fine", 2.0, "y")] and kept.columns == d.columns
         assert toxicity.scores(d, toxicity.Model({}), ["__density", "score"]).columns == ["__density", "score"]
+
+
+#: Names that the operators use for columns of their own.
+INTERNAL = "row id h h2 th fp n sketch keys short key at near times bucket start offset number k place copies cut rest low from size source_size target first none head root node a b density logsum score lang __row __hash __density __in __number __k".split()
+
+
+class TestClashingNames:
+    """Stages give back all columns as they were, whatever they are called."""
+
+    OPERATORS = {
+        "rejected": lambda d, spark: toxicity.rejected(d, toxicity.Model({" bad ": 9.0})),
+        "deduplicated": lambda d, spark: simhash.deduplicated(d),
+        "decontaminated": lambda d, spark: decontaminate.decontaminated(d, spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id long, text string")),
+        "repeated": lambda d, spark: mixing.repeated(d, weights=(1.0,), share=1.0),
+        "shards": lambda d, spark: sharding.shards(d, 3).drop("shard", "slot"),
+    }
+
+    @pytest.mark.parametrize("name", OPERATORS)
+    def test_columns_come_back(self, spark, name):
+        rng = random.Random(5)
+        rows = [(k, random_text(rng, 12, 500), f"s{k % 2}", *(f"{c}{k}" for c in INTERNAL)) for k in range(12)]
+        d = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *(f"`{c}` string" for c in INTERNAL)]))
+        got = self.OPERATORS[name](d, spark)
+        assert got.columns == d.columns and {tuple(r) for r in got.collect()} == set(rows)
