@@ -8,7 +8,7 @@ The model is an n-gram model with hierarchical Dirichlet smoothing, read as an a
   its first word; the state without context always answers, with ``(c(w) - D) / N`` or, for all unknown words together,
   ``D * V / N``. ``D = n1 / (n1 + 2 * n2)`` from the counts of words seen once and twice.
 
-A text is one pass from left to right: each token adds the log of its arc's weight and of those of the failure arcs before it.
+A text is one pass from left to right that carries the state: each token adds the log of its arc's weight and of those of the failure arcs before it.
 
 The model never has to fit one machine. Texts are cut into blocks of a bounded number of tokens. A block sends the hash of
 each of its n-grams, once, to one of many buckets; a bucket adds up the counts of all blocks and answers each block with
@@ -234,41 +234,90 @@ def answer(buckets: int, order: int):
 
 
 class Automaton:
-    """A block's part of the model, compiled: for each token's n-gram of each order its count, which is its arc, or 0, which is none."""
+    """A block's part of the model, compiled into arrays.
+
+    States are numbered: 0 is the state without context, then come the block's words, then its pairs of words. An arc is an n-gram that was seen, from the state of its first
+    n - 1 words by its last word to the state of its last ORDER - 1 words; ``origin`` and ``target`` hold its ends, ``weight`` its log10 probability. ``failure`` holds for each state
+    where its failure arc leads, ``cost`` that arc's weight. A state is reached only by arcs, so contexts that were never seen have none.
+    """
 
     def __init__(self, grams: Grams, totals: list[np.ndarray], share: np.ndarray, mu: dict[int, float]):
-        self.grams, self.totals, self.mu = grams, totals, mu
+        self.grams, self.totals = grams, totals
         self.n, self.v, n1, n2 = (int(x) for x in share)
         self.discount = min(0.999, max(0.001, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
+        order = len(totals)
+        #: The first state of contexts of each length.
+        self.base = np.concatenate([[0, 1], 1 + np.cumsum([len(t) for t in totals[: order - 1]])]).astype(np.int64)
+        self.first = np.flatnonzero(grams.since == 0)
+        before = np.full(len(grams.at[0]), -1, np.int32)
+        self.origin, self.target, self.weight = [], [], []
+        failure, cost = [np.zeros(1, np.int64)], [np.zeros(1)]
+        lower = shorter = np.zeros(0)
+        for k in range(order):
+            at, count = grams.at[k], totals[k].astype(np.float64)
+            there = at >= 0
+            origin, part = np.zeros(len(count), np.int64), np.zeros(len(count), np.int64)  # of each n-gram: its state, and the (n - 1)-gram of its last words
+            if k == 0:
+                p = np.where(count > 0, (count - self.discount) / max(self.n, 1), self.discount * self.v / self.n if self.n else 1.0)
+            else:
+                before[1:] = grams.at[k - 1][:-1]
+                before[self.first] = self.end if k == 1 else -1
+                origin[at[there]], part[at[there]] = before[there], grams.at[k - 1][there]
+                p = (count + mu[k + 1] * lower[part]) / (shorter[origin] + mu[k + 1])
+                origin += self.base[k]
+            kept = k + 1 < order
+            state = self.base[k + 1] + np.arange(len(count)) if kept else self.base[k] + part
+            self.origin.append(origin)
+            self.target.append(np.where(count > 0, state, 0))
+            self.weight.append(np.log10(p))
+            if kept:
+                failure.append(self.base[k] + part if k else np.zeros(len(count), np.int64))
+                cost.append(np.log10(mu[k + 2] / (count + mu[k + 2])))
+            lower, shorter = p, count
+        self.failure, self.cost = np.concatenate(failure), np.concatenate(cost)
+
+    @property
+    def end(self) -> int:
+        """The end as a word."""
+        last = np.append(self.grams.since[1:] == 0, True)
+        return int(self.grams.at[0][last][0]) if len(last) and len(self.grams.since) else -1
 
     def seen(self, order: int) -> np.ndarray:
         at = self.grams.at[order - 1]
         return np.where(at >= 0, self.totals[order - 1][at], 0).astype(np.float64) if len(self.totals[order - 1]) else np.zeros(len(at))
 
-    def unknown(self) -> float:
-        return self.discount * self.v / self.n if self.n else 1.0
-
-    def walk(self) -> np.ndarray:
-        """The log10 weight of each token's path. The state before a token is its context, so all tokens' arcs, and the
-        failure arcs that lead to them, are looked up side by side; the sum over a text is still that of one pass over it."""
-        c = self.seen(1)
-        p = np.where(c > 0, (c - self.discount) / max(self.n, 1), self.unknown())
-        before = c
-        for order in range(2, len(self.totals) + 1):
-            arc = self.seen(order)
-            context = np.zeros_like(before)
-            context[1:] = before[:-1]
-            if order == 2:  # the end before a text's first word is counted as a word of its own
-                context[self.grams.since == 0] = before[self.ends()][0] if len(before) else 0
-            there = self.grams.at[order - 1] >= 0
-            mu = self.mu[order]
-            p = np.where(there, (arc + mu * p) / (context + mu), p)
-            before = arc
-        return np.log10(p)
-
-    def ends(self) -> np.ndarray:
-        """Where the texts end."""
-        return np.flatnonzero(np.append(self.grams.since[1:] == 0, True))
+    def walk(self, piece: int = 256) -> np.ndarray:
+        """The log10 weight of each token's path: its arc's and those of the failure arcs before it. One pass from left to right that carries the state, over many
+        pieces of texts side by side. A piece within a text starts ORDER - 1 tokens early, after which its state is the text's, as no state is longer."""
+        size, order = len(self.grams.since), len(self.totals)
+        out = np.zeros(size)
+        if not size:
+            return out
+        since = self.grams.since
+        starts = np.flatnonzero((since == 0) | (since % piece == 0))
+        early = np.minimum(since[starts], order - 1)
+        steps = np.diff(np.append(starts, size)) + early
+        by = np.argsort(-steps, kind="stable")  # longest first, so that those still under way are a slice
+        starts, early, steps = starts[by], early[by], steps[by]
+        state = np.where(since[starts] == early, self.target[0][self.end], 0)  # the end before a text's first word is a context like any other
+        for step in range(int(steps[0])):
+            n = int(np.searchsorted(-steps, -step, "left"))
+            at = starts[:n] - early[:n] + step
+            now, total, to = state[:n].copy(), np.zeros(n), np.full(n, -1)
+            for k in range(order - 1, -1, -1):  # from the longest context on, along failure arcs
+                arc = self.grams.at[k][at]
+                here = (to < 0) & (now >= self.base[k])
+                hit = here & (arc >= 0)
+                hit[hit] = (self.origin[k][arc[hit]] == now[hit]) & ((self.totals[k][arc[hit]] > 0) | (k == 0))
+                total[hit] += self.weight[k][arc[hit]]
+                to[hit] = self.target[k][arc[hit]]
+                miss = here & ~hit
+                total[miss] += self.cost[now[miss]]
+                now[miss] = self.failure[now[miss]]
+            state[:n] = to
+            new = step >= early[:n]
+            out[at[new]] = total[new]
+        return out
 
 
 def score(order: int, mu: dict[int, float]):

@@ -197,6 +197,8 @@ def links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
 
 #: A value is a hub if it has more than this share of all rows, and more than so many; so there are fewer than 1,000 hubs.
 HUB_SHARE, HUB_ROWS = 1000, 256
+#: Pairs of a graph that one task takes at least, so that small graphs don't cost many tasks a round.
+TASK_ROWS = 500_000
 
 
 def with_least(rows: DataFrame, key: str, value: str, total: int) -> tuple[DataFrame, str]:
@@ -204,7 +206,7 @@ def with_least(rows: DataFrame, key: str, value: str, total: int) -> tuple[DataF
 
     Counts and minima are pre-aggregated. The minima of hubs are sent out, a thousand at most; their rows stay where they are. The others meet theirs in a join.
     """
-    lows, path = written(rows.groupBy(key).agg(F.min(value).alias("low"), F.count("*").alias("times")))
+    lows, path = written(rows.groupBy(key).agg(F.min(value).alias("low"), F.count("*").alias("times")).coalesce(1 + total // TASK_ROWS))
     hub = F.col("times") > max(HUB_ROWS, total // HUB_SHARE)
     hubs = F.broadcast(lows.where(hub).select(key, "low"))
     return rows.join(hubs, key).unionByName(rows.join(hubs, key, "left_anti").join(lows.where(~hub).select(key, "low"), key)), path
@@ -224,10 +226,10 @@ def components(pairs: DataFrame) -> DataFrame:
         before = tuple(said)
         both = now.union(now.select("b", "a"))
         near, lows = with_least(both, "a", "b", 2 * said[0])
-        large, stars = written(near.where("b > a").select(F.least("low", "a").alias("low"), "b").select(F.col("low").alias("a"), "b").distinct())
+        large, stars = written(near.where("b > a").select(F.least("low", "a").alias("low"), "b").select(F.col("low").alias("a"), "b").distinct().coalesce(1 + said[0] // TASK_ROWS))
         deleted(spark, path, lows)
         down, lows = with_least(large.select(F.col("b").alias("node"), F.col("a").alias("smaller")), "node", "smaller", said[0])
-        now, path = written(down.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("smaller").alias("b")), F.struct(F.col("low").alias("a"), F.col("node").alias("b")))).alias("p")).select("p.*").where("a <> b").distinct())
+        now, path = written(down.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("smaller").alias("b")), F.struct(F.col("low").alias("a"), F.col("node").alias("b")))).alias("p")).select("p.*").where("a <> b").distinct().coalesce(1 + 2 * said[0] // TASK_ROWS))
         deleted(spark, stars, lows)
 
 
@@ -369,11 +371,11 @@ def close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     return both.where(fit("na", "nb", similarity)).withColumn("bits", bits).where(F.col("bits") <= (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + _ODDS).select("a", "b", "bits")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text: str, similarity: float) -> DataFrame:
-    """The pairs of texts whose shingles' Jaccard similarity is at least that. A bit map of a fixed size tells a pass over the documents which texts
-    may be among the pairs, so that, while these are fewer than its bits, only their shingles are shuffled; at worst all texts' are, once for each side."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct().select((F.col("th").bitwiseAND(F.lit((1 << MAP_BITS) - 1)) + 1).alias("p"))  # the functions count from 1
-    rows = ids.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
+def shingles(ids: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(th, s) of the texts with such ids (column ``th``), and of few others: the keys of all their shingles. A bit map of a fixed size tells a pass over the documents which
+    texts they may be, so that, while these are fewer than its bits, only their shingles are shuffled; at worst all texts' are."""
+    at = ids.select((F.col("th").bitwiseAND(F.lit((1 << MAP_BITS) - 1)) + 1).alias("p"))  # the functions count from 1
+    rows = at.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
     parts = {r["k"]: bytes(r["m"]) for r in rows}  # at most 2 ** MAP_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,12 +393,113 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, similarity: float) ->
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.list_(pa.int64()))], names=["th", "s"])
 
-    sets = docs.select(F.col(text).alias("t")).mapInArrow(run, "th long, s array<long>").groupBy("th").agg(F.first("s").alias("s"))
+    return docs.select(F.col(text).alias("t")).mapInArrow(run, "th long, s array<long>").groupBy("th").agg(F.first("s").alias("s"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, text: str, similarity: float) -> DataFrame:
+    """The pairs of texts whose shingles' Jaccard similarity is at least that."""
+    sets = shingles(pairs.select(F.explode(F.array("a", "b")).alias("th")), docs, text)
     both = pairs.select("a", "b").join(sets.select(F.col("th").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("th").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared) - _ODDS).select("a", "b")
 
 
+class Block:
+    """Texts that are compared with one another: sizes, components, whether the shingle that they share suffices for partners that aren't smaller, sketches."""
+
+    def __init__(self, t: pa.Table, similarity: float):
+        self.similarity = similarity
+        self.th, self.n, self.root = (t[c].to_numpy() for c in ("th", "n", "root"))
+        self.near = t["near"].to_numpy(zero_copy_only=False)
+        self.sketches = [np.asarray(x, np.int64).view(np.uint64) for x in t["sketch"].to_pylist()]  # bits of a signed number would be counted of its absolute value
+
+    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(i, j) of the pairs of different components that sizes and sketches allow, closest first within each run of up to 512 texts i."""
+        longs = np.array([len(x) for x in self.sketches])
+        n, near = self.n.astype(np.float64), self.near
+        share = (1 - self.similarity) / (1 + self.similarity)
+        for size in np.unique(longs).tolist():
+            own = np.flatnonzero(longs == size)
+            other = np.flatnonzero((longs == size) | (longs == 2 * size))
+            sketches = np.stack([self.sketches[k] if longs[k] == size else self.sketches[k][:size] ^ self.sketches[k][size:] for k in other])
+            mine = np.stack([self.sketches[k] for k in own])
+            for at in range(0, len(own), 512):
+                i, a = own[at : at + 512], mine[at : at + 512]
+                bits = np.zeros((len(i), len(other)), np.int32)
+                for c in range(size):
+                    bits += np.bitwise_count(a[:, c, None] ^ sketches[None, :, c])
+                ni, nj = n[i][:, None], n[other][None, :]
+                ok = (bits <= (ni + nj) * share + _ODDS) & (np.minimum(ni, nj) >= self.similarity * np.maximum(ni, nj) - _ODDS) & (self.root[i][:, None] != self.root[other][None, :])
+                ok &= np.where(ni < nj, near[i][:, None], np.where(ni > nj, near[other][None, :], near[i][:, None] & near[other][None, :]))
+                ok &= (longs[other] > size)[None, :] | (i[:, None] < other[None, :])  # of one length, each pair once
+                x, y = np.nonzero(ok)
+                by = np.argsort(bits[x, y], kind="stable")
+                yield i[x[by]], other[y[by]]
+
+
+def blocks(rows: DataFrame, times: str, size: int) -> DataFrame:
+    """rows of a key in chunks of about ``size``, and each chunk once for each chunk of its key: two texts of a key meet in the block of their two chunks."""
+    chunks = F.ceil(F.col(times) / size)
+    rows = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("th"), "chunks"))
+    return rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumns({"i": F.least("chunk", "with"), "j": F.greatest("chunk", "with")}).drop("chunks", "chunk", "with")
+
+
+def apart_links(filed: DataFrame, classes: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, similarity: float) -> DataFrame:
+    """Pairs (a, b) that have the components which all pairs of such similarity have among texts with one key but of different components so far.
+
+    The texts of a key are compared in blocks of bounded size, within tasks. First by sketches: a pair counts in the block of the smallest key that suffices
+    for it, and what comes out are the texts that have any partner. Only these bring their shingles, for second blocks, which verify pairs closest first,
+    but none of texts that the block has linked by then: what comes out is a forest, fewer links than texts.
+    """
+    bucket = Window.partitionBy("key")
+    apart = filed.join(classes, F.col("th") == F.col("node"), "left").select("key", "th", "n", "near", F.coalesce("root", "th").alias("root"))
+    apart = staged(apart.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket), "times": F.count("*").over(bucket)}).where("low <> high").drop("low", "high"))
+    each = apart.groupBy("th").agg(F.collect_list("key").alias("own"), F.collect_list(F.when(F.col("near"), F.col("key"))).alias("own_near"))  # at most a text's prefix
+    rows = apart.join(each, "th").join(nodes.select("th", "sketch"), "th")
+
+    def first(t: pa.Table) -> pa.Table:
+        block, key = Block(t, similarity), t["key"][0].as_py()
+        own, near = ([frozenset(x) for x in t[c].to_pylist()] for c in ("own", "own_near"))
+        active = np.zeros(t.num_rows, bool)
+        for i, j in block.candidates():
+            for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                if active[a] and active[b]:
+                    continue
+                small, large = (a, b) if block.n[a] <= block.n[b] else (b, a)
+                if min(near[small] & (near if block.n[a] == block.n[b] else own)[large]) == key:
+                    active[a] = active[b] = True
+        return pa.table({"key": pa.array(np.full(int(active.sum()), key)), "th": pa.array(block.th[active])})
+
+    active = staged(blocks(rows, "times", 1024).groupBy("key", "i", "j").applyInArrow(first, "key long, th long").distinct())
+    if active.isEmpty():
+        return active.select(F.col("key").alias("a"), F.col("th").alias("b"))
+    rows = apart.drop("times").join(active, ["key", "th"]).withColumn("times", F.count("*").over(bucket)).join(nodes.select("th", "sketch"), "th").join(shingles(active.select("th"), docs, text), "th")
+
+    def second(t: pa.Table) -> pa.Table:
+        block = Block(t, similarity)
+        sets = [np.asarray(x, np.int64) for x in t["s"].to_pylist()]
+        group = np.unique(block.root, return_inverse=True)[1].tolist()
+        parent = list(range(max(group, default=-1) + 1))
+        links = []
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for i, j in block.candidates():
+            for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                x, y = find(group[a]), find(group[b])
+                if x != y:
+                    shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    if shared >= similarity * (len(sets[a]) + len(sets[b]) - shared) - _ODDS:
+                        parent[x] = y
+                        links.append((min(block.th[a], block.th[b]), max(block.th[a], block.th[b])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return staged(blocks(rows, "times", 256).groupBy("key", "i", "j").applyInArrow(second, "a long, b long").distinct())
+
+
 def alike(prints: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, linked: DataFrame, similarity: float) -> DataFrame:
     """(node, root): the components of texts under linked's pairs and "the Jaccard similarity of the shingles is at least that". prints: as of ``texts_of``;
     nodes: one row for each different text; both staged.
@@ -404,39 +507,31 @@ def alike(prints: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, linke
     Two sets that similar have a shingle in common among the first n - ceil(similarity * n) + 1 of each, in any one order of all shingles, and among fewer
     of the smaller one. The order is by frequency, learned from a sample, so that what many texts share comes last; it bears on the work, not on the result.
     Texts that share such a shingle are filed together. Few are compared pair by pair; of more, each is compared with the next smaller and with the first at
-    once, and with the others only if they aren't in one component by then, so groups of copies aren't squared. Comparing is by sketches, whose bits bound
+    once, and with the others in blocks, only if they aren't in one component by then (``apart_links``). Comparing is by sketches, whose bits bound
     the difference from below; what passes is verified by the shingles themselves: for each text the closest first, then what would still join components.
     """
     filed = prints.where("keys is not null").select("th", "n", "short", F.posexplode("keys").alias("at", "key")).select("key", "th", "n", (F.col("at") < F.col("short")).alias("near"))
     bucket = Window.partitionBy("key")
     filed = filed.withColumns({"low": F.min("th").over(bucket), "high": F.max("th").over(bucket)}).where("low <> high").select("key", "th", "n", "near").distinct()
     filed = staged(filed.withColumn("times", F.count("*").over(bucket)))
-    few, many = filed.where(F.col("times") <= FEW), filed.where(F.col("times") > FEW)
-
-    def crossed(x: DataFrame, y: DataFrame, extra: F.Column) -> DataFrame:
-        smaller = F.when(F.col("n") < F.col("m"), F.col("near")).when(F.col("n") > F.col("m"), F.col("near_b")).otherwise(F.col("near") & F.col("near_b"))
-        return x.withColumnRenamed("th", "a").join(y.withColumnsRenamed({"th": "b", "n": "m", "near": "near_b", "root": "root_b"}), "key").where((F.col("a") < F.col("b")) & fit("n", "m", similarity) & smaller & extra).select("a", "b").distinct()
-
-    one = crossed(few.select("key", "th", "n", "near"), few.select("key", "th", "n", "near"), F.lit(True))
-    some = many.select("key", "th", "n")
+    few, many = filed.where(F.col("times") <= FEW).drop("times"), filed.where(F.col("times") > FEW).drop("times")
+    smaller = F.when(F.col("n") < F.col("m"), F.col("near")).when(F.col("n") > F.col("m"), F.col("near_b")).otherwise(F.col("near") & F.col("near_b"))
+    one = few.withColumnRenamed("th", "a").join(few.withColumnsRenamed({"th": "b", "n": "m", "near": "near_b"}), "key").where((F.col("a") < F.col("b")) & fit("n", "m", similarity) & smaller).select("a", "b")
+    some = many
     for name, w in (("before", bucket.orderBy("n", "th")), ("first", bucket.orderBy("th"))):
         some = some.withColumn(name, (F.lag if name == "before" else F.first)(F.struct("th", "n")).over(w))
     some = some.select("th", "n", F.explode(F.array("before", "first")).alias("o")).select("th", "n", F.col("o.th").alias("other"), F.col("o.n").alias("m"))
-    some = some.where((F.col("th") != F.col("other")) & fit("n", "m", similarity)).select(F.least("th", "other").alias("a"), F.greatest("th", "other").alias("b")).distinct()
+    some = some.where((F.col("th") != F.col("other")) & fit("n", "m", similarity)).select(F.least("th", "other").alias("a"), F.greatest("th", "other").alias("b"))
     tried = staged(close(one.unionByName(some).distinct(), nodes, similarity))
     best = staged(tried.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b"))
     found = staged(verified(best, docs, text, similarity))
     classes = staged(components(linked.unionByName(found)))
     roots = lambda x: classes.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
     left = tried.select("a", "b").join(best, ["a", "b"], "left_anti").join(roots("a"), "a", "left").join(roots("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    apart = many.join(classes, F.col("th") == F.col("node"), "left").select("key", "th", "n", "near", F.coalesce("root", "th").alias("root"))
-    apart = staged(apart.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).where("low <> high").select("key", "th", "n", "near", "root"))
-    rest = close(crossed(apart, apart, F.col("root") != F.col("root_b")), nodes, similarity).select("a", "b")
-    rest = staged(left.unionByName(rest).distinct().join(best, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
-        return classes
-    more = staged(verified(rest, docs, text, similarity))
-    return components(linked.unionByName(found).unionByName(more)) if not more.isEmpty() else classes
+    left = staged(left)
+    more = staged(verified(left, docs, text, similarity)) if not left.isEmpty() else left
+    more = more.unionByName(apart_links(many, classes, nodes, docs, text, similarity))
+    return classes if more.isEmpty() else components(linked.unionByName(found).unionByName(more))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 2, similarity: float = SIMILARITY) -> DataFrame:

@@ -88,6 +88,35 @@ class TestLanguageModel:
         assert [x[:4] for x in have] == [x[:4] for x in want]
         assert np.allclose([x[4:] for x in have], [x[4:] for x in want])
 
+    def test_states_and_failure_arcs(self):
+        """a b a b c: the states, arcs and failure arcs by hand."""
+        names = ["a", "b", "c", "end"]
+        hashes = np.array([11, 22, 33, int(lm.END)], np.uint64)
+        codes = np.array([0, 1, 0, 1, 2, 3])
+        grams = lm.Grams(hashes, codes, np.array([True] + [False] * 5), 3)
+        totals = [np.bincount(at[at >= 0], minlength=len(h)).astype(np.uint32) for at, h in zip(grams.at, grams.hashes, strict=True)]
+        model = lm.Automaton(grams, totals, np.array([6, 4, 2, 2]), {2: 1.0, 3: 1.0})
+        word = {x: int(grams.at[0][codes.tolist().index(k)]) for k, x in enumerate(names)}
+        pair = {p: int(grams.at[1][t]) for t, p in enumerate(["end a", "a b", "b a", "a b", "b c", "c end"])}
+        state = {"": 0} | {x: 1 + k for x, k in word.items()} | {p: 1 + len(word) + k for p, k in pair.items()}
+        assert all(model.failure[state[x]] == 0 for x in names) and all(model.failure[state[p]] == state[p.split()[1]] for p in pair)
+        assert math.isclose(model.cost[state["a b"]], math.log10(1 / 3)) and math.isclose(model.cost[state["c"]], math.log10(1 / 2))
+        arcs = {(int(o), int(t)) for k in range(3) for o, t, n in zip(model.origin[k], model.target[k], totals[k], strict=True) if n}
+        want = {(state[""], state[x]) for x in names} | {(state[p.split()[0]], state[p]) for p in pair}
+        want |= {(state["end a"], state["a b"]), (state["a b"], state["b a"]), (state["b a"], state["a b"]), (state["a b"], state["b c"]), (state["b c"], state["c end"])}
+        assert arcs == want
+        whole = model.walk()
+        assert all(np.allclose(model.walk(piece), whole) for piece in (1, 2, 3, 5))
+
+    def test_copies_in_training_show(self, spark):
+        """A held-out text of which training holds a copy scores higher than one of which it holds none; a text that training holds twice higher than once."""
+        rng = random.Random(8)
+        text = lambda: " ".join(f"w{rng.randint(0, 3000)}" for _ in range(40))
+        rows = [(k, text(), True) for k in range(300)]
+        rows += [(1000 + k, rows[k][1], False) for k in range(20)] + [(2000 + k, text(), False) for k in range(20)] + [(3000 + k, rows[30 + k][1], True) for k in range(20)]
+        got = {r["id"]: r["score"] / r["n_tokens"] for r in lm.backoff_scores(spark.createDataFrame(rows, "doc_id long, text string, t boolean"), "doc_id", "text", F.col("t")).collect()}
+        assert min(got[1000 + k] for k in range(20)) > max(got[2000 + k] for k in range(20)) and np.mean([got[30 + k] for k in range(20)]) > np.mean([got[60 + k] for k in range(200)])
+
     def test_conditional_probabilities_sum_to_one(self):
         codes = np.array([1, 2, 1, 2, 0, 1, 1, 0])  # 0: the end
         hashes = np.array([lm.END, 7, 9], np.uint64)
