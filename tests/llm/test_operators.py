@@ -367,11 +367,12 @@ class TestUrls:
         )
         assert urls.judged(pages.limit(0), pages.limit(0).select("url", F.lit(True).alias("bad")), rules).collect() == []
 
-    def test_mined_rules_are_those_of_brute_force(self, spark):
+    @pytest.mark.parametrize("wide", [0, 2, 3, 12])
+    def test_mined_rules_are_those_of_brute_force(self, spark, wide):
         rng = random.Random(1)
         rows = [(sorted(rng.sample("abcdef", rng.randint(1, 4))),) for _ in range(300)]
         rows = [(t, ("a" in t and "b" in t) if rng.random() < 0.9 else rng.random() < 0.3) for (t,) in rows]
-        got = urls.mined(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.02, 0.6)
+        got = urls.mined(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.02, 0.6, wide=wide)
         from itertools import combinations
 
         want = {}
@@ -387,6 +388,15 @@ class TestUrls:
         rows = [(common + (["rare"] if k % 10 == 0 else []), k % 10 == 0) for k in range(60)]
         assert [(t, c) for t, c, _ in urls.mined(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.02, 0.6)] == [(("rare",), 1.0)]
 
+    def test_urls_of_sixty_segments(self, spark):
+        """Forty pages that share sixty segments: each tells, none is lost, no power set is listed."""
+        path = "/".join(f"s{a}{b}" for a in "abcdef" for b in "ghijklmnop")
+        rows = [(k, f"http://h{k}.net/{path}/{k}" if k < 40 else f"http://h{k}.net/plain/{k}", k < 40) for k in range(100)]
+        pages = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+        more = spark.createDataFrame([(200, "http://x.net/sbk"), (201, "http://x.net/plain/sbq"), (202, "http://x.net/" + "y" * 50_000), (203, "")], "page_id long, url string")
+        got = {r["id"]: r["verdict"] for r in urls.judged(pages.select("page_id", "url").unionByName(more), pages.select("url", "bad"), []).collect()}
+        assert all((got[k] == "block") == (k < 40) for k in range(100)) and [got[k] for k in (200, 201, 202, 203)] == ["block", "allow", "allow", "allow"]
+
     def test_matching_finds_what_was_mined(self, spark):
         pages = spark.createDataFrame([(k, f"http://{'spam' if k % 3 == 0 else 'good'}.net/p/{k}") for k in range(60)], "page_id long, url string")
         out = urls.judged(pages, pages.select("url", (F.col("page_id") % 3 == 0).alias("bad")), []).collect()
