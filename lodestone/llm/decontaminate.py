@@ -7,8 +7,11 @@ by its template, each slot's value in the item must stand for one value in the d
 numbers or names is still that question, a chance fit isn't. A document holds an item if it has three fifths of the item's windows, or of those of its windows that
 are of use as templates, if these are a quarter of all. A capitalised word within a sentence is a name, wherever its text has it capitalised.
 
-Documents are read once and not shuffled. The index goes to all tasks; it is built for so many items at a time that their texts
-have at most ``INDEX_BYTES`` bytes, and a larger benchmark takes as many passes.
+Some items are one window as a whole: those of fewer than five words, which are held where their plain words stand in a row, and those with too few windows that
+are of use as templates, which besides are held where their whole template fits, with three plain words or more and consistent slots.
+
+Documents aren't shuffled. The index goes to all tasks; it is built for so many items at a time that their texts
+have at most ``INDEX_BYTES`` bytes, and a larger benchmark takes as many passes, each written before the next one starts, so no task or driver ever holds two.
 """
 
 from __future__ import annotations
@@ -24,14 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import encoded, modest, split_words
+from lodestone.llm.common import deleted, encoded, modest, split_words, staged, written
 
 WINDOW = 5
 SHARE = 0.6
 PLAIN = 3
 #: Of slots whose values must agree.
 AGREE = 0.9
-INDEX_BYTES = 32 << 20
+INDEX_BYTES = 4 << 20
 
 # Number words and units.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
@@ -41,6 +44,9 @@ _DIGITS = re.compile(r"[^\w]*\d[\d.,:/%]*(?:[a-zA-Z%°]{0,3})[^\w]*\Z")
 _LETTERS = re.compile(r"[\W_]+")
 NUM, UNIT, NAME = (np.uint64(xxhash.xxh64_intdigest(f"<{x}>")) for x in ("number", "unit", "name"))
 WORD_, NUMBER_, UNIT_ = 0, 1, 2
+#: An odd number and its inverse modulo 2 ** 64.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 def word_features(word: str) -> tuple[int, int, bool, bool]:
@@ -99,6 +105,18 @@ class Windows:
         self.slots = (slots[width : width + n] - slots[:n])[self.at] if n else np.zeros(0, np.int64)
         self.width = width
 
+    def runs(self, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where runs of so many words within a text start, and their hashes: sums of words' hashes by powers of an odd number, for any width at the same cost."""
+        n = len(h) - width + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        with np.errstate(over="ignore"):
+            up, down = (np.cumprod(np.append(np.uint64(1), np.full(len(h) - 1, x, np.uint64)), dtype=np.uint64) for x in (BASE, INVERSE))
+            sums = np.append(np.uint64(0), np.cumsum(h * up, dtype=np.uint64))
+            found = (sums[width:] - sums[:n]) * down[:n]
+        at = np.flatnonzero(self.text_of[:n] == self.text_of[width - 1 :])
+        return at, found[at] ^ (found[at] >> np.uint64(32))
+
     @staticmethod
     def _hash(h: np.ndarray, n: int, width: int) -> np.ndarray:
         out = np.zeros(n, np.uint64)
@@ -111,8 +129,8 @@ class Windows:
 class Index:
     """The windows of some items, by hash."""
 
-    def __init__(self, ids: list, texts: list[str]):
-        self.ids = ids
+    def __init__(self, ids: list, texts: list[str], parts: int = 1):
+        self.ids, self.parts = ids, parts
         w = Windows(pa.array(texts, pa.string()))
         self.words = [w.names[c] for c in w.codes.tolist()]
         self.total = np.bincount(w.text_of[w.at], minlength=len(ids))
@@ -125,6 +143,18 @@ class Index:
             if slots and slots <= w.width - PLAIN:
                 self.where[b].append((item, at - int(starts[item]), at, True))
         self.slot = w.slot
+        # items that are one window as a whole: (width, by template): hash: [(item, first word)]
+        self.whole: dict[tuple[int, bool], dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        sizes = np.bincount(w.text_of, minlength=len(ids))
+        slots = np.bincount(w.text_of[w.slot], minlength=len(ids))
+        short = np.flatnonzero((sizes > 0) & (sizes < w.width))
+        dense = np.flatnonzero((sizes >= w.width) & (4 * self.usable < self.total) & (sizes - slots >= PLAIN))
+        for which, by, template in ((short, w.plain, False), (dense, w.template, True)):
+            for size in np.unique(sizes[which]).tolist():
+                at, hashes = w.runs(by, size)
+                at_of = dict(zip(at.tolist(), hashes.tolist(), strict=True))
+                for item in which[sizes[which] == size].tolist():
+                    self.whole[size, template][at_of[int(starts[item])]].append((item, int(starts[item])))
         keys = np.array(list(self.where), np.uint64)
         self.bits = max(16, min(24, int(len(keys)).bit_length() + 7))
         self.there = np.zeros(1 << self.bits, bool)
@@ -161,7 +191,26 @@ class Index:
             if len(pair["plain"]) >= least or agree >= AGREE * all_:
                 changed = sum(c.most_common(1)[0][0] != there for there, c in values.items())
                 out.append((text, item, len(both), len(pair["plain"]), int(self.total[item]), changed))
-        return out
+        known = {(text, item) for text, item, *_ in out}
+        for text, item, plain, changed in self.held_whole(w):
+            if (text, item) not in known:
+                known.add((text, item))
+                out.append((text, item, 1, plain, 1, changed))
+        return sorted(out)
+
+    def held_whole(self, w: Windows) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, 1 if by its plain words, slots with another value) for each place that holds an item that is one window."""
+        for (size, template), where in self.whole.items():
+            at, hashes = w.runs(w.template if template else w.plain, size)
+            for k in np.flatnonzero(np.isin(hashes, np.array(list(where), np.uint64))).tolist():
+                for item, first in where[int(hashes[k])]:
+                    values: dict[str, Counter] = defaultdict(Counter)
+                    for d in range(size):
+                        if template and self.slot[first + d]:
+                            values[self.words[first + d]][w.names[w.codes[at[k] + d]]] += 1
+                    if sum(max(c.values()) for c in values.values()) >= AGREE * sum(map(Counter.total, values.values())):
+                        changed = sum(c.most_common(1)[0][0] != there for there, c in values.items())
+                        yield int(w.text_of[at[k]]), item, int(not changed), changed
 
 
 def indexes(benchmark: DataFrame, item_id: str, text: str, index_bytes: int = INDEX_BYTES) -> Iterator[Index]:
@@ -172,14 +221,14 @@ def indexes(benchmark: DataFrame, item_id: str, text: str, index_bytes: int = IN
     for k in range(parts):
         some = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k).collect() if parts > 1 else items.collect()
         if some:
-            yield Index([r["id"] for r in some], [r["text"] for r in some])
+            yield Index([r["id"] for r in some], [r["text"] for r in some], parts)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and item that it holds: doc_id, item_id, n_windows (of the item), n_matched, n_plain, n_changed (slots with
     other values), kind (``verbatim`` or ``template``).
 
-    Items and documents of fewer than five words hold nothing. Null texts are empty. Null ids are carried. Rows that repeat give rows that repeat.
+    An item without words is held by none, a document without words holds none. Null texts are empty. Null ids are carried. Rows that repeat give rows that repeat.
     """
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -196,6 +245,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), types, strict=True)], names=kind.replace(" long", "").replace(" string", "").split(", "))
 
         some = rows.mapInArrow(run, kind)
+        some = staged(some) if index.parts > 1 else some
         out = some if out is None else out.unionByName(some)
     return out if out is not None else docs.sparkSession.createDataFrame([], kind)
 
@@ -203,8 +253,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows that hold an item; all columns as they were."""
 
-    keep = docs.columns
-    at = keep.index(text)
+    at, before = docs.columns.index(text), None
     for index in indexes(benchmark, item_id, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
@@ -214,4 +263,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
                 yield b.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if index.parts > 1:
+            path, (docs, now) = before, written(docs)
+            before = now
+            if path:
+                deleted(docs.sparkSession, path)
     return docs

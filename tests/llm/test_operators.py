@@ -491,6 +491,35 @@ class TestDecontamination:
         other = item.replace("12 15 18 22", "3 1 4 9").replace("31", "6").replace("by 7", "by 2")
         assert set(self.held(spark, [(1, other), (2, "please add the numbers and nothing else of it at all")], [(1, item)])) == {(1, 1)}
 
+    def test_short_items_and_dense_ones(self, spark):
+        items = [(1, "Forty-two!"), (2, "the grubble fish"), (3, "12 + 35 = 47, 9 * 8 = 72: sum, or product?"), (4, "..."), (5, "grubble fish")]
+        docs = [
+            (10, "what is it? forty-two"), (11, "forty two"), (12, "see The Grubble, fish swim"), (13, "the grubbles fish"), (14, "so: 1 + 2 = 3, 5 * 6 = 30: sum or product it is"),
+            (15, "so: 1 + 2 = 1, 1 * 2 = 2: sum or product"), (16, "..."), (17, ""), (18, "the grubble"), (19, "word " * 30_000 + "the grubble fish"), (20, "12 + 35 = 47, 9 * 8 = 72: sum, or product?"),
+        ]
+        assert set(self.held(spark, docs, items)) == {(10, 1), (12, 2), (12, 5), (14, 3), (15, 3), (19, 2), (19, 5), (20, 3)}
+
+    def test_windows_match_brute_force(self, spark):
+        """Items of plain words: held where three fifths of their windows of five words are in the document, by sets of tuples."""
+        rng = random.Random(31)
+        items = [(k, random_text(rng, rng.randint(5, 14), 12)) for k in range(25)]
+        docs = []
+        for k in range(120):
+            text = random_text(rng, rng.randint(0, 40), 12).split()
+            cut = items[rng.randrange(25)][1].split()
+            a = rng.randrange(len(cut))
+            at = rng.randint(0, len(text))
+            docs.append((k, " ".join(text[:at] + cut[a : a + rng.randint(1, 12)] + text[at:])))
+        grams = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+        starts = lambda t: [tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)]
+        want = {(d, i) for d, x in docs for i, y in items if sum(g in grams(x) for g in starts(y)) >= 0.6 * len(starts(y))}
+        assert set(self.held(spark, docs, items)) == want and len(want) > 10
+
+    def test_clashing_names(self, spark):
+        d = spark.createDataFrame([(1, f"x {self.ITEM} y", 5, "k"), (2, "plain", 6, "l")], "doc_id long, text string, item_id int, kind string")
+        b = spark.createDataFrame([(7, self.ITEM, "t")], "item_id long, text string, doc_id string")
+        assert [tuple(r)[:2] for r in decontaminate.contaminated(d, b).collect()] == [(1, 7)] and [tuple(r) for r in decontaminate.decontaminated(d, b).collect()] == [(2, "plain", 6, "l")]
+
     def test_inconsistent_slots_are_no_hit(self, spark):
         item = "if x costs 5 then two of x cost 5 and the rest of it at 5 is what you pay for 5 in all"
         fits = item.replace("5", "8")
