@@ -195,21 +195,24 @@ def links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-#: A value is a hub if it has more than this share of all rows, and more than so many; so there are fewer than 1,000 hubs.
-HUB_SHARE, HUB_ROWS = 1000, 256
+#: A value is a hub if it has more than one in so many of all rows, and more than so many, which one task takes easily; so there are fewer than 1,000 hubs.
+HUB_SHARE, HUB_ROWS = 1000, 100_000
 #: Pairs of a graph that one task takes at least, so that small graphs don't cost many tasks a round.
 TASK_ROWS = 500_000
 
 
-def with_least(rows: DataFrame, key: str, value: str, total: int) -> tuple[DataFrame, str]:
-    """rows with ``low``, the least value of the row's key, and the path of a table that may be deleted when the result is written. total: how many rows there are.
+def with_least(rows: DataFrame, key: str, value: str, total: int) -> tuple[DataFrame, list[str]]:
+    """rows with ``low``, the least value of the row's key, and paths of tables that may be deleted when the result is written. total: how many rows there are at most.
 
     Counts and minima are pre-aggregated. The minima of hubs are sent out, a thousand at most; their rows stay where they are. The others meet theirs in a join.
     """
-    lows, path = written(rows.groupBy(key).agg(F.min(value).alias("low"), F.count("*").alias("times")).coalesce(1 + total // TASK_ROWS))
+    lows = rows.groupBy(key).agg(F.min(value).alias("low"), F.count("*").alias("times"))
+    if total <= HUB_ROWS:  # no key can be a hub
+        return rows.join(lows.select(key, "low"), key), []
+    lows, path = written(lows.coalesce(1 + total // TASK_ROWS))
     hub = F.col("times") > max(HUB_ROWS, total // HUB_SHARE)
     hubs = F.broadcast(lows.where(hub).select(key, "low"))
-    return rows.join(hubs, key).unionByName(rows.join(hubs, key, "left_anti").join(lows.where(~hub).select(key, "low"), key)), path
+    return rows.join(hubs, key).unionByName(rows.join(hubs, key, "left_anti").join(lows.where(~hub).select(key, "low"), key)), [path]
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -227,10 +230,10 @@ def components(pairs: DataFrame) -> DataFrame:
         both = now.union(now.select("b", "a"))
         near, lows = with_least(both, "a", "b", 2 * said[0])
         large, stars = written(near.where("b > a").select(F.least("low", "a").alias("low"), "b").select(F.col("low").alias("a"), "b").distinct().coalesce(1 + said[0] // TASK_ROWS))
-        deleted(spark, path, lows)
+        deleted(spark, path, *lows)
         down, lows = with_least(large.select(F.col("b").alias("node"), F.col("a").alias("smaller")), "node", "smaller", said[0])
         now, path = written(down.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("smaller").alias("b")), F.struct(F.col("low").alias("a"), F.col("node").alias("b")))).alias("p")).select("p.*").where("a <> b").distinct().coalesce(1 + 2 * said[0] // TASK_ROWS))
-        deleted(spark, stars, lows)
+        deleted(spark, stars, *lows)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 2, shingle: int = 3, extra: tuple[str, ...] = ()) -> DataFrame:

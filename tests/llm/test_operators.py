@@ -199,6 +199,12 @@ class TestSimHash:
         got = {(signed[r["a"]], signed[r["b"]]) for r in simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), 2, 100_000).collect()}
         assert {frozenset(p) for p in got} == {frozenset((a, b)) for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 2}
 
+    def test_hubs(self, spark, monkeypatch):
+        monkeypatch.setattr(simhash, "HUB_ROWS", 5)
+        pairs = spark.createDataFrame([(9, k) for k in range(10, 60)] + [(k, 100) for k in range(70, 90)] + [(59, 100), (200, 201)], "a long, b long")
+        want = {(k, 9) for k in (*range(10, 60), *range(70, 90), 100)} | {(201, 200)}
+        assert {(r["node"], r["root"]) for r in simhash.components(pairs).collect()} == want
+
     def test_a_long_chain(self, spark):
         pairs = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long")
         assert {(r["node"], r["root"]) for r in simhash.components(pairs).collect()} >= {(k, 0) for k in range(1, 301)}
