@@ -63,7 +63,7 @@ _seen: dict[str, tuple] = {}
 
 
 def features_of(names: list[str]) -> tuple[np.ndarray, ...]:
-    if len(_seen) > 1_000_000:
+    if len(_seen) > 1 << 17:
         _seen.clear()
     found = []
     for w in names:
