@@ -70,9 +70,11 @@ def interval_bands(spark, d):
 
 @query()
 def title_versions(spark, d):
-    """[J17] Whole texts of documents, by source."""
-    docs = table(spark, d, "documents").select("source", "doc_id", F.col("text").alias("title"), F.col("n_chars").alias("year"))
-    return titles.merged_versions(docs, "source", "doc_id", "title", "year")
+    """[J17] What each customer bought, an order's first parts as its title; a customer's orders are one task's."""
+    lines = table(spark, d, "lineitem").where("l_linenumber <= 2").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    named = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.array_sort(F.collect_list("p_name")), " ").alias("title"))
+    works = table(spark, d, "orders").join(named, "o_orderkey").select("o_custkey", "o_orderkey", "title", F.year("o_orderdate").alias("year"))
+    return titles.merged_versions(works, "o_custkey", "o_orderkey", "title", "year")
 
 
 @query("""

@@ -276,10 +276,14 @@ def source_pending(spark, d):
     return pending(rows.select("l_partkey").distinct(), rows.where("y < 1998 and l_quantity < 10"), ["l_partkey"])
 
 
-@query()
+@query("""
+WITH i AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_partkey IS NOT NULL), n AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 50 AS batch FROM i)
+SELECT batch, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM n GROUP BY 1
+""")
 def source_id_batches(spark, d):
     """[S6]"""
-    return id_batches(table(spark, d, "lineitem"), "l_partkey", 50)
+    batches = id_batches(table(spark, d, "lineitem"), "l_partkey", 50)
+    return batches.select("batch", F.size("ids").cast("long").alias("n"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query("""
@@ -301,11 +305,11 @@ def gate_verdicts(spark, d):
 
 @query("""
 SELECT p_partkey, sum(l_quantity)::BIGINT AS quantity, count(*) AS n, (SELECT count(*) FROM lineitem WHERE l_quantity > 45) AS all_large
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_retailprice >= 1000 GROUP BY 1 HAVING sum(l_quantity) >= 300 AND count(*) >= 5
+FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_retailprice >= 910 GROUP BY 1 HAVING sum(l_quantity) >= 300 AND count(*) >= 5
 """)
 def group_having(spark, d):
     """[A3, A4, F15]"""
     l = table(spark, d, "lineitem").select("l_partkey", "l_quantity")
     large = l.where("l_quantity > 45").agg(F.count("*").alias("all_large"))
-    rows = l.join(table(spark, d, "part").where("p_retailprice >= 1000").select(F.col("p_partkey").alias("l_partkey")), "l_partkey").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum("l_quantity").cast("long").alias("quantity"), F.count("*").alias("n")).where("quantity >= 300 and n >= 5")
+    rows = l.join(table(spark, d, "part").where("p_retailprice >= 910").select(F.col("p_partkey").alias("l_partkey")), "l_partkey").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum("l_quantity").cast("long").alias("quantity"), F.count("*").alias("n")).where("quantity >= 300 and n >= 5")
     return rows.withColumn("all_large", F.lit(large.first()[0]).cast("long"))

@@ -356,3 +356,52 @@ def test_commit_leaves_nothing_behind_on_a_violation(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.committed(df, f"{tmp_path}/t", {"small": F.col("n") < 2})
     assert spark.read.parquet(f"{tmp_path}/t").count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+class TestConfinedConsole:
+    @pytest.mark.parametrize(
+        "sql",
+        [
+            "SELECT java_method('java.lang.System', 'getProperty', 'user.home') AS professor_id",
+            "SELECT `reflect`('java.lang.System', 'nanoTime') AS professor_id FROM people",
+            "SELECT _c0 AS professor_id FROM csv.`/etc/hostname`",
+            "SELECT professor_id FROM people WHERE professor_id IN (SELECT _c0 FROM csv.`/etc/hostname`)",
+            "SELECT id AS professor_id FROM range(3)",
+            "WITH t AS (SELECT 1 AS professor_id) SELECT professor_id FROM other",
+        ],
+    )
+    def test_refused_before_it_runs(self, spark, sql):
+        from lodestone.plans import console
+
+        people = spark.createDataFrame([(1,), (2,)], "professor_id long")
+        spark.createDataFrame([(1,)], "professor_id long").createOrReplaceTempView("other")
+        with pytest.raises(console.Refused):
+            console.confined(spark, sql, {"people": people.selectExpr("*")})
+        spark.catalog.dropTempView("other")
+
+    def test_views_go_and_results_stay(self, spark):
+        from lodestone.plans import console
+
+        people = spark.createDataFrame([(1,), (2,), (2,)], "professor_id long")
+        ids, n = console.run(spark, "WITH t AS (SELECT professor_id AS p FROM people) SELECT max(p) OVER () AS professor_id FROM t", {"people": people}, people)
+        assert n == 3 and [tuple(r) for r in ids.collect()] == [(2,)] and "people" not in {t.name for t in spark.catalog.listTables()}
+
+
+class TestTopicQueries:
+    def test_words_and_glossary(self, spark):
+        assert search.words_of_query("Lithium-ion batteries, (spin) glasses · x") == ["lithium-ion", "battery", "spin", "glass"]
+        glossary = spark.createDataFrame([("전자", ["electron"]), ("유전자", ["gene", "gene expression"]), ("물리", ["physics"])], "word string, means array<string>")
+        said = lambda *t: {r[0] for r in search.expanded(list(t), glossary).collect()}
+        assert said("전자") == {"electron"} and said("spin") == {"spin"} and said("물리학") == {"physics"} and said() == set()
+        assert said("유전자학", "x ray") == {"gene", "gene expression", "expression", "electron", "x ray", "x", "ray"}
+
+    def test_scratch_tables_go(self, spark):
+        import glob
+
+        from lodestone.operators import staging
+
+        folder = staging.shared_folder(spark).removeprefix("file:")
+        with staging.scratch(spark):
+            assert staging.staged(spark.range(3)).count() == 3
+            there = set(glob.glob(f"{folder}/table-*"))
+        assert len(there - set(glob.glob(f"{folder}/table-*"))) == 1
