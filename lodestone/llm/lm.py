@@ -251,12 +251,12 @@ class Automaton:
         self.first = np.flatnonzero(grams.since == 0)
         before = np.full(len(grams.at[0]), -1, np.int32)
         self.origin, self.target, self.weight = [], [], []
-        failure, cost = [np.zeros(1, np.int64)], [np.zeros(1)]
+        failure, cost = [np.zeros(1, np.int32)], [np.zeros(1)]
         lower = shorter = np.zeros(0)
         for k in range(order):
             at, count = grams.at[k], totals[k].astype(np.float64)
             there = at >= 0
-            origin, part = np.zeros(len(count), np.int64), np.zeros(len(count), np.int64)  # of each n-gram: its state, and the (n - 1)-gram of its last words
+            origin, part = np.zeros(len(count), np.int32), np.zeros(len(count), np.int32)  # of each n-gram: its state, and the (n - 1)-gram of its last words
             if k == 0:
                 p = np.where(count > 0, (count - self.discount) / max(self.n, 1), self.discount * self.v / self.n if self.n else 1.0)
             else:
@@ -264,14 +264,14 @@ class Automaton:
                 before[self.first] = self.end if k == 1 else -1
                 origin[at[there]], part[at[there]] = before[there], grams.at[k - 1][there]
                 p = (count + mu[k + 1] * lower[part]) / (shorter[origin] + mu[k + 1])
-                origin += self.base[k]
+                origin += np.int32(self.base[k])
             kept = k + 1 < order
-            state = self.base[k + 1] + np.arange(len(count)) if kept else self.base[k] + part
+            state = np.arange(len(count), dtype=np.int32) + np.int32(self.base[k + 1]) if kept else part + np.int32(self.base[k])
             self.origin.append(origin)
-            self.target.append(np.where(count > 0, state, 0))
+            self.target.append(np.where(count > 0, state, np.int32(0)))
             self.weight.append(np.log10(p))
             if kept:
-                failure.append(self.base[k] + part if k else np.zeros(len(count), np.int64))
+                failure.append(part + np.int32(self.base[k]) if k else np.zeros(len(count), np.int32))
                 cost.append(np.log10(mu[k + 2] / (count + mu[k + 2])))
             lower, shorter = p, count
         self.failure, self.cost = np.concatenate(failure), np.concatenate(cost)
@@ -299,11 +299,11 @@ class Automaton:
         steps = np.diff(np.append(starts, size)) + early
         by = np.argsort(-steps, kind="stable")  # longest first, so that those still under way are a slice
         starts, early, steps = starts[by], early[by], steps[by]
-        state = np.where(since[starts] == early, self.target[0][self.end], 0)  # the end before a text's first word is a context like any other
+        state = np.where(since[starts] == early, self.target[0][self.end], np.int32(0))  # the end before a text's first word is a context like any other
         for step in range(int(steps[0])):
             n = int(np.searchsorted(-steps, -step, "left"))
             at = starts[:n] - early[:n] + step
-            now, total, to = state[:n].copy(), np.zeros(n), np.full(n, -1)
+            now, total, to = state[:n].copy(), np.zeros(n), np.full(n, -1, np.int32)
             for k in range(order - 1, -1, -1):  # from the longest context on, along failure arcs
                 arc = self.grams.at[k][at]
                 here = (to < 0) & (now >= self.base[k])
@@ -341,7 +341,8 @@ def score(order: int, mu: dict[int, float]):
             grams = Grams(words[coded(len(words), top)], codes, text_starts(counts), order)
             own = seen_in(grams, np.repeat(train.astype(bool), counts))
             totals = [np.concatenate([r[2 + n] for r in replies]) + own[n] for n in range(order)]
-            del replies, own
+            del replies, own, words
+            grams.hashes.clear()  # of no more use
             model = Automaton(grams, totals, share, mu)
             known = model.seen(1)
             starts = np.cumsum(counts) - counts
