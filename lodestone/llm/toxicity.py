@@ -221,7 +221,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc
             found = measured(b.column(1), model.cached())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["label", "density", "logsum"])
 
-    got = rows.select("label", "text").mapInArrow(run, "label int, density double, logsum double").orderBy("label", "density", "logsum").toPandas()
+    # sorted here, so that sums over them don't depend on the order of arrival
+    got = rows.select("label", "text").mapInArrow(run, "label int, density double, logsum double").toPandas().sort_values(["label", "density", "logsum"])
     model.coefficients = fitted(got[["density", "logsum"]].to_numpy(), got["label"].to_numpy(float))
     return model
 
