@@ -170,6 +170,11 @@ def text_starts(counts: np.ndarray) -> np.ndarray:
     return first
 
 
+def home(block: int, buckets: int) -> int:
+    """Where a block is scored: the k-th blocks of neighbouring tasks go to neighbouring buckets, so equal tasks fill all buckets evenly."""
+    return ((block >> 24) + (block & 0xFFFFFF)) % buckets
+
+
 def batched(rows: list[tuple], size: int = 64) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(rows), size):
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + size], strict=True), ROWS.types, strict=True)], schema=ROWS)
@@ -190,7 +195,7 @@ def ask(buckets: int, order: int, tokens: int):
             cuts = [np.searchsorted(bucket_of(h, buckets, HASH_BITS if n else 64), np.arange(buckets + 1)) for n, h in enumerate(grams.hashes)]
             grams.at.clear()
             codes_kind = np.uint32 if len(words) > 1 << 16 else np.uint16
-            rows = [(block % buckets, block, -1, pack(ids, null, train, counts.astype(np.uint32), top, codes.astype(codes_kind)))]
+            rows = [(home(block, buckets), block, -1, pack(ids, null, train, counts.astype(np.uint32), top, codes.astype(codes_kind)))]
             rows += [(b, block, b, pack(*(x for h, c, cut in zip(grams.hashes, seen, cuts, strict=True) for x in (packed_hashes(h[cut[b] : cut[b + 1]]), c[cut[b] : cut[b + 1]])))) for b in range(buckets)]
             del grams, seen
             yield from batched(rows)
@@ -207,7 +212,7 @@ def answer(buckets: int, order: int):
             rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
             for _, block, bucket, body in rows:
                 if bucket < 0:
-                    yield from batched([(block % buckets, block, -1, body)])
+                    yield from batched([(home(block, buckets), block, -1, body)])
                 else:
                     asked.setdefault(bucket, []).append((block, body))
         for bucket, rows in asked.items():
@@ -228,7 +233,7 @@ def answer(buckets: int, order: int):
                     others = total[back[at : at + len(k)]] - p[2 * n + 1]
                     reply.append(others.astype(np.uint32 if not len(others) or others.max() < 1 << 32 else np.uint64))
                     at += len(k)
-            yield from batched([(block % buckets, block, bucket, pack(share, own, *reply)) for (block, _), own, reply in zip(rows, words, replies, strict=True)])
+            yield from batched([(home(block, buckets), block, bucket, pack(share, own, *reply)) for (block, _), own, reply in zip(rows, words, replies, strict=True)])
 
     return run
 
@@ -321,36 +326,41 @@ class Automaton:
 
 
 def score(order: int, mu: dict[int, float]):
-    """A block's texts and all buckets' answers to one row for each text."""
+    """A block's texts and all buckets' answers to one row for each text. Rows come sorted by block, so a task holds one block at a time."""
+
+    def scored(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        (_, body), *rows = sorted(rows)  # a block's texts have bucket -1
+        ids, null, train, counts, top, codes = unpack(body)
+        counts, codes = counts.astype(np.int64), codes.astype(np.int64)
+        replies = [unpack(body) for _, body in rows]
+        share = np.sum([r[0] for r in replies], axis=0)
+        words = np.concatenate([np.cumsum(r[1], dtype=np.uint64) for r in replies])
+        grams = Grams(words[coded(len(words), top)], codes, text_starts(counts), order)
+        own = seen_in(grams, np.repeat(train.astype(bool), counts))
+        totals = [np.concatenate([r[2 + n] for r in replies]) + own[n] for n in range(order)]
+        del replies, own, words
+        grams.hashes.clear()  # of no more use
+        model = Automaton(grams, totals, share, mu)
+        known = model.seen(1)
+        starts = np.cumsum(counts) - counts
+        base = np.log10((known + 1) / (model.n + model.v + 1))
+        sums = [np.add.reduceat((known > 0).astype(np.int64), starts), np.full(len(ids), model.n), np.add.reduceat(base, starts), np.add.reduceat(model.walk(), starts)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, mask=null.astype(bool)), pa.array(train.astype(bool)), pa.array(counts), *(pa.array(x) for x in sums)],
+            names=["id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: dict[int, bytes] = {}
-        answers: dict[int, list[tuple[int, bytes]]] = {}
+        at, held = None, []
         for batch in modest(batches):
             for _, block, bucket, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket < 0:
-                    texts[block] = body
-                else:
-                    answers.setdefault(block, []).append((bucket, body))
-        for block in sorted(texts):
-            ids, null, train, counts, top, codes = unpack(texts.pop(block))
-            counts, codes = counts.astype(np.int64), codes.astype(np.int64)
-            replies = [unpack(body) for _, body in sorted(answers.pop(block))]
-            share = np.sum([r[0] for r in replies], axis=0)
-            words = np.concatenate([np.cumsum(r[1], dtype=np.uint64) for r in replies])
-            grams = Grams(words[coded(len(words), top)], codes, text_starts(counts), order)
-            own = seen_in(grams, np.repeat(train.astype(bool), counts))
-            totals = [np.concatenate([r[2 + n] for r in replies]) + own[n] for n in range(order)]
-            del replies, own, words
-            grams.hashes.clear()  # of no more use
-            model = Automaton(grams, totals, share, mu)
-            known = model.seen(1)
-            starts = np.cumsum(counts) - counts
-            base = np.log10((known + 1) / (model.n + model.v + 1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, mask=null.astype(bool)), pa.array(train.astype(bool))] + [pa.array(x) for x in (counts, np.add.reduceat((known > 0).astype(np.int64), starts), np.full(len(ids), model.n), np.add.reduceat(base, starts), np.add.reduceat(model.walk(), starts))],
-                names=["id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+                if block != at and held:
+                    yield scored(held)
+                    held = []
+                at = block
+                held.append((bucket, body))
+        if held:
+            yield scored(held)
 
     return run
 
@@ -369,5 +379,5 @@ def backoff_scores(docs: DataFrame, doc_id: str, text: str, training: F.Column,
     kind = "to int, block long, bucket int, body binary"
     asked = rows.mapInArrow(ask(buckets, order, block_tokens), kind)
     answered = asked.repartitionById(buckets, F.col("to")).mapInArrow(answer(buckets, order), kind)
-    home = answered.repartitionById(buckets, F.col("to"))
-    return home.mapInArrow(score(order, mu or MU), "id long, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    homes = answered.repartitionById(buckets, F.col("to")).sortWithinPartitions("block")
+    return homes.mapInArrow(score(order, mu or MU), "id long, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

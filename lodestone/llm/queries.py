@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontaminate, lm, mixing, sharding, simhash, tokens, topk, toxicity, urls
+from lodestone.llm import chat, decontaminate, lm, mixing, repair, sharding, simhash, tokens, topk, toxicity, urls
 from lodestone.llm.common import table
 
 
@@ -85,7 +85,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_backoff_lm, op2_simhash, op3_section_tokens, op4_mixing, op5_url_rules, op6_top_k, op7_sharding, op8_decontamination, op9_chat_format, op10_toxicity)}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = repair.damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    out = repair.repaired(turns, lost=F.col("lost"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(said, 256).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_backoff_lm, op2_simhash, op3_section_tokens, op4_mixing, op5_url_rules, op6_top_k, op7_sharding, op8_decontamination, op9_chat_format, op10_toxicity, op12_conversation_repair)}
 ORACLE_SQL = {
     "op6_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
@@ -101,5 +108,39 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
  sum(length(replace(replace(text, '\', '\\'), '<|', '<\|')) + CASE WHEN before IS DISTINCT FROM role THEN 35 + length(replace(replace(role, '\', '\\'), '<|', '<\|')) ELSE 11 END)::BIGINT AS formatted_chars
 FROM o GROUP BY 1
+""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+keyed AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+dealt AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+ xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS kind FROM keyed, crc),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+ FROM dealt, range(2) c(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, substr(role, 1, 1) AS i FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS again FROM o),
+f AS (SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY k) AS before, CASE WHEN regexp_full_match(text, '[ 	-
+]*') THEN 'b' WHEN again > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 't' ELSE '' END AS fault FROM n),
+s AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+ count(*) FILTER (k > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal, list({'i': i, 'fault': fault, 'role': role, 'text': text} ORDER BY k) AS l FROM f GROUP BY 1),
+-- p0 to p3: the cheapest (cost, audit) of the rows from k on, after nothing, a system, a user, an assistant turn; w: the same before inserts
+p AS (SELECT conv_id, l, n + 1 AS k, {'c': 0, 'a': ''} AS p0, {'c': 10, 'a': 'II'} AS p1, {'c': 5, 'a': 'I'} AS p2, {'c': 0, 'a': ''} AS p3 FROM s
+ UNION ALL SELECT conv_id, l, k - 1,
+ list_min([w0, {'c': w2.c + 5, 'a': 'I' || w2.a}, {'c': w3.c + 10, 'a': 'II' || w3.a}]), list_min([w1, {'c': w2.c + 5, 'a': 'I' || w2.a}, {'c': w3.c + 10, 'a': 'II' || w3.a}]),
+ list_min([w2, {'c': w3.c + 5, 'a': 'I' || w3.a}]), list_min([w3, {'c': w2.c + 5, 'a': 'I' || w2.a}])
+ FROM (SELECT conv_id, l, k,
+  list_min([{'c': p0.c + 2, 'a': 'D' || p0.a}, {'c': p1.c + stay + CASE WHEN r.i = 's' THEN 0 ELSE 1000000 END, 'a': 'K' || p1.a}, {'c': p2.c + stay + (r.i <> 'u')::INT, 'a': CASE WHEN r.i = 'u' THEN 'K' ELSE 'R' END || p2.a}]) AS w0,
+  list_min([{'c': p1.c + 2, 'a': 'D' || p1.a}, {'c': p2.c + stay + (r.i <> 'u')::INT, 'a': CASE WHEN r.i = 'u' THEN 'K' ELSE 'R' END || p2.a}]) AS w1,
+  list_min([{'c': p2.c + 2, 'a': 'D' || p2.a}, {'c': p3.c + stay + (r.i <> 'a')::INT, 'a': CASE WHEN r.i = 'a' THEN 'K' ELSE 'R' END || p3.a}]) AS w2,
+  list_min([{'c': p3.c + 2, 'a': 'D' || p3.a}, {'c': p2.c + stay + (r.i <> 'u')::INT, 'a': CASE WHEN r.i = 'u' THEN 'K' ELSE 'R' END || p2.a}]) AS w3
+  FROM (SELECT *, l[k - 1] AS r, CASE l[k - 1].fault WHEN 'b' THEN 1000000 WHEN 'd' THEN 1000000 WHEN 't' THEN 5 ELSE 0 END AS stay FROM p WHERE k > 1))),
+best AS (SELECT conv_id, l, p0.c AS cost, p0.a AS audit FROM p WHERE k = 1),
+e AS (SELECT conv_id, l, audit, j, substr(audit, j, 1) AS edit, length(replace(left(audit, j), 'I', '')) AS pos, length(replace(left(audit, j), 'D', '')) AS m FROM (SELECT *, unnest(range(1, length(audit) + 1)) AS j FROM best)),
+-- a Rerole or an Insert is a user's where an even number of turns stands before it, the system's not counted
+t AS (SELECT conv_id, string_agg(CASE edit WHEN 'K' THEN l[pos].role ELSE CASE WHEN (m - has) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE edit WHEN 'I' THEN '' ELSE l[pos].text END, chr(10) ORDER BY j) AS said
+ FROM (SELECT *, max((edit = 'K' AND m = 1 AND l[pos].i = 's')::INT) OVER (PARTITION BY conv_id) AS has FROM e) WHERE edit <> 'D' GROUP BY 1)
+SELECT c.conv_id, coalesce(s.gaps, 0)::BIGINT AS gaps, coalesce(s.blank, 0)::BIGINT AS blank, coalesce(s.duplicate, 0)::BIGINT AS duplicate, coalesce(s.truncated, 0)::BIGINT AS truncated, coalesce(s.illegal, 0)::BIGINT AS illegal,
+ coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(t.said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
 """,
 }

@@ -49,6 +49,19 @@ def trained(doc_id):
 
 
 class TestLanguageModel:
+    @pytest.mark.parametrize("buckets", [4, 8, 64, 200])
+    def test_blocks_go_to_all_tasks(self, buckets):
+        for tasks, blocks in ((buckets, 1), (buckets, 3), (1000, 2), (3, 200)):
+            found = Counter(lm.home((part << 24) + k, buckets) for part in range(tasks) for k in range(blocks))
+            even = tasks * blocks / buckets
+            assert max(found.values()) <= even + min(tasks, blocks) and len(found) == min(buckets, tasks + blocks - 1)
+
+    def test_rows_of_many_blocks_leave_by_many_tasks(self, spark):
+        docs = spark.range(4000).repartition(4).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.concat(F.lit("w"), F.col("id") % 50), 10)).alias("text"))
+        out = lm.backoff_scores(docs, "doc_id", "text", F.lit(True), block_tokens=2000)
+        rows = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(rows) == 4 and max(rows) < 1.2 * 1000
+
     def brute(self, rows, order, mu):
         counts = Counter()
         for doc_id, text in rows:
