@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontaminate, lm, mixing, repair, sharding, simhash, tokens, topk, toxicity, urls
+from lodestone.llm import chat, decontaminate, html, lm, mixing, repair, sharding, simhash, tokens, topk, toxicity, urls, whitening
 from lodestone.llm.common import table
 
 
@@ -92,7 +92,15 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(said, 256).alias("repaired_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_backoff_lm, op2_simhash, op3_section_tokens, op4_mixing, op5_url_rules, op6_top_k, op7_sharding, op8_decontamination, op9_chat_format, op10_toxicity, op12_conversation_repair)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=32)
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_backoff_lm, op2_simhash, op3_section_tokens, op4_mixing, op5_url_rules, op6_top_k, op7_sharding, op8_decontamination, op9_chat_format, op10_toxicity, op11_whitening, op12_conversation_repair, op13_html_text)}
 ORACLE_SQL = {
     "op6_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
