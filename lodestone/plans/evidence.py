@@ -156,14 +156,6 @@ def gate_visible_edges(spark, d):
     return gates.visible_edges(e, "node", 7)
 
 
-@query()
-def graph_tuned_communities(spark, d):
-    """[G10] Suppliers by shared parts, to about eight communities a flag."""
-    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_suppkey").alias("node"), "l_partkey").distinct()
-    e = sets.co_occurrences(rows, "node", "l_partkey", ["flag"]).select("flag", F.col("node_a").alias("src"), F.col("node_b").alias("dst"), F.col("shared").cast("double").alias("weight"))
-    return graph.tuned_communities(e, rows, "flag", 8)
-
-
 @query("""
 WITH h AS (SELECT o_custkey AS person, o_orderkey % 3 AS unit, (year(o_orderdate) * 2 + CASE WHEN month(o_orderdate) > 6 THEN 1 ELSE 0 END)::BIGINT AS t, o_orderstatus FROM orders), q AS (SELECT c_custkey AS person, c_custkey % 3 AS unit, 1995 AS phd FROM customer),
 f AS (SELECT person, min(t) AS f FROM h WHERE o_orderstatus = 'F' AND unit = 2 GROUP BY 1), e AS (SELECT DISTINCT person, unit, t FROM h JOIN q USING (person, unit) LEFT JOIN f USING (person) WHERE t > phd * 2 + 1 AND (f IS NULL OR t < f)),
