@@ -150,5 +150,13 @@ t AS (SELECT conv_id, string_agg(CASE edit WHEN 'K' THEN l[pos].role ELSE CASE W
 SELECT c.conv_id, coalesce(s.gaps, 0)::BIGINT AS gaps, coalesce(s.blank, 0)::BIGINT AS blank, coalesce(s.duplicate, 0)::BIGINT AS duplicate, coalesce(s.truncated, 0)::BIGINT AS truncated, coalesce(s.illegal, 0)::BIGINT AS illegal,
  coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(t.said, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+""",
+    # the given pages hold their text in <h1> and <p> of one <article>, and &amp; and &quot; alone
+    "op13_html_text": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS t FROM pages),
+p AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(part, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS part, k
+ FROM (SELECT page_id, url, unnest(l) AS part, generate_subscripts(l, 1) AS k FROM (SELECT *, string_split_regex(t, '</?(?:h1|p)>') AS l FROM a))),
+j AS (SELECT page_id, url, coalesce(string_agg(part, chr(10) || chr(10) ORDER BY k) FILTER (part <> ''), '') AS text FROM p GROUP BY 1, 2)
+SELECT page_id, url, text, length(text) AS n_chars FROM j
 """,
 }
