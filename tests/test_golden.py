@@ -1,12 +1,14 @@
 """Small cases with results worked out by hand."""
 
 import math
+from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import periods, text
-from lodestone.operators import career, flows, gates, graph, information, integrity, intervals, matrix, search, sets, yearly
+from lodestone.operators import career, flows, gates, graph, information, integrity, intervals, matrix, replicates, search, sets, yearly
 from lodestone.plans import console
 from lodestone.sources import tables
 
@@ -164,10 +166,54 @@ class TestInformation:
         got = {(r["w"], r["a"], r["b"]): r["mass"] for r in information.transitions(members, "who", "item", "w", "label", links).collect()}
         assert got == {(0, "a", "b"): 1.0, (0, None, "b"): 1.0, (0, "a", None): 1.0}
 
-    def test_null_is_reproducible(self, spark):
-        df = spark.createDataFrame([(k % 3, f"a{k % 4}", f"b{k % 4 if k % 5 else 0}") for k in range(120)], "who long, a string, b string")
-        once, again = (sorted(map(tuple, information.permutation_null(x, "who", "a", "b", 30).collect())) for x in (df, df.repartition(5)))
-        assert once == again and all(r[4] is None or r[4] > 0 for r in once)
+    def test_replicates_against_sequential_draws(self, spark):
+        """A null shuffles labels inside each window and keeps the links; a resample draws as many items as a window has; the joint of each is that of the rule."""
+        members = [("p", k, k % 3, "abc"[k % 7 % 3]) for k in range(24)] + [("q", 1, 0, "a"), ("q", 2, 2, "a")]
+        links = [("p", a, b, 1.0 + (a * b) % 5) for a in range(24) for b in range(24) if b % 3 == a % 3 + 1 and (a + b) % 4 == 0]
+        df = spark.createDataFrame(members, "who string, item long, w long, label string")
+        draws = replicates.drawn(df, 20, "s").collect()
+        label = {(w, i): x for w, i, _, x in members}
+        seen = defaultdict(list)
+        for r in draws:
+            seen[r["kind"], r["rep"], r["who"], r["w"]].append((r["item"], r["label"], r["times"]))
+        assert len(seen) == 41 * 5
+        for (kind, _, who, w), own in seen.items():
+            items = sorted(i for o, i, x, _ in members if (o, x) == (who, w))
+            assert sum(t for *_, t in own) == len(items) and {i for i, *_ in own} <= set(items)
+            if kind == "null":
+                assert sorted(i for i, *_ in own) == items and sorted(x for _, x, _ in own) == sorted(label[who, i] for i in items)
+            else:
+                assert all(x == label[who, i] for i, x, _ in own)
+        assert len({tuple(sorted(own)) for (kind, _, who, w), own in seen.items() if (kind, who, w) == ("null", "p", 0)}) > 10
+        want = defaultdict(float)
+        for (kind, rep, who, w), dst in seen.items():
+            src = seen.get((kind, rep, who, w - 1))
+            if not src:
+                continue
+            weight = {(a, b): x for o, a, b, x in links if o == who}
+            hit = set()
+            for q, b, tq in dst:
+                near = [(p, a, tp * weight[p, q]) for p, a, tp in src if (p, q) in weight]
+                hit |= {p for p, *_ in near}
+                total = sum(x for *_, x in near)
+                for _, a, x in near:
+                    want[kind, rep, who, w - 1, a, b] += tq * x / total
+                if not near:
+                    want[kind, rep, who, w - 1, None, b] += tq
+            for p, a, tp in src:
+                if p not in hit:
+                    want[kind, rep, who, w - 1, a, None] += tp
+        own = spark.createDataFrame(links, "who string, p long, q long, weight double")
+        got = {tuple(r)[:6]: r["mass"] for r in replicates.joint(spark.createDataFrame(draws), own).select("kind", "rep", "who", "w", "a", "b", "mass").collect()}
+        assert got == pytest.approx(dict(want))
+
+    def test_judged_against_chance(self, spark):
+        rows = [(k, r, "p", 0, 1.0, *(v,) * 5) for k, r, v in [("own", 0, 5.0), *(("null", r, r / 10) for r in range(1, 11)), *(("boot", r, float(r)) for r in range(1, 201))]]
+        rows += [("own", 0, "q", 0, 1.0, *(None,) * 5), ("null", 1, "q", 0, 1.0, *(0.0,) * 5), ("own", 0, "r", 0, 1.0, *(0.5,) * 5), ("null", 1, "r", 0, 1.0, *(0.5,) * 5), ("null", 2, "r", 0, 1.0, *(0.5,) * 5)]
+        df = spark.createDataFrame(rows, "kind string, rep int, who string, w int, mass double, diverge double, merge double, continuity double, diverge_norm double, merge_norm double")
+        got = {r["who"]: r for r in replicates.judged(df).where("measure = 'merge'").collect()}
+        assert got["p"]["z"] == pytest.approx((5 - 0.55) / np.std(np.arange(1, 11) / 10, ddof=1)) and (got["p"]["low"], got["p"]["high"]) == (5.0, 195.0)
+        assert got["q"]["value"] is got["q"]["null_mean"] is got["q"]["low"] is None and got["r"]["z"] is None
 
 
 class TestSearch:
