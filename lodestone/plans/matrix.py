@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, matrix
+from lodestone.operators import graph, matrix, svd
+from lodestone.operators.numbering import numbered
 from lodestone.plans.registry import query
 from lodestone.sources.tables import table
 
@@ -121,6 +122,22 @@ def matrix_neighbour_overlap(spark, d):
 
 @query()
 def matrix_latent(spark, d):
-    """[G13] Of suppliers by parts."""
-    f = table(spark, d, "lineitem").groupBy("l_suppkey", (F.col("l_partkey") % 300).alias("part")).agg((1 + F.log(F.count("*").cast("double"))).alias("v"))
-    return matrix.latent(f, "l_suppkey", "part", "v", 8)[0]
+    """[G13] Of suppliers by all parts."""
+    f = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg((1 + F.log(F.count("*").cast("double"))).alias("v"))
+    return svd.latent(f, 8, "l_suppkey", "l_partkey", "v").rows.withColumnRenamed("row", "l_suppkey")
+
+
+@query("""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM benchmark), v AS (SELECT word, embedding AS e FROM (SELECT word, row_number() OVER (ORDER BY word) - 1 AS k FROM w) JOIN embeddings ON vec_id = k),
+n AS (SELECT doc_id, word, 1 + ln(count(*)) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM documents) GROUP BY 1, 2),
+s AS (SELECT doc_id, i, sum(tf * e[i]) AS x FROM n JOIN v USING (word), range(1, 5) r(i) GROUP BY 1, 2), u AS (SELECT doc_id, i, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM s)
+SELECT d.doc_id, round(coalesce(max(x) FILTER (i = 1), 0), 6) AS v1, round(coalesce(max(x) FILTER (i = 2), 0), 6) AS v2, round(coalesce(max(x) FILTER (i = 3), 0), 6) AS v3, round(coalesce(max(x) FILTER (i = 4), 0), 6) AS v4
+FROM (SELECT DISTINCT doc_id FROM n) d LEFT JOIN u ON u.doc_id = d.doc_id GROUP BY 1
+""")
+def matrix_fold_in(spark, d):
+    """[G13] Documents in a space whose words are the benchmark's, with the embeddings as their vectors."""
+    words = lambda t: F.explode(F.regexp_extract_all(F.lower(t), F.lit("[a-z]{3,}"), F.lit(0))).alias("word")
+    known = numbered(table(spark, d, "benchmark").select(words("text")).distinct(), [(F.col("word"), True)], "vec_id")
+    vocabulary = known.join(table(spark, d, "embeddings"), "vec_id").select("word", F.col("embedding").alias("vector"))
+    out = svd.folded(table(spark, d, "documents").select("doc_id", words("text")), vocabulary, 4)
+    return out.select("doc_id", *(F.round(F.get("vector", F.lit(k)), 6).alias(f"v{k + 1}") for k in range(4)))

@@ -325,16 +325,6 @@ class TestMatrix:
         other = matrix.contingency(a, a.withColumn("community", F.floor(F.col("id") / 20)), "id")
         assert abs(matrix.adjusted_rand(other)) < 0.1 and abs(matrix.adjusted_mutual_information(other)) < 0.1
 
-    def test_latent_reconstructs(self, spark):
-        import numpy as np
-
-        rng = np.random.default_rng(0)
-        m = rng.normal(size=(12, 2)) @ rng.normal(size=(2, 7))
-        df = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(12) for j in range(7)], "row long, f long, v double")
-        vectors, top, s, v = matrix.latent(df, "row", "f", "v", 2)
-        u = np.array([r["vector"] for r in vectors.orderBy("row").collect()])
-        assert np.allclose((u * s) @ v.T, m[:, top], atol=1e-6)
-
 
 class TestSources:
     def test_shards_last_write_wins(self, spark, tmp_path):
