@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions.periods import half_of
-from lodestone.operators import career, gates, graph, intervals, sets, titles, yearly
+from lodestone.operators import career, gates, graph, intervals, linkage, sets, titles, yearly
 from lodestone.plans.registry import query
 from lodestone.sources.tables import table
 
@@ -68,15 +68,60 @@ def interval_bands(spark, d):
     return intervals.bands(s, "o_custkey", "o_orderkey", "s", "e")
 
 
-@query()
+@query("""
+WITH RECURSIVE t AS (SELECT l_orderkey, string_agg(p_name, ' ' ORDER BY p_name) AS title FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 2 GROUP BY 1),
+w AS (SELECT o_custkey, o_orderkey, list_distinct(list_filter(string_split(regexp_replace(lower(title), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda x: x <> '')) AS words, row_number() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate), o_orderkey) AS k
+ FROM orders JOIN t ON l_orderkey = o_orderkey),
+r(o_custkey, k, o_orderkey, head, heads) AS (SELECT o_custkey, k, o_orderkey, o_orderkey, [{'id': o_orderkey, 'words': words}] FROM w WHERE k = 1
+ UNION ALL SELECT o_custkey, k, o_orderkey, coalesce(f, o_orderkey), CASE WHEN f IS NULL THEN list_append(heads, {'id': o_orderkey, 'words': words}) ELSE heads END
+ FROM (SELECT w.*, r.heads, list_filter(r.heads, lambda h: len(list_intersect(h.words, w.words)) / (len(h.words) + len(w.words) - len(list_intersect(h.words, w.words))) >= 0.55
+  OR len(list_intersect(h.words, w.words)) / least(len(h.words), len(w.words)) >= 0.85)[1].id AS f FROM r JOIN w ON w.o_custkey = r.o_custkey AND w.k = r.k + 1))
+SELECT o_custkey, o_orderkey, head FROM r
+""")
 def title_versions(spark, d):
-    """[J17] What each customer bought, an order's first parts as its title; a customer's orders are one task's."""
+    """[J17] What each customer bought, an order's first parts as its title."""
     lines = table(spark, d, "lineitem").where("l_linenumber <= 2").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
     named = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.array_sort(F.collect_list("p_name")), " ").alias("title"))
     works = table(spark, d, "orders").join(named, "o_orderkey").select("o_custkey", "o_orderkey", "title", F.year("o_orderdate").alias("year"))
     return titles.merged_versions(works, "o_custkey", "o_orderkey", "title", "year")
 
 
+_CITED = """
+WITH p AS (SELECT c_custkey AS paper, 'D' || c_custkey % 700 AS doi, ['1urgent', '2high', '3medium', '5low', 'none'][c_custkey % 5 + 1] AS title, 1992 + c_custkey % 7 AS year FROM customer),
+w AS (SELECT o_orderkey AS work, CASE WHEN o_orderkey % 3 > 0 THEN 'D' || o_orderkey % 900 END AS doi, replace(lower(o_orderpriority), '-', '') AS title, year(o_orderdate) AS year FROM orders)
+"""
+
+
+def _cited(spark, d):
+    """Customers as papers, orders as works that they may be."""
+    papers = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("paper"),
+        F.concat(F.lit("https://doi.org/d"), F.col("c_custkey") % 700).alias("doi"),
+        F.get(F.array(*(F.lit(t) for t in ("1-Urgent", "2 HIGH", "3-medium", "5-low!", "none"))), (F.col("c_custkey") % 5).cast("int")).alias("title"),
+        (1992 + F.col("c_custkey") % 7).cast("int").alias("year"),
+    )
+    doi = F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("D"), F.col("o_orderkey") % 900))
+    return papers, table(spark, d, "orders").select(F.col("o_orderkey").alias("work"), doi.alias("doi"), F.col("o_orderpriority").alias("title"), F.year("o_orderdate").alias("year"))
+
+
+@query(_CITED + """, t AS (SELECT paper, work, CASE WHEN p.doi = w.doi AND p.year = w.year THEN 1 WHEN p.doi = w.doi THEN 2 ELSE 3 END AS tier FROM p JOIN w ON p.title = w.title AND (p.doi = w.doi OR p.year = w.year AND NOT EXISTS (SELECT 1 FROM w x WHERE x.doi = p.doi))),
+b AS (SELECT paper, tier, count(DISTINCT work) AS n, min(work) AS work FROM t GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY paper ORDER BY tier) = 1)
+SELECT p.paper, CASE WHEN n = 1 THEN b.work END AS work, tier, coalesce(n, 0) AS candidates, CASE WHEN n IS NULL THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS status FROM p LEFT JOIN b USING (paper)
+""")
+def link_works(spark, d):
+    """[J18] By DOI, title and year."""
+    return linkage.resolved(*_cited(spark, d), "paper", "work")
+
+
+@query("SELECT s_suppkey AS query, n_nationkey AS anchor FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def link_anchors(spark, d):
+    """[J28] Each supplier has one nation, in its own region, or the query fails."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("anchor"), F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
+    own = table(spark, d, "supplier").select(F.col("s_suppkey").alias("query"), F.col("s_nationkey").alias("nation"))
+    region = nations.select("nation", "region")
+    return linkage.anchored(own.join(region, "nation"), nations, "query", "anchor", ["nation", "region"])
+
+
 @query("""
 WITH i AS (SELECT DISTINCT l_orderkey AS w, l_partkey AS ref FROM lineitem), n AS (SELECT w, count(*) AS n FROM i GROUP BY 1),
 p AS (SELECT x.w AS a, y.w AS b, round(count(*) / sqrt(min(nx.n) * min(ny.n)), 6) AS sim FROM i x JOIN i y ON x.ref = y.ref AND x.w <> y.w JOIN n nx ON nx.w = x.w JOIN n ny ON ny.w = y.w GROUP BY 1, 2),

@@ -127,7 +127,7 @@ WITH w AS (SELECT l_orderkey, max(l_extendedprice) AS top FROM lineitem GROUP BY
 SELECT l.l_orderkey, min(l.l_linenumber)::BIGINT AS line FROM lineitem l JOIN w ON l.l_orderkey = w.l_orderkey AND l.l_extendedprice = w.top GROUP BY 1
 """)
 def argmax_per_group(spark, d):
-    """[J18, R4, W8] The best row of each group, ties to the first line; one partial aggregate, no window."""
+    """[R4, W8] The best row of each group, ties to the first line; one partial aggregate, no window."""
     best = F.max_by(F.col("l_linenumber"), F.struct("l_extendedprice", -F.col("l_linenumber")))
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(best.cast("long").alias("line"))
 
