@@ -122,22 +122,3 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def numbered_in(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-
-
-def committed(df: DataFrame, path: str, checks: dict[str, Column]) -> None:
-    """[V5] Written aside, checked, then renamed by the file system of the path; on a violation nothing is there."""
-    import uuid
-
-    aside = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(aside)
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(aside).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    back = spark.read.schema(df.schema).parquet(aside)
-    bad = back.agg(*(F.sum(F.when(~ok, 1).otherwise(0)).alias(k) for k, ok in checks.items())).first().asDict() if checks else {}
-    if any(bad.values()):
-        fs.delete(hadoop(aside), True)
-        raise ValueError(f"violated: {', '.join(k for k, n in bad.items() if n)}")
-    fs.delete(hadoop(path), True)
-    fs.rename(hadoop(aside), hadoop(path))

@@ -386,14 +386,6 @@ def test_titles_and_names(spark):
     assert {"Mi-na Lee", "Lee Mina", "Yi, Mi na"} <= set(titles.name_variants("Lee", ["Mi", "na"], {"Lee": ["Lee", "Yi"]}))
 
 
-def test_commit_leaves_nothing_behind_on_a_violation(spark, tmp_path):
-    df = spark.createDataFrame([(1,), (2,)], "n long")
-    tables.committed(df, f"{tmp_path}/t", {"positive": F.col("n") > 0})
-    with pytest.raises(ValueError):
-        tables.committed(df, f"{tmp_path}/t", {"small": F.col("n") < 2})
-    assert spark.read.parquet(f"{tmp_path}/t").count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
-
-
 class TestConfinedConsole:
     @pytest.mark.parametrize(
         "sql",
