@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import deleted, encoded, modest, split_words, staged, written
+from lodestone.operators.numbering import numbered
 
 WINDOW = 5
 SHARE = 0.6
@@ -167,17 +168,24 @@ class Index:
     def held(self, texts: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, windows of the item that the text has, by their plain words, all windows, slots with another value) of each held item."""
         w = Windows(texts)
-        found: dict[tuple[int, int], dict] = defaultdict(lambda: {"plain": set(), "template": set(), "slots": Counter()})
+        met: dict[tuple[int, int], dict[tuple[int, bool], list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for by, template in ((w.by_plain, False), (w.by_template, True)):
             for k in self.hits(by).tolist():
                 at = int(w.at[k])
                 for item, window, word, of_template in self.where[int(by[k])]:
                     if of_template == template:
-                        pair = found[int(w.text_of[at]), item]
-                        pair["template" if template else "plain"].add(window)
-                        for d in range(w.width):
-                            if self.slot[word + d]:
-                                pair["slots"][self.words[word + d], w.names[w.codes[at + d]]] += 1
+                        met[int(w.text_of[at]), item][at, template].append((window, word))
+        found: dict[tuple[int, int], dict] = {}
+        for key, places in met.items():
+            pair = found[key] = {"plain": set(), "template": set(), "slots": Counter()}
+            # a clause that an item repeats fits several of its windows: a place's slots are held against the one whose distance most places share
+            votes = Counter(at - word for (at, _), fits in places.items() for _, word in fits)
+            for (at, template), fits in places.items():
+                pair["template" if template else "plain"].update(window for window, _ in fits)
+                word = max((word for _, word in fits), key=lambda word: (votes[at - word], word))
+                for d in range(w.width):
+                    if self.slot[word + d]:
+                        pair["slots"][self.words[word + d], w.names[w.codes[at + d]]] += 1
         out = []
         for (text, item), pair in sorted(found.items()):
             both = pair["plain"] | pair["template"]
@@ -213,15 +221,19 @@ class Index:
                         yield int(w.text_of[at[k]]), item, int(not changed), changed
 
 
-def indexes(benchmark: DataFrame, item_id: str, text: str, index_bytes: int = INDEX_BYTES) -> Iterator[Index]:
-    """One for so many items at a time."""
-    items = benchmark.select(F.col(item_id).alias("id"), F.col(text).alias("text")).where("text is not null")
+def numbered_items(benchmark: DataFrame, text: str) -> DataFrame:
+    """(rep, text): the different texts of the benchmark, numbered."""
+    return staged(numbered(benchmark.select(F.col(text).alias("text")).where("text is not null").distinct(), [(F.col("text"), True)], "rep"))
+
+
+def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES) -> Iterator[Index]:
+    """One for so many different texts at a time, by their numbers."""
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(size / index_bytes))
     for k in range(parts):
-        some = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k).collect() if parts > 1 else items.collect()
+        some = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).collect()
         if some:
-            yield Index([r["id"] for r in some], [r["text"] for r in some], parts)
+            yield Index([r["rep"] for r in some], [r["text"] for r in some], parts)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -232,9 +244,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    kind = "doc_id long, item_id long, n_windows long, n_matched long, n_plain long, n_changed long, kind string"
+    kind = "doc_id long, rep long, n_windows long, n_matched long, n_plain long, n_changed long, kind string"
     out = None
-    for index in indexes(benchmark, item_id, item_text):
+    items = numbered_items(benchmark, item_text)
+    for index in indexes(items):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for b in modest(batches):
@@ -247,14 +260,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         some = rows.mapInArrow(run, kind)
         some = staged(some) if index.parts > 1 else some
         out = some if out is None else out.unionByName(some)
-    return out if out is not None else docs.sparkSession.createDataFrame([], kind)
+    out = out if out is not None else docs.sparkSession.createDataFrame([], kind)
+    # texts that several rows of the benchmark share were looked up once
+    ids = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).join(items, "text").select("rep", "item_id")
+    return out.join(ids, "rep").select("doc_id", "item_id", "n_windows", "n_matched", "n_plain", "n_changed", "kind")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows that hold an item; all columns as they were."""
 
     at, before = docs.columns.index(text), None
-    for index in indexes(benchmark, item_id, item_text):
+    for index in indexes(numbered_items(benchmark, item_text)):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for b in modest(batches):

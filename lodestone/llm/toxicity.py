@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -47,7 +48,7 @@ class Fold(dict):
 
     def __missing__(self, code: int) -> str:
         plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)).lower() if not unicodedata.combining(c))
-        out = "".join(SIGNS.get(c, LOOKALIKES.get(c, c if c.isalnum() else " ")) for c in plain) if plain else ""
+        out = "".join(c if c in SIGNS else LOOKALIKES.get(c, c if c.isalnum() else " ") for c in plain) if plain else ""
         self[code] = out
         return out
 
@@ -55,8 +56,21 @@ class Fold(dict):
 FOLD = Fold()
 
 
+_runs = re.compile(f"[{re.escape(''.join(SIGNS))}]+")
+_stands_for = str.maketrans(SIGNS)
+#: Signs that aren't part of a number are blanks where no letter is beside them.
+_alone = str.maketrans({c: " " for c in SIGNS if not c.isalnum()})
+
+
+def _sign(run: re.Match) -> str:
+    """A run of signs stands for letters if one is beside it, so numbers stay numbers."""
+    t, a, b = run.string, run.start(), run.end()
+    return run[0].translate(_stands_for if (a and t[a - 1].isalpha()) or (b < len(t) and t[b].isalpha()) else _alone)
+
+
 def folded(text: str | None) -> str:
-    return f" {(text or '').translate(FOLD)} "
+    """Lower case without accents, look-alikes of two alphabets and digits or signs beside letters as the letters that they stand for, everything else but numbers a blank; with a blank before and after."""
+    return f" {_runs.sub(_sign, (text or '').translate(FOLD))} "
 
 
 @dataclass

@@ -518,6 +518,19 @@ class TestDecontamination:
         ]
         assert set(self.held(spark, docs, items)) == {(10, 1), (12, 2), (12, 5), (14, 3), (15, 3), (19, 2), (19, 5), (20, 3)}
 
+    def test_clauses_that_an_item_repeats(self, spark):
+        item = "If Sven has 131 marbles and gives 199 to Mbeki then he keeps some. If Sven has 723 pens and gives 46 to Mbeki then he keeps some. How many things does Mbeki get in all"
+        other = item.replace("131", "5").replace("199", "81").replace("723", "64").replace("46", "7").replace("Sven", "Olga").replace("Mbeki", "Ravi")
+        mixed = other.replace("gives 7", "gives 9").replace("Olga has 64", "Ravi has 64")
+        assert (1, 1) in self.held(spark, [(1, f"Some words before. {other}. After"), (3, mixed)], [(1, item)])
+
+    def test_equal_items_are_looked_up_once(self, spark, monkeypatch):
+        items = [(k, self.ITEM) for k in range(30)] + [(40, "Kept words that stand in a row here and nowhere else at all"), (None, self.ITEM)]
+        made = []
+        index = decontaminate.Index
+        monkeypatch.setattr(decontaminate, "Index", lambda ids, texts, parts: made.append(len(texts)) or index(ids, texts, parts))
+        assert set(self.held(spark, [(1, self.ITEM)], items)) == {(1, k) for k in (*range(30), None)} and sum(made) == 2
+
     def test_windows_match_brute_force(self, spark):
         """Items of plain words: held where three fifths of their windows of five words are in the document, by sets of tuples."""
         rng = random.Random(31)
@@ -599,6 +612,10 @@ class TestChat:
 
 
 class TestToxicity:
+    def test_numbers_stay_numbers(self):
+        assert toxicity.folded("455 pages in 2014, $500 @ 3").split() == ["455", "pages", "in", "2014", "500", "3"]
+        assert toxicity.folded("ph0n3 4pe $ick sh1t p@in тоxic naïve").split() == ["phone", "ape", "sick", "shit", "pain", "toxic", "naive"]
+
     @pytest.fixture(scope="class")
     def rows(self):
         rng = random.Random(7)
