@@ -57,15 +57,13 @@ FOLD = Fold()
 
 
 _runs = re.compile(f"[{re.escape(''.join(SIGNS))}]+")
-_stands_for = str.maketrans(SIGNS)
-#: Signs that aren't part of a number are blanks where no letter is beside them.
-_alone = str.maketrans({c: " " for c in SIGNS if not c.isalnum()})
 
 
 def _sign(run: re.Match) -> str:
     """A run of signs stands for letters if one is beside it, so numbers stay numbers."""
     t, a, b = run.string, run.start(), run.end()
-    return run[0].translate(_stands_for if (a and t[a - 1].isalpha()) or (b < len(t) and t[b].isalpha()) else _alone)
+    beside = (a and t[a - 1].isalpha()) or (b < len(t) and t[b].isalpha())
+    return "".join(SIGNS[c] if beside else c if c.isalnum() else " " for c in run[0])
 
 
 def folded(text: str | None) -> str:
