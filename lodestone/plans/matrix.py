@@ -105,12 +105,25 @@ def matrix_survival(spark, d):
     return matrix.survival(t)
 
 
-@query()
+@query("""
+WITH l AS (SELECT 0 AS run, vec_id, label::BIGINT AS c FROM embeddings UNION ALL SELECT 1, vec_id, label % 5 FROM embeddings UNION ALL SELECT 2, vec_id, (label + vec_id % 3) % 5 FROM embeddings),
+t AS (SELECT x.run AS ra, y.run AS rb, x.c AS a, y.c AS b, count(*) AS n FROM l x JOIN l y USING (vec_id) WHERE x.run < y.run GROUP BY ALL), z AS (SELECT ra, rb, sum(n) AS al, sum(n * (n - 1) / 2) AS cc FROM t GROUP BY ALL),
+xa AS (SELECT ra, rb, a, sum(n) AS m FROM t GROUP BY ALL), xb AS (SELECT ra, rb, b, sum(n) AS m FROM t GROUP BY ALL),
+ha AS (SELECT ra, rb, sum(m * (m - 1) / 2) AS ca, -sum(m / al * ln(m / al)) AS h FROM xa JOIN z USING (ra, rb) GROUP BY ALL), hb AS (SELECT ra, rb, sum(m * (m - 1) / 2) AS cb, -sum(m / al * ln(m / al)) AS h FROM xb JOIN z USING (ra, rb) GROUP BY ALL),
+mi AS (SELECT ra, rb, sum(n / al * ln(al * n / (xa.m * xb.m))) AS mi FROM t JOIN xa USING (ra, rb, a) JOIN xb USING (ra, rb, b) JOIN z USING (ra, rb) GROUP BY ALL),
+k AS (SELECT ra, rb, al::DOUBLE AS n, xa.m::DOUBLE AS x, xb.m::DOUBLE AS y, unnest(range(greatest(1, xa.m + xb.m - al)::BIGINT, least(xa.m, xb.m)::BIGINT + 1))::DOUBLE AS k FROM xa JOIN xb USING (ra, rb) JOIN z USING (ra, rb)),
+e AS (SELECT ra, rb, sum(k / n * ln(n * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(n - x - y + k + 1))) AS emi FROM k GROUP BY ALL),
+r AS (SELECT ra AS run_a, rb AS run_b, (cc - ca * cb / (al * (al - 1) / 2)) / ((ca + cb) / 2 - ca * cb / (al * (al - 1) / 2)) AS ari, (mi - emi) / ((ha.h + hb.h) / 2 - emi) AS ami FROM z JOIN ha USING (ra, rb) JOIN hb USING (ra, rb) JOIN mi USING (ra, rb) JOIN e USING (ra, rb))
+SELECT run_a, run_b, round(ari, 6) AS ari, round(ami, 6) AS ami, round(avg(ari) OVER (), 6) AS mean_ari, round(stddev_samp(ari) OVER (), 6) AS sd_ari, round(avg(ami) OVER (), 6) AS mean_ami, round(stddev_samp(ami) OVER (), 6) AS sd_ami FROM r
+""")
 def matrix_agreement(spark, d):
-    """[A40] Adjusted Rand index and mutual information."""
-    e = table(spark, d, "embeddings")
-    t = matrix.contingency(e.select("vec_id", F.col("label").alias("community")), e.select("vec_id", (F.col("label") % 5).alias("community")), "vec_id")
-    return spark.createDataFrame([(matrix.adjusted_rand(t), matrix.adjusted_mutual_information(t))], "ari double, ami double")
+    """[A40] Of three partitions, each two, and their mean and standard deviation."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"))
+    runs = F.array(*(F.struct(F.lit(k).alias("run"), c.alias("c")) for k, c in enumerate((F.col("label"), F.col("label") % 5, (F.col("label") + F.col("vec_id") % 3) % 5))))
+    pairs = matrix.agreement(e.select("vec_id", F.explode(runs).alias("r")).select("vec_id", "r.*"), "run", "vec_id", "c")
+    sums = pairs.agg(*(f(c).alias(f"{n}_{c}") for c in ("ari", "ami") for n, f in (("mean", F.avg), ("sd", F.stddev_samp))))
+    r6 = lambda c: F.round(c, 6).alias(c)
+    return pairs.join(F.broadcast(sums)).select("run_a", "run_b", *(r6(c) for c in ("ari", "ami", "mean_ari", "sd_ari", "mean_ami", "sd_ami")))
 
 
 @query()

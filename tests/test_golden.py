@@ -1,7 +1,7 @@
 """Small cases with results worked out by hand."""
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -319,11 +319,24 @@ class TestGraph:
 
 class TestMatrix:
     def test_agreement(self, spark):
-        a = spark.createDataFrame([(k, k % 3) for k in range(60)], "id long, community long")
-        same = matrix.contingency(a, a.withColumn("community", F.col("community") + 7), "id")
-        assert math.isclose(matrix.adjusted_rand(same), 1) and math.isclose(matrix.adjusted_mutual_information(same), 1)
-        other = matrix.contingency(a, a.withColumn("community", F.floor(F.col("id") / 20)), "id")
-        assert abs(matrix.adjusted_rand(other)) < 0.1 and abs(matrix.adjusted_mutual_information(other)) < 0.1
+        def brute(a, b):
+            n = len(a)
+            cells, x, y = Counter(zip(a, b, strict=True)), Counter(a), Counter(b)
+            pairs = lambda c: sum(v * (v - 1) / 2 for v in c.values())
+            chance = pairs(x) * pairs(y) / (n * (n - 1) / 2)
+            half = (pairs(x) + pairs(y)) / 2
+            h = lambda c: -sum(v / n * math.log(v / n) for v in c.values())
+            mi = sum(v / n * math.log(n * v / (x[i] * y[j])) for (i, j), v in cells.items())
+            emi = sum(k / n * math.log(n * k / (u * v)) * math.comb(u, k) * math.comb(n - u, v - k) / math.comb(n, v) for u in x.values() for v in y.values() for k in range(max(1, u + v - n), min(u, v) + 1))
+            return (1.0 if half == chance else (pairs(cells) - chance) / (half - chance)), (1.0 if abs((h(x) + h(y)) / 2 - emi) < 1e-12 else (mi - emi) / ((h(x) + h(y)) / 2 - emi))
+
+        runs = [[k % 3 for k in range(60)], [k % 3 + 7 for k in range(60)], [k // 20 for k in range(60)], [0] * 60, list(range(60)), [0] * 55 + [1] * 5]
+        df = spark.createDataFrame([(r, k, c) for r, own in enumerate(runs) for k, c in enumerate(own)], "run long, node long, community long")
+        got = {(r["run_a"], r["run_b"]): (r["ari"], r["ami"]) for r in matrix.agreement(df, "run", "node", "community").collect()}
+        assert len(got) == 15
+        for (i, j), found in got.items():
+            assert found == pytest.approx(brute(runs[i], runs[j]), abs=1e-9), (i, j)
+        assert got[0, 1] == pytest.approx((1, 1))
 
 
 class TestSources:
