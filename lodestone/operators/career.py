@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.periods import term_index
-from lodestone.operators import intervals
+from lodestone.operators import intervals, sets
 
 #: Columns of a career spell.
 SPELL = ["person", "stage", "unit", "institution", "start", "end", "kind", "confidence"]
@@ -130,6 +130,24 @@ def peers(ego: DataFrame, spells: DataFrame) -> DataFrame:
     return met.groupBy("person").agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / max(total, 1), 6))
 
 
+def ego_hypergraph(ego: DataFrame, spells: DataFrame) -> DataFrame:
+    """[G20] One row for each of the egos' spells that others share: ego, stage, unit, start, end, members (the ego among them, sorted), evidence (for each spell of a peer that overlaps: person, stage, from, to of the common time, and the years of it; sorted),
+    redundancy and weight among the ego's edges, as ``sets.weights`` has them.
+
+    ego: ego, stage, unit, start, end, of a few people; spells: person, stage, unit, start, end. Peers' stages are those that the ego's permits; the ego is no peer of its own. Evidence travels with its edge from the overlap on and isn't looked up again.
+    """
+    own = ego.select("ego", F.col("stage").alias("own"), "unit", F.col("start").alias("from0"), F.col("end").alias("to0")).distinct()
+    met = spells.join(own, "unit").where((F.col("start") <= F.col("to0")) & (F.col("end") >= F.col("from0")) & (F.col("person") != F.col("ego")) & permitted(F.col("own"), F.col("stage")))
+    first, last = F.greatest("start", "from0"), F.least("end", "to0")
+    found = F.struct("person", "stage", first.alias("from"), last.alias("to"), (last - first + 1).cast("long").alias("years"))
+    key = ["ego", "own", "unit", "from0", "to0"]
+    edges = met.groupBy(*key).agg(F.array_sort(F.collect_set(found)).alias("evidence"))
+    members = F.array_sort(F.array_distinct(F.concat(F.array("ego"), F.transform("evidence", lambda e: e["person"]))))
+    edges = edges.withColumn("members", members).withColumn("edge", F.struct("own", "unit", "from0", "to0"))
+    weights = sets.weights(edges.select("edge", "ego", F.explode("members").alias("node")), "edge", "node", ["ego"])
+    return edges.join(weights.select("ego", "edge", "redundancy", "weight"), ["ego", "edge"]).select("ego", F.col("own").alias("stage"), "unit", F.col("from0").alias("start"), F.col("to0").alias("end"), "members", "evidence", "redundancy", "weight")
+
+
 def country_conflicts(people: DataFrame, school: str, country: str) -> DataFrame:
     """[C14] Schools with several countries over the whole population: counted before any filter."""
     n = people.where(F.col(country).isNotNull()).groupBy(school).agg(F.countDistinct(country).alias("__k"))

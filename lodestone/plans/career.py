@@ -103,3 +103,22 @@ def career_reconciled(spark, d):
     s = orders(spark, d).withColumn("institution", F.concat(F.lit("U"), F.col("unit").cast("string"))).withColumn("kind", F.when(F.col("stage") == "postdoc", "publication").otherwise("inferred")).withColumn("confidence", F.lit("medium"))
     seen = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("person"), (F.col("o_orderkey") % 5).alias("unit"), F.concat(F.lit("U"), (F.col("o_orderkey") % 5).cast("string")).alias("institution"), half_of(F.col("o_orderdate")).alias("at")).distinct()
     return career.reconciled(s.distinct(), seen)
+
+
+@query(f"""
+WITH p AS ({_SP}), g AS (SELECT DISTINCT person AS ego, CASE stage WHEN 'faculty' THEN 'first_faculty' ELSE stage END AS own, unit, s AS f0, e AS t0 FROM p WHERE person IN (7, 8, 10)),
+m AS (SELECT DISTINCT ego, own, g.unit, f0, t0, person, stage, greatest(s, f0) AS f, least(e, t0) AS t FROM g JOIN p ON p.unit = g.unit AND s <= t0 AND e >= f0 AND person <> ego
+ AND ((own = 'doctoral' AND stage IN ('doctoral', 'faculty')) OR (own = 'postdoc' AND stage IN ('doctoral', 'postdoc', 'faculty')) OR (own = 'first_faculty' AND stage IN ('doctoral', 'faculty')))),
+n AS (SELECT DISTINCT ego, own, unit, f0, t0, person AS node FROM m UNION SELECT DISTINCT ego, own, unit, f0, t0, ego FROM m), k AS (SELECT ego, own, unit, f0, t0, count(*) AS k, string_agg(node::VARCHAR, ',' ORDER BY node) AS members FROM n GROUP BY ALL),
+c AS (SELECT a.ego, a.own, a.unit, a.f0, a.t0, b.own AS own2, b.unit AS unit2, b.f0 AS f02, b.t0 AS t02, count(*) AS s FROM n a JOIN n b ON a.ego = b.ego AND a.node = b.node AND (a.own, a.unit, a.f0, a.t0) <> (b.own, b.unit, b.f0, b.t0) GROUP BY ALL),
+r AS (SELECT c.ego, c.own, c.unit, c.f0, c.t0, sum(s / (x.k + y.k - s)) AS red FROM c JOIN k x ON (x.ego, x.own, x.unit, x.f0, x.t0) = (c.ego, c.own, c.unit, c.f0, c.t0) JOIN k y ON (y.ego, y.own, y.unit, y.f0, y.t0) = (c.ego, c.own2, c.unit2, c.f02, c.t02) GROUP BY ALL),
+v AS (SELECT ego, own, unit, f0, t0, string_agg(person || ':' || stage || ':' || f || '-' || t || ':' || (t - f + 1), ' ' ORDER BY person, stage, f, t) AS evidence FROM m GROUP BY ALL)
+SELECT k.ego, k.own AS stage, k.unit, k.f0 AS start, k.t0 AS "end", members, evidence, round(coalesce(red, 0), 6) AS redundancy, round(k / (k - 1) / (1 + coalesce(red, 0)), 6) AS weight FROM k JOIN v USING (ego, own, unit, f0, t0) LEFT JOIN r USING (ego, own, unit, f0, t0)
+""")
+def career_ego_hypergraph(spark, d):
+    """[G20] Of three people."""
+    s = orders(spark, d)
+    ego = s.where("person in (7, 8, 10)").select(F.col("person").alias("ego"), F.when(F.col("stage") == "faculty", "first_faculty").otherwise(F.col("stage")).alias("stage"), "unit", "start", "end")
+    out = career.ego_hypergraph(ego, s)
+    said = F.transform("evidence", lambda e: F.concat_ws(":", e["person"].cast("string"), e["stage"], F.concat_ws("-", e["from"].cast("string"), e["to"].cast("string")), e["years"].cast("string")))
+    return out.select("ego", "stage", "unit", "start", "end", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), F.array_join(said, " ").alias("evidence"), F.round("redundancy", 6).alias("redundancy"), F.round("weight", 6).alias("weight"))

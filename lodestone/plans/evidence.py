@@ -60,7 +60,14 @@ def rank_relative(spark, d):
     return intervals.relative_rank(table(spark, d, "orders"), ["o_custkey"], "o_orderdate").select("o_orderkey", F.round("place", 6).alias("place"))
 
 
-@query()
+@query("""
+WITH RECURSIVE h AS (SELECT o_custkey, o_orderkey, (year(o_orderdate) * 2 + CASE WHEN month(o_orderdate) > 6 THEN 1 ELSE 0 END)::BIGINT AS s, o_orderkey % 3 AS n FROM orders),
+w AS (SELECT *, s + n AS e, row_number() OVER (PARTITION BY o_custkey ORDER BY s, s + n, o_orderkey) AS k FROM h),
+r(o_custkey, k, o_orderkey, band, ends) AS (SELECT o_custkey, k, o_orderkey, 0::BIGINT, [e] FROM w WHERE k = 1
+ UNION ALL SELECT o_custkey, k, o_orderkey, f - 1, list_concat(ends[1:f - 1], [e], ends[f + 1:])
+ FROM (SELECT w.*, r.ends, coalesce(list_position(list_transform(r.ends, lambda x: x < w.s), true), len(r.ends) + 1)::BIGINT AS f FROM r JOIN w ON w.o_custkey = r.o_custkey AND w.k = r.k + 1))
+SELECT o_custkey, o_orderkey, band FROM r
+""")
 def interval_bands(spark, d):
     """[W18]"""
     h = half_of(F.col("o_orderdate"))

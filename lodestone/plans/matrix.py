@@ -126,11 +126,16 @@ def matrix_agreement(spark, d):
     return pairs.join(F.broadcast(sums)).select("run_a", "run_b", *(r6(c) for c in ("ari", "ami", "mean_ari", "sd_ari", "mean_ami", "sd_ami")))
 
 
-@query()
+@query("""
+WITH p AS (SELECT a.vec_id AS id, b.vec_id AS o, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS whole, round(list_cosine_similarity(a.embedding[1:48]::DOUBLE[], b.embedding[1:48]::DOUBLE[]), 9) AS part FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+r AS (SELECT id, o, row_number() OVER (PARTITION BY id ORDER BY whole DESC, o) <= 10 AS x, row_number() OVER (PARTITION BY id ORDER BY part DESC, o) <= 10 AS y FROM p)
+SELECT id, round(count(*) FILTER (x AND y) / count(*) FILTER (x OR y), 6) AS jaccard FROM r GROUP BY 1
+""")
 def matrix_neighbour_overlap(spark, d):
     """[G15]"""
     e = table(spark, d, "embeddings")
-    return matrix.neighbour_overlap(matrix.nearest(e, "vec_id", "embedding", 10), matrix.nearest(e.withColumn("embedding", F.slice("embedding", 1, 48)), "vec_id", "embedding", 10), 10)
+    out = matrix.neighbour_overlap(matrix.nearest(e, "vec_id", "embedding", 10), matrix.nearest(e.withColumn("embedding", F.slice("embedding", 1, 48)), "vec_id", "embedding", 10), 10)
+    return out.select("id", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query()

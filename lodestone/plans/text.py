@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
+from lodestone.operators import names
 from lodestone.plans.registry import query
 from lodestone.sources.tables import content_hash, table
 
@@ -96,3 +97,48 @@ def text_keyed_ids(spark, d):
 def text_nfkc(spark, d):
     """[X4]"""
     return table(spark, d, "documents").select("doc_id", F.length(text.nfkc(F.col("text"))).alias("chars"))
+
+
+# Surnames and their spellings, a few of each length.
+SURNAMES = {"김": ["kim", "gim"], "이": ["lee", "yi", "rhee"], "박": ["park", "pak"], "최": ["choi", "choe"], "정": ["jung", "jeong", "chung"], "남": ["nam"], "남궁": ["namgung", "namkung"]}
+
+
+def _sql_lists(letters, also) -> str:
+    return "[" + ", ".join("[" + ", ".join(f"'{s}'" for s in (x, *also.get(x, ()))) + "]" for x in letters) + "]"
+
+
+_NAMES = f"""
+WITH c AS (SELECT c_custkey AS person, ['김', '이', '박', '최', '정', '남궁', '남'][c_custkey % 7 + 1] AS surname, 44032 + (c_custkey * 37) % 11172 AS g1, 44032 + (c_custkey * 7919) % 11172 AS g2 FROM customer),
+spell AS (SELECT unnest([{", ".join("{'surname': '" + k + "', 's': [" + ", ".join(f"'{x}'" for x in v) + "]}" for k, v in SURNAMES.items())}], recursive := true)),
+l AS (SELECT {_sql_lists(names.FIRST, names.FIRST_ALSO)} AS f, {_sql_lists(names.VOWEL, names.VOWEL_ALSO)} AS v, {_sql_lists(names.LAST, names.LAST_ALSO)} AS z),
+syl AS (SELECT code, flatten(list_transform(f[(code - 44032) // 588 + 1], lambda a: flatten(list_transform(v[(code - 44032) % 588 // 28 + 1], lambda b: list_transform(z[(code - 44032) % 28 + 1], lambda e: a || b || e))))) AS s FROM l, (SELECT g1 AS code FROM c UNION SELECT g2 FROM c)),
+"""
+
+
+@query(
+    _NAMES
+    + """r AS (SELECT person AS record, CASE person % 4 WHEN 0 THEN x.s[1] || y.s[1] || p.s[1] WHEN 1 THEN p.s[len(p.s)] || x.s[len(x.s)] || y.s[1] WHEN 2 THEN left(x.s[1], 1) || p.s[1] ELSE x.s[1] || y.s[1] END AS key
+ FROM c JOIN spell p USING (surname) JOIN syl x ON x.code = g1 JOIN syl y ON y.code = g2),
+i AS (SELECT DISTINCT person, unnest(flatten(list_transform(flatten(list_transform(x.s, lambda a: list_transform(y.s, lambda b: a || b))), lambda g: flatten(list_transform(p.s, lambda n: [g || n, n || g]))))) AS key FROM c JOIN spell p USING (surname) JOIN syl x ON x.code = g1 JOIN syl y ON y.code = g2)
+SELECT DISTINCT person, record FROM i JOIN r USING (key) WHERE key <> ''"""
+)
+def names_matched(spark, d):
+    """[X19] Customers with names in Hangul, and records of them: two spellings, initials, and one without a surname."""
+    surname = F.get(F.array(*(F.lit(x) for x in ("김", "이", "박", "최", "정", "남궁", "남"))), (F.col("c_custkey") % 7).cast("int"))
+    # decode, as char() has no letters beyond 255: a syllable's three bytes of UTF-8
+    code = lambda k: F.col("c_custkey") * k % names.SYLLABLES + names.BASE
+    byte = lambda c: F.lpad(F.hex(c), 2, "0")
+    glyph = lambda c: F.decode(F.unhex(F.concat(byte(224 + F.floor(c / 4096)), byte(128 + F.floor(c / 64) % 64), byte(128 + c % 64))), "UTF-8")
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("person"), surname.alias("surname"), glyph(code(37)).alias("g1"), glyph(code(7919)).alias("g2"))
+    known = spark.createDataFrame(list(SURNAMES.items()), "surname string, spellings array<string>")
+    x, y, s = names.spellings(F.col("g1")), names.spellings(F.col("g2")), F.col("spellings")
+    at = lambda a, k: F.initcap(F.element_at(a, k))
+    kind = F.col("person") % 4
+    raw = (
+        F.when(kind == 0, F.concat_ws(" ", F.concat_ws("-", at(x, 1), at(y, 1)), at(s, 1)))
+        .when(kind == 1, F.concat(at(s, -1), F.lit(", "), at(x, -1), F.lit(" "), at(y, 1)))
+        .when(kind == 2, F.concat(F.substring(at(x, 1), 1, 1), F.lit(". "), at(s, 1)))
+        .otherwise(F.concat_ws(" ", at(x, 1), at(y, 1)))
+    )
+    records = people.join(known, "surname").select(F.col("person").alias("record"), raw.alias("raw"))
+    return names.matched(people.withColumn("name", F.concat("surname", "g1", "g2")), "person", "name", records, "record", "raw", known)
