@@ -90,3 +90,17 @@ def search_curated(spark, d):
     hits = areas(spark, d).where("share >= 0.03").select("l_suppkey", F.col("area").alias("topic")).distinct()
     topics = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("topic")), "l_partkey").groupBy("l_suppkey", "topic").agg(F.count("*").alias("n"))
     return search.within_group(hits, members, topics, "l_suppkey")
+
+
+@query("""
+WITH g AS (SELECT '분야' || (p_partkey % 40) AS word, unnest([lower(p_brand), p_type]) AS mean FROM part UNION ALL SELECT '분야', 'field'), q AS (SELECT unnest(['분야7', '야3', 'steel', '큰 분야9 말']) AS t),
+near AS (SELECT t, word, mean, max((t = word)::INT) OVER (PARTITION BY t) AS any_equal FROM q JOIN g ON regexp_matches(t, '[가-힣]') AND (contains(word, t) OR contains(t, word))),
+m AS (SELECT mean AS term FROM near WHERE any_equal = 0 OR t = word UNION SELECT t FROM q WHERE NOT regexp_matches(t, '[가-힣]'))
+SELECT term FROM m UNION SELECT unnest(string_split_regex(term, '\\s+')) FROM m
+""")
+def search_expanded(spark, d):
+    """[X22] Words in Hangul by a glossary of parts: an equal word, words that hold the term, words that the term holds."""
+    p = table(spark, d, "part")
+    glossary = p.select(F.concat(F.lit("분야"), F.col("p_partkey") % 40).alias("word"), F.array(F.lower("p_brand"), "p_type").alias("means"))
+    glossary = glossary.unionByName(spark.createDataFrame([("분야", ["field"])], "word string, means array<string>"))
+    return search.expanded(["분야7", "야3", "steel", "큰 분야9 말"], glossary)

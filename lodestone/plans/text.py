@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import text
+from lodestone.functions import places, text
 from lodestone.operators import names
 from lodestone.plans.registry import query
 from lodestone.sources.tables import content_hash, table
@@ -142,3 +142,36 @@ def names_matched(spark, d):
     )
     records = people.join(known, "surname").select(F.col("person").alias("record"), raw.alias("raw"))
     return names.matched(people.withColumn("name", F.concat("surname", "g1", "g2")), "person", "name", records, "record", "raw", known)
+
+
+def _sql_names(table) -> str:
+    return "SELECT unnest([" + ", ".join("{'name': '" + k.replace("'", "''") + "', 'value': '" + v + "'}" for v, keys in table.items() for k in keys.split("|")) + "], recursive := true)"
+
+
+@query(f"""
+WITH cn AS ({_sql_names(places.COUNTRY_NAMES)}), rn AS ({_sql_names(places.REGION_NAMES)}),
+s AS (SELECT s_suppkey, CASE s_suppkey % 7 WHEN 0 THEN '  ' || lower(n_name) || '.' WHEN 1 THEN n_name WHEN 2 THEN ['kr', 'US', 'zz', 'de', ' Tr ', 'J.P.', 'ｋｒ'][s_suppkey // 7 % 7 + 1] WHEN 3 THEN 'Republic  of Korea' WHEN 4 THEN '영국' WHEN 5 THEN 'Korea, Republic of' ELSE n_name || ' x' END AS raw
+ FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+v AS (SELECT *, trim(regexp_replace(regexp_replace(replace(lower(raw), 'ｋｒ', 'kr'), '[.,]', ' ', 'g'), '\\s+', ' ', 'g')) AS a, replace(trim(regexp_replace(replace(lower(raw), 'ｋｒ', 'kr'), '\\s+', ' ', 'g')), '.', '') AS b FROM s)
+SELECT s_suppkey, raw, CASE WHEN a IN ('kr', 'us', 'de', 'tr') THEN upper(a) ELSE cn.value END AS code, coalesce(rn.value, 'unknown') AS region FROM v LEFT JOIN cn ON cn.name = a LEFT JOIN rn ON rn.name = b
+""")
+def text_countries(spark, d):
+    """[X9] Suppliers' nations, written in several ways."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    k = F.col("s_suppkey") % 7
+    short = F.get(F.array(*(F.lit(x) for x in ("kr", "US", "zz", "de", " Tr ", "J.P.", "ｋｒ"))), (F.floor(F.col("s_suppkey") / 7) % 7).cast("int"))
+    raw = F.when(k == 0, F.concat(F.lit("  "), F.lower("n_name"), F.lit("."))).when(k == 1, F.col("n_name")).when(k == 2, short).when(k == 3, "Republic  of Korea").when(k == 4, "영국").when(k == 5, "Korea, Republic of").otherwise(F.concat("n_name", F.lit(" x")))
+    s = table(spark, d, "supplier").join(n, "s_nationkey").select("s_suppkey", raw.alias("raw"))
+    return s.select("s_suppkey", "raw", places.country(F.col("raw"), places.codes(spark)).alias("code"), places.region(F.col("raw")).alias("region"))
+
+
+@query("""
+WITH v AS (SELECT page_id, trim(regexp_replace(regexp_replace(lower(coalesce(regexp_extract(url, '//([^/?#]*)', 1), '')), '[.,·]', ' ', 'g'), '\\s+', ' ', 'g')) AS a, CASE page_id % 5 WHEN 0 THEN 'N/A' WHEN 1 THEN '12 3.0' WHEN 2 THEN ' — ' END AS other FROM pages)
+SELECT page_id, CASE WHEN other IS NULL THEN nullif(a, '') END AS institution FROM v
+""")
+def text_institution(spark, d):
+    """[X7] Hosts as names of institutions, some of them missing."""
+    host = F.regexp_extract(F.coalesce("url", F.lit("")), "//([^/?#]*)", 1)
+    k = F.col("page_id") % 5
+    raw = F.when(k == 0, "N/A").when(k == 1, "12 3.0").when(k == 2, " — ").otherwise(host)
+    return table(spark, d, "pages").select("page_id", places.institution(raw).alias("institution"))

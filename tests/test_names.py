@@ -5,6 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import places
 from lodestone.operators import career, names
 
 SURNAMES = [("이", ["lee", "yi", "rhee", "rhie", "li", "ri", "ree"]), ("김", ["kim", "gim"]), ("정", ["jung", "jeong", "chung"]), ("최", ["choi", "choe"]), ("박", ["park", "pak"]), ("남", ["nam"]), ("남궁", ["namgung", "namkung"])]
@@ -39,3 +40,16 @@ def test_ego_hypergraph(spark):
     assert set(got) == {"u", "w"} and got["u"]["members"] == ["a", "b", "me"] and got["w"]["members"] == ["a", "me"]
     assert [tuple(e) for e in got["u"]["evidence"]] == [("a", "doctoral", 10, 12, 3), ("a", "doctoral", 18, 20, 3), ("b", "faculty", 20, 20, 1)]
     assert got["u"]["redundancy"] == pytest.approx(2 / 3) and got["u"]["weight"] == pytest.approx(3 / 2 / (1 + 2 / 3))
+
+
+def test_places(spark):
+    rows = [("Korea, Republic of.", "KR"), (" ＵＳＡ ", "US"), ("u.k.", None), ("kr", "KR"), ("Zz", None), ("Brazil", None), ("미국", "US"), (None, None), ("", None)]
+    df = spark.createDataFrame(rows, "raw string, code string")
+    assert [r["got"] for r in df.select(places.country(F.col("raw"), places.codes(spark)).alias("got")).collect()] == [c for _, c in rows]
+    assert {"KR", "US", "DE"} <= set(places.codes(spark)) and all(len(c) == 2 for c in places.codes(spark))
+    wanted = [("U.S.A.", "us"), ("Scotland", "europe"), ("cn", "japan-china"), ("Korea, Republic of", "domestic"), ("turkey", "foreign"), ("somewhere", "unknown"), (None, "unknown")]
+    df = spark.createDataFrame(wanted, "raw string, region string")
+    assert [r["got"] for r in df.select(places.region(F.col("raw")).alias("got")).collect()] == [x for _, x in wanted]
+    names_ = [(" Seoul  Nat. Univ ", "seoul nat univ"), ("12.0", None), ("N/A", None), ("알 수 없음", None), (None, None)]
+    df = spark.createDataFrame(names_, "raw string, name string")
+    assert [r["got"] for r in df.select(places.institution(F.col("raw")).alias("got")).collect()] == [x for _, x in names_]
