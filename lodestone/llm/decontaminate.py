@@ -168,24 +168,37 @@ class Index:
     def held(self, texts: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, windows of the item that the text has, by their plain words, all windows, slots with another value) of each held item."""
         w = Windows(texts)
-        met: dict[tuple[int, int], dict[tuple[int, bool], list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        found: dict[tuple[int, int], dict] = defaultdict(lambda: {"plain": set(), "template": set(), "slots": Counter(), "distances": [], "several": []})
+
+        def hold(pair: dict, at: int, word: int) -> None:
+            for d in range(w.width):
+                if self.slot[word + d]:
+                    pair["slots"][self.words[word + d], w.names[w.codes[at + d]]] += 1
+
         for by, template in ((w.by_plain, False), (w.by_template, True)):
             for k in self.hits(by).tolist():
-                at = int(w.at[k])
-                for item, window, word, of_template in self.where[int(by[k])]:
+                at, place = int(w.at[k]), self.where[int(by[k])]
+                several = len(place) > 1 and len({item for item, *_ in place}) < len(place)
+                for item, window, word, of_template in place:
                     if of_template == template:
-                        met[int(w.text_of[at]), item][at, template].append((window, word))
-        found: dict[tuple[int, int], dict] = {}
-        for key, places in met.items():
-            pair = found[key] = {"plain": set(), "template": set(), "slots": Counter()}
-            # a clause that an item repeats fits several of its windows: a place's slots are held against the one whose distance most places share
-            votes = Counter(at - word for (at, _), fits in places.items() for _, word in fits)
-            for (at, template), fits in places.items():
-                pair["template" if template else "plain"].update(window for window, _ in fits)
-                word = max((word for _, word in fits), key=lambda word: (votes[at - word], word))
-                for d in range(w.width):
-                    if self.slot[word + d]:
-                        pair["slots"][self.words[word + d], w.names[w.codes[at + d]]] += 1
+                        pair = found[int(w.text_of[at]), item]
+                        pair["template" if template else "plain"].add(window)
+                        if several:
+                            pair["several"].append((at, template, word))
+                        else:
+                            pair["distances"].append(at - word)
+                            hold(pair, at, word)
+        for pair in found.values():
+            if pair["several"]:
+                # a clause that an item repeats fits several of its windows: a place's slots are held against the one whose distance most places share
+                votes = Counter(pair["distances"])
+                votes.update(at - word for at, _, word in pair["several"])
+                best: dict[tuple[int, bool], int] = {}
+                for at, template, word in pair["several"]:
+                    if (at, template) not in best or (votes[at - word], word) > (votes[at - best[at, template]], best[at, template]):
+                        best[at, template] = word
+                for (at, _), word in best.items():
+                    hold(pair, at, word)
         out = []
         for (text, item), pair in sorted(found.items()):
             both = pair["plain"] | pair["template"]
