@@ -58,7 +58,8 @@ def formatted(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """chats (as ``formatted`` gives them) with ``turns``, an array of (role, text), and ``learned``, the texts under the mask: from the string
+    """chats (as ``formatted`` gives them) with ``turns``, an array of (role, text), and ``learned``, the texts under the mask: from
+    the string
     and its mask alone."""
     parts = chats.withColumn("__pieces", F.split("formatted", _CONTROL, -1))
     inside = F.split(F.col("formatted"), r"<\|im_start\|>", -1)

@@ -4,14 +4,18 @@ Words are reduced to letters and digits. Numbers, units and names become typed p
 template window. An item's windows, plain ones and template ones, are hashed; a document's windows are looked up among them.
 A template window with fewer than three plain words says too little and isn't used. Where a document's window fits an item's
 by its template, each slot's value in the item must stand for one value in the document, wherever it occurs: a question with other
-numbers or names is still that question, a chance fit isn't. A document holds an item if it has three fifths of the item's windows, or of those of its windows that
-are of use as templates, if these are a quarter of all. A capitalised word within a sentence is a name, wherever its text has it capitalised.
+numbers or names is still that question, a chance fit isn't. A document holds an item if it has three fifths of the item's windows,
+or of those of its windows that
+are of use as templates, if these are a quarter of all. A capitalised word within a sentence is a name, wherever its text has it
+capitalised.
 
-Some items are one window as a whole: those of fewer than five words, which are held where their plain words stand in a row, and those with too few windows that
+Some items are one window as a whole: those of fewer than five words, which are held where their plain words stand in a row, and
+those with too few windows that
 are of use as templates, which besides are held where their whole template fits, with three plain words or more and consistent slots.
 
 Documents aren't shuffled. The index goes to all tasks; it is built for so many items at a time that their texts
-have at most ``INDEX_BYTES`` bytes, and a larger benchmark takes as many passes, each written before the next one starts, so no task or driver ever holds two.
+have at most ``INDEX_BYTES`` bytes, and a larger benchmark takes as many passes, each written before the next one starts, so no task
+or driver ever holds two.
 """
 
 from __future__ import annotations
@@ -107,7 +111,8 @@ class Windows:
         self.width = width
 
     def runs(self, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where runs of so many words within a text start, and their hashes: sums of words' hashes by powers of an odd number, for any width at the same cost."""
+        """Where runs of so many words within a text start, and their hashes: sums of words' hashes by powers of an odd number, for
+        any width at the same cost."""
         n = len(h) - width + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -166,7 +171,8 @@ class Index:
         return at[[x in self.where for x in h[at].tolist()]] if len(at) else at
 
     def held(self, texts: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
-        """(text, item, windows of the item that the text has, by their plain words, all windows, slots with another value) of each held item."""
+        """(text, item, windows of the item that the text has, by their plain words, all windows, slots with another value) of each
+        held item."""
         w = Windows(texts)
         found: dict[tuple[int, int], dict] = defaultdict(lambda: {"plain": set(), "template": set(), "slots": Counter(), "distances": [], "several": []})
 
@@ -190,7 +196,8 @@ class Index:
                             hold(pair, at, word)
         for pair in found.values():
             if pair["several"]:
-                # a clause that an item repeats fits several of its windows: a place's slots are held against the one whose distance most places share
+                # a clause that an item repeats fits several of its windows: a place's slots are held against the one whose distance
+                # most places share
                 votes = Counter(pair["distances"])
                 votes.update(at - word for at, _, word in pair["several"])
                 best: dict[tuple[int, bool], int] = {}
@@ -253,7 +260,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """One row for each document and item that it holds: doc_id, item_id, n_windows (of the item), n_matched, n_plain, n_changed (slots with
     other values), kind (``verbatim`` or ``template``).
 
-    An item without words is held by none, a document without words holds none. Null texts are empty. Null ids are carried. Rows that repeat give rows that repeat.
+    An item without words is held by none, a document without words holds none. Null texts are empty. Null ids are carried. Rows
+    that repeat give rows that repeat.
     """
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -1,12 +1,16 @@
 """The main text of web pages by composite text density.
 
-A page becomes a tree, as a browser would read it where tags are missing. Every node gets its link-adjusted characters per tag (composite text density):
+A page becomes a tree, as a browser would read it where tags are missing. Every node gets its link-adjusted characters per tag
+(composite text density):
 
     density = C / T * log(C / LC * T / LT) / log(log(C / (C - LC) * LC + LC_body / C_body * C + e))
 
-with C characters and T tags below the node, LC and LT those of links, each taken as 1 where it is 0. A node's sum is that of its children's densities, its own text counting as a
-child. The node with the largest sum is the main one; the least density on its path to the body is the threshold: other nodes at or above it mark the largest sum below them as well.
-The marked subtrees, or the article that holds the main one, are the text, without what a page marks as something else: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers.
+with C characters and T tags below the node, LC and LT those of links, each taken as 1 where it is 0. A node's sum is that of its
+children's densities, its own text counting as a
+child. The node with the largest sum is the main one; the least density on its path to the body is the threshold: other nodes at or
+above it mark the largest sum below them as well.
+The marked subtrees, or the article that holds the main one, are the text, without what a page marks as something else: menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers.
 
 Pages are rows on their own, so nothing is shuffled; a task holds a slice of a batch at a time.
 """
@@ -84,7 +88,8 @@ LABELLED = re.compile(r"class|id|role|hidden|style", re.I)
 
 
 class Page:
-    """A page as a tree. Nodes are numbers, parents before their children; 0 is the body. ``events`` has the page's order: (node, None) where one starts or ends, (node, text) for its text."""
+    """A page as a tree. Nodes are numbers, parents before their children; 0 is the body. ``events`` has the page's order: (node,
+    None) where one starts or ends, (node, text) for its text."""
 
     def __init__(self, source: str):
         self.tag: list[str] = ["body"]
@@ -369,8 +374,10 @@ def main_text(source: str | None) -> str:
 def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """page_id, url, text (the main text, empty if there is none) and n_chars (its code points) of each row.
 
-    Null and empty sources, and pages of nothing but menus and the like, have an empty text. Character references are decoded. ``<br>`` and the border of two cells of a table's row are white space within a block. Rows that
-    repeat are read each; null ids and urls stay. Broken markup is read as browsers do; a page without any tag is one block. Nothing is cut off. Other columns are not read. No row: no row.
+    Null and empty sources, and pages of nothing but menus and the like, have an empty text. Character references are decoded.
+    ``<br>`` and the border of two cells of a table's row are white space within a block. Rows that
+    repeat are read each; null ids and urls stay. Broken markup is read as browsers do; a page without any tag is one block. Nothing
+    is cut off. Other columns are not read. No row: no row.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(source).alias("html"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}

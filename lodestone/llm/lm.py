@@ -8,11 +8,13 @@ The model is an n-gram model with hierarchical Dirichlet smoothing, read as an a
   its first word; the state without context always answers, with ``(c(w) - D) / N`` or, for all unknown words together,
   ``D * V / N``. ``D = n1 / (n1 + 2 * n2)`` from the counts of words seen once and twice.
 
-A text is one pass from left to right that carries the state: each token adds the log of its arc's weight and of those of the failure arcs before it.
+A text is one pass from left to right that carries the state: each token adds the log of its arc's weight and of those of the
+failure arcs before it.
 
 The model never has to fit one machine. Texts are cut into blocks of a bounded number of tokens. A block sends the hash of
 each of its n-grams, once, to one of many buckets; a bucket adds up the counts of all blocks and answers each block with
-what the others have seen of just the n-grams that it asked for. So a block gets the part of the automaton that its own texts can reach, compiles
+what the others have seen of just the n-grams that it asked for. So a block gets the part of the automaton that its own texts can
+reach, compiles
 it into arrays and walks all its texts through it. Two shuffles, both dealt evenly by hash: a frequent n-gram costs one entry
 for each block. The lineage is linear and each step a function of its input, so that a lost executor repeats only its own tasks.
 """
@@ -84,7 +86,8 @@ def seen_in(grams: "Grams", learned: np.ndarray) -> list[np.ndarray]:
 
 
 class Grams:
-    """The n-grams of a block: for each order the sorted hashes of the different ones, and for each token which of them ends there (-1: none)."""
+    """The n-grams of a block: for each order the sorted hashes of the different ones, and for each token which of them ends there
+    (-1: none)."""
 
     def __init__(self, words: np.ndarray, codes: np.ndarray, first: np.ndarray, order: int):
         """words: hash of each code; codes: of all tokens, ends included; first: whether a token is the first of its text."""
@@ -122,7 +125,8 @@ def coded(n: int, top: np.ndarray) -> np.ndarray:
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple]:
-    """(ids, null ids, training, words of each text, ascending hashes of the different words, the most frequent of them, codes) of up to so many tokens, or of one longer text."""
+    """(ids, null ids, training, words of each text, ascending hashes of the different words, the most frequent of them, codes) of
+    up to so many tokens, or of one longer text."""
     held: list[tuple] = []
     n = 0
 
@@ -204,7 +208,8 @@ def ask(buckets: int, order: int, tokens: int):
 
 
 def answer(buckets: int, order: int):
-    """Rows of a bucket to how often the other blocks saw what each block asked for, after the hashes of its words and the bucket's share of N, V, n1 and n2. Texts pass."""
+    """Rows of a bucket to how often the other blocks saw what each block asked for, after the hashes of its words and the bucket's
+    share of N, V, n1 and n2. Texts pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: dict[int, list[tuple[int, bytes]]] = {}
@@ -241,8 +246,10 @@ def answer(buckets: int, order: int):
 class Automaton:
     """A block's part of the model, compiled into arrays.
 
-    States are numbered: 0 is the state without context, then come the block's words, then its pairs of words. An arc is an n-gram that was seen, from the state of its first
-    n - 1 words by its last word to the state of its last ORDER - 1 words; ``origin`` and ``target`` hold its ends, ``weight`` its log10 probability. ``failure`` holds for each state
+    States are numbered: 0 is the state without context, then come the block's words, then its pairs of words. An arc is an n-gram
+    that was seen, from the state of its first
+    n - 1 words by its last word to the state of its last ORDER - 1 words; ``origin`` and ``target`` hold its ends, ``weight`` its
+    log10 probability. ``failure`` holds for each state
     where its failure arc leads, ``cost`` that arc's weight. A state is reached only by arcs, so contexts that were never seen have none.
     """
 
@@ -292,8 +299,10 @@ class Automaton:
         return np.where(at >= 0, self.totals[order - 1][at], 0).astype(np.float64) if len(self.totals[order - 1]) else np.zeros(len(at))
 
     def walk(self, piece: int = 256) -> np.ndarray:
-        """The log10 weight of each token's path: its arc's and those of the failure arcs before it. One pass from left to right that carries the state, over many
-        pieces of texts side by side. A piece within a text starts ORDER - 1 tokens early, after which its state is the text's, as no state is longer."""
+        """The log10 weight of each token's path: its arc's and those of the failure arcs before it. One pass from left to right
+        that carries the state, over many
+        pieces of texts side by side. A piece within a text starts ORDER - 1 tokens early, after which its state is the text's, as
+        no state is longer."""
         size, order = len(self.grams.since), len(self.totals)
         out = np.zeros(size)
         if not size:
@@ -369,7 +378,8 @@ def backoff_scores(docs: DataFrame, doc_id: str, text: str, training: F.Column,
     """id, training, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (log10 probability by the
     automaton) of each row, learned from the rows for which ``training`` is true.
 
-    A null or empty text is its end alone. A null id stays null. A null ``training`` counts as false. Rows that repeat are scored each. Without training
+    A null or empty text is its end alone. A null id stays null. A null ``training`` counts as false. Rows that repeat are scored
+    each. Without training
     rows all probabilities are 1. Other columns are not read. No row: no row.
     """
     spark = docs.sparkSession

@@ -1,11 +1,16 @@
 r"""Conversations whose turns are missing, doubled, empty, cut off or of the wrong role, found and repaired at the least cost.
 
-A conversation's rows become a signature, one letter each: the initial of its role (``s``, ``u``, ``a``, any other ``x``), as a capital where the row is cut off;
-``-`` for a row that has to go (blank or a duplicate). Many conversations share a signature, so each different one is solved once, by recursion over its
-suffixes, memoised: the cheapest edits of ``signature[i:]`` from each of four states. The audits are joined back to the conversations, and each replays its own over its turns with array functions.
-
-Edits: Keep (0), Rerole to user or assistant (1), Delete (2; the only one for ``-``) and Insert of an empty turn of user or assistant (5). A cut-off row that stays costs 5 more.
-The role initials that remain must read ``(s?(ua)+)?``. Of equally cheap edits the least by ASCII of their initials wins. An audit says all: which role a Rerole or an Insert gives follows from the turn before.
+A conversation's rows become a signature, one letter each: the initial of its role (``s``, ``u``, ``a``, any other ``x``), as a
+capital where the row is cut off;
+``-`` for a row that has to go (blank or a duplicate). Many conversations share a signature, so each different one is solved once,
+by recursion over its
+suffixes, memoised: the cheapest edits of ``signature[i:]`` from each of four states. The audits are joined back to the
+conversations, and each replays its own over its turns with array functions.
+
+Edits: Keep (0), Rerole to user or assistant (1), Delete (2; the only one for ``-``) and Insert of an empty turn of user or
+assistant (5). A cut-off row that stays costs 5 more.
+The role initials that remain must read ``(s?(ua)+)?``. Of equally cheap edits the least by ASCII of their initials wins. An audit
+says all: which role a Rerole or an Insert gives follows from the turn before.
 """
 
 from __future__ import annotations
@@ -18,7 +23,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import modest, parallelism
 
-#: States of the role grammar: nothing yet; a system turn; a user turn last; an assistant turn last. The first and the last may end a conversation.
+#: States of the role grammar: nothing yet; a system turn; a user turn last; an assistant turn last. The first and the last may end
+#: a conversation.
 START, SYSTEM, USER, ASSISTANT = range(4)
 #: What may come next in a state: role initial to state.
 NEXT = {START: {"s": SYSTEM, "u": USER}, SYSTEM: {"u": USER}, USER: {"a": ASSISTANT}, ASSISTANT: {"u": USER}}
@@ -56,7 +62,8 @@ def before(letter: str, after: list[Plan | None]) -> list[Plan | None]:
 
 
 def solver():
-    """signature -> (cost, audit). Remembers the suffixes of what it solved, if they have at most 32 letters, as those recur; 100,000 of them at most."""
+    """signature -> (cost, audit). Remembers the suffixes of what it solved, if they have at most 32 letters, as those recur;
+    100,000 of them at most."""
     memo: dict[str, list[Plan | None]] = {"": inserted([(0, ""), None, None, (0, "")])}
 
     def solve(signature: str) -> Plan:
@@ -100,8 +107,10 @@ def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def damaged(turns: DataFrame, every: int = 20) -> DataFrame:
-    """conv_id, turn, role, text and ``lost`` of the rows after damage, by crc32(``conv_id:turn``) modulo ``every``: 0 loses the row, 1 its text, 2 the marks that end
-    sentences, 3 repeats it, 4 makes it a user's. Null roles and texts, and nulls in the key, are one space; the columns conv_id and turn keep theirs. A lost row stays as an empty one, marked, so that its conversation isn't forgotten."""
+    """conv_id, turn, role, text and ``lost`` of the rows after damage, by crc32(``conv_id:turn``) modulo ``every``: 0 loses the
+    row, 1 its text, 2 the marks that end
+    sentences, 3 repeats it, 4 makes it a user's. Null roles and texts, and nulls in the key, are one space; the columns conv_id and
+    turn keep theirs. A lost row stays as an empty one, marked, so that its conversation isn't forgotten."""
     key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
     kind = F.crc32(key) % every
     text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
@@ -116,14 +125,19 @@ def damaged(turns: DataFrame, every: int = 20) -> DataFrame:
 
 
 def repaired(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", lost: Column | None = None) -> DataFrame:
-    """For each conversation: conv_id, gaps, blank, duplicate, truncated, illegal, cost (longs), audit, and ``turns``, its repaired turns as an array of (role, text).
-
-    Rows go by turn, nulls first, then role, then text. Null roles and texts are one space. A row's first fault counts: blank, duplicate (role and text
-    stand earlier), truncated (its last letter is none of ``.!?``). gaps: numbers missing between the least and the largest turn. illegal: neighbouring rows whose roles don't follow one
-    another. A role that starts with none of s, u and a can be reroled or deleted, not kept. A null conversation is one of its own. Rows for which ``lost`` holds are no rows, but
+    """For each conversation: conv_id, gaps, blank, duplicate, truncated, illegal, cost (longs), audit, and ``turns``, its repaired
+    turns as an array of (role, text).
+
+    Rows go by turn, nulls first, then role, then text. Null roles and texts are one space. A row's first fault counts: blank,
+    duplicate (role and text
+    stand earlier), truncated (its last letter is none of ``.!?``). gaps: numbers missing between the least and the largest turn.
+    illegal: neighbouring rows whose roles don't follow one
+    another. A role that starts with none of s, u and a can be reroled or deleted, not kept. A null conversation is one of its own.
+    Rows for which ``lost`` holds are no rows, but
     their conversations stay: one without rows has zeros, no edits and no turns. Other columns are not read. No row: no row.
 
-    Texts are shuffled once, by conversation; a conversation becomes one row of the result, so it must fit one. Signatures are solved and joined back without texts, those that many conversations
+    Texts are shuffled once, by conversation; a conversation becomes one row of the result, so it must fit one. Signatures are
+    solved and joined back without texts, those that many conversations
     share by parts, so no signature is one task's.
     """
     own = F.col(conv)

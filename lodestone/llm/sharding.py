@@ -1,7 +1,9 @@
 """A reproducible shuffle into shards: a Feistel permutation of global row numbers, with cycle walking.
 
-Row numbers follow the rows' contents, not their files: two 64-bit hashes stand for a row. Equal rows are counted first (they can be told apart by nothing, and a
-third of all rows may be equal), distinct pairs of hashes are dealt to buckets, numbered there, and shifted by the buckets before; the rows themselves,
+Row numbers follow the rows' contents, not their files: two 64-bit hashes stand for a row. Equal rows are counted first (they can be
+told apart by nothing, and a
+third of all rows may be equal), distinct pairs of hashes are dealt to buckets, numbered there, and shifted by the buckets before;
+the rows themselves,
 one of equal ones from each task, move once, to their numbers.
 The number x = L * a + R, with a * a just over the number of rows, goes through rounds (L, R) -> (R, (L + f(R)) mod a), a permutation
 of [0, a * a). A result beyond the rows goes through it again until it isn't; less than 2 * sqrt(rows) numbers need that. Shard
@@ -71,7 +73,8 @@ def numbered(rows: DataFrame) -> DataFrame:
 def shards(rows: DataFrame, n_shards: int, seed: int = 0) -> DataFrame:
     """rows with ``shard`` (int, from 0) and ``slot`` (long, without gaps from 0).
 
-    Columns may have any names; those named shard or slot are replaced. Map-typed columns aren't supported. Nulls are values like any other; rows that repeat
+    Columns may have any names; those named shard or slot are replaced. Map-typed columns aren't supported. Nulls are values like
+    any other; rows that repeat
     each get their own slot. No row: no row.
     """
     rows = rows.drop("shard", "slot")

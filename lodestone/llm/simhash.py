@@ -195,16 +195,19 @@ def links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-#: A value is a hub if it has more than one in so many of all rows, and more than so many, which one task takes easily; so there are fewer than 1,000 hubs.
+#: A value is a hub if it has more than one in so many of all rows, and more than so many, which one task takes easily; so there are
+#: fewer than 1,000 hubs.
 HUB_SHARE, HUB_ROWS = 1000, 100_000
 #: Pairs of a graph that one task takes at least, so that small graphs don't cost many tasks a round.
 TASK_ROWS = 500_000
 
 
 def with_least(rows: DataFrame, key: str, value: str, total: int) -> tuple[DataFrame, list[str]]:
-    """rows with ``low``, the least value of the row's key, and paths of tables that may be deleted when the result is written. total: how many rows there are at most.
+    """rows with ``low``, the least value of the row's key, and paths of tables that may be deleted when the result is written.
+    total: how many rows there are at most.
 
-    Counts and minima are pre-aggregated. The minima of hubs are sent out, a thousand at most; their rows stay where they are. The others meet theirs in a join.
+    Counts and minima are pre-aggregated. The minima of hubs are sent out, a thousand at most; their rows stay where they are. The
+    others meet theirs in a join.
     """
     lows = rows.groupBy(key).agg(F.min(value).alias("low"), F.count("*").alias("times"))
     if total <= HUB_ROWS:  # no key can be a hub
@@ -218,7 +221,8 @@ def with_least(rows: DataFrame, key: str, value: str, total: int) -> tuple[DataF
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the pairs reaches. Alternates large stars (each node's larger neighbours join
     its smallest one) and small stars (its smaller ones do), which takes a number of rounds that grows as the logarithm of a chain's
-    length; each round's pairs are written to the shared folder, the round's before are deleted, and only counts and sums reach the driver."""
+    length; each round's pairs are written to the shared folder, the round's before are deleted, and only counts and sums reach the
+    driver."""
     spark = pairs.sparkSession
     now, path = written(pairs.select("a", "b"))
     before = None
@@ -237,7 +241,8 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 2, shingle: int = 3, extra: tuple[str, ...] = ()) -> DataFrame:
-    """id, fp, root (the smallest fingerprint of its class), component (the smallest id that is reachable over links, its own included) and extra's columns of each row.
+    """id, fp, root (the smallest fingerprint of its class), component (the smallest id that is reachable over links, its own
+    included) and extra's columns of each row.
 
     Null and blank texts have fingerprint 0 and link as any other. Null ids count as larger than all others; a class of null ids only has
     a null component. Repeated rows stay. No row: no row.
@@ -254,7 +259,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 #: Shingles' words and the Jaccard similarity from which texts are near duplicates.
 WORDS, SIMILARITY = 5, 0.8
-#: Texts of which the shingles' frequencies are learned, how often one must be met there to count as frequent, and how many of those are told apart.
+#: Texts of which the shingles' frequencies are learned, how often one must be met there to count as frequent, and how many of those
+#: are told apart.
 SAMPLE, MET, FREQUENT = 8192, 3, 1 << 17
 #: Texts with one shingle in their prefixes that are compared pair by pair at once.
 FEW = 16
@@ -288,15 +294,18 @@ def prefix_length(n: int, share: float) -> int:
 
 
 def sketch(keys: np.ndarray) -> np.ndarray:
-    """One bit for each residue of the keys: whether an odd number has it; about as many bits as keys, a power of two. An item that only one of two sets has
-    changes one bit, so sketches differ in no more bits than sets in items. Of a sketch twice as long, the halves' exclusive or is the shorter one."""
+    """One bit for each residue of the keys: whether an odd number has it; about as many bits as keys, a power of two. An item that
+    only one of two sets has
+    changes one bit, so sketches differ in no more bits than sets in items. Of a sketch twice as long, the halves' exclusive or is
+    the shorter one."""
     bits = 1 << max(6, min(16, (len(keys) - 1).bit_length()))
     odd = np.bincount((keys & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def frequent_keys(docs: DataFrame, text: str, rate: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of one text in so many, sorted, and their ranks, the rarest first. At most ``FREQUENT`` reach the driver."""
+    """The most frequent shingles of one text in so many, sorted, and their ranks, the rarest first. At most ``FREQUENT`` reach the
+    driver."""
     t = F.coalesce(F.col(text), F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +331,8 @@ def frequent_keys(docs: DataFrame, text: str, rate: int) -> tuple[np.ndarray, np
 
 
 def texts_of(rows: DataFrame, text: str, rare: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
-    """rows without the text, and of it: ``th``, ``fp``, ``n`` (different shingles), ``sketch``, ``keys`` (its prefix in the order of rank and key) and ``short`` (how many
+    """rows without the text, and of it: ``th``, ``fp``, ``n`` (different shingles), ``sketch``, ``keys`` (its prefix in the order
+    of rank and key) and ``short`` (how many
     of these suffice for partners that aren't smaller). A task gives a text's keys and sketch once, for later copies null."""
     names = [c for c in rows.columns if c != text]
     at = rows.columns.index(text)
@@ -375,7 +385,8 @@ def close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
 
 
 def shingles(ids: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """(th, s) of the texts with such ids (column ``th``), and of few others: the keys of all their shingles. A bit map of a fixed size tells a pass over the documents which
+    """(th, s) of the texts with such ids (column ``th``), and of few others: the keys of all their shingles. A bit map of a fixed
+    size tells a pass over the documents which
     texts they may be, so that, while these are fewer than its bits, only their shingles are shuffled; at worst all texts' are."""
     at = ids.select((F.col("th").bitwiseAND(F.lit((1 << MAP_BITS) - 1)) + 1).alias("p"))  # the functions count from 1
     rows = at.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
@@ -408,7 +419,8 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, similarity: float) ->
 
 
 class Block:
-    """Texts that are compared with one another: sizes, components, whether the shingle that they share suffices for partners that aren't smaller, sketches."""
+    """Texts that are compared with one another: sizes, components, whether the shingle that they share suffices for partners that
+    aren't smaller, sketches."""
 
     def __init__(self, t: pa.Table, similarity: float):
         self.similarity = similarity
@@ -441,17 +453,21 @@ class Block:
 
 
 def blocks(rows: DataFrame, times: str, size: int) -> DataFrame:
-    """rows of a key in chunks of about ``size``, and each chunk once for each chunk of its key: two texts of a key meet in the block of their two chunks."""
+    """rows of a key in chunks of about ``size``, and each chunk once for each chunk of its key: two texts of a key meet in the
+    block of their two chunks."""
     chunks = F.ceil(F.col(times) / size)
     rows = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("th"), "chunks"))
     return rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumns({"i": F.least("chunk", "with"), "j": F.greatest("chunk", "with")}).drop("chunks", "chunk", "with")
 
 
 def apart_links(filed: DataFrame, classes: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, similarity: float) -> DataFrame:
-    """Pairs (a, b) that have the components which all pairs of such similarity have among texts with one key but of different components so far.
+    """Pairs (a, b) that have the components which all pairs of such similarity have among texts with one key but of different
+    components so far.
 
-    The texts of a key are compared in blocks of bounded size, within tasks. First by sketches: a pair counts in the block of the smallest key that suffices
-    for it, and what comes out are the texts that have any partner. Only these bring their shingles, for second blocks, which verify pairs closest first,
+    The texts of a key are compared in blocks of bounded size, within tasks. First by sketches: a pair counts in the block of the
+    smallest key that suffices
+    for it, and what comes out are the texts that have any partner. Only these bring their shingles, for second blocks, which verify
+    pairs closest first,
     but none of texts that the block has linked by then: what comes out is a forest, fewer links than texts.
     """
     bucket = Window.partitionBy("key")
@@ -504,14 +520,20 @@ def apart_links(filed: DataFrame, classes: DataFrame, nodes: DataFrame, docs: Da
 
 
 def alike(prints: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, linked: DataFrame, similarity: float) -> DataFrame:
-    """(node, root): the components of texts under linked's pairs and "the Jaccard similarity of the shingles is at least that". prints: as of ``texts_of``;
+    """(node, root): the components of texts under linked's pairs and "the Jaccard similarity of the shingles is at least that".
+    prints: as of ``texts_of``;
     nodes: one row for each different text; both staged.
 
-    Two sets that similar have a shingle in common among the first n - ceil(similarity * n) + 1 of each, in any one order of all shingles, and among fewer
-    of the smaller one. The order is by frequency, learned from a sample, so that what many texts share comes last; it bears on the work, not on the result.
-    Texts that share such a shingle are filed together. Few are compared pair by pair; of more, each is compared with the next smaller and with the first at
-    once, and with the others in blocks, only if they aren't in one component by then (``apart_links``). Comparing is by sketches, whose bits bound
-    the difference from below; what passes is verified by the shingles themselves: for each text the closest first, then what would still join components.
+    Two sets that similar have a shingle in common among the first n - ceil(similarity * n) + 1 of each, in any one order of all
+    shingles, and among fewer
+    of the smaller one. The order is by frequency, learned from a sample, so that what many texts share comes last; it bears on the
+    work, not on the result.
+    Texts that share such a shingle are filed together. Few are compared pair by pair; of more, each is compared with the next
+    smaller and with the first at
+    once, and with the others in blocks, only if they aren't in one component by then (``apart_links``). Comparing is by sketches,
+    whose bits bound
+    the difference from below; what passes is verified by the shingles themselves: for each text the closest first, then what would
+    still join components.
     """
     filed = prints.where("keys is not null").select("th", "n", "short", F.posexplode("keys").alias("at", "key")).select("key", "th", "n", (F.col("at") < F.col("short")).alias("near"))
     bucket = Window.partitionBy("key")
@@ -538,10 +560,12 @@ def alike(prints: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, linke
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 2, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each class of near duplicates, that with the smallest id (null ids last; of several the one with the smallest hash of all its
+    """docs with one row of each class of near duplicates, that with the smallest id (null ids last; of several the one with the
+    smallest hash of all its
     columns; of equal rows one). All columns as they were, whatever their names. No row: no row. Map-typed columns aren't supported.
 
-    Texts are linked if their fingerprints differ in ``distance`` bits or fewer, which loses no link, or if ``similarity`` or more of their shingles of five
+    Texts are linked if their fingerprints differ in ``distance`` bits or fewer, which loses no link, or if ``similarity`` or more
+    of their shingles of five
     words are the same, which loses none either (see ``alike``). Null and blank texts are one text.
     """
     rows = docs.select(packed(docs), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).withColumns({"h": F.xxhash64("row"), "h2": F.xxhash64(F.lit(1), "row")})

@@ -61,7 +61,8 @@ def owners(ends: np.ndarray, spans: np.ndarray, rule: str) -> np.ndarray:
 def section_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = TOKENIZER, rule: str = "most") -> DataFrame:
     """One row for each section of each document: doc_id, section (from 0), char_start, char_end, n_tokens, doc_tokens.
 
-    A null or empty text is one section of no tokens. Null ids are carried; rows that repeat give rows that repeat. Spans are in code points.
+    A null or empty text is one section of no tokens. Null ids are carried; rows that repeat give rows that repeat. Spans are in
+    code points.
     """
     if rule not in RULES:
         raise ValueError(f"rule: one of {', '.join(RULES)}")

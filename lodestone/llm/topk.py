@@ -2,11 +2,14 @@
 
 A score is the sum of local scores over groups of dimensions, a ranked list for each group. First, each task takes the best
 entries of each list for each query, and resolves them, which gives it k scores that really occur; the largest k-th score of all tasks is
-a safe cutoff, as at least k rows reach it. The cutoff is sent out. A row whose local scores all lie below a uniform share of the cutoff can't reach it, so
-second, each task collects the entries at or above that share from its lists. Third, it resolves what these lack, and keeps the rows that reach the
+a safe cutoff, as at least k rows reach it. The cutoff is sent out. A row whose local scores all lie below a uniform share of the
+cutoff can't reach it, so
+second, each task collects the entries at or above that share from its lists. Third, it resolves what these lack, and keeps the rows
+that reach the
 cutoff, k of a task's at most. The k best of those are the answer.
 
-Queries are taken in chunks of a bounded number, dealt evenly; a chunk's vectors and cutoffs go to all tasks, so what is sent out doesn't grow. All
+Queries are taken in chunks of a bounded number, dealt evenly; a chunk's vectors and cutoffs go to all tasks, so what is sent out
+doesn't grow. All
 rows are read for each chunk and never moved: a task returns k rows a query at most.
 """
 
@@ -122,8 +125,10 @@ def best(kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", groups: int = GROUPS, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k best rows other than its own; ties go to the smaller id.
 
-    Components become floor(64 * x). Null vectors, such with null or non-finite components and rows without id take no part. Missing components of a
-    shorter vector are 0. A repeated row is a candidate as often as it occurs; an id is one query (of several vectors, the smallest), and no row of
+    Components become floor(64 * x). Null vectors, such with null or non-finite components and rows without id take no part. Missing
+    components of a
+    shorter vector are 0. A repeated row is a candidate as often as it occurs; an id is one query (of several vectors, the
+    smallest), and no row of
     that id is its candidate. Scores must be below 2 ** 53. Fewer than k candidates: all.
     """
     spark = vectors.sparkSession

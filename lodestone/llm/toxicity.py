@@ -5,7 +5,8 @@ to those letters, all else to blanks. A lexicon entry is a whole word or a word'
 documents' labels. A phrase on the list of exceptions takes back what it covers. A document's weights are summed, once over the root
 of its number of words and once as a logarithm; a logistic model of both, fitted on the same documents, gives the score.
 
-No word is known beforehand. Entries, exceptions and the model are learned from at most ``LEARN`` labelled documents, chosen by a hash of their ids, one row
+No word is known beforehand. Entries, exceptions and the model are learned from at most ``LEARN`` labelled documents, chosen by a
+hash of their ids, one row
 for each id; their counts and measures are all that learning moves, and the bound holds for what reaches the driver. Each term with enough
 evidence is an entry. Scoring is one pass over all texts without a shuffle.
 """
@@ -67,7 +68,8 @@ def _sign(run: re.Match) -> str:
 
 
 def folded(text: str | None) -> str:
-    """Lower case without accents, look-alikes of two alphabets and digits or signs beside letters as the letters that they stand for, everything else but numbers a blank; with a blank before and after."""
+    """Lower case without accents, look-alikes of two alphabets and digits or signs beside letters as the letters that they stand
+    for, everything else but numbers a blank; with a blank before and after."""
     return f" {_runs.sub(_sign, (text or '').translate(FOLD))} "
 
 
@@ -208,9 +210,11 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, turns: int = 50) -
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = LEARN) -> Model:
-    """A model from the labelled documents for which ``usable`` (of the id, in labels) is true, ``most`` of them at most, those whose ids have the smallest hashes.
+    """A model from the labelled documents for which ``usable`` (of the id, in labels) is true, ``most`` of them at most, those
+    whose ids have the smallest hashes.
 
-    Null labels and ids aren't used; of several labels of a document the largest holds, of several texts the smallest. Without both labels among them: no
+    Null labels and ids aren't used; of several labels of a document the largest holds, of several texts the smallest. Without both
+    labels among them: no
     entries, and for all texts a score by the labels' shares, which is 0.05 without labels.
     """
     chosen = labels.where(usable & F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg((F.max(label) > 0).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
@@ -240,7 +244,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc
 
 
 def scores(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """keep's columns and ``score`` of each row. Null, blank and unmatched texts score the model's constant. Rows that repeat are scored each. A column of keep
+    """keep's columns and ``score`` of each row. Null, blank and unmatched texts score the model's constant. Rows that repeat are
+    scored each. A column of keep
     named score is replaced."""
     keep = [c for c in keep if c != "score"]
     rows = docs.select(*keep, F.col(text).alias("score"))

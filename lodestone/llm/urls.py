@@ -2,10 +2,12 @@
 
 A URL is a basket of tokens: its host, the host's ends and labels, its path's segments, words of these, its query's keys. Spark's FP-growth
 mines the baskets of bad labelled pages for token combinations that many of them share; one pass over all labelled pages counts these. Rules
-are pruned by support and confidence, and a rule goes if a part of it does as well. They match by an inverted index from token to rules: a rule holds
+are pruned by support and confidence, and a rule goes if a part of it does as well. They match by an inverted index from token to
+rules: a rule holds
 if as many of its tokens were met as it has. Before that, fixed rules of host and path decide; of those that fit the longest.
 
-FP-growth lists all parts of a frequent basket, of any length, two to the power of its width. Where a page has more than ``WIDE`` frequent tokens, it is
+FP-growth lists all parts of a frequent basket, of any length, two to the power of its width. Where a page has more than ``WIDE``
+frequent tokens, it is
 left to a search level by level, which ends at ``LENGTH`` tokens and finds the same; so long URLs lose no token and cost no power.
 """
 
@@ -25,7 +27,8 @@ from lodestone.llm.common import ascii_lower, modest, staged
 
 #: A combination's least share of labelled pages, and a rule's least share of bad ones among those that it matches.
 SUPPORT, CONFIDENCE = 0.002, 0.6
-#: Tokens of a rule, at most. With SUPPORT, that bounds the number of rules: a page has a bounded number of combinations of so many frequent tokens.
+#: Tokens of a rule, at most. With SUPPORT, that bounds the number of rules: a page has a bounded number of combinations of so many
+#: frequent tokens.
 LENGTH = 3
 #: Frequent tokens of a page that FP-growth mines, at most.
 WIDE = 12
@@ -116,7 +119,8 @@ def held(tokens: list[str], sets: list[tuple[str, ...]], index: dict[str, list[i
 
 
 def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, length: int = LENGTH, wide: int = WIDE) -> list[tuple[tuple[str, ...], float, float]]:
-    """(tokens, confidence, support) of each rule. labelled: tokens, bad (boolean). A combination that too few bad pages hold is no rule, so they are mined, then all counted."""
+    """(tokens, confidence, support) of each rule. labelled: tokens, bad (boolean). A combination that too few bad pages hold is no
+    rule, so they are mined, then all counted."""
     labelled = staged(labelled.where(F.col("bad").isNotNull() & (F.size("tokens") > 0)).select(F.array_distinct("tokens").alias("tokens"), "bad"))
     n = labelled.count()
     if not n:
@@ -182,7 +186,8 @@ def matched(pages: DataFrame, rules: list[tuple[tuple[str, ...], float, float]],
 def judged(pages: DataFrame, labelled: DataFrame, fixed: list[tuple[str, str, str]], page_id: str = "page_id", url: str = "url", support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """id, host, path, rule, verdict and confidence of each page. labelled: url, bad (boolean).
 
-    A null url, or one without "://", has an empty host and path; no mined rule holds for it, so it is allowed. Null labels aren't used. Null
+    A null url, or one without "://", has an empty host and path; no mined rule holds for it, so it is allowed. Null labels aren't
+    used. Null
     ids are carried; rows that repeat are judged each. Without labelled pages the method allows all.
     """
     split = lambda df: df.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))

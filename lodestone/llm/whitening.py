@@ -1,11 +1,15 @@
 """Whitening of vectors by their leading principal components, which a matrix-free block subspace iteration finds.
 
-The covariance is never formed. Each step is one pass of Spark over the rows: a task centres its rows exactly, in integers, and adds up its part of Xt(XQ) for a block Q of directions;
-the parts, of dims x block numbers each, are added in two levels by the number of the task, so that the driver gets the root of the tasks' number and the order of adding is the same in each run. There, QR keeps the basis
-orthonormal and Rayleigh-Ritz gives the best pairs within it; the next pass's block are the directions of their residuals. Passes go on until the residual of each of the k
+The covariance is never formed. Each step is one pass of Spark over the rows: a task centres its rows exactly, in integers, and adds
+up its part of Xt(XQ) for a block Q of directions;
+the parts, of dims x block numbers each, are added in two levels by the number of the task, so that the driver gets the root of the
+tasks' number and the order of adding is the same in each run. There, QR keeps the basis
+orthonormal and Rayleigh-Ritz gives the best pairs within it; the next pass's block are the directions of their residuals. Passes go
+on until the residual of each of the k
 pairs, in a pass over the data of its own, certifies it.
 
-Entries are made integers, ``floor(scale * c) + offset``; sums of integers are exact, and a row's distance from the mean is ``(n * x - S) / n`` with the numerator exact, so a large common offset costs no digits.
+Entries are made integers, ``floor(scale * c) + offset``; sums of integers are exact, and a row's distance from the mean is ``(n * x
+- S) / n`` with the numerator exact, so a large common offset costs no digits.
 """
 
 from __future__ import annotations
@@ -34,7 +38,8 @@ PASSES = 200
 
 @dataclass(frozen=True)
 class Whitening:
-    """n rows with sums S and total variance; the components as columns, with their variances, falling; the residuals that certify them; the largest error of the whitened rows' covariance."""
+    """n rows with sums S and total variance; the components as columns, with their variances, falling; the residuals that certify
+    them; the largest error of the whitened rows' covariance."""
 
     n: int
     sums: np.ndarray
@@ -117,7 +122,8 @@ def centred(x: np.ndarray, n: int, sums: np.ndarray) -> np.ndarray:
 def fit(vectors: DataFrame, dims: int, k: int, scale: int = SCALE, offset: int = OFFSET, block: int | None = None, certain: float = CERTAIN, passes: int = PASSES, seed: int = 7) -> Whitening | None:
     """vectors: one column ``v``, arrays of ``dims`` finite numbers. None where there is no row.
 
-    Components of no variance (to rounding) can't be whitened and are left out; k is dims at most. Raises where ``passes`` don't certify all.
+    Components of no variance (to rounding) can't be whitened and are left out; k is dims at most. Raises where ``passes`` don't
+    certify all.
     """
     tasks = vectors.rdd.getNumPartitions()
     parts = added(vectors, sums_of(dims, scale, offset), tasks)
@@ -197,11 +203,14 @@ def deviations(centred_n: np.ndarray) -> np.ndarray:
 
 
 def whitened(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 32, scale: int = SCALE, offset: int = OFFSET, block: int | None = None) -> DataFrame:
-    """For each row and component (from 1, by falling variance): vec_id, component, n, deviation (sum of (n * x - S) ** 2 over dimensions), whitened, explained (share of the total variance),
+    """For each row and component (from 1, by falling variance): vec_id, component, n, deviation (sum of (n * x - S) ** 2 over
+    dimensions), whitened, explained (share of the total variance),
     identity_error (largest absolute entry of the whitened rows' covariance minus the identity).
 
-    Vectors that are null or hold null, NaN or infinite components take no part, nor do vectors whose length isn't the most frequent one (of equals, the longest) or is 0. Rows that repeat count as
-    often as they occur, null ids stay. Directions without variance are no components, so equal rows alone give no row. Components of equal variance are any orthonormal ones. Entries whose sums of squares
+    Vectors that are null or hold null, NaN or infinite components take no part, nor do vectors whose length isn't the most frequent
+    one (of equals, the longest) or is 0. Rows that repeat count as
+    often as they occur, null ids stay. Directions without variance are no components, so equal rows alone give no row. Components
+    of equal variance are any orthonormal ones. Entries whose sums of squares
     go beyond a long raise an error. Other columns are not read.
     """
     v = F.col(vector)

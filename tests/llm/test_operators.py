@@ -524,6 +524,33 @@ class TestDecontamination:
         mixed = other.replace("gives 7", "gives 9").replace("Olga has 64", "Ravi has 64")
         assert (1, 1) in self.held(spark, [(1, f"Some words before. {other}. After"), (3, mixed)], [(1, item)])
 
+    def test_recall_of_reparameterised_items(self, spark):
+        """200 word problems with other names, numbers and units within documents: nine of ten are found, of the verbatim ones all, of other problems none."""
+        rng = random.Random(12)
+        people, units = ["Sven", "Mbeki", "Olga", "Ravi", "Chen", "Aoife", "Luis", "Mina"], ["km", "kg", "miles", "euros", "litres", "hours"]
+        stories = [
+            "If {0} has {a} marbles and gives {b} to {1} then how many marbles does {0} have after he finds {c} more of them on the way home",
+            "A train leaves the town with {0} and {a} other people in it and after {b} {u} another {c} people get off so how many go on with {0} to the end",
+            "{0} buys {a} pens at {b} cents each while {1} buys {c} pens at the same price and pays with a note so how much money is left for {1} in all",
+            "When {0} runs {a} {u} every day and {1} runs {b} {u} every day for a week how much further does {0} go than {1} if one day is lost",
+            "The garden of {0} is {a} {u} long and {b} {u} wide and a fence around all of it costs {c} coins for each piece so what does the fence cost",
+            "If {0} has {a} apples and gives {b} to {1} then he is sad. If {1} has {c} pears and gives {b} to {0} then he is sad. How many things are there in all",
+        ]
+
+        def told(story, r):
+            a, b = r.sample(people, 2)
+            return story.format(a, b, a=r.randint(2, 900), b=r.randint(2, 90), c=r.randint(2, 90), u=r.choice(units))
+
+        items, docs, words_ = [], [], [f"w{k}" for k in range(400)]
+        for k in range(200):
+            extra = " ".join(rng.choice(words_) for _ in range(8))  # makes items differ
+            story = f"{stories[k % len(stories)]} and {extra}"
+            items.append((k, told(story, rng)))
+            around = lambda: " ".join(rng.choice(words_) for _ in range(30))
+            docs += [(k, f"{around()} {told(story, rng)} {around()}"), (1000 + k, f"{around()} {items[-1][1]} {around()}"), (2000 + k, f"{around()} {around()}")]
+        got = set(self.held(spark, docs, items))
+        assert sum((k, k) in got for k in range(200)) >= 180 and all((1000 + k, k) in got for k in range(200)) and not any(d >= 2000 for d, _ in got)
+
     def test_equal_items_are_looked_up_once(self, spark, monkeypatch):
         items = [(k, self.ITEM) for k in range(30)] + [(40, "Kept words that stand in a row here and nowhere else at all"), (None, self.ITEM)]
         made = []
