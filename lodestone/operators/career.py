@@ -18,7 +18,8 @@ def doctoral(people: DataFrame, years: int = 5) -> DataFrame:
 
 
 def postdocs(evidence: DataFrame, people: DataFrame, faculty: DataFrame) -> DataFrame:
-    """[C2, J22] Islands of publication half-years (person, unit, institution, at) at the doctoral unit, after the degree and before the first faculty spell."""
+    """[C2, J22] Islands of publication half-years (person, unit, institution, at) at the doctoral unit, after the degree and before
+    the first faculty spell."""
     first = faculty.groupBy("person").agg(F.min("start").alias("__first"))
     own = evidence.join(people.select("person", F.col("unit"), F.col("phd_year")), ["person", "unit"]).join(first, "person", "left")
     fit = own.where((F.col("at") > F.col("phd_year") * 2 + 1) & (F.col("__first").isNull() | (F.col("at") < F.col("__first"))))
@@ -26,7 +27,8 @@ def postdocs(evidence: DataFrame, people: DataFrame, faculty: DataFrame) -> Data
 
 
 def faculty_posts(evidence: DataFrame, taken: DataFrame, current: DataFrame, least: int = 2, reach: int = 2) -> DataFrame:
-    """[C3] Earlier faculty spells: units with at least ``least`` half-years, none of them within a postdoc spell (taken), the last at most ``reach``
+    """[C3] Earlier faculty spells: units with at least ``least`` half-years, none of them within a postdoc spell (taken), the last
+    at most ``reach``
     before the current post begins (current: person, start)."""
     clash = intervals.covering(evidence.select("person", "unit", "at"), taken.select("person", F.col("start").alias("s"), F.col("end").alias("e")), ["person"], "at", "s", "e").select("person", "unit").distinct()
     n = evidence.groupBy("person", "unit", "institution").agg(F.countDistinct("at").alias("n"), F.min("at").alias("start"), F.max("at").alias("end"))
@@ -50,10 +52,13 @@ def observations(roster: DataFrame, release: int) -> DataFrame:
 
 
 def reconciled(careers: DataFrame, observed: DataFrame) -> DataFrame:
-    """[C5, W3, W4] Careers (SPELL; kind verified, inferred, publication, ...) with observed faculty half-years (person, unit, institution, at).
+    """[C5, W3, W4] Careers (SPELL; kind verified, inferred, publication, ...) with observed faculty half-years (person, unit,
+    institution, at).
 
-    Observed half-years become spells, one for each run; a gap is never bridged. Where no half-year of a person has two units: inferred faculty spells during
-    which another unit alone was observed go, and publication postdoc spells lose the half-years at which the unit was observed. Where one has, nothing
+    Observed half-years become spells, one for each run; a gap is never bridged. Where no half-year of a person has two units:
+    inferred faculty spells during
+    which another unit alone was observed go, and publication postdoc spells lose the half-years at which the unit was observed.
+    Where one has, nothing
     is taken away and the observed spells are of medium confidence. At last, faculty spells of a unit that overlap or adjoin are merged.
     """
     per = observed.groupBy("person", "at").agg(F.count("*").alias("k"), F.first("unit").alias("only"), F.first("institution").alias("only_name"))
@@ -89,7 +94,8 @@ def appointments(observed: DataFrame) -> DataFrame:
 
 
 def candidates(works: DataFrame, people: DataFrame, faculty: DataFrame, least: int = 2) -> DataFrame:
-    """[C8] (person, unit, start, end, n): units of at least so many works (person, work, unit, at) after the degree and before the first faculty post."""
+    """[C8] (person, unit, start, end, n): units of at least so many works (person, work, unit, at) after the degree and before the
+    first faculty post."""
     first = faculty.groupBy("person").agg(F.min("start").alias("__f"))
     fit = works.join(people.select("person", "phd_year"), "person").join(first, "person", "left").where((F.col("at") > F.col("phd_year") * 2 + 1) & (F.col("__f").isNull() | (F.col("at") < F.col("__f"))))
     return fit.groupBy("person", "unit").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.countDistinct("work").alias("n")).where(F.col("n") >= least)
@@ -121,7 +127,8 @@ def permitted(own: Column, other: Column) -> Column:
 
 
 def peers(ego: DataFrame, spells: DataFrame) -> DataFrame:
-    """[C13, J8, G20] (person, n, share): others who shared stage, unit and year with the ego's spells, by permitted stages; the share is of the ego's stage-unit-years.
+    """[C13, J8, G20] (person, n, share): others who shared stage, unit and year with the ego's spells, by permitted stages; the
+    share is of the ego's stage-unit-years.
     ego: stage, unit, start, end of one person, which are few."""
     mine = intervals.points_of(ego.select("stage", "unit", "start", "end"), "start", "end", "at").select(F.col("stage").alias("own"), "unit", "at").distinct()
     total = mine.count()
@@ -131,10 +138,13 @@ def peers(ego: DataFrame, spells: DataFrame) -> DataFrame:
 
 
 def ego_hypergraph(ego: DataFrame, spells: DataFrame) -> DataFrame:
-    """[G20] One row for each of the egos' spells that others share: ego, stage, unit, start, end, members (the ego among them, sorted), evidence (for each spell of a peer that overlaps: person, stage, from, to of the common time, and the years of it; sorted),
+    """[G20] One row for each of the egos' spells that others share: ego, stage, unit, start, end, members (the ego among them,
+    sorted), evidence (for each spell of a peer that overlaps: person, stage, from, to of the common time, and the years of it;
+    sorted),
     redundancy and weight among the ego's edges, as ``sets.weights`` has them.
 
-    ego: ego, stage, unit, start, end, of a few people; spells: person, stage, unit, start, end. Peers' stages are those that the ego's permits; the ego is no peer of its own. Evidence travels with its edge from the overlap on and isn't looked up again.
+    ego: ego, stage, unit, start, end, of a few people; spells: person, stage, unit, start, end. Peers' stages are those that the
+    ego's permits; the ego is no peer of its own. Evidence travels with its edge from the overlap on and isn't looked up again.
     """
     own = ego.select("ego", F.col("stage").alias("own"), "unit", F.col("start").alias("from0"), F.col("end").alias("to0")).distinct()
     met = spells.join(own, "unit").where((F.col("start") <= F.col("to0")) & (F.col("end") >= F.col("from0")) & (F.col("person") != F.col("ego")) & permitted(F.col("own"), F.col("stage")))
@@ -155,7 +165,8 @@ def country_conflicts(people: DataFrame, school: str, country: str) -> DataFrame
 
 
 def intervals_with_coverage(people: DataFrame, estimate: int = 5) -> DataFrame:
-    """[C15, A43] (person, start, end, estimated, reason) from actual years where both are there and in order, else the degree year's estimate, else a reason."""
+    """[C15, A43] (person, start, end, estimated, reason) from actual years where both are there and in order, else the degree
+    year's estimate, else a reason."""
     actual = F.col("start").isNotNull() & F.col("end").isNotNull() & (F.col("start") <= F.col("end"))
     known = F.col("phd_year").isNotNull()
     return people.select("person", F.when(actual, F.col("start")).when(known, F.col("phd_year") - estimate).alias("start"), F.when(actual, F.col("end")).when(known, F.col("phd_year")).alias("end"), (~actual & known).alias("estimated"), F.when(~actual & ~known, "no_time").alias("reason"))

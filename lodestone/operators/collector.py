@@ -1,6 +1,7 @@
 """Layers of a citation graph fetched in batches, with a ledger from which any run resumes.
 
-What has been fetched, and what came of it, are two stores with logs (``sources.commits``): edges, and a ledger of one row for each node and try. A batch is committed edges first, ledger second, and edges are keyed
+What has been fetched, and what came of it, are two stores with logs (``sources.commits``): edges, and a ledger of one row for each
+node and try. A batch is committed edges first, ledger second, and edges are keyed
 by content, so a crash between the two costs a fetch and changes no row. What comes next follows from the ledger alone.
 """
 
@@ -21,7 +22,8 @@ LEDGER = "node long, layer int, status string, n long"
 
 @dataclass
 class Plan:
-    """todo: (node, layer, batch), the nodes of the lowest layer that isn't complete; batches, and calls that they will cost at most; waiting: layers whose frontier isn't known yet."""
+    """todo: (node, layer, batch), the nodes of the lowest layer that isn't complete; batches, and calls that they will cost at
+    most; waiting: layers whose frontier isn't known yet."""
 
     todo: DataFrame
     layer: int | None
@@ -32,13 +34,16 @@ class Plan:
 
 
 class Collector:
-    """[S8] ``fetch`` gives (src, dst) for a table of nodes (node); nodes for which it gives a null dst alone are missing at the source. ``failed`` (tests, outages) marks nodes of a batch that no answer came for."""
+    """[S8] ``fetch`` gives (src, dst) for a table of nodes (node); nodes for which it gives a null dst alone are missing at the
+    source. ``failed`` (tests, outages) marks nodes of a batch that no answer came for."""
 
     def __init__(self, edges: Store, ledger: Store, fetch: Callable[[DataFrame], DataFrame], size: int = 100, tries: int = 3, failed: Callable[[Column], Column] | None = None):
         self.edges, self.ledger, self.fetch, self.size, self.tries, self.failed = edges, ledger, fetch, size, tries, failed
 
     def states(self, seeds: DataFrame, layers: int) -> DataFrame:
-        """(node, layer, status, tries, n): of each known node its least layer and state. ``pending`` has no try yet, ``failed`` none that was answered, ``lost`` as many as are allowed, ``complete`` an answer, ``missing`` one that says that the source lacks it."""
+        """(node, layer, status, tries, n): of each known node its least layer and state. ``pending`` has no try yet, ``failed``
+        none that was answered, ``lost`` as many as are allowed, ``complete`` an answer, ``missing`` one that says that the source
+        lacks it."""
         spark = seeds.sparkSession
         log = self.ledger.read()
         log = log if log is not None else spark.createDataFrame([], LEDGER)
@@ -67,7 +72,8 @@ class Collector:
         return Plan(rows.select("node", "layer", F.floor(F.col("at") / self.size).cast("long").alias("batch")), found["layer"], found["count"], batches, batches, layers - found["layer"])
 
     def run(self, seeds: DataFrame, layers: int, most: int | None = None, together: int = 1000) -> int:
-        """Fetches until all layers are complete, or for so many batches; how many it fetched. Batches go to the source ``together`` at a time, as one commit."""
+        """Fetches until all layers are complete, or for so many batches; how many it fetched. Batches go to the source ``together``
+        at a time, as one commit."""
         fetched = 0
         while most is None or fetched < most:
             plan = self.plan(seeds, layers)

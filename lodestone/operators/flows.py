@@ -61,7 +61,8 @@ def options(people: DataFrame, who: str, stages: list[str]) -> DataFrame:
 
 
 def movements(roster: DataFrame, who: str, unit: str, year: str, subject: str | None = None) -> DataFrame:
-    """[W5, J21, U3] For each unit and year: count, comparable, and, against the year before, retained, added, removed and what became of them.
+    """[W5, J21, U3] For each unit and year: count, comparable, and, against the year before, retained, added, removed and what
+    became of them.
 
     roster: distinct (who, unit, year); a null unit is unresolved. A year is compared only with the year before, and only if both cover the
     same subjects. Someone with several units, or an unresolved one, in either year is ambiguous.

@@ -120,7 +120,8 @@ def namesakes(works: DataFrame, person: str, work: str, coauthors: str, field: s
 
 
 def corroborated(works: DataFrame, person: str, work: str, coauthors: str, institution: str, year: str, spells: DataFrame, subject: Column) -> DataFrame:
-    """person, work: works with support from the others of the person. Identity: an institution of a spell that holds the year, give or take one, or a coauthor
+    """person, work: works with support from the others of the person. Identity: an institution of a spell that holds the
+    year, give or take one, or a coauthor
     of another work of the person; and the subject must be right. spells: person, institution, start, end."""
     names = works.select(person, work, F.explode(coauthors).alias("__c")).distinct()
     often = names.groupBy(person, "__c").agg(F.count("*").alias("__n")).where("__n >= 2")  # leaves one's own work out
@@ -131,8 +132,10 @@ def corroborated(works: DataFrame, person: str, work: str, coauthors: str, insti
 
 
 def career_conflicts(works: DataFrame, spells: DataFrame, person: str, work: str, institutions: str, kinds: str, year: str, shared: Column, subfield_known: Column) -> DataFrame:
-    """person, work: works that contradict a career. In a year at a spell's bound (its first two, its last, and the one before for faculty) all institutions
-    of the work, educational or clinical ones only, differ from the person's, and no coauthors are shared (or one, with a subfield that is not the person's)."""
+    """person, work: works that contradict a career. In a year at a spell's bound (its first two, its last, and the one before
+    for faculty) all institutions
+    of the work, educational or clinical ones only, differ from the person's, and no coauthors are shared (or one, with a subfield
+    that is not the person's)."""
     bound = F.array_distinct(F.array_compact(F.array(F.col("start"), F.col("start") + 1, F.col("end"), F.when(F.col("stage") == "faculty", F.col("end") - 1))))
     at = spells.select(person, "institution", F.explode(bound).alias(year)).distinct().groupBy(person, year).agg(F.collect_set("institution").alias("__own"))
     clash = (F.size(institutions) > 0) & ~F.arrays_overlap(institutions, "__own") & F.forall(kinds, lambda k: k.isin("education", "healthcare"))
@@ -141,7 +144,8 @@ def career_conflicts(works: DataFrame, spells: DataFrame, person: str, work: str
 
 
 def matched_eras(texts: DataFrame, eras: list[dict], text: str, year: str, place: str) -> Column:
-    """The first era that fits: by place id, else by pattern (include and not exclude) of the text, else by year alone. eras: name, place, include, exclude, start, end."""
+    """The first era that fits: by place id, else by pattern (include and not exclude) of the text, else by year alone. eras:
+    name, place, include, exclude, start, end."""
     del texts
     inside = lambda e: (F.col(year) >= e["start"]) & (F.col(year) <= e["end"])
     chain = F.when(F.lit(False), F.lit(""))

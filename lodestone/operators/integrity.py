@@ -34,7 +34,8 @@ def same_ids(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def upserted(base: DataFrame, new: DataFrame, keys: list[str], merge: dict[str, str]) -> DataFrame:
-    """[V4, G4] base with new rows; columns of rows with equal keys are merged: ``new`` (the new one unless null), ``old`` (the old one unless null), min, max."""
+    """[V4, G4] base with new rows; columns of rows with equal keys are merged: ``new`` (the new one unless null), ``old`` (the old
+    one unless null), min, max."""
     rows = base.select("*", F.lit(0).alias("__w")).unionByName(new.select("*", F.lit(1).alias("__w")))
     how = {
         "new": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__w"))),

@@ -44,7 +44,8 @@ def covering(points: DataFrame, spells: DataFrame, on: list[str], at: str, start
 
 
 def overlaps(spells: DataFrame, unit: list[str], who: str, start: str, end: str, width: int = 8) -> DataFrame:
-    """[J8] Pairs of different people whose spells at a unit overlap, with the common part. A spell is filed under each block of ``width`` times that it
+    """[J8] Pairs of different people whose spells at a unit overlap, with the common part. A spell is filed under each block of
+    ``width`` times that it
     touches, and a pair is found in the block where its common part begins: so a unit of long standing isn't one group."""
     filed = spells.select(*unit, who, start, end).withColumn("__block", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
     a, b = (filed.select(*unit, "__block", F.col(who).alias(f"{who}_{x}"), F.col(start).alias(f"__s{x}"), F.col(end).alias(f"__e{x}")) for x in "ab")
@@ -86,7 +87,8 @@ def relative_rank(df: DataFrame, group: list[str], order: str, name: str = "plac
 
 
 def bands(spells: DataFrame, group: str, ident: str, start: str, end: str) -> DataFrame:
-    """[W18] The first row, from 0, of a group in which a spell doesn't touch an earlier one. First fit is sequential, so a group is one task's."""
+    """[W18] The first row, from 0, of a group in which a spell doesn't touch an earlier one. First fit is sequential, so a group is
+    one task's."""
     import heapq
 
     import pandas as pd

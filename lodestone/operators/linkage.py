@@ -21,8 +21,10 @@ def plain_doi(c: Column) -> Column:
 def resolved(papers: DataFrame, works: DataFrame, paper: str, work: str, doi: str = "doi", title: str = "title", year: str = "year") -> DataFrame:
     """[J18] paper, work, tier, candidates, status: of each paper the work that it is.
 
-    Tiers: 1 same DOI, title and year; 2 same DOI and title; 3 no work of the paper's DOI, but the same title and year. The best tier decides; where it holds several works the paper is ``ambiguous`` and has
-    none, where no tier does it is ``unmatched``. A DOI whose titles all differ links nothing. Missing titles match none. Candidates are joined by block, DOI or title with year, and counted by tier before they meet the papers again, so a
+    Tiers: 1 same DOI, title and year; 2 same DOI and title; 3 no work of the paper's DOI, but the same title and year. The best
+    tier decides; where it holds several works the paper is ``ambiguous`` and has
+    none, where no tier does it is ``unmatched``. A DOI whose titles all differ links nothing. Missing titles match none. Candidates
+    are joined by block, DOI or title with year, and counted by tier before they meet the papers again, so a
     block of many works is added up and not listed.
     """
     p = papers.select(F.col(paper).alias("paper"), plain_doi(F.col(doi)).alias("doi"), plain_title(F.col(title)).alias("title"), F.col(year).alias("year"))
@@ -41,7 +43,8 @@ def resolved(papers: DataFrame, works: DataFrame, paper: str, work: str, doi: st
 
 
 def anchored(queries: DataFrame, anchors: DataFrame, query: str, anchor: str, keys: list[str], fail: bool = True) -> DataFrame:
-    """[J28] query, anchor: the one anchor that agrees with the query in all keys. Where none or several do, the job fails, within the plan and with the query's name; without ``fail`` the anchor is null and ``matches`` says how many.
+    """[J28] query, anchor: the one anchor that agrees with the query in all keys. Where none or several do, the job fails, within
+    the plan and with the query's name; without ``fail`` the anchor is null and ``matches`` says how many.
 
     Nulls agree with nothing. Anchors are counted by key before they are joined.
     """

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The letters of a syllable's first consonant, vowel and last consonant by the Revised Romanisation, in the order of their code points, and in which other ways each is written.
+# The letters of a syllable's first consonant, vowel and last consonant by the Revised Romanisation, in the order of
+# their code points, and in which other ways each is written.
 FIRST = ("g", "kk", "n", "d", "tt", "r", "m", "b", "pp", "s", "ss", "", "j", "jj", "ch", "k", "t", "p", "h")
 VOWEL = ("a", "ae", "ya", "yae", "eo", "e", "yeo", "ye", "o", "wa", "wae", "oe", "yo", "u", "wo", "we", "wi", "yu", "eu", "ui", "i")
 LAST = ("", "k", "k", "k", "n", "n", "n", "t", "l", "k", "m", "l", "l", "l", "p", "l", "m", "p", "p", "t", "t", "ng", "t", "t", "k", "t", "p", "t")
@@ -31,7 +32,8 @@ def syllable(c: Column) -> tuple[Column, Column, Column, Column]:
 
 
 def spellings(c: Column, irregular: dict[str, list[str]] | None = None) -> Column:
-    """An array of a syllable's spellings, the Revised Romanisation's first; what isn't Hangul is spelled as it is. irregular: further spellings of single syllables."""
+    """An array of a syllable's spellings, the Revised Romanisation's first; what isn't Hangul is spelled as it is. irregular:
+    further spellings of single syllables."""
     is_one, first, vowel, last = syllable(c)
     made = _each(_each(_spelled(FIRST, FIRST_ALSO, first), _spelled(VOWEL, VOWEL_ALSO, vowel)), _spelled(LAST, LAST_ALSO, last))
     if irregular:
@@ -50,7 +52,8 @@ def letters_of(raw: Column) -> Column:
 
 
 def spelling_index(people: DataFrame, person: str, name: str, surnames: DataFrame, irregular: dict[str, list[str]] | None = None) -> DataFrame:
-    """[X19] (person, key): a name's spellings as letters alone, given name and surname in either order. surnames: surname (of one or two syllables), spellings (array); the longest that begins the name and leaves a given name is its surname,
+    """[X19] (person, key): a name's spellings as letters alone, given name and surname in either order. surnames: surname (of one
+    or two syllables), spellings (array); the longest that begins the name and leaves a given name is its surname,
     and one that isn't listed, of one syllable, has its regular spellings. A name of one syllable or none has no key."""
     p = people.select(F.col(person).alias("person"), F.trim(F.col(name)).alias("name")).where(F.length("name") >= 2)
     known = surnames.groupBy("surname").agg(F.array_distinct(F.flatten(F.collect_list("spellings"))).alias("spelled"))
@@ -65,7 +68,8 @@ def spelling_index(people: DataFrame, person: str, name: str, surnames: DataFram
 
 
 def matched(people: DataFrame, person: str, name: str, records: DataFrame, record: str, raw: str, surnames: DataFrame, irregular: dict[str, list[str]] | None = None) -> DataFrame:
-    """[X19] (person, record): records whose name, letters alone, is one of the person's spellings. Initials are no spelling of a syllable with more letters, so a name with them matches nobody. Equal raw names are looked up once."""
+    """[X19] (person, record): records whose name, letters alone, is one of the person's spellings. Initials are no spelling of a
+    syllable with more letters, so a name with them matches nobody. Equal raw names are looked up once."""
     keys = records.select(letters_of(F.col(raw)).alias("key")).where("key <> ''").distinct()
     met = spelling_index(people, person, name, surnames, irregular).join(keys, "key")
     back = records.select(F.col(record).alias("record"), letters_of(F.col(raw)).alias("key"))

@@ -9,7 +9,8 @@ from lodestone.operators.staging import staged
 
 
 def numbered(rows: DataFrame, order: list[tuple[Column, bool]], name: str) -> DataFrame:
-    """[R1, R9] order: (column, ascending); nulls are smallest. rows with ``name`` (long), from 0 in the given order: dealt to ranges of the order, numbered within each, shifted by the rows in the ranges
+    """[R1, R9] order: (column, ascending); nulls are smallest. rows with ``name`` (long), from 0 in the given order: dealt to
+    ranges of the order, numbered within each, shifted by the rows in the ranges
     before. One number for each range is summed in one task, not the rows. rows' columns may have any names."""
     columns = rows.columns
     packed = rows.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), *(c.alias(f"key{k}") for k, (c, _) in enumerate(order)))

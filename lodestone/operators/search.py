@@ -34,7 +34,8 @@ class Query:
 
 
 def pieces(text: str) -> Iterator[tuple[str, str]]:
-    """(head, value) of each piece of a query; the head is what stands up to the piece's first separator, which is its last character; "" if it has none.
+    """(head, value) of each piece of a query; the head is what stands up to the piece's first separator, which is its last
+    character; "" if it has none.
 
     Blanks end a piece, but not within quotes. Quotes open a piece of their own, unless a head and its separator stand right before
     them; then they hold its value. Quotes that aren't closed run to the end.
@@ -69,7 +70,8 @@ def pieces(text: str) -> Iterator[tuple[str, str]]:
 
 
 def parsed(text: str, prefixes: dict[str, str] | None = None) -> Query:
-    """[X22, X23] Free words and scoped values. ``phd:mit``, ``phd:"two words"``, ``phd: mit``: a field without a value takes the next piece,
+    """[X22, X23] Free words and scoped values. ``phd:mit``, ``phd:"two words"``, ``phd: mit``: a field without a value takes the
+    next piece,
     unless that names a field itself. A head that is no field is part of a free word."""
     known = PREFIXES if prefixes is None else prefixes
     read: list[tuple[str | None, list[str]]] = []
@@ -96,7 +98,8 @@ def holds(text: Column, term: str) -> Column:
 def matches(query: Query, fields: dict[str, Column]) -> tuple[Column, Column]:
     """[Q2] Whether a row matches, and the sorted fields that do: each scoped value in its field, each free word in any that isn't empty.
 
-    Each term is one condition over the fields that it may be met in; a row matches if all are met, and a field is named if a term was met there.
+    Each term is one condition over the fields that it may be met in; a row matches if all are met, and a field is named if a term
+    was met there.
     """
     asked = [((scope,), t) for scope, terms in query.scoped for t in terms] + [(tuple(fields), t) for t in query.free]
     met = [{f: (fields[f] != "") & holds(fields[f], t) for f in where if f in fields} for where, t in asked]
@@ -141,7 +144,8 @@ def words_of_query(text: str) -> list[str]:
     return [" ".join(map(singular_word, w.split())) for w in bare if len(w) >= 2]
 
 
-# Endings of plurals, what they end in in the singular, and the letters that such a word has at least. The first that fits holds.
+# Endings of plurals, what they end in in the singular, and the letters that such a word has at least. The first that
+# fits holds.
 PLURALS = (("[^aeiou]ies", 3, "y", 5), ("ss|us|is", 0, "", 0), ("sses|ches|shes|xes", 2, "", 4), ("s", 1, "", 4))
 
 
@@ -154,7 +158,8 @@ def singular_word(word: str) -> str:
 
 
 def expanded(terms: list[str], glossary: DataFrame) -> DataFrame:
-    """[X22] ``term``, distinct: the terms and, for those in Hangul, what the glossary (word, means: array) says: of the equal word or, without one,
+    """[X22] ``term``, distinct: the terms and, for those in Hangul, what the glossary (word, means: array) says: of the equal word
+    or, without one,
     of all words that hold the term or are held by it. Phrases also give their words."""
     korean = [t for t in terms if re.search("[가-힣]", t)]
     plain = glossary.sparkSession.createDataFrame([(t,) for t in terms if t not in korean], "term string")
@@ -167,8 +172,10 @@ def expanded(terms: list[str], glossary: DataFrame) -> DataFrame:
 
 
 def query_vector(vocabulary: DataFrame, terms: list[str], most: int = 3) -> DataFrame:
-    """[Q7] One row: ``found`` and ``vector``, of unit length (null if nothing is found): the sum over terms of the vector of vocabulary's (term, vector) word that is
-    the term, else its singular, else the plurals of that; else, for terms of four letters or more, of up to ``most`` words that begin with the term, by code point."""
+    """[Q7] One row: ``found`` and ``vector``, of unit length (null if nothing is found): the sum over terms of the vector of
+    vocabulary's (term, vector) word that is
+    the term, else its singular, else the plurals of that; else, for terms of four letters or more, of up to ``most`` words that
+    begin with the term, by code point."""
     spark = vocabulary.sparkSession
     ones = {t: singular_word(t) for t in terms}
     forms = [(t, rank, form) for t, one in ones.items() for rank, form in enumerate(dict.fromkeys((t, one, f"{one}s", re.sub("y$", "ies", one))))]

@@ -33,7 +33,8 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared folder and read back: cuts the lineage, so that a lost executor costs no more than the tasks after it, and
+    """df, written as Parquet to the shared folder and read back: cuts the lineage, so that a lost executor costs no more than the
+    tasks after it, and
     what follows sees one and the same set of rows however often it reads them."""
     out, path = written(df)
     if _scopes:

@@ -1,8 +1,11 @@
 """Truncated singular value decomposition of a sparse matrix by random projection, worked on the row side, and texts folded into its space.
 
-The matrix is a table of cells (row, feature, value). A block of l directions is a table of rows with l columns, never an array on the driver; X transposed times it, and X times that, are each a join and an aggregation of
-l sums, added up before they are shuffled. The block is made orthonormal by a tall-skinny QR: each task reduces its rows to one l x l triangle, triangles are reduced in groups, the last few on the driver, and the rows are
-multiplied by the triangle's inverse; twice, as once leaves rounding behind. The Gaussian start comes from a hash of the row, so it doesn't depend on the partitioning. Only l x l matrices reach the driver, whatever the number of rows and features.
+The matrix is a table of cells (row, feature, value). A block of l directions is a table of rows with l columns, never an array on
+the driver; X transposed times it, and X times that, are each a join and an aggregation of
+l sums, added up before they are shuffled. The block is made orthonormal by a tall-skinny QR: each task reduces its rows to one l x
+l triangle, triangles are reduced in groups, the last few on the driver, and the rows are
+multiplied by the triangle's inverse; twice, as once leaves rounding behind. The Gaussian start comes from a hash of the row, so it
+doesn't depend on the partitioning. Only l x l matrices reach the driver, whatever the number of rows and features.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ ROWS = 8192
 
 @dataclass
 class Latent:
-    """rows: row, vector (unit length, or zeros); features: feature, vector (right singular vectors); singular values; the share of the matrix's squares that they hold."""
+    """rows: row, vector (unit length, or zeros); features: feature, vector (right singular vectors); singular values; the share of
+    the matrix's squares that they hold."""
 
     rows: DataFrame
     features: DataFrame
@@ -55,7 +59,8 @@ def matrix_of(batch: pa.RecordBatch, l: int) -> np.ndarray:
 
 
 def reduced(block: DataFrame, l: int, start, step) -> np.ndarray | None:
-    """An l x l matrix of each task, by ``step`` over slices of its rows, brought together by ``step`` again: within groups of tasks, then on the driver."""
+    """An l x l matrix of each task, by ``step`` over slices of its rows, brought together by ``step`` again: within groups of
+    tasks, then on the driver."""
     tasks = block.rdd.getNumPartitions()
     group = max(1, math.isqrt(tasks))
 
@@ -122,7 +127,8 @@ def orthonormal(block: DataFrame, key: str, l: int) -> DataFrame:
 def latent(cells: DataFrame, dims: int, row: str = "row", feature: str = "feature", value: str = "value", oversample: int = 10, iterations: int = 4, seed: int = 7) -> Latent:
     """[G13] The ``dims`` leading singular vectors of the matrix of cells; cells of one place add up, null and zero values are no cells.
 
-    Vectors of rows are U * S of unit length; rows whose projection is zero have zeros. Signs: a singular vector's largest entry over features is positive. dims is the number of distinct directions at most.
+    Vectors of rows are U * S of unit length; rows whose projection is zero have zeros. Signs: a singular vector's largest entry
+    over features is positive. dims is the number of distinct directions at most.
     """
     x = cells.where(F.coalesce(F.col(value).cast("double"), F.lit(0.0)) != 0).groupBy(F.col(row).alias("row"), F.col(feature).alias("feature")).agg(F.sum(F.col(value).cast("double")).alias("value"))
     x = staged(x)
@@ -153,7 +159,8 @@ def latent(cells: DataFrame, dims: int, row: str = "row", feature: str = "featur
 
 
 def folded(tokens: DataFrame, vocabulary: DataFrame, dims: int, doc: str = "doc_id", word: str = "word", vector: str = "vector") -> DataFrame:
-    """[G13] doc and vector (unit length) of texts in the space of a vocabulary's vectors: the sum of (1 + ln count) times the word's vector. tokens: one row an occurrence; words beyond the vocabulary
+    """[G13] doc and vector (unit length) of texts in the space of a vocabulary's vectors: the sum of (1 + ln count) times the
+    word's vector. tokens: one row an occurrence; words beyond the vocabulary
     don't count. A text without any known word has zeros. Occurrences are counted before they meet the vectors."""
     n = tokens.groupBy(F.col(doc).alias("doc"), F.col(word).alias("word")).agg((1 + F.log(F.count("*").cast("double"))).alias("tf"))
     known = vocabulary.select(F.col(word).alias("word"), *(F.get(vector, F.lit(k)).cast("double").alias(q) for k, q in enumerate(names(dims))))

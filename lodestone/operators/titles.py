@@ -17,7 +17,8 @@ NO_WORD = "[^a-z0-9 ]"
 def alike(works: DataFrame, jaccard: float, contained: float) -> DataFrame:
     """(person, a, b): works of a person whose titles are alike. works: person, work, words (a set).
 
-    Of two titles that are alike, the shorter one, of s words, shares at least ``least * s`` of them, least being the smaller of both bounds; so one shared word is among its ``s - ceil(least * s) + 1`` rarest. Those alone are looked up,
+    Of two titles that are alike, the shorter one, of s words, shares at least ``least * s`` of them, least being the smaller of
+    both bounds; so one shared word is among its ``s - ceil(least * s) + 1`` rarest. Those alone are looked up,
     among all words of titles that are as long or longer.
     """
     least = min(jaccard, contained)
@@ -36,10 +37,13 @@ def alike(works: DataFrame, jaccard: float, contained: float) -> DataFrame:
 
 
 def merged_versions(works: DataFrame, person: str, work: str, title: str, year: str, jaccard: float = 0.55, contained: float = 0.85) -> DataFrame:
-    """[J17] person, work, head: in order of years (none: first), then works, a work joins the first group whose head's title is like its own: Jaccard similarity of words, or containment of
-    one's words in the other's, at least so large; else it heads a group. Works are named once; a title without words heads a group of its own.
+    """[J17] person, work, head: in order of years (none: first), then works, a work joins the first group whose head's title is
+    like its own: Jaccard similarity of words, or containment of
+    one's words in the other's, at least so large; else it heads a group. Works are named once; a title without words heads a group
+    of its own.
 
-    By rounds, over pairs of titles that are alike: a work settles once it has a head among those before it, or once none of them can be one. All people's works settle at once; rounds are as many as the longest
+    By rounds, over pairs of titles that are alike: a work settles once it has a head among those before it, or once none of them
+    can be one. All people's works settle at once; rounds are as many as the longest
     chain of works that wait for one another.
     """
     text = F.regexp_replace(F.lower(F.coalesce(F.col(title), F.lit(""))), NO_WORD, " ")
@@ -91,7 +95,8 @@ def suppressed(terms: DataFrame, term: str, names: DataFrame, boilerplate: tuple
 
 
 def births(pairs: DataFrame, topics: DataFrame) -> DataFrame:
-    """[J15, R4] topic, parent, similarity: of a topic's works in its first era, the most similar work of another topic in an earlier one; ties to the earliest and smallest
+    """[J15, R4] topic, parent, similarity: of a topic's works in its first era, the most similar work of another topic in an
+    earlier one; ties to the earliest and smallest
     work. pairs: a, b, similarity, both ways; topics: work, topic, era."""
     first = topics.groupBy("topic").agg(F.min("era").alias("birth"))
     born = topics.join(first, "topic").where("era = birth").select(F.col("work").alias("a"), "topic", "birth")

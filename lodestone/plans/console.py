@@ -1,4 +1,5 @@
-"""The read-only SQL console: one SELECT over the given views, checked as text, as a parsed and as an analysed plan before it runs, with a checked result."""
+"""The read-only SQL console: one SELECT over the given views, checked as text, as a parsed and as an analysed plan before it runs,
+with a checked result."""
 
 from __future__ import annotations
 
@@ -74,7 +75,8 @@ def called(sql: str) -> set[str]:
 
 
 def confined(spark: SparkSession, sql: str, views: dict[str, DataFrame]) -> DataFrame:
-    """The statement's result, analysed but not run, if it reads nothing but the views and its own WITH tables and calls nothing but Spark's own functions of rows."""
+    """The statement's result, analysed but not run, if it reads nothing but the views and its own WITH tables and calls
+    nothing but Spark's own functions of rows."""
     names = {v.lower() for v in views}
     for name in called(sql):
         try:

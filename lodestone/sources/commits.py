@@ -1,8 +1,11 @@
 """Tables that change by commits: batches, overlays, rollbacks and migrations, each published by one new file.
 
-A store is a folder with ``data``, where each commit's rows stay as they were written, and ``log``, where the n-th commit's manifest has the number n. A manifest names the folders that make up the table, and with which schema version each was
-written. Writers write rows aside, check them as they lie on disk, and publish by creating the next number's file, which the file system does for one writer only; so a crash before leaves rows that nobody
-names, and no moment has neither the old version nor the new. Nothing is ever overwritten or deleted: rolling back is a commit that names an earlier version's folders again.
+A store is a folder with ``data``, where each commit's rows stay as they were written, and ``log``, where the n-th commit's manifest
+has the number n. A manifest names the folders that make up the table, and with which schema version each was
+written. Writers write rows aside, check them as they lie on disk, and publish by creating the next number's file, which the file
+system does for one writer only; so a crash before leaves rows that nobody
+names, and no moment has neither the old version nor the new. Nothing is ever overwritten or deleted: rolling back is a commit that
+names an earlier version's folders again.
 
 A batch's key is the hash of its rows in any order. A batch whose key is in the present version is not imported again.
 """
@@ -30,7 +33,8 @@ class Violated(ValueError):
 
 @dataclass(frozen=True)
 class Migration:
-    """To schema ``version`` from the one before it: the new columns as SQL over the old ones, in order. ``keys`` are the key columns after it, and ``keys_before`` their names before, if they change."""
+    """To schema ``version`` from the one before it: the new columns as SQL over the old ones, in order. ``keys`` are the key
+    columns after it, and ``keys_before`` their names before, if they change."""
 
     version: int
     columns: dict[str, str]
@@ -119,7 +123,8 @@ class Store:
     # ---- commits
 
     def append(self, df: DataFrame, checks: dict[str, Column] | None = None, kind: str = "batch") -> Manifest:
-        """The rows as one more commit; if the present version has a batch of the same rows, that version as it is. A row for which a check isn't true refuses all."""
+        """The rows as one more commit; if the present version has a batch of the same rows, that version as it is. A row for which
+        a check isn't true refuses all."""
         now = self.manifest()
         key, n = content_key(df)
         if any(p[3] == key for p in now.parts):
@@ -140,7 +145,8 @@ class Store:
         return self._publish(Manifest(now.number + 1, "rollback", old.parts, old.schema, of=number))
 
     def migrate(self, to: int) -> Manifest:
-        """[V11] From now on the table has schema ``to``: parts written before are mapped as they are read. First each step must leave the number of rows, and the keys as a multiset, as they are."""
+        """[V11] From now on the table has schema ``to``: parts written before are mapped as they are read. First each step must
+        leave the number of rows, and the keys as a multiset, as they are."""
         now = self.manifest()
         made = now
         for version in range(now.schema + 1, to + 1):

@@ -1,4 +1,5 @@
-"""Table scans and sinks: Parquet tables, JSON-lines shards with last write wins, CSV, nested JSON documents, XML records, columnar layouts."""
+"""Table scans and sinks: Parquet tables, JSON-lines shards with last write wins, CSV, nested JSON documents, XML records, columnar
+layouts."""
 
 from __future__ import annotations
 
@@ -23,7 +24,8 @@ def tolerant(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def json_shards(spark: SparkSession, pattern: str, schema: StructType, keys: list[str]) -> DataFrame:
-    """[S3, S4] Shards of JSON lines, gzipped or not; of several rows of a key the last by shard name and place in it: a large file is read in pieces, whose tasks
+    """[S3, S4] Shards of JSON lines, gzipped or not; of several rows of a key the last by shard name and place in it: a large file
+    is read in pieces, whose tasks
     have no order, so a piece's start comes before a row's number in its task. Blank lines are skipped."""
     rows = spark.read.schema(schema).json(pattern).select("*", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("__at"))
     return last_write(rows.where(F.coalesce(*(F.col(k).cast("string") for k in keys)).isNotNull()), keys, "__at").drop("__at")
@@ -40,7 +42,8 @@ def pending(wanted: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def id_batches(df: DataFrame, column: str, size: int) -> DataFrame:
-    """[S6] Distinct ids, ascending, in batches of ``size``, the last one of what is left: (batch, ids). Ids are numbered by ranges, so no task sees them all."""
+    """[S6] Distinct ids, ascending, in batches of ``size``, the last one of what is left: (batch, ids). Ids are numbered by ranges,
+    so no task sees them all."""
     ids = numbered(df.select(column).where(F.col(column).isNotNull()).distinct(), [(F.col(column), True)], "number")
     return ids.groupBy(F.expr(f"number div {size}").alias("batch")).agg(F.array_sort(F.collect_list(column)).alias("ids"))
 
