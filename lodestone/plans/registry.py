@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("relational", "intervals", "flows", "sets", "information", "search", "graph", "matrix", "text", "career", "integrity", "stream", "evidence", "directory", "commits")
+MODULES = ("relational", "intervals", "flows", "sets", "information", "search", "graph", "matrix", "text", "career", "integrity", "stream", "evidence", "directory", "commits", "sources")
 
 
 def query(sql: str | None = None):

@@ -119,8 +119,13 @@ def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """[S10]"""
-    df.write.mode("overwrite").csv(path, header=True)
+    """[S10] Quotes are doubled; nulls are empty cells, empty texts quoted ones."""
+    df.write.mode("overwrite").csv(path, header=True, escape='"')
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """[S10] What ``write_csv`` wrote, cells of several lines as well. A row that doesn't fit the schema fails."""
+    return spark.read.csv(path, schema=schema, header=True, escape='"', multiLine=True, mode="FAILFAST")
 
 
 def numbered_in(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
