@@ -137,24 +137,32 @@ def directory(hits: DataFrame, subject: str | None = None, institution: str | No
     return hits.where(kept if connected is None else kept & ((F.col("groups") > 0) == connected))
 
 
-def words_of_query(text: str) -> list[str]:
-    """[X22] A topic query's words of two characters or more, without signs around them, in the singular."""
-    parts = re.split(r"[\s,·/;|]+", unicodedata.normalize("NFKC", text).lower())
-    bare = (re.sub(r"^[\W_]+|(?:(?!-)[\W_])+$", "", p) for p in parts)
-    return [" ".join(map(singular_word, w.split())) for w in bare if len(w) >= 2]
+# What parts a topic query besides white space; endings in s that are no plural; sounds after which a plural takes es.
+QUERY_MARKS = ",·/;|"
+NO_PLURALS = ("ss", "us", "is")
+HISSING = ("ch", "sh", "x", "ss")
 
 
-# Endings of plurals, what they end in in the singular, and the letters that such a word has at least. The first that
-# fits holds.
-PLURALS = (("[^aeiou]ies", 3, "y", 5), ("ss|us|is", 0, "", 0), ("sses|ches|shes|xes", 2, "", 4), ("s", 1, "", 4))
+def words_of_query(text: str) -> list[str]:
+    """[X22] A topic query's words of two characters or more, in the singular: from their first letter or digit to the last one or a hyphen after it."""
+    out = []
+    for part in unicodedata.normalize("NFKC", text).lower().translate(str.maketrans(dict.fromkeys(QUERY_MARKS, " "))).split():
+        kept = [k for k, c in enumerate(part) if c.isalnum()]
+        if kept:
+            end = max(kept[-1], part.rfind("-"))
+            if end + 1 - kept[0] >= 2:
+                out.append(singular_word(part[kept[0] : end + 1]))
+    return out
 
 
 def singular_word(word: str) -> str:
-    """[X21] Of a query's word, which is on the driver."""
-    for ending, cut, put, letters in PLURALS:
-        if len(word) >= letters and re.search(f"(?:{ending})$", word):
-            return word[: len(word) - cut] + put
-    return word
+    """[X21] Of a query's word, which is on the driver. Words of up to three letters stay; "ies" after a consonant is a "y" in words of five letters or more."""
+    bare = word.removesuffix("s")
+    if bare == word or len(word) <= 3 or word.endswith(NO_PLURALS):
+        return word
+    if bare.endswith("ie") and len(word) >= 5 and bare[-3] not in "aeiou":
+        return f"{bare[:-2]}y"
+    return bare[:-1] if bare.endswith("e") and bare[:-1].endswith(HISSING) else bare
 
 
 def expanded(terms: list[str], glossary: DataFrame) -> DataFrame:
