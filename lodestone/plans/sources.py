@@ -21,7 +21,7 @@ def place(spark) -> str:
 def source_csv(spark, d):
     """[S10] Written with quotes, commas and line ends in a cell, and read back."""
     note = F.when(F.col("o_orderkey") % 9 > 0, F.concat(F.lit('a "quoted", \n'), F.col("o_orderpriority")))
-    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", note.alias("note"), F.year("o_orderdate").alias("y"))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", note.alias("note"), F.year("o_orderdate").cast("long").alias("y"))
     path = place(spark)
     tables.write_csv(rows, path)
     return tables.read_csv(spark, path, rows.schema)
@@ -32,7 +32,7 @@ def source_partitioned(spark, d):
     """[S12] A sink by year, of which only the years that are asked for are read."""
     path = place(spark)
     tables.write_parquet(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.year("o_orderdate").alias("y")), path, ["y"])
-    return spark.read.parquet(path).where("y between 1994 and 1996").groupBy("y", "o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("people"))
+    return spark.read.parquet(path).where("y between 1994 and 1996").groupBy(F.col("y").cast("long").alias("y"), "o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("people"))
 
 
 @query("""
