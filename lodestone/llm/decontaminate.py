@@ -161,6 +161,8 @@ class Index:
                 at_of = dict(zip(at.tolist(), hashes.tolist(), strict=True))
                 for item in which[sizes[which] == size].tolist():
                     self.whole[size, template][at_of[int(starts[item])]].append((item, int(starts[item])))
+        #: Hashes of windows that one item has several times.
+        self.repeated = {h for h, place in self.where.items() if len(place) > 1 and max(Counter((item, t) for item, _, _, t in place).values()) > 1}
         keys = np.array(list(self.where), np.uint64)
         self.bits = max(16, min(24, int(len(keys)).bit_length() + 7))
         self.there = np.zeros(1 << self.bits, bool)
@@ -184,7 +186,7 @@ class Index:
         for by, template in ((w.by_plain, False), (w.by_template, True)):
             for k in self.hits(by).tolist():
                 at, place = int(w.at[k]), self.where[int(by[k])]
-                several = len(place) > 1 and len({item for item, *_ in place}) < len(place)
+                several = int(by[k]) in self.repeated
                 for item, window, word, of_template in place:
                     if of_template == template:
                         pair = found[int(w.text_of[at]), item]
