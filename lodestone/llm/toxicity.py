@@ -49,7 +49,7 @@ class Fold(dict):
 
     def __missing__(self, code: int) -> str:
         plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)).lower() if not unicodedata.combining(c))
-        out = "".join(c if c in SIGNS else LOOKALIKES.get(c, c if c.isalnum() else " ") for c in plain) if plain else ""
+        out = "".join(c if SIGNS.get(c, " ") != " " else LOOKALIKES.get(c, c if c.isalnum() else " ") for c in plain) if plain else ""
         self[code] = out
         return out
 
@@ -57,7 +57,7 @@ class Fold(dict):
 FOLD = Fold()
 
 
-_runs = re.compile(f"[{re.escape(''.join(SIGNS))}]+")
+_runs = re.compile(f"[{re.escape(''.join(c for c, letter in SIGNS.items() if letter != ' '))}]+")
 
 
 def _sign(run: re.Match) -> str:

@@ -707,7 +707,16 @@ class TestToxicity:
         texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(400)] + [None, "", " ", "ab " * 4000, "ab ca " * 3000]
         expect = {}
         for i, text in enumerate(texts):
-            plain = "".join({"а": "a", "β": "b", "0": "o", "1": "i", "@": "a", "!": " "}.get(c, c) for c in text or "")
+            plain, signs = [], {"0": "o", "1": "i", "@": "a"}
+            for k, c in enumerate(text or ""):  # a sign is a letter where its run of signs has a letter beside it, else a digit stays and another is a blank
+                a = b = k
+                while a and text[a - 1] in signs:
+                    a -= 1
+                while b + 1 < len(text) and text[b + 1] in signs:
+                    b += 1
+                beside = (a and text[a - 1].isalpha()) or text[b + 1 : b + 2].isalpha()
+                plain.append((signs[c] if beside else c if c != "@" else " ") if c in signs else {"а": "a", "β": "b", "!": " "}.get(c, c))
+            plain = "".join(plain)
             t = f" {plain} "
             covered = [(k, k + len(p) + 1) for p in model.exceptions for k in range(len(t)) if t.startswith(f" {p} ", k)] if len(t) < 1000 else None
             if covered is None:
