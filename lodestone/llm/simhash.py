@@ -259,9 +259,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 #: Shingles' words and the Jaccard similarity from which texts are near duplicates.
 WORDS, SIMILARITY = 5, 0.8
-#: Texts of which the shingles' frequencies are learned, how often one must be met there to count as frequent, and how many of those
-#: are told apart.
+#: Texts of which the most frequent shingles are learned, how often one must be met there to count as such, and how many at most do.
 SAMPLE, MET, FREQUENT = 8192, 3, 1 << 17
+#: Shingles whose hashes are lower than that are counted over all texts. A share of 0.3 of a text's shingles, if few of them are
+#: frequent, nearly always holds a prefix, which is a fifth of them.
+LOW = 3 * (1 << 64) // 10
 #: Texts with one shingle in their prefixes that are compared pair by pair at once.
 FEW = 16
 #: Bits of the map of texts that are candidates; its size doesn't depend on the input.
@@ -288,9 +290,9 @@ def shingle_keys(words: list[bytes], size: int = WORDS) -> np.ndarray:
     return np.unique(key)
 
 
-def prefix_length(n: int, share: float) -> int:
+def prefix_length(n: str, share: float) -> F.Column:
     """Of sets of n, how many of their first items must hold one that they share if share * n or more are shared."""
-    return n - math.ceil(share * n - _ODDS) + 1
+    return F.col(n) - F.ceil(share * F.col(n) - _ODDS) + 1
 
 
 def sketch(keys: np.ndarray) -> np.ndarray:
@@ -303,9 +305,8 @@ def sketch(keys: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def frequent_keys(docs: DataFrame, text: str, rate: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of one text in so many, sorted, and their ranks, the rarest first. At most ``FREQUENT`` reach the
-    driver."""
+def frequent_keys(docs: DataFrame, text: str, rate: int) -> np.ndarray:
+    """The most frequent shingles of one text in so many, sorted. At most ``FREQUENT`` reach the driver."""
     t = F.coalesce(F.col(text), F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,15 +326,12 @@ def frequent_keys(docs: DataFrame, text: str, rate: int) -> tuple[np.ndarray, np
     some = docs.select(t.alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(rate)) == 0)
     common = some.mapInArrow(run, "key long, th long").distinct().groupBy("key").count().where(F.col("count") >= MET)
     top = [r["key"] for r in common.orderBy(F.desc("count"), "key").limit(FREQUENT).collect()]
-    keys = np.array(top, np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], (len(top) - np.arange(len(top)))[order]
+    return np.sort(np.array(top, np.int64).view(np.uint64))
 
 
-def texts_of(rows: DataFrame, text: str, rare: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
-    """rows without the text, and of it: ``th``, ``fp``, ``n`` (different shingles), ``sketch``, ``keys`` (its prefix in the order
-    of rank and key) and ``short`` (how many
-    of these suffice for partners that aren't smaller). A task gives a text's keys and sketch once, for later copies null."""
+def texts_of(rows: DataFrame, text: str, frequent: np.ndarray) -> DataFrame:
+    """rows without the text, and of it: ``th``, ``fp``, ``n`` (different shingles), ``sketch`` and ``low`` (the keys lower than
+    ``LOW``, sorted, without frequent). A task gives a text's keys and sketch once, for later copies null."""
     names = [c for c in rows.columns if c != text]
     at = rows.columns.index(text)
 
@@ -346,23 +344,20 @@ def texts_of(rows: DataFrame, text: str, rare: tuple[np.ndarray, np.ndarray], si
                 words = words_of(t)
                 th, fp = sequence_hash(words), signed(fingerprint(t))
                 if th in seen:
-                    cells.append((th, fp, None, None, None, None))
+                    cells.append((th, fp, None, None, None))
                     continue
                 seen.add(th)
                 own = shingle_keys(words)
-                n = len(own)
-                rank = np.zeros(n, np.int64)
-                if len(rare[0]):
-                    place = np.minimum(np.searchsorted(rare[0], own), len(rare[0]) - 1)
-                    rank = np.where(rare[0][place] == own, rare[1][place], 0)
-                first = own[np.argsort(rank, kind="stable")[: prefix_length(n, similarity)]]
-                cells.append((th, fp, n, sketch(own), first.view(np.int64), prefix_length(n, 2 * similarity / (1 + similarity))))
+                low = own[: np.searchsorted(own, np.uint64(LOW))]
+                if len(frequent):
+                    low = low[frequent[np.minimum(np.searchsorted(frequent, low), len(frequent) - 1)] != low]
+                cells.append((th, fp, len(own), sketch(own), low.view(np.int64)))
             if cells:
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32())
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 arrays = [pa.array(c, t) for c, t in zip(zip(*cells, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + arrays, names=[*names, "th", "fp", "n", "sketch", "keys", "short"])
+                yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + arrays, names=[*names, "th", "fp", "n", "sketch", "low"])
 
-    added = "th long, fp long, n int, sketch array<long>, keys array<long>, short int"
+    added = "th long, fp long, n int, sketch array<long>, low array<long>"
     return rows.mapInArrow(run, StructType([*rows.select(*names).schema.fields, *StructType.fromDDL(added).fields]))
 
 
@@ -519,6 +514,35 @@ def apart_links(filed: DataFrame, classes: DataFrame, nodes: DataFrame, docs: Da
     return staged(blocks(rows, "times", 256).groupBy("key", "i", "j").applyInArrow(second, "a long, b long").distinct())
 
 
+def prefixes(prints: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(key, th, n, near) of the shingles in texts' prefixes that other texts have in theirs, and whether they suffice for partners that
+    aren't smaller: those of at most ``FEW`` texts, and those of more.
+
+    The order of all shingles: first the low ones that at most ``FEW`` texts hold, counted over all texts, by key. A text that has too
+    few of these for its prefix brings all its other shingles, and these come by the number of such texts that hold them. So a
+    shingle with many texts is in the prefix only of a text that lacks others, however many texts there are.
+    """
+    bucket = Window.partitionBy("key")
+    prefix, short = prefix_length("n", similarity), prefix_length("n", 2 * similarity / (1 + similarity))
+    sets = prints.where("low is not null")
+    low = sets.select("th", "n", F.posexplode("low").alias("at", "key"))
+    low = low.withColumns({"least": F.min("th").over(bucket), "most": F.max("th").over(bucket)}).where("least <> most").select("key", "th", "n", "at").distinct()
+    low = staged(low.withColumn("times", F.count("*").over(bucket)))
+    gone = staged(low.where(F.col("times") > FEW).groupBy("th").agg(F.collect_list("at").alias("gone"), F.collect_list("key").alias("crowded")))  # at most a text's own
+    few = low.where(F.col("times") <= FEW).join(gone, "th", "left").withColumn("at", F.col("at") - F.when(F.col("gone").isNull(), 0).otherwise(F.size(F.filter("gone", lambda x: x < F.col("at")))))
+    few = staged(few.where(F.col("at") < prefix).select("key", "th", "n", (F.col("at") < short).alias("near")))
+
+    lacking = nodes.select("th", "n", "lows").join(gone, "th", "left").withColumn("have", F.col("lows") - F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")))
+    lacking = staged(lacking.where(F.col("have") < prefix).select("th", "n", "have", F.coalesce("crowded", F.array().cast("array<long>")).alias("crowded")))
+    own = sets.select("th", "low").join(lacking.select("th"), "th", "left_semi").groupBy("th").agg(F.first("low").alias("low"))
+    rest = lacking.join(own, "th").join(shingles(lacking.select("th"), docs, text), "th")
+    rest = staged(rest.select("th", "n", "have", F.explode(F.array_except("s", F.array_except("low", "crowded"))).alias("key")))
+    rest = rest.join(rest.groupBy("key").agg(F.count("*").alias("times")), "key")
+    rest = rest.withColumn("at", F.col("have") + F.row_number().over(Window.partitionBy("th").orderBy("times", "key")) - 1).where((F.col("at") < prefix) & (F.col("times") > 1))
+    rest = staged(rest.select("key", "th", "n", (F.col("at") < short).alias("near"), F.count("*").over(bucket).alias("times")))
+    return few.unionByName(rest.where(F.col("times").between(2, FEW)).drop("times")), rest.where(F.col("times") > FEW).drop("times")
+
+
 def alike(prints: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, linked: DataFrame, similarity: float) -> DataFrame:
     """(node, root): the components of texts under linked's pairs and "the Jaccard similarity of the shingles is at least that".
     prints: as of ``texts_of``;
@@ -526,8 +550,8 @@ def alike(prints: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, linke
 
     Two sets that similar have a shingle in common among the first n - ceil(similarity * n) + 1 of each, in any one order of all
     shingles, and among fewer
-    of the smaller one. The order is by frequency, learned from a sample, so that what many texts share comes last; it bears on the
-    work, not on the result.
+    of the smaller one. The order is by frequency, so that what many texts share comes last (``prefixes``); it bears on the work, not
+    on the result.
     Texts that share such a shingle are filed together. Few are compared pair by pair; of more, each is compared with the next
     smaller and with the first at
     once, and with the others in blocks, only if they aren't in one component by then (``apart_links``). Comparing is by sketches,
@@ -535,11 +559,8 @@ def alike(prints: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, linke
     the difference from below; what passes is verified by the shingles themselves: for each text the closest first, then what would
     still join components.
     """
-    filed = prints.where("keys is not null").select("th", "n", "short", F.posexplode("keys").alias("at", "key")).select("key", "th", "n", (F.col("at") < F.col("short")).alias("near"))
     bucket = Window.partitionBy("key")
-    filed = filed.withColumns({"low": F.min("th").over(bucket), "high": F.max("th").over(bucket)}).where("low <> high").select("key", "th", "n", "near").distinct()
-    filed = staged(filed.withColumn("times", F.count("*").over(bucket)))
-    few, many = filed.where(F.col("times") <= FEW).drop("times"), filed.where(F.col("times") > FEW).drop("times")
+    few, many = prefixes(prints, nodes, docs, text, similarity)
     smaller = F.when(F.col("n") < F.col("m"), F.col("near")).when(F.col("n") > F.col("m"), F.col("near_b")).otherwise(F.col("near") & F.col("near_b"))
     one = few.withColumnRenamed("th", "a").join(few.withColumnsRenamed({"th": "b", "n": "m", "near": "near_b"}), "key").where((F.col("a") < F.col("b")) & fit("n", "m", similarity) & smaller).select("a", "b")
     some = many
@@ -569,10 +590,10 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", di
     words are the same, which loses none either (see ``alike``). Null and blank texts are one text.
     """
     rows = docs.select(packed(docs), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).withColumns({"h": F.xxhash64("row"), "h2": F.xxhash64(F.lit(1), "row")})
-    rare = frequent_keys(docs, text, max(1, docs.count() // SAMPLE))
-    prints = staged(texts_of(rows.select("h", "h2", "id", "text"), "text", rare, similarity))
+    frequent = frequent_keys(docs, text, max(1, docs.count() // SAMPLE))
+    prints = staged(texts_of(rows.select("h", "h2", "id", "text"), "text", frequent))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "h2")).alias("first")
-    nodes = staged(prints.groupBy("th").agg(F.first("fp").alias("fp"), first, F.max("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")))
+    nodes = staged(prints.groupBy("th").agg(F.first("fp").alias("fp"), first, F.max("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"), F.max(F.size("low")).alias("lows")))
     heads = staged(nodes.groupBy("fp").agg(F.min("th").alias("head")))
     copies = nodes.select("fp", "th").join(heads, "fp").where("head <> th").select(F.col("head").alias("a"), F.col("th").alias("b"))
     joined = links(heads.select("fp"), distance)

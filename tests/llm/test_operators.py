@@ -316,6 +316,30 @@ class TestSimHash:
         assert min(far) > 14
         assert self.kept(spark, texts) == [*range(0, 40, 2)]
 
+    @pytest.mark.parametrize(("few", "low", "crowded"), [(16, simhash.LOW, False), (16, 1 << 60, False), (2, simhash.LOW, True), (2, 1 << 63, True)])
+    def test_passages_of_many_texts_make_no_crowd(self, spark, monkeypatch, few, low, crowded):
+        """Passages too rare for the sample, each in some 50 texts: only texts with too few words of their own file them."""
+        rng, texts, filed = random.Random(24), [], []
+        passages = [[f"p{rng.randint(0, 10**6)}" for _ in range(20)] for _ in range(12)]
+        for k in range(300):
+            own = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+            texts.append(" ".join(own + sum(rng.sample(passages, 2), [])))
+            if k % 10 == 0:
+                texts.append(" ".join([*own[:-4], *texts[-1].split()[60:]]))
+        if crowded:  # nothing of their own, and pairs that share more or less than four fifths
+            texts += [" ".join(sum(rng.sample(passages, rng.randint(5, 9)), [])) for _ in range(40)]
+            texts += [" ".join(passages[k % 3] + passages[3] + passages[4] + passages[5][: rng.randint(4, 20)]) for k in range(60)]
+        inner = simhash.apart_links
+        monkeypatch.setattr(simhash, "SAMPLE", 1)
+        monkeypatch.setattr(simhash, "FEW", few)
+        monkeypatch.setattr(simhash, "LOW", low)
+        monkeypatch.setattr(simhash, "apart_links", lambda many, *rest: filed.append(many.count()) or inner(many, *rest))
+        root, least = self.classes(texts), {}
+        for k, t in enumerate(texts):
+            least.setdefault(root[" ".join(words(t))], k)
+        assert self.kept(spark, texts) == sorted(least.values())
+        assert crowded or filed == [0]
+
 
 class TestTokens:
     @pytest.mark.parametrize("rule", tokens.RULES)
