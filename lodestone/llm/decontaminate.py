@@ -40,6 +40,8 @@ PLAIN = 3
 #: Of slots whose values must agree.
 AGREE = 0.9
 INDEX_BYTES = 4 << 20
+#: Of rows that a task looks at at once: words, hashes and places found take some fifty times the texts' bytes.
+SLICE_BYTES = 1 << 18
 
 # Number words and units.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
@@ -228,6 +230,11 @@ class Index:
                 out.append((text, item, 1, plain, 1, changed))
         return sorted(out)
 
+    def looked_up(self, batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+        """The batches in slices of about ``SLICE_BYTES``, and what the texts of each, in column ``at``, hold."""
+        for b in modest(batches, size=SLICE_BYTES):
+            yield b, self.held(b.column(at))
+
     def held_whole(self, w: Windows) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, 1 if by its plain words, slots with another value) for each place that holds an item that is one window."""
         for (size, template), where in self.whole.items():
@@ -273,8 +280,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     for index in indexes(items):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for b in modest(batches):
-                if held := index.held(b.column(1)):
+            for b, held in index.looked_up(batches, 1):
+                if held:
                     ids = b.column(0).to_pylist()
                     cells = [(ids[t], index.ids[i], total, n, plain, changed, "verbatim" if plain >= SHARE * total else "template") for t, i, n, plain, total, changed in held]
                     types = [pa.int64()] * 6 + [pa.string()]
@@ -296,9 +303,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     for index in indexes(numbered_items(benchmark, item_text)):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for b in modest(batches):
+            for b, held in index.looked_up(batches, at):
                 clean = np.ones(b.num_rows, bool)
-                clean[[t for t, *_ in index.held(b.column(at))]] = False
+                clean[[t for t, *_ in held]] = False
                 yield b.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -266,6 +266,8 @@ SAMPLE, MET, FREQUENT = 8192, 3, 1 << 17
 LOW = 3 * (1 << 64) // 10
 #: Texts with one shingle in their prefixes that are compared pair by pair at once.
 FEW = 16
+#: Texts of a block that are compared with all others of it at once.
+ROWS = 128
 #: Bits of the map of texts that are candidates; its size doesn't depend on the input.
 MAP_BITS = 26
 _ODDS = 1e-9
@@ -424,7 +426,7 @@ class Block:
         self.sketches = [np.asarray(x, np.int64).view(np.uint64) for x in t["sketch"].to_pylist()]  # bits of a signed number would be counted of its absolute value
 
     def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(i, j) of the pairs of different components that sizes and sketches allow, closest first within each run of up to 512 texts i."""
+        """(i, j) of the pairs of different components that sizes and sketches allow, closest first within each run of up to ``ROWS`` texts i."""
         longs = np.array([len(x) for x in self.sketches])
         n, near = self.n.astype(np.float64), self.near
         share = (1 - self.similarity) / (1 + self.similarity)
@@ -433,8 +435,8 @@ class Block:
             other = np.flatnonzero((longs == size) | (longs == 2 * size))
             sketches = np.stack([self.sketches[k] if longs[k] == size else self.sketches[k][:size] ^ self.sketches[k][size:] for k in other])
             mine = np.stack([self.sketches[k] for k in own])
-            for at in range(0, len(own), 512):
-                i, a = own[at : at + 512], mine[at : at + 512]
+            for at in range(0, len(own), ROWS):
+                i, a = own[at : at + ROWS], mine[at : at + ROWS]
                 bits = np.zeros((len(i), len(other)), np.int32)
                 for c in range(size):
                     bits += np.bitwise_count(a[:, c, None] ^ sketches[None, :, c])

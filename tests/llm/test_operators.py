@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -340,6 +342,20 @@ class TestSimHash:
         assert self.kept(spark, texts) == sorted(least.values())
         assert crowded or filed == [0]
 
+    def test_memory_of_a_block_is_that_of_some_rows(self):
+        rng = np.random.default_rng(3)
+        base = rng.integers(-(1 << 62), 1 << 62, (100, 8))
+        sketches = [(base[k % 100] ^ (1 << k // 100)).tolist() for k in range(1000)]
+        t = pa.table({"th": range(1000), "n": [400] * 1000, "root": range(1000), "near": [True] * 1000, "sketch": sketches})
+        block = simhash.Block(t, 0.8)
+        tracemalloc.start()
+        try:
+            got = [(a, b) for i, j in block.candidates() for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert sorted(got) == [(a, b) for a in range(1000) for b in range(a + 100, 1000, 100)] and peak < 8 << 20
+
 
 class TestTokens:
     @pytest.mark.parametrize("rule", tokens.RULES)
@@ -621,6 +637,20 @@ class TestDecontamination:
         assert decontaminate.contaminated(d, b.limit(0)).collect() == [] == decontaminate.contaminated(d.limit(0), b).collect()
         assert decontaminate.decontaminated(d, b.limit(0)).count() == 60
 
+    def test_memory_is_that_of_a_slice(self):
+        rng = random.Random(5)
+        texts = [" ".join(f"w{rng.randint(0, 999)}" for _ in range(400)) for _ in range(1024)]
+        texts[700] = f"so {self.ITEM} it is"
+        index = decontaminate.Index([1], [self.ITEM])
+        batch = pa.RecordBatch.from_arrays([pa.array(range(1024)), pa.array(texts)], names=["doc_id", "text"])
+        tracemalloc.start()
+        try:
+            got = [b.column(0)[t].as_py() for b, held in index.looked_up(iter([batch]), 1) for t, *_ in held]
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert got == [700] and peak < 32 << 20
+
 
 class TestChat:
     ROWS = [
