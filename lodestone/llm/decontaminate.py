@@ -40,7 +40,8 @@ PLAIN = 3
 #: Of slots whose values must agree.
 AGREE = 0.9
 INDEX_BYTES = 4 << 20
-#: Of rows that a task looks at at once: words, hashes and places found take some fifty times the texts' bytes.
+#: Of rows that a task looks at at once where whole rows pass: words, hashes and places found take many times the texts' bytes.
+#: Smaller slices need less memory but repeat more words, which costs time.
 SLICE_BYTES = 1 << 18
 
 # Number words and units.
@@ -280,8 +281,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     for index in indexes(items):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for b, held in index.looked_up(batches, 1):
-                if held:
+            for b in modest(batches):
+                if held := index.held(b.column(1)):
                     ids = b.column(0).to_pylist()
                     cells = [(ids[t], index.ids[i], total, n, plain, changed, "verbatim" if plain >= SHARE * total else "template") for t, i, n, plain, total, changed in held]
                     types = [pa.int64()] * 6 + [pa.string()]
