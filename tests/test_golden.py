@@ -258,6 +258,13 @@ class TestConsole:
         with pytest.raises(console.Refused):
             console.run(spark, "SELECT professor_id FROM t", {"t": t}, known, most=2)
 
+    def test_a_query_has_all_rows(self, spark, tmp_path):
+        from lodestone.plans.flows import console_select
+
+        spark.range(101_000).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "400000.0D AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+        spark.range(7).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+        assert sorted(r[0] for r in console_select(spark, str(tmp_path)).collect()) == list(range(7))
+
 
 class TestGates:
     def test_namesakes(self, spark):
