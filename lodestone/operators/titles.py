@@ -7,6 +7,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.sets import HUB
 from lodestone.operators.staging import staged
 
 
@@ -104,3 +105,25 @@ def births(pairs: DataFrame, topics: DataFrame) -> DataFrame:
     fit = born.join(pairs, "a").join(old, "b").where("era < birth and topic <> parent")
     best = F.max_by(F.struct("parent", "similarity"), F.struct("similarity", -F.col("era"), -F.col("a"), -F.col("b")))
     return fit.groupBy("topic").agg(best.alias("x")).select("topic", "x.parent", "x.similarity")
+
+
+def births_by_refs(incidence: DataFrame, topics: DataFrame) -> DataFrame:
+    """[J15, R4] ``births`` with the Salton similarity by common refs, rounded to six digits. Only a work of some topic's first era
+    is paired, and only with works of eras before it, so other works' pairs aren't made. Refs of many works are made by several
+    tasks. incidence: work, ref; topics: work, topic, era."""
+    topics = staged(topics)
+    first = topics.groupBy("topic").agg(F.min("era").alias("birth"))
+    born = topics.join(first, "topic").where("era = birth").groupBy("work").agg(F.max("birth").alias("birth"))
+    last = first.agg(F.max("birth").alias("last"))
+    old = topics.join(last, F.col("era") < F.col("last")).groupBy("work").agg(F.min("era").alias("era"))
+    rows = staged(incidence.select("work", "ref").join(born.join(old, "work", "full"), "work").distinct())
+    n = rows.groupBy("work").agg(F.count("*").alias("n"))
+    late = rows.where("birth is not null").select("ref", F.col("work").alias("a"), "birth")
+    early = rows.where("era is not null").select("ref", F.col("work").alias("b"), "era")
+    hubs = early.groupBy("ref").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
+    salted = early.join(hubs, "ref").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
+    spread = late.join(hubs, "ref").select("ref", "a", "birth", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    met = spread.join(salted, ["ref", "salt"]).where("a <> b and era < birth").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    na, nb = (n.select(F.col("work").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    pairs = met.join(na, "a").join(nb, "b").select("a", "b", F.round(F.col("shared") / F.sqrt(F.col("n_a") * F.col("n_b")), 6).alias("similarity"))
+    return births(pairs, topics)

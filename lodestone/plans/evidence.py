@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions.periods import half_of
-from lodestone.operators import career, gates, graph, intervals, linkage, sets, titles, yearly
+from lodestone.operators import career, gates, graph, intervals, linkage, titles, yearly
 from lodestone.plans.registry import query
 from lodestone.sources.tables import table
 
@@ -140,11 +140,8 @@ SELECT topic, parent, similarity FROM m WHERE r = 1
 def topic_births(spark, d):
     """[J15, R4]"""
     l = table(spark, d, "lineitem")
-    inc = l.select(F.col("l_orderkey").alias("w"), F.col("l_partkey").alias("ref"))
-    one = sets.similarities(inc, "w", "ref").select(F.col("w_a").alias("a"), F.col("w_b").alias("b"), F.col("salton").alias("similarity"))
-    both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     t = l.select(F.col("l_orderkey").alias("work"), (F.col("l_orderkey") % 12).alias("topic"), F.expr("l_orderkey div 3000").alias("era")).distinct().where("topic >= 4 or era > 1")
-    return titles.births(both, t)
+    return titles.births_by_refs(l.select(F.col("l_orderkey").alias("work"), F.col("l_partkey").alias("ref")), t)
 
 
 def _works(spark, d):

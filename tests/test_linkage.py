@@ -4,8 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from lodestone.operators import linkage, titles
+from lodestone.operators import linkage, sets, titles
 
 
 def sequential(works, jaccard, contained):
@@ -70,3 +71,20 @@ def test_an_ambiguous_or_missing_anchor_fails(spark):
             linkage.anchored(queries.where(f"query = {bad}"), anchors, "query", "anchor", keys).collect()
     soft = linkage.anchored(queries, anchors, "query", "anchor", keys, fail=False).collect()
     assert sorted(tuple(r) for r in soft) == [(1, 10, 1), (2, None, 2), (3, None, 0)]
+
+
+def test_births_by_refs_makes_only_the_pairs_of_births(spark, monkeypatch):
+    rng = random.Random(8)
+    refs = [(w, rng.randrange(12)) for w in range(80) for _ in range(5)] + [(w, 99) for w in range(80)]
+    topics = [(w, w % 5 if w > 20 else w % 2, w // 10) for w in range(80)] + [(3, 1, 0), (45, 9, 4)]
+    inc = spark.createDataFrame(refs, "work long, ref long")
+    t = spark.createDataFrame(topics, "work long, topic long, era long")
+    one = sets.similarities(inc, "work", "ref").select(F.col("work_a").alias("a"), F.col("work_b").alias("b"), F.col("salton").alias("similarity"))
+    both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    made = []
+    plain = titles.births
+    monkeypatch.setattr(titles, "births", lambda pairs, topics: made.append(pairs.count()) or plain(pairs, topics))
+    monkeypatch.setattr(titles, "HUB", 7)
+    got = sorted(map(tuple, titles.births_by_refs(inc, t).collect()))
+    assert got == sorted(map(tuple, plain(both, t).collect())) and len(got) == 4
+    assert made[0] < both.count() / 4
