@@ -472,3 +472,20 @@ class TestNearest:
             assert {(r["id"], r["neighbour"], r["rank"]) for r in out.collect()} == want
         assert "Join" not in matrix.nearest(df, "i", "v", 6)._jdf.queryExecution().executedPlan().toString()  # no pairs of blocks
         assert matrix.nearest(df.limit(0), "i", "v", 6).count() == 0
+
+
+class TestSharedTransitions:
+    def test_same_as_along_links_without_their_pairs(self, spark):
+        import random
+
+        rng = random.Random(4)
+        items = [(who, i, rng.randrange(4) if who < 3 else 2 * rng.randrange(2), rng.choice("xyz") if rng.random() < 0.9 else None) for who in range(4) for i in range(30)]
+        refs = [(who, i, rng.randrange(9)) for who, i, *_ in items for _ in range(rng.choice([0, 1, 1, 3]))] + [(0, 1, None)]
+        m = spark.createDataFrame(items, "who long, item long, w long, label string")
+        r = spark.createDataFrame(refs, "who long, item long, ref long")
+        links = information.neighbour_links(m, r, "who", "item", "w", "ref")
+        want = information.transitions(m, "who", "item", "w", "label", links)
+        out = information.shared_transitions(m.join(r.groupBy("who", "item").agg(F.collect_set("ref").alias("refs")), ["who", "item"], "left"), "who", "item", "w", "label", "refs")
+        rows = lambda df: sorted(((x["who"], x["w"], x["a"] or "", x["b"] or "", round(x["mass"], 9)) for x in df.collect()))
+        assert rows(out) == rows(want) and len(rows(out)) > 50
+        assert out.columns == want.columns
